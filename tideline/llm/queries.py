@@ -8,11 +8,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.session import table
-from tideline.llm import sharding
+from tideline.llm import chat, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_ODD_CHAT = r"""
+SELECT * FROM VALUES (-7L, 0L, 'user', r'\### Assistant: </turn> ok'), (-7L, 1L, 'assistant', r'\### Assistant: </turn> ok')
+AS t(conv_id, turn, role, text)
+"""
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, formatted, and read back from the output."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(_ODD_CHAT))
+    fields = F.struct(*(F.coalesce(F.col(c), F.lit("")).alias(c) if c in ("role", "text") else F.col(c) for c in ("conv_id", "turn", "role", "text")))
+    turns = chat.to_turns(rows.select("conv_id", F.to_variant_object(fields).alias("record")), keep=("conv_id",))
+    return chat.digests(chat.format_chats(turns, "conv_id"), "conv_id")
+
+
+OP1_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(15 + length(role) + length(text)
+    + 2 * length(role || text) - length(replace(replace(role || text, '<', ''), '>', '')) - length(replace(role || text, '\', '')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes; equal texts stay together."""
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), n_shards=16)
@@ -22,8 +51,8 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_sharding": op5_sharding}
+    return {"op1_chat_formatting": op1_chat_formatting, "op5_sharding": op5_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_formatting": OP1_SQL}
