@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.session import table
-from tideline.llm import chat, sharding
+from tideline.llm import chat, html, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,9 +50,19 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_chat_formatting": op1_chat_formatting, "op5_sharding": op5_sharding}
+    return {
+        "op1_chat_formatting": op1_chat_formatting,
+        "op5_sharding": op5_sharding,
+        "op9_html_extraction": op9_html_extraction,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL}
+    return {
+        "op1_chat_formatting": OP1_SQL}
