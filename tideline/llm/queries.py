@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.session import table
-from tideline.llm import chat, html, neardup, sharding
+from tideline.llm import chat, html, neardup, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,58 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by the base rule and by cutoffs certified on the labels."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP2_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]+', '', 'g')) AS n_symbols
+  FROM documents
+), runs AS (
+  SELECT doc_id, i, array_to_string(w[i:i+2], ' ') AS r FROM docs, unnest(generate_series(1, len(w) - 2)) AS t(i)
+), again AS (
+  SELECT doc_id, i FROM runs QUALIFY count(*) OVER (PARTITION BY doc_id, r) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) AS o(k) GROUP BY doc_id
+), measured AS (
+  SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines
+  FROM docs LEFT JOIN covered c USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured
+), grid AS (
+  SELECT * FROM (VALUES ('symbols', [2, 5, 10, 15, 20, 30]), ('lines', [20, 30, 40, 50, 60, 75]), ('repeats', [10, 15, 20, 25, 30, 40])) AS g(rule, cuts)
+), cells AS (SELECT rule, unnest(cuts) AS cutoff FROM grid),
+tests AS (
+  SELECT lang, rule, cutoff, count(*) FILTER (WHERE quality = 1) AS n,
+    count(*) FILTER (WHERE quality = 1 AND over) AS lost, count(*) FILTER (WHERE quality = 0 AND over) AS caught
+  FROM (SELECT j.lang, rule, cutoff, quality, CASE rule WHEN 'symbols' THEN 100 * n_symbols > cutoff * word_chars
+      WHEN 'lines' THEN 100 * n_dup_lines > cutoff * n_lines ELSE 100 * n_repeat_words > cutoff * n_words END AS over
+    FROM judged j JOIN labels USING (doc_id), cells WHERE NOT base_failed AND quality IS NOT NULL)
+  GROUP BY lang, rule, cutoff
+), tails AS (
+  SELECT *, count(*) OVER () AS m, 0.02 / 3 AS rate FROM tests
+), passed AS (
+  SELECT * FROM tails WHERE caught > lost AND lost <= n * rate AND list_sum(list_transform(generate_series(0, lost),
+    lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(rate) + (n - i) * ln(1 - rate)))) <= 0.05 / m
+), best AS (
+  SELECT lang, rule, cutoff FROM passed QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY caught - lost DESC, cutoff DESC) = 1
+), wide AS (
+  SELECT lang, max(cutoff) FILTER (WHERE rule = 'symbols') AS s, max(cutoff) FILTER (WHERE rule = 'lines') AS l, max(cutoff) FILTER (WHERE rule = 'repeats') AS r
+  FROM best GROUP BY lang
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR coalesce(100 * n_symbols > s * word_chars, false) OR coalesce(100 * n_dup_lines > l * n_lines, false)
+    OR coalesce(100 * n_repeat_words > r * n_words, false)) AS kept
+FROM judged j LEFT JOIN wide v ON j.lang IS NOT DISTINCT FROM v.lang
+"""
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose five-word shingle sets are 85 % alike."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), num=85, den=100)
@@ -81,6 +133,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op2_quality_rules": op2_quality_rules,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op5_sharding": op5_sharding,
         "op9_html_extraction": op9_html_extraction,
@@ -89,4 +142,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_chat_formatting": OP1_SQL}
+        "op1_chat_formatting": OP1_SQL,
+        "op2_quality_rules": OP2_SQL,
+        "op3_minhash_near_dedup": OP3_SQL,
+    }
