@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.session import table
-from tideline.llm import chat, html, neardup, quality, sharding
+from tideline.llm import chat, decontam, html, neardup, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,6 +125,24 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain four fifths of a benchmark item's shingles, with the item."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP7_SQL = r"""
+WITH texts AS (
+  SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+), words AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM texts
+), shingles AS (
+  SELECT DISTINCT kind, id, array_to_string(w[i:i+4], ' ') AS s FROM words, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS t(i) WHERE len(w) > 0
+), items AS (SELECT id, s, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE kind = 1)
+SELECT d.id AS doc_id, i.id AS item_id, i.n AS n_item, count(*) AS n_shared
+FROM items i JOIN shingles d ON d.s = i.s AND d.kind = 0 GROUP BY d.id, i.id, i.n HAVING 5 * count(*) >= 4 * i.n
+"""
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html.extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
@@ -136,6 +154,7 @@ def queries() -> dict[str, Query]:
         "op2_quality_rules": op2_quality_rules,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op5_sharding": op5_sharding,
+        "op7_decontamination": op7_decontamination,
         "op9_html_extraction": op9_html_extraction,
     }
 
@@ -145,4 +164,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_chat_formatting": OP1_SQL,
         "op2_quality_rules": OP2_SQL,
         "op3_minhash_near_dedup": OP3_SQL,
+        "op7_decontamination": OP7_SQL,
     }
