@@ -259,11 +259,13 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, id_col: str
         groups.select(F.col("node").alias("set_id"), F.col("root").alias("group_id")).join(sets.select("set_id", "n_shingles", "first_id"), "set_id"), "chosen"
     )
     one = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).where("first_id is not null")
-    members = chosen.join(one, "first_id").select("group_id", "set_id", "n_shingles", "text")
+    # the same join at every size: texts are dealt by id, the small side is hashed in each partition
+    members = one.join(chosen.hint("shuffle_hash"), "first_id").select("group_id", "set_id", "n_shingles", "text")
     links = confirmed_links(members, num, den)
     roots = components(links).select(F.col("node").alias("set_id"), "root")
     labelled = written(full.drop("registers").join(roots, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "set_id").alias("label")), "labelled")
-    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join reads two exchanges and Spark can split a hot label
+    least = written(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     linked = labelled.join(least, "label").select("doc_id", "n_shingles", "component_id")
     alone = described.where(~linkable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.session import table
-from tideline.llm import chat, decontam, html, neardup, quality, sharding
+from tideline.llm import chat, decontam, html, neardup, paragraphs, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -117,6 +117,11 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach r ON r.a = d.doc_id G
 """
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of passages that several documents have; one of each cluster stays."""
+    return paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes; equal texts stay together."""
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), n_shards=16)
@@ -153,6 +158,7 @@ def queries() -> dict[str, Query]:
         "op1_chat_formatting": op1_chat_formatting,
         "op2_quality_rules": op2_quality_rules,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_sharding": op5_sharding,
         "op7_decontamination": op7_decontamination,
         "op9_html_extraction": op9_html_extraction,
