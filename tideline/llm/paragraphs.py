@@ -7,7 +7,9 @@ shingles; bands of ``BAND_ROWS`` values, as many as a wanted recall at the thres
 bring paragraphs together. Paragraphs with equal sets are one class. Colliding classes
 are confirmed by exact Jaccard similarity, block by block, and joined into components.
 Runs of neighbouring repeated paragraphs with ``LEAST_PASSAGE`` words or more are repeated
-passages: short phrases that many texts share are left alone. Of each component, the
+passages; short lines that many texts share are left alone. A run that starts or ends
+inside a line is the part of a longer passage that cuts happen to frame, and counts from
+``LEAST_INNER`` words. Of each component, the
 first paragraph (by id and place) stays, the others are removals.
 
 Defined results: null, blank and short texts have no paragraphs; repeats inside one
@@ -31,15 +33,16 @@ from tideline.llm.neardup import confirmed_links, digest
 from tideline.llm.shingles import pieces, shingle_hashes, splitmix, text_bytes, word_hashes
 from tideline.llm.store import small_batches, written
 
-WHOLE_LINE = 32
-CUT_ONE_IN = 12
-LEAST_UNIT = 8
-MOST_UNIT = 48
+WHOLE_LINE = 16
+CUT_ONE_IN = 6
+LEAST_UNIT = 6
+MOST_UNIT = 24
 LEAST_PASSAGE = 30
+LEAST_INNER = 14
 GAP_WORDS = 7
 WIDTH = 5
-BAND_ROWS = 2
-RECALL = 0.98
+BAND_ROWS = 1
+RECALL = 0.95
 THRESHOLD = 0.8
 
 
@@ -88,8 +91,8 @@ def _line_breaks(newlines: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return opens
 
 
-def paragraphs(column: pa.Array) -> Iterator[tuple[int, int, int, int, int, int, np.ndarray, list[int]]]:
-    """``row, unit, first word, words, start byte, end byte, set, band keys`` of each paragraph, bytes within the text."""
+def paragraphs(column: pa.Array) -> Iterator[tuple[int, int, int, int, int, int, bool, bool, np.ndarray, list[int]]]:
+    """``row, unit, first word, words, start byte, end byte, opens and ends a line, set, band keys`` of each paragraph."""
     data, offsets = text_bytes(column)
     for at, to in pieces(offsets):
         words, starts, ends, before = word_hashes(data, offsets[at : to + 1])
@@ -106,7 +109,9 @@ def paragraphs(column: pa.Array) -> Iterator[tuple[int, int, int, int, int, int,
             lines[0] = True
             cuts = cut_words(words[a:b], np.flatnonzero(lines))
             base = int(offsets[at + row])
-            sizes = np.diff(np.append(cuts, b - a))
+            stops = np.append(cuts[1:], b - a)
+            sizes = stops - cuts
+            heads, tails = lines[cuts], np.append(lines, True)[stops]
             long = np.flatnonzero(sizes >= LEAST_UNIT)
             if not len(long):
                 continue
@@ -119,7 +124,7 @@ def paragraphs(column: pa.Array) -> Iterator[tuple[int, int, int, int, int, int,
             for place, unit in enumerate(long.tolist()):
                 first, size = int(cuts[unit]), int(sizes[unit])
                 elements = np.unique(runs[a + first : a + first + size - WIDTH + 1])
-                yield at + row, unit, first, size, int(starts[a + first]) - base, int(ends[a + first + size - 1]) - base, elements, keys[place]
+                yield at + row, unit, first, size, int(starts[a + first]) - base, int(ends[a + first + size - 1]) - base, bool(heads[unit]), bool(tails[unit]), elements, keys[place]
 
 
 def _sliding(runs: np.ndarray) -> np.ndarray:
@@ -137,7 +142,7 @@ def _band_keys(least: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-UNIT_SCHEMA = "doc_id bigint, unit int, first_word int, n_words int, start int, stop int, set_id binary, keys array<bigint>"
+UNIT_SCHEMA = "doc_id bigint, unit int, first_word int, n_words int, start int, stop int, head boolean, tail boolean, set_id binary, keys array<bigint>"
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -146,15 +151,15 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[] for _ in range(8)]
+            rows: list[list] = [[] for _ in range(10)]
             ids = batch.column(0).to_pylist()
-            for row, unit, first, size, start, stop, elements, keys in paragraphs(batch.column(1)):
-                for column, value in zip(rows, (ids[row], unit, first, size, start, stop, digest(elements.tobytes()), keys), strict=True):
+            for row, unit, first, size, start, stop, head, tail, elements, keys in paragraphs(batch.column(1)):
+                for column, value in zip(rows, (ids[row], unit, first, size, start, stop, head, tail, digest(elements.tobytes()), keys), strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, k) for v, k in zip(rows, kinds, strict=True)],
-                names=["doc_id", "unit", "first_word", "n_words", "start", "stop", "set_id", "keys"],
+                names=["doc_id", "unit", "first_word", "n_words", "start", "stop", "head", "tail", "set_id", "keys"],
             )
 
     return chosen.mapInArrow(run, UNIT_SCHEMA)
@@ -179,9 +184,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .select("key", (F.col("s0") != F.col("s1")).alias("several"))
     )
     met = written(
-        units.select("doc_id", "unit", "first_word", "n_words", "start", "stop", "set_id", F.explode("keys").alias("key"))
+        units.select("doc_id", "unit", "first_word", "n_words", "start", "stop", "head", "tail", "set_id", F.explode("keys").alias("key"))
         .join(shared.hint("shuffle_hash"), "key")
-        .select("doc_id", "unit", "first_word", "n_words", "start", "stop", "set_id", "key", "several"),
+        .select("doc_id", "unit", "first_word", "n_words", "start", "stop", "head", "tail", "set_id", "key", "several"),
         "met",
     )
     classes = written(
@@ -204,14 +209,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = classes.join(roots, "set_id", "left").select("set_id", "d0", "d1", F.coalesce("root", "set_id").alias("cluster"))
     spread = written(named.groupBy("cluster").agg(F.min("d0").alias("c0"), F.max("d1").alias("c1")).where("c0 <> c1").select("cluster"), "spread")
     several = written(named.join(spread, "cluster").select("set_id", "cluster"), "several")
-    hits = met.select("doc_id", "unit", "first_word", "n_words", "start", "stop", "set_id").distinct().join(several, "set_id")
+    hits = met.select("doc_id", "unit", "first_word", "n_words", "start", "stop", "head", "tail", "set_id").distinct().join(several, "set_id")
 
     by_place = Window.partitionBy("doc_id").orderBy("first_word", "stop")
     gap = F.col("first_word") - F.lag(F.col("first_word") + F.col("n_words")).over(by_place)
     runs = hits.withColumn("opens", F.coalesce((gap > GAP_WORDS).cast("int"), F.lit(1))).withColumn("run", F.sum("opens").over(by_place))
-    passages = written(
-        runs.withColumn("passage_words", F.sum("n_words").over(Window.partitionBy("doc_id", "run"))).where(F.col("passage_words") >= LEAST_PASSAGE), "passages"
-    )
+    whole = Window.partitionBy("doc_id", "run")
+    framed = F.min_by("head", "first_word").over(whole) & F.max_by("tail", "first_word").over(whole)
+    least = F.when(framed, LEAST_PASSAGE).otherwise(LEAST_INNER)
+    passages = written(runs.withColumn("enough", F.sum("n_words").over(whole) >= least).where("enough"), "passages")
     first = written(passages.groupBy("cluster").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.max("doc_id").alias("last")), "first")
     return (
         passages.join(first, "cluster")
