@@ -60,7 +60,7 @@ def repeat_words(words: Column) -> Column:
             steps = F.transform(at, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - x, F.lit(3))))
             return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
-        return covered(_let(_let(placed, starts), lambda x: x))
+        return _let(_let(placed, starts), covered)
 
     return _let(runs, lambda r: F.when(F.size(F.array_distinct(r)) == F.size(r), F.lit(0)).otherwise(several(r)))
 
