@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.session import table
-from tideline.llm import chat, decontam, html, neardup, paragraphs, quality, sharding
+from tideline.llm import chat, decontam, html, langid, neardup, paragraphs, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -130,6 +130,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(langid.sample(docs, langid.learnable()))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out")
+    found = langid.with_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out, "lang_pred", "score")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain four fifths of a benchmark item's shingles, with the item."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -160,6 +169,7 @@ def queries() -> dict[str, Query]:
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_sharding": op5_sharding,
+        "op6_language_id": op6_language_id,
         "op7_decontamination": op7_decontamination,
         "op9_html_extraction": op9_html_extraction,
     }
