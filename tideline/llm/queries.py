@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.session import table
-from tideline.llm import chat, decontam, html, langid, neardup, paragraphs, quality, sharding
+from tideline.llm import chat, decontam, html, langid, neardup, paragraphs, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -162,6 +162,15 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability that a document is labelled toxic, learned from three quarters of the labels."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.sample(docs, labels, toxicity.learnable()))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out")
+    found = toxicity.with_toxicity(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -172,6 +181,7 @@ def queries() -> dict[str, Query]:
         "op6_language_id": op6_language_id,
         "op7_decontamination": op7_decontamination,
         "op9_html_extraction": op9_html_extraction,
+        "op10_toxicity": op10_toxicity,
     }
 
 
