@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -203,10 +203,15 @@ def intersections(arrays: list[np.ndarray]) -> np.ndarray:
     return np.rint(total).astype(np.int64)
 
 
-def confirmed_links(members: DataFrame, num: int, den: int) -> DataFrame:
+def _same_set(texts: pa.Array, names: list[bytes]) -> list[bool]:
+    return [digest(e.tobytes()) == name for e, name in zip(text_sets(texts), names, strict=True)]
+
+
+def confirmed_links(members: DataFrame, num: int, den: int, fits: Callable[[pa.Array, list[bytes]], list[bool]] = _same_set) -> DataFrame:
     """``a, b``: a spanning forest, block by block, of the links with ``den * both >= num * either``.
 
-    ``members(group_id, set_id, n_shingles, text)`` has each set once.
+    ``members(group_id, set_id, n_shingles, text)`` has each set of a group once; an id may
+    come with several texts, of which those count that ``fits`` finds to be of the set.
     """
     sums = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("volume"))
     wide = F.greatest(F.ceil(F.col("members") / SET_BLOCK), F.ceil(F.col("volume") / SET_BLOCK_SHINGLES))
@@ -215,10 +220,9 @@ def confirmed_links(members: DataFrame, num: int, den: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [e.tobytes() for e in text_sets(batch.column(2))]
-            # an id may come with several texts: only the one with this set counts
-            fits = [digest(x) == y for x, y in zip(packed, batch.column(1).to_pylist(), strict=True)]
+            right = fits(batch.column(2), batch.column(1).to_pylist())
             whole = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["group_id", "set_id", "elements"])
-            yield whole.filter(pa.array(fits))
+            yield whole.filter(pa.array(right, pa.bool_()))
 
     packed = members.select("group_id", "set_id", "text").mapInArrow(pack, "group_id binary, set_id binary, elements binary")
     dealt = deal(packed.join(sums, "group_id"), "group_id", "set_id", n_blocks).select("part", "set_id", "elements")

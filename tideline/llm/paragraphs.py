@@ -4,7 +4,7 @@ A text's lines are its paragraphs; a line of more than ``WHOLE_LINE`` words is c
 where the hash of three words says so, so that a passage is cut alike wherever it stands.
 Each paragraph of ``LEAST_UNIT`` words or more gets MinHash values of its five-word
 shingles; bands of ``BAND_ROWS`` values, as many as a wanted recall at the threshold takes,
-bring paragraphs together. Paragraphs with equal sets are one class. Colliding classes
+bring paragraphs together. Paragraphs of equal words are one class. Colliding classes
 are confirmed by exact Jaccard similarity, block by block, and joined into components.
 Runs of neighbouring repeated paragraphs with ``LEAST_PASSAGE`` words or more are repeated
 passages; short lines that many texts share are left alone. A run that starts or ends
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from tideline.session import ship_package
 from tideline.llm.graph import components
-from tideline.llm.neardup import confirmed_links, digest
-from tideline.llm.shingles import pieces, shingle_hashes, splitmix, text_bytes, word_hashes
-from tideline.llm.store import small_batches, written
+from tideline.llm.neardup import confirmed_links
+from tideline.llm.shingles import _powers, mix, pieces, shingle_hashes, splitmix, text_bytes, word_hashes
+from tideline.llm.store import only_ids, small_batches, written
 
 WHOLE_LINE = 16
 CUT_ONE_IN = 6
@@ -39,7 +39,7 @@ LEAST_UNIT = 6
 MOST_UNIT = 24
 LEAST_PASSAGE = 30
 LEAST_INNER = 14
-GAP_WORDS = 7
+GAP_BYTES = 64
 WIDTH = 5
 BAND_ROWS = 1
 RECALL = 0.95
@@ -83,52 +83,59 @@ def cut_words(words: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     return np.array(starts, np.int64)
 
 
-def _line_breaks(newlines: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which words are the first of their line."""
-    lines = np.searchsorted(newlines, starts)
-    opens = np.ones(len(starts), bool)
-    opens[1:] = lines[1:] != lines[:-1]
-    return opens
-
-
-def paragraphs(column: pa.Array) -> Iterator[tuple[int, int, int, int, int, int, bool, bool, np.ndarray, list[int]]]:
-    """``row, unit, first word, words, start byte, end byte, opens and ends a line, set, band keys`` of each paragraph."""
+def _classes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One hash for the word sequence of each span; spans follow one another without gaps."""
+    place = np.arange(int(starts[0]), int(starts[-1] + sizes[-1])) - np.repeat(starts, sizes)
+    turned = words[int(starts[0]) : int(starts[-1] + sizes[-1])] * _powers(int(sizes.max()) + 1)[place]
+    return mix(np.add.reduceat(turned, starts - starts[0]) + sizes.astype(np.uint64))
+
+
+class Units:
+    """The paragraphs of a run of texts, as arrays: row, place in bytes, size in words, class, keys."""
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray) -> None:
+        words, starts, ends, before = word_hashes(data, bounds)
+        low = int(bounds[0])
+        newlines = np.flatnonzero(data[low : int(bounds[-1])] == 10) + low
+        lines = np.searchsorted(newlines, starts)
+        opens = np.ones(len(starts) + 1, bool)
+        opens[1:-1] = lines[1:] != lines[:-1]
+        opens[before] = True
+        cuts = [np.zeros(0, np.int64)]
+        for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
+            if b > a:
+                cuts.append(cut_words(words[a:b], np.flatnonzero(opens[a:b])) + a)
+        first = np.concatenate(cuts)
+        stops = np.append(first[1:], len(words))
+        size = stops - first
+        row = np.searchsorted(before, first, side="right") - 1
+        keep = np.flatnonzero(size >= LEAST_UNIT)
+        self.count = len(keep)
+        if not self.count:
+            return
+        classes = _classes(words, first, size)
+        runs, _ = shingle_hashes(words, before, WIDTH)
+        minima = runs[:, None] * _MULTIPLIERS[None, :]
+        spans = np.empty(2 * len(keep), np.int64)
+        spans[0::2] = first[keep]
+        spans[1::2] = stops[keep] - WIDTH + 1
+        least = np.minimum.reduceat(minima, spans if spans[-1] < len(runs) else spans[:-1], axis=0)[0::2]
+        self.row = row[keep]
+        base = bounds[self.row]
+        self.place = ((starts[first[keep]] - base) << 32) | (ends[stops[keep] - 1] - base)
+        unit = keep - np.searchsorted(first, before[self.row])
+        self.info = (unit << 8) | (size[keep] << 2) | (opens[first[keep]].astype(np.int64) << 1) | opens[stops[keep]]
+        self.set_class = classes[keep].view(np.int64)
+        self.keys = _band_keys(least)
+
+
+def text_units(column: pa.Array) -> Iterator[tuple[int, Units]]:
+    """The paragraphs of an Arrow string column, with the row that each run starts at."""
     data, offsets = text_bytes(column)
     for at, to in pieces(offsets):
-        words, starts, ends, before = word_hashes(data, offsets[at : to + 1])
-        if not len(words):
-            continue
-        runs, _ = shingle_hashes(words, before, WIDTH)
-        low = int(offsets[at])
-        opens = _line_breaks(np.flatnonzero(data[low : int(offsets[to])] == 10) + low, starts)
-        minima = _sliding(runs)
-        for row, (a, b) in enumerate(zip(before[:-1], before[1:], strict=True)):
-            if b - a < LEAST_UNIT:
-                continue
-            lines = opens[a:b].copy()
-            lines[0] = True
-            cuts = cut_words(words[a:b], np.flatnonzero(lines))
-            base = int(offsets[at + row])
-            stops = np.append(cuts[1:], b - a)
-            sizes = stops - cuts
-            heads, tails = lines[cuts], np.append(lines, True)[stops]
-            long = np.flatnonzero(sizes >= LEAST_UNIT)
-            if not len(long):
-                continue
-            spans = np.empty(2 * len(long), np.int64)
-            spans[0::2] = cuts[long] + a
-            spans[1::2] = cuts[long] + a + sizes[long] - WIDTH + 1
-            kept = spans if spans[-1] < len(runs) else spans[:-1]
-            least = np.minimum.reduceat(minima, kept, axis=0)[0::2]
-            keys = _band_keys(least).tolist()
-            for place, unit in enumerate(long.tolist()):
-                first, size = int(cuts[unit]), int(sizes[unit])
-                elements = np.unique(runs[a + first : a + first + size - WIDTH + 1])
-                yield at + row, unit, first, size, int(starts[a + first]) - base, int(ends[a + first + size - 1]) - base, bool(heads[unit]), bool(tails[unit]), elements, keys[place]
-
-
-def _sliding(runs: np.ndarray) -> np.ndarray:
-    return runs[:, None] * _MULTIPLIERS[None, :]
+        units = Units(data, offsets[at : to + 1])
+        if units.count:
+            yield at, units
 
 
 def _band_keys(least: np.ndarray) -> np.ndarray:
@@ -142,27 +149,37 @@ def _band_keys(least: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-UNIT_SCHEMA = "doc_id bigint, unit int, first_word int, n_words int, start int, stop int, head boolean, tail boolean, set_id binary, keys array<bigint>"
+KEYS = [f"key{k}" for k in range(BANDS)]
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each paragraph of each document."""
+    """One row for each paragraph of each document.
+
+    ``place`` is the start byte times 2^32 plus the stop byte; ``info`` is the number of
+    the paragraph times 256, its words times 4, and whether it opens and ends a line.
+    """
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    names = ["doc_id", "place", "info", "set_class", *KEYS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[] for _ in range(10)]
-            ids = batch.column(0).to_pylist()
-            for row, unit, first, size, start, stop, head, tail, elements, keys in paragraphs(batch.column(1)):
-                for column, value in zip(rows, (ids[row], unit, first, size, start, stop, head, tail, digest(elements.tobytes()), keys), strict=True):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, k) for v, k in zip(rows, kinds, strict=True)],
-                names=["doc_id", "unit", "first_word", "n_words", "start", "stop", "head", "tail", "set_id", "keys"],
-            )
+            ids = batch.column(0).to_numpy()
+            for at, units in text_units(batch.column(1)):
+                columns = [ids[at + units.row], units.place, units.info, units.set_class, *(np.ascontiguousarray(units.keys[:, k]) for k in range(BANDS))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    return chosen.mapInArrow(run, UNIT_SCHEMA)
+    return chosen.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
+def _same_class(texts: pa.Array, names: list[bytes]) -> list[bool]:
+    """Whether each text is one paragraph of the class that its name starts with."""
+    found = []
+    data, offsets = text_bytes(texts)
+    for row, name in enumerate(names):
+        words, *_ = word_hashes(data, offsets[row : row + 2])
+        one = _classes(words, np.zeros(1, np.int64), np.array([len(words)])) if len(words) else np.zeros(1, np.uint64)
+        found.append(int(one[0]).to_bytes(8, "big") == name[:8])
+    return found
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,47 +192,55 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     small_batches(docs.sparkSession)
     units = written(describe(docs, id_col, text_col), "units")
 
-    # keys that two documents or two sets have; a hot key is one row for each task
+    # keys that two documents have; a hot key is one row for each task
     shared = (
-        units.select("doc_id", "set_id", F.explode("keys").alias("key"))
+        units.select("doc_id", F.explode(F.array(*KEYS)).alias("key"))
         .groupBy("key")
-        .agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("set_id").alias("s0"), F.max("set_id").alias("s1"))
+        .agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
         .where("d0 <> d1")
-        .select("key", (F.col("s0") != F.col("s1")).alias("several"))
+        .select("key")
     )
     met = written(
-        units.select("doc_id", "unit", "first_word", "n_words", "start", "stop", "head", "tail", "set_id", F.explode("keys").alias("key"))
+        units.select("doc_id", "place", "info", "set_class", F.col("key0").alias("least"), F.explode(F.array(*KEYS)).alias("key"))
         .join(shared.hint("shuffle_hash"), "key")
-        .select("doc_id", "unit", "first_word", "n_words", "start", "stop", "head", "tail", "set_id", "key", "several"),
+        .select(
+            "doc_id",
+            F.shiftright("place", 32).alias("start"),
+            F.col("place").bitwiseAND((1 << 32) - 1).alias("stop"),
+            F.shiftright("info", 8).alias("unit"),
+            F.shiftright("info", 2).bitwiseAND(63).alias("n_words"),
+            (F.col("info").bitwiseAND(2) > 0).alias("head"),
+            (F.col("info").bitwiseAND(1) > 0).alias("tail"),
+            F.unhex(F.concat(F.lpad(F.hex("set_class"), 16, "0"), F.lpad(F.hex("least"), 16, "0"))).alias("set_id"),
+            "key",
+        ),
         "met",
     )
     classes = written(
         met.groupBy("set_id").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min(F.struct("doc_id", "start", "stop")).alias("at")), "classes"
     )
-    pairs = met.where("several").select("key", "set_id").distinct()
-    wanted = pairs.select("set_id").distinct().join(classes, "set_id").select("set_id", "at.*")
-    one = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = written(
-        one.join(wanted.hint("shuffle_hash"), "doc_id").select(
-            "set_id", F.substr(F.col("text").cast("binary"), F.col("start") + 1, F.col("stop") - F.col("start")).cast("string").alias("text")
-        ),
-        "unit-texts",
+    several = met.groupBy("key").agg(F.min("set_id").alias("s0"), F.max("set_id").alias("s1")).where("s0 <> s1").select("key")
+    pairs = written(met.select("key", "set_id").join(several, "key").distinct(), "pairs")
+    wanted = written(pairs.select("set_id").distinct().join(classes, "set_id").select("set_id", "at.*"), "wanted")
+    one = only_ids(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), wanted)
+    texts = one.join(wanted.hint("shuffle_hash"), "doc_id").select(
+        "set_id", F.substr(F.col("text").cast("binary"), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).cast("string").alias("text")
     )
-    members = pairs.join(texts, "set_id").select(
+    members = pairs.join(written(texts, "unit-texts"), "set_id").select(
         F.unhex(F.lpad(F.hex("key"), 16, "0")).alias("group_id"), "set_id", F.lit(MOST_UNIT).cast("bigint").alias("n_shingles"), "text"
     )
-    links = confirmed_links(members, int(THRESHOLD * 100), 100)
+    links = confirmed_links(members, int(THRESHOLD * 100), 100, fits=_same_class)
     roots = components(links).withColumnsRenamed({"node": "set_id"})
     named = classes.join(roots, "set_id", "left").select("set_id", "d0", "d1", F.coalesce("root", "set_id").alias("cluster"))
     spread = written(named.groupBy("cluster").agg(F.min("d0").alias("c0"), F.max("d1").alias("c1")).where("c0 <> c1").select("cluster"), "spread")
-    several = written(named.join(spread, "cluster").select("set_id", "cluster"), "several")
-    hits = met.select("doc_id", "unit", "first_word", "n_words", "start", "stop", "head", "tail", "set_id").distinct().join(several, "set_id")
+    repeated = written(named.join(spread, "cluster").select("set_id", "cluster"), "repeated")
+    hits = met.drop("key").distinct().join(repeated, "set_id")
 
-    by_place = Window.partitionBy("doc_id").orderBy("first_word", "stop")
-    gap = F.col("first_word") - F.lag(F.col("first_word") + F.col("n_words")).over(by_place)
-    runs = hits.withColumn("opens", F.coalesce((gap > GAP_WORDS).cast("int"), F.lit(1))).withColumn("run", F.sum("opens").over(by_place))
+    by_place = Window.partitionBy("doc_id").orderBy("start", "stop")
+    gap = F.col("start") - F.lag("stop").over(by_place)
+    runs = hits.withColumn("opens", F.coalesce((gap > GAP_BYTES).cast("int"), F.lit(1))).withColumn("run", F.sum("opens").over(by_place))
     whole = Window.partitionBy("doc_id", "run")
-    framed = F.min_by("head", "first_word").over(whole) & F.max_by("tail", "first_word").over(whole)
+    framed = F.min_by("head", "start").over(whole) & F.max_by("tail", "start").over(whole)
     least = F.when(framed, LEAST_PASSAGE).otherwise(LEAST_INNER)
     passages = written(runs.withColumn("enough", F.sum("n_words").over(whole) >= least).where("enough"), "passages")
     first = written(passages.groupBy("cluster").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.max("doc_id").alias("last")), "first")
@@ -224,10 +249,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .where(F.col("first.doc_id") != F.col("last"))
         .select(
             "doc_id",
-            "unit",
-            "n_words",
-            "start",
-            "stop",
+            F.col("unit").cast("int").alias("unit"),
+            F.col("n_words").cast("int").alias("n_words"),
+            F.col("start").cast("int").alias("start"),
+            F.col("stop").cast("int").alias("stop"),
             F.lower(F.hex("cluster")).alias("cluster"),
             (F.struct("doc_id", "unit") != F.col("first")).alias("removed"),
         )

@@ -5,8 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -48,3 +52,35 @@ def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that reach Python workers, by rows and by bytes: texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+FILTER_BITS = 23
+
+
+def only_ids(rows: DataFrame, wanted: DataFrame, id_col: str = "doc_id", bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` whose id may be one of ``wanted``'s; a join has to follow.
+
+    A bit map of ``2 ** bits`` hashed ids, of 1 MB whatever the size of ``wanted``, keeps
+    most other rows, and their texts, out of the join's shuffle.
+    """
+    size = 1 << bits
+    bit = F.pmod(F.xxhash64(id_col), F.lit(size))
+    packed = (
+        wanted.select(F.floor(bit / 32).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{id_col}`), 32) as int))").alias("mask"))
+        .groupBy("at")
+        .agg(F.bit_or("mask").alias("mask"))
+        .collect()
+    )
+    bitmap = np.zeros(size // 32, np.int64)
+    for at, mask in packed:
+        bitmap[at] = mask
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap.astype(np.uint32))
+    asked = rows.withColumn("__bit", bit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(batch.num_columns - 1).to_numpy()
+            hit = (shared.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(hit.astype(bool)))
+
+    return asked.mapInArrow(run, rows.schema)
