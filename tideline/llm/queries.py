@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.session import table
-from tideline.llm import chat, decontam, html, langid, neardup, paragraphs, quality, sharding, toxicity
+from tideline.llm import chat, decontam, html, langid, neardup, paragraphs, quality, segmentation, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -157,6 +157,26 @@ FROM items i JOIN shingles d ON d.s = i.s AND d.kind = 0 GROUP BY d.id, i.id, i.
 """
 
 
+def sampled_rows(sampled: DataFrame) -> DataFrame:
+    """One row for each sample of a document, with digests of its pieces."""
+    each = sampled.select("doc_id", F.posexplode("samples").alias("sample", "s"))
+    return each.select(
+        "doc_id",
+        "sample",
+        F.size("s.ids").cast("long").alias("n_pieces"),
+        F.xxhash64("s.ids").alias("ids_hash"),
+        F.col("s.log_prob").alias("log_prob"),
+        F.col("s.log_inclusion").alias("log_inclusion"),
+        F.col("s.round_trip").alias("round_trip"),
+    )
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document, decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sampled_rows(segmentation.sample_segmentations(docs))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html.extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
@@ -180,6 +200,7 @@ def queries() -> dict[str, Query]:
         "op5_sharding": op5_sharding,
         "op6_language_id": op6_language_id,
         "op7_decontamination": op7_decontamination,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_html_extraction": op9_html_extraction,
         "op10_toxicity": op10_toxicity,
     }

@@ -45,12 +45,14 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SHARPNESS = 0.6
 SLICE_BYTES = 1 << 20
-CACHE_UNITS = 150_000
+CACHE_UNITS = 200_000
 SPACE = "▁"
 #: Stands for a U+2581 of the text while it is segmented: no valid text has a lone surrogate.
 MARK = "\udc81"
 _SALT = splitmix(131, 8)
 _PAIR_BITS = 20
+_TABLE_BITS = 21
+_CHAR_BASE = splitmix(151, 1)[0] | np.uint64(1)
 
 
 class Vocabulary:
@@ -64,21 +66,45 @@ class Vocabulary:
         self.pieces = [processor.id_to_piece(i) for i in range(self.size)]
         self.byte_ids = {}
         self.ids: dict[str, int] = {}
-        self.weight: dict[str, float] = {}
+        self.log_weight = np.zeros(self.size)
         for i, piece in enumerate(self.pieces):
             if processor.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
             elif not (processor.is_control(i) or processor.is_unknown(i) or SPACE in piece[1:]):
                 self.ids[piece] = i
-                self.weight[piece] = (max(0.0, -processor.get_score(i)) + 2.0) ** -SHARPNESS
+                self.log_weight[i] = -SHARPNESS * math.log(max(0.0, -processor.get_score(i)) + 2.0)
         self.longest = max(map(len, self.ids))
-        self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        beginnings = sorted({p[:k] for p in self.ids for k in range(1, len(p) + 1)})
+        hashes = np.zeros(len(beginnings), np.uint64)
+        for place, text in enumerate(beginnings):
+            h = 0
+            for char in text:
+                h = (h * int(_CHAR_BASE) + ord(char) + 1) & (2**64 - 1)
+            hashes[place] = h
+        order = np.argsort(hashes)
+        self._hashes = hashes[order]
+        self._of_hash = np.array([self.ids.get(beginnings[i], -1) for i in order], np.int64)
+        self._maybe = np.zeros(1 << _TABLE_BITS, bool)
+        self._maybe[self._slot(self._hashes)] = True
         self.joined = np.zeros(1 << _PAIR_BITS, bool)
         pairs = sorted({p[i : i + 2] for p in self.ids for i in range(len(p) - 1)})
         codes = np.frombuffer("".join(pairs).encode("utf-32-le"), np.uint32).reshape(-1, 2)
         self.joined[self._pair(codes[:, 0], codes[:, 1])] = True
         self.surface = [bytes([int(p[3:5], 16)]) if i in set(self.byte_ids.values()) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
 
+    @staticmethod
+    def _slot(hashes: np.ndarray) -> np.ndarray:
+        return ((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)
+
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are of beginnings of pieces, and for those the whole piece's id or -1."""
+        live = self._maybe[self._slot(hashes)]
+        some = np.flatnonzero(live)
+        place = np.minimum(np.searchsorted(self._hashes, hashes[some]), len(self._hashes) - 1)
+        same = self._hashes[place] == hashes[some]
+        live[some] = same
+        return live, self._of_hash[place[same]]
+
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return ((a.astype(np.uint64) * np.uint64(0x9E3779B1) + b.astype(np.uint64)) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(64 - _PAIR_BITS)
@@ -95,8 +121,33 @@ class Vocabulary:
         return b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype: type) -> None:
+        self._room = np.empty(1024, dtype)
+        self.size = 0
+
+    def extend(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self._room):
+            room = np.empty(2 * need, self._room.dtype)
+            room[: self.size] = self._room[: self.size]
+            self._room = room
+        self._room[self.size : need] = values
+        self.size = need
+
+    @property
+    def view(self) -> np.ndarray:
+        return self._room[: self.size]
+
+
 class Lattices:
-    """Lattices of units, as arrays of edges by node; nodes and units are numbered as they come."""
+    """Lattices of units, as arrays of edges by node; nodes and units are numbered as they come.
+
+    Edge ``e`` of node ``v`` is among ``start[v]`` to ``start[v + 1]``; ``above[e]`` is ``v``
+    plus the share of the edges up to it, so that one search finds an edge by a random number.
+    """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
@@ -104,92 +155,98 @@ class Lattices:
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
-        self._first: list[int] = []
-        self._start: list[int] = [0]
-        self._above: list[float] = []
-        self._log: list[float] = []
-        self._next: list[int] = []
-        self._piece: list[int] = []
-        self._frozen = -1
-
-    def _spelled(self, unit: str) -> None:
-        raw = SPACE.encode() if unit == MARK else unit.encode()
-        for k, value in enumerate(raw):
-            node = len(self._start) - 1
-            self._edge(node, 1.0, 1.0, self.vocabulary.byte_ids[value], node + 1 if k + 1 < len(raw) else -1)
-            self._start.append(len(self._piece))
-
-    def _edge(self, node: int, share: float, above: float, piece: int, to: int) -> None:
-        self._log.append(math.log(share) if share > 0 else -1e300)
-        self._above.append(node + above)
-        self._piece.append(piece)
-        self._next.append(to)
-
-    def add(self, unit: str) -> int:
-        """The unit's number."""
-        self.known[unit] = number = len(self._first)
-        base = len(self._start) - 1
-        self._first.append(base)
-        words, weight, starts = self.vocabulary.ids, self.vocabulary.weight, self.vocabulary.starts
-        n = len(unit)
-        if n == 1 and unit not in words:
-            self._spelled(unit)
-            return number
-        mass = [0.0] * n + [1.0]
-        scale = [0] * n + [0]  # powers of two taken out of the masses, so that long units don't underflow
-        edges: list[list[tuple[int, float, int]]] = [[]] * n
-        for i in range(n - 1, -1, -1):
-            found, shift = [], scale[i + 1]
-            for j in range(i + 1, min(n, i + self.vocabulary.longest) + 1):
-                piece = unit[i:j]
-                if piece not in starts:
-                    break
-                w = weight.get(piece)
-                if w is not None:
-                    found.append((j, math.ldexp(w * mass[j], scale[j] - shift), words[piece]))
-            if unit[i] not in words:  # spelled in bytes, with the weight of a rare piece
-                found.append((i + 1, 1e-9 * mass[i + 1], -1))
-            total = sum(m for _, m, _ in found)
-            fraction, exponent = math.frexp(total)
-            mass[i], scale[i] = fraction, shift + exponent
-            edges[i] = [(j, m / total, p) for j, m, p in found]
-        # nodes: one for each character, then those inside spelled characters
-        extra: list[tuple[int, bytes, int]] = []
-        spare = base + n
-        for i in range(n):
-            above = 0.0
-            for place, (j, share, piece) in enumerate(edges[i]):
-                above = 1.0 if place + 1 == len(edges[i]) else above + share
-                to = base + j if j < n else -1
-                if piece < 0:
-                    raw = SPACE.encode() if unit[i] == MARK else unit[i].encode()
-                    piece = self.vocabulary.byte_ids[raw[0]]
-                    if len(raw) > 1:
-                        extra.append((spare, raw[1:], to))
-                        to, spare = spare, spare + len(raw) - 1
-                self._edge(base + i, share, above, piece, to)
-            self._start.append(len(self._piece))
-        for node, raw, to in extra:
-            for k, value in enumerate(raw):
-                self._edge(node + k, 1.0, 1.0, self.vocabulary.byte_ids[value], node + k + 1 if k + 1 < len(raw) else to)
-                self._start.append(len(self._piece))
-        return number
+        self._first, self._start = Grown(np.int64), Grown(np.int64)
+        self._above, self._log = Grown(np.float64), Grown(np.float64)
+        self._next, self._piece = Grown(np.int64), Grown(np.int32)
+        self._start.extend(np.zeros(1, np.int64))
+
+    def add(self, units: list[str]) -> None:
+        """Work out the lattices of new units, all together."""
+        base = self._start.size - 1
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(codes)
+        ends = np.cumsum(sizes)
+        self.known.update(zip(units, range(self._first.size, self._first.size + len(units)), strict=True))
+        end = np.repeat(ends, sizes)
+        # edges by length: the positions at which some piece may still go on shrink from step to step
+        sources, lengths, pieces = [], [], []
+        at, hashes, single = np.arange(n), np.zeros(n, np.uint64), np.zeros(n, bool)
+        for length in range(1, self.vocabulary.longest + 1):
+            inside = at + length <= end[at]
+            at, hashes = at[inside], hashes[inside]
+            if not len(at):
+                break
+            hashes = hashes * _CHAR_BASE + codes[at + length - 1] + np.uint64(1)
+            live, piece = self.vocabulary.look_up(hashes)
+            at, hashes = at[live], hashes[live]
+            real = piece >= 0
+            sources.append(at[real])
+            lengths.append(np.full(int(real.sum()), length))
+            pieces.append(piece[real])
+            if length == 1:
+                single[at[real]] = True
+        odd = np.flatnonzero(~single)  # spelled in bytes, with the weight of a rare piece
+        source = np.concatenate([*sources, odd])
+        target = np.concatenate([*(x + k for x, k in zip(sources, lengths, strict=True)), odd + 1])
+        piece = np.concatenate([*pieces, np.full(len(odd), -1)]).astype(np.int64)
+        order = np.lexsort((target, source))
+        source, target, piece = source[order], target[order], piece[order]
+        weight = np.where(piece >= 0, self.vocabulary.log_weight[piece], -20.0)
+        start = np.searchsorted(source, np.arange(n + 1))
+        # masses from the right, one position of all units at a time
+        mass = np.zeros(n + 1)
+        tail = end - np.arange(n)
+        by_tail = np.argsort(tail, kind="stable")
+        bounds = np.searchsorted(tail[by_tail], np.arange(1, int(sizes.max()) + 2))
+        inner = target < end[source]
+        share = np.empty(len(source))
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            nodes = by_tail[low:high]
+            counts = start[nodes + 1] - start[nodes]
+            first = np.cumsum(counts) - counts
+            edges = np.arange(int(counts.sum())) + np.repeat(start[nodes] - first, counts)
+            total = weight[edges] + np.where(inner[edges], mass[target[edges]], 0.0)
+            most = np.maximum.reduceat(total, first)
+            mass[nodes] = most + np.log(np.add.reduceat(np.exp(total - np.repeat(most, counts)), first))
+            share[edges] = total - np.repeat(mass[nodes], counts)
+        running = np.cumsum(np.exp(share))
+        running -= np.repeat(np.concatenate([[0.0], running])[start[:-1]], np.diff(start))
+        running = np.minimum(running, 1.0)
+        running[start[1:] - 1] = 1.0
+        following = np.where(inner, target + base, -1)
+        spelled, extra_piece, extra_next = n, [], []
+        for e in np.flatnonzero(piece < 0).tolist():
+            char = chr(int(codes[source[e]]))
+            ids = [self.vocabulary.byte_ids[x] for x in (SPACE if char == MARK else char).encode()]
+            piece[e] = ids[0]
+            if len(ids) > 1:
+                to, following[e] = int(following[e]), base + spelled
+                for k, x in enumerate(ids[1:]):
+                    spelled += 1
+                    extra_piece.append(x)
+                    extra_next.append(base + spelled if k + 2 < len(ids) else to)
+        more = len(extra_piece)
+        self._first.extend(base + ends - sizes)
+        self._start.extend(np.concatenate([start[1:], len(source) + 1 + np.arange(more)]) + self._piece.size)
+        self._above.extend(np.concatenate([source + running, n + np.arange(more) + 1.0]) + base)
+        self._log.extend(np.concatenate([share, np.zeros(more)]))
+        self._next.extend(np.concatenate([following, np.array(extra_next, np.int64)]))
+        self._piece.extend(np.concatenate([piece, np.array(extra_piece, np.int64)]))
 
     def numbers(self, units: list[str]) -> np.ndarray:
+        """The units' numbers; the cache is emptied between calls, when it has grown too large."""
         if len(self.known) > CACHE_UNITS:
             self.reset()
-        known = self.known
-        for unit in units:
-            if unit not in known:
-                self.add(unit)
-        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+        if fresh := list({u: 0 for u in units if u not in self.known}):
+            self.add(fresh)
+        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
 
     def freeze(self) -> None:
-        if self._frozen != len(self._first):
-            self.first, self.start = np.array(self._first), np.array(self._start)
-            self.above, self.log = np.array(self._above), np.array(self._log)
-            self.next, self.piece = np.array(self._next), np.array(self._piece, np.int32)
-            self._frozen = len(self._first)
+        """Make the arrays of the lattices so far readable."""
+        self.first, self.start = self._first.view, self._start.view
+        self.above, self.log = self._above.view, self._log.view
+        self.next, self.piece = self._next.view, self._piece.view
 
     def other(self, unit: int, excluded: list[tuple[int, ...]], draw) -> tuple[tuple[int, ...], float]:  # noqa: ANN001
         """A path of edges of the unit that is none of ``excluded``, and its log-probability."""
