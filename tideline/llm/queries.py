@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tideline.session import table
 from tideline.llm import chat, decontam, html, langid, neardup, paragraphs, quality, segmentation, sharding, toxicity
 
@@ -157,24 +158,10 @@ FROM items i JOIN shingles d ON d.s = i.s AND d.kind = 0 GROUP BY d.id, i.id, i.
 """
 
 
-def sampled_rows(sampled: DataFrame) -> DataFrame:
-    """One row for each sample of a document, with digests of its pieces."""
-    each = sampled.select("doc_id", F.posexplode("samples").alias("sample", "s"))
-    return each.select(
-        "doc_id",
-        "sample",
-        F.size("s.ids").cast("long").alias("n_pieces"),
-        F.xxhash64("s.ids").alias("ids_hash"),
-        F.col("s.log_prob").alias("log_prob"),
-        F.col("s.log_inclusion").alias("log_inclusion"),
-        F.col("s.round_trip").alias("round_trip"),
-    )
-
-
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of every document, decoded again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sampled_rows(segmentation.sample_segmentations(docs))
+    return segmentation.sampled_rows(segmentation.sample_segmentations(docs))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,6 +178,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -203,6 +195,7 @@ def queries() -> dict[str, Query]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_html_extraction": op9_html_extraction,
         "op10_toxicity": op10_toxicity,
+        "pipeline": pipeline,
     }
 
 

@@ -504,3 +504,17 @@ def _arrow(vocabulary: Vocabulary, texts: list[str | None], found: list[list]) -
     numbers = [pa.array([x[i] for x in flat], pa.float64()) for i in (1, 2, 3)]
     inner = pa.StructArray.from_arrays([ids, *numbers, trips], names=["ids", "log_prob", "perturbed", "log_inclusion", "round_trip"])
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32), pa.int32()), inner)
+
+
+def sampled_rows(sampled: DataFrame) -> DataFrame:
+    """One row for each sample of a document, with digests of its pieces."""
+    each = sampled.select("doc_id", F.posexplode("samples").alias("sample", "s"))
+    return each.select(
+        "doc_id",
+        "sample",
+        F.size("s.ids").cast("long").alias("n_pieces"),
+        F.xxhash64("s.ids").alias("ids_hash"),
+        F.col("s.log_prob").alias("log_prob"),
+        F.col("s.log_inclusion").alias("log_inclusion"),
+        F.col("s.round_trip").alias("round_trip"),
+    )
