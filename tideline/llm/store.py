@@ -84,3 +84,15 @@ def only_ids(rows: DataFrame, wanted: DataFrame, id_col: str = "doc_id", bits: i
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(hit.astype(bool)))
 
     return asked.mapInArrow(run, rows.schema)
+
+
+def hashed_sample(rows: DataFrame, bound: int, key: str = "doc_id", extra: str | None = None) -> DataFrame:
+    """At most ``bound`` of ``rows``, those with the smallest hashes of ``key``.
+
+    The rows are counted first and most are left out by their hash, so that partitions
+    hand on about ``bound`` rows together, and not each.
+    """
+    count = rows.count()
+    turn = F.shiftrightunsigned(F.xxhash64(key), 1)  # 63 bits
+    limit = int(min(1.0, 1.3 * bound / max(1, count)) * (2**53 - 1)) << 10
+    return rows.where(turn <= limit).orderBy(turn, key, *([extra] if extra else [])).limit(bound)

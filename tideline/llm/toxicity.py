@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.session import ship_package
-from tideline.llm.store import small_batches
+from tideline.llm.store import hashed_sample, small_batches
 
 SAMPLE_DOCS = 8000
 SAMPLE_CHARS = 20_000
@@ -122,7 +122,7 @@ class Detector:
     def facts(self, found: list[tuple[int, int, float, float]]) -> tuple[float, float]:
         """The best segment's surprise, and the significant segments' number, as logarithms."""
         best = min((e for *_, e in found), default=math.inf)
-        surprise = 0.0 if best == math.inf else min(30.0, math.log1p(1 / best))
+        surprise = 30.0 if best < 1e-13 else math.log1p(1 / best)
         return surprise / 10, math.log1p(sum(e < SIGNIFICANT for *_, e in found))
 
     def judge(self, text: str | None) -> tuple[float, list[tuple[int, int, float, float]]]:
@@ -207,7 +207,7 @@ def learnable(id_col: str = "doc_id") -> Column:
 def sample(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic") -> list[tuple[str, int]]:
     """At most ``SAMPLE_DOCS`` labelled texts, by hash of their id: ids first, then their texts."""
     marked = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).where(usable & F.col("label").isin(0, 1))
-    ids = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(SAMPLE_DOCS)
+    ids = hashed_sample(marked, SAMPLE_DOCS, extra="label")
     # at most SAMPLE_DOCS rows of two numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length("text") <= SAMPLE_CHARS)
     return sorted((r[0], r[1]) for r in rows.select("text", "label").limit(2 * SAMPLE_DOCS).collect())
