@@ -53,9 +53,3 @@ def prune_superseded(queue: DataFrame) -> DataFrame:
     kept = queue.withColumn("best", best).withColumn("last", last)
     return kept.where((F.col("rank") == 2) | ((F.struct("line_id", "rank") == F.col("best")) & (F.col("job_id") == F.col("last")))).drop("best", "last")
 
-
-def admit(offers: DataFrame, capacity: int) -> DataFrame:
-    """``offers(session_id, at, done_at)`` that find fewer than ``capacity`` earlier ones under way."""
-    window = Window.partitionBy("session_id").orderBy("at").rowsBetween(-capacity, -1)
-    busy = F.sum(F.when(F.col("done_at") > F.col("at"), 1).otherwise(0)).over(window)
-    return offers.withColumn("admitted", F.coalesce(busy, F.lit(0)) < capacity)

@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from tideline.plans import conversations  # noqa: F401  registers its queries
+    from tideline.plans import conversations, series  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
