@@ -14,16 +14,13 @@ each of ``BUCKETS`` hashed features and language.
 
 Defined results: a null text or one without any letter is ``und`` with score 0; without
 labelled rows every text is ``und``; equal rows get equal results; other columns pass through
-``with_language`` untouched; words are what is between white space, lower-cased.
+``with_language`` untouched; words are runs of letters, lower-cased.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.session import ship_package
-from tideline.llm.store import small_batches
+from tideline.llm.shingles import _powers, mix, splitmix
+from tideline.llm.store import hashed_sample, small_batches
 
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 12_000
@@ -42,29 +40,78 @@ BUCKETS = 1 << 16
 LEXICON = 2_000
 SPAN = 40
 EPOCHS = 25
-CACHE_WORDS = 400_000
-SLICE_BYTES = 4 << 20
+CACHE_WORDS = 200_000
+SLICE_BYTES = 2 << 20
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-
-
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed features of a word; a word without letters has none."""
-    if not _LETTER.search(word):
-        return []
-    word = word.strip(".,;:!?\"'()[]{}|#*$%&<>-")[:64]
-    raw = f"^{word}$".encode()
-    found = [crc32(raw[i : i + n], n) % BUCKETS for n in (2, 3, 4) for i in range(len(raw) - n + 1)]
-    size = len(raw)
-    for n in (3, 4, 5):
-        if size > n:
-            found.append(crc32(raw[:n], 11) % BUCKETS)
-            found.append(crc32(raw[-n:], 13) % BUCKETS)
-    if word in lexicon:
-        found.append(crc32(raw, 17) % BUCKETS)
+_PLACES = splitmix(171, 8) | np.uint64(1)
+_LETTERS = np.array([chr(c).isalpha() for c in range(1 << 16)])
+
+
+def letters(codes: np.ndarray) -> np.ndarray:
+    """Which code points are letters."""
+    found = _LETTERS[np.minimum(codes, 65535)]
+    high = np.flatnonzero(codes > 65535)
+    if len(high):
+        single, of = np.unique(codes[high], return_inverse=True)
+        found[high] = np.array([chr(c).isalpha() for c in single.tolist()])[of]
     return found
 
 
+class Words:
+    """The words (runs of letters, lower-cased) of several texts, as spans of one array of code points."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        lowered = [t.lower() if t else "" for t in texts]
+        self.codes = np.frombuffer(("\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = letters(self.codes)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+        self.starts, self.ends = edges[0::2], edges[1::2]
+        stops = np.cumsum([len(t) + 1 for t in lowered])
+        self.counts = np.diff(np.searchsorted(self.starts, np.concatenate([[0], stops])))
+        if len(self.starts):
+            sizes = self.ends - self.starts
+            kept = self.codes[inside].astype(np.uint64) + np.uint64(1)
+            first = np.cumsum(sizes) - sizes
+            place = np.arange(len(kept)) - np.repeat(first, sizes)
+            self.hashes = mix(np.add.reduceat(kept * _powers(int(sizes.max()) + 1)[place], first))
+        else:
+            self.hashes = np.zeros(0, np.uint64)
+
+    def features(self, which: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashed features of the words ``which`` and the places in ``which`` that they are of, in order.
+
+        Character n-grams of the word between marks, longer affixes, and the word itself
+        if the lexicon (sorted hashes) has it. Of a longer word its first 64 letters count.
+        """
+        starts = self.starts[which]
+        sizes = np.minimum(self.ends[which] - starts, 64)
+        padded = sizes + 2
+        first = np.cumsum(padded) - padded
+        owner = np.repeat(np.arange(len(which)), padded)
+        place = np.arange(int(padded.sum())) - first[owner]
+        codes = self.codes[np.clip(starts[owner] + place - 1, 0, len(self.codes) - 1)].astype(np.uint64)
+        codes[first] = 2
+        codes[first + padded - 1] = 3
+        left = padded[owner] - place
+        flats, owners = [], []
+        for n in (2, 3, 4, 5, 6):
+            at = np.flatnonzero((left >= n) if n < 5 else (left >= n) & ((place == 0) | (left == n)))
+            h = codes[at] * _PLACES[0]
+            for k in range(1, n):
+                h = h + codes[at + k] * _PLACES[k]
+            flats.append((mix(h + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64))
+            owners.append(owner[at])
+        if len(lexicon):
+            hashes = self.hashes[which]
+            near = np.minimum(np.searchsorted(lexicon, hashes), len(lexicon) - 1)
+            at = np.flatnonzero(lexicon[near] == hashes)
+            flats.append((mix(hashes[at] + np.uint64(1)) % np.uint64(BUCKETS)).astype(np.int64))
+            owners.append(at)
+        flat, owner = np.concatenate(flats), np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return flat[order], owner[order]
+
+
 @dataclass
 class Field:
     """A fitted model: languages, weights of features, transitions, lexicon."""
@@ -72,45 +119,45 @@ class Field:
     languages: list[str]
     weights: np.ndarray
     transitions: np.ndarray
-    lexicon: dict[str, int]
-    known: dict[str, int] = field(default_factory=dict)
+    lexicon: np.ndarray
+    known: dict[int, int] = field(default_factory=dict)
     scores: np.ndarray | None = None
 
-    def emissions(self, words: list[str]) -> np.ndarray:
+    def emissions(self, words: Words) -> np.ndarray:
         """Rows of ``self.scores`` for the words; new words are scored, in one go.
 
         The cache of scored words is emptied between calls, when it has grown too large.
         """
         if len(self.known) > CACHE_WORDS:
             self.known, self.scores = {}, None
-        known = self.known
-        fresh = [w for w in dict.fromkeys(words) if w not in known]
-        if fresh or self.scores is None:
-            lists = [features(w, self.lexicon) for w in fresh]
-            sizes = np.array([len(x) for x in lists], np.int64)
-            rows = np.zeros((len(fresh), len(self.languages)), np.float32)
-            if sizes.sum():
-                flat = np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum()))
-                full = np.flatnonzero(sizes)
-                starts = (np.cumsum(sizes) - sizes)[full]
-                rows[full] = np.add.reduceat(self.weights[flat], starts, axis=0) / np.sqrt(sizes[full])[:, None]
-            start = len(known)
-            known.update(zip(fresh, range(start, start + len(fresh)), strict=True))
+        single, first, of = np.unique(words.hashes, return_index=True, return_inverse=True)
+        keys = single.tolist()
+        found = list(map(self.known.get, keys))
+        if fresh := [i for i, at in enumerate(found) if at is None]:
+            flat, owner = words.features(first[fresh], self.lexicon)
+            sizes = np.bincount(owner, minlength=len(fresh))
+            starts = np.cumsum(sizes) - sizes
+            rows = (np.add.reduceat(self.weights[flat], starts, axis=0) / np.sqrt(sizes)[:, None]).astype(np.float32)
+            self.known.update(zip((keys[i] for i in fresh), range(len(self.known), len(self.known) + len(fresh)), strict=True))
             self.scores = rows if self.scores is None else np.concatenate([self.scores, rows])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            found = list(map(self.known.get, keys))
+        return np.array(found, np.int64)[of]
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text."""
-        split = [t.lower().split() if t and _LETTER.search(t) else [] for t in texts]
         found: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-        order = sorted((i for i, w in enumerate(split) if w), key=lambda i: -len(split[i]))
-        if not order or not self.languages:
+        words = Words(texts)
+        if not len(words.hashes) or not self.languages:
             return found
-        sizes = np.array([len(split[i]) for i in order])
-        index = self.emissions([w for i in order for w in split[i]])
-        sums = posterior_sums(self.scores[index], sizes, self.transitions)
+        index = self.emissions(words)
+        order = np.argsort(-words.counts, kind="stable")
+        order = order[words.counts[order] > 0]
+        sizes = words.counts[order]
+        low = (np.cumsum(words.counts) - words.counts)[order]
+        by_size = np.arange(int(sizes.sum())) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
+        sums = posterior_sums(self.scores[index[by_size]], sizes, self.transitions)
         best = sums.argmax(1)
-        for row, i in enumerate(order):
+        for row, i in enumerate(order.tolist()):
             found[i] = (self.languages[best[row]], float(min(1.0, sums[row, best[row]] / sizes[row])))
         return found
 
@@ -159,37 +206,33 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> Field:
     rng = np.random.default_rng(seed)
     languages = sorted({y for _, y in rows})
     if not languages:
-        return Field([], np.zeros((1, 0), np.float32), np.zeros((0, 0), np.float32), {})
-    words = {y: [] for y in languages}
-    for text, y in rows:
-        words[y].extend(text.lower().split())
+        return Field([], np.zeros((1, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.uint64))
+    words = Words([text for text, _ in rows])
+    of_row = np.repeat(np.array([languages.index(y) for _, y in rows]), words.counts)
+    by_language = [np.flatnonzero(of_row == j) for j in range(len(languages))]
+    frequent = []
+    for own in by_language:
+        hashes, counts = np.unique(words.hashes[own], return_counts=True)
+        frequent.append(hashes[np.lexsort((hashes, -counts))][:LEXICON][np.sort(-counts)[:LEXICON] < -2])
+    lexicon = np.unique(np.concatenate(frequent))
     quota = SAMPLE_WORDS // len(languages)
-    lexicon: dict[str, int] = {}
-    for y in languages:
-        for w, n in sorted(Counter(words[y]).items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
-            if n > 2:
-                lexicon[w] = 1
     sequence, label = [], []
-    spent = dict.fromkeys(languages, 0)
-    while True:
-        able = [y for y in languages if spent[y] < min(quota, len(words[y]))]
-        if not able:
-            break
-        y = able[int(rng.integers(len(able)))]
-        run = words[y][spent[y] : spent[y] + 3 + int(rng.geometric(1 / 25))]
-        spent[y] += len(run)
-        sequence.extend(run)
-        label.extend([languages.index(y)] * len(run))
-    n_seq = max(1, len(sequence) // SPAN)
-    sequence, label = sequence[: n_seq * SPAN], np.array(label[: n_seq * SPAN])
-    sizes = np.full(n_seq, SPAN) if len(sequence) == n_seq * SPAN else np.array([len(sequence)])
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(sequence))}
-    types = np.array([vocabulary[w] for w in sequence])
-    lists = [features(w, lexicon) for w in vocabulary]
-    lengths = np.array([len(x) for x in lists])
-    flat = np.fromiter((i for x in lists for i in x), np.int64, int(lengths.sum()))
-    owner = np.repeat(np.arange(len(lists)), lengths)
-    scale = (1 / np.sqrt(np.maximum(lengths, 1)))[owner]
+    spent = [0] * len(languages)
+    while able := [j for j, own in enumerate(by_language) if spent[j] < min(quota, len(own))]:
+        j = able[int(rng.integers(len(able)))]
+        run = by_language[j][spent[j] : spent[j] + 3 + int(rng.geometric(1 / 25))]
+        spent[j] += len(run)
+        sequence.append(run)
+        label.extend([j] * len(run))
+    if not label:
+        return Field([], np.zeros((1, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.uint64))
+    n_seq = len(label) // SPAN
+    sizes = np.full(n_seq, SPAN) if n_seq else np.array([len(label)])
+    sequence, label = np.concatenate(sequence)[: int(sizes.sum())], np.array(label[: int(sizes.sum())])
+    _, first, types = np.unique(words.hashes[sequence], return_index=True, return_inverse=True)
+    flat, owner = words.features(sequence[first], lexicon)
+    scale = (1 / np.sqrt(np.bincount(owner)))[owner]
+    lists = first
     k = len(languages)
     weights, transitions = np.zeros((BUCKETS, k)), np.zeros((k, k))
     squares, trans_squares = np.full((BUCKETS, k), 1e-6), np.full((k, k), 1e-6)
@@ -218,11 +261,11 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> Field:
 
 def sample(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> list[tuple[str, str]]:
     """At most ``SAMPLE_DOCS`` labelled rows, by hash of their id and text."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where(
-        usable & F.col("label").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)
+    labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where(
+        usable & F.col("label").isNotNull()
     )
-    chosen = rows.select("text", "label", F.xxhash64("doc_id").alias("turn"), F.crc32(F.col("text").cast("binary")).alias("sum"))
-    return [(r[0], r[1]) for r in chosen.orderBy("turn", "sum").limit(SAMPLE_DOCS).select("text", "label").collect()]
+    chosen = hashed_sample(labelled, SAMPLE_DOCS, extra="label").where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    return sorted((r[0], r[1]) for r in chosen.select("text", "label").collect())
 
 
 def learnable(id_col: str = "doc_id") -> Column:
