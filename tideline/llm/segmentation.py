@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.session import ship_package
-from tideline.llm.shingles import mix, splitmix
+from tideline.llm.shingles import _powers, mix, splitmix
 from tideline.llm.store import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -109,12 +109,23 @@ class Vocabulary:
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return ((a.astype(np.uint64) * np.uint64(0x9E3779B1) + b.astype(np.uint64)) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(64 - _PAIR_BITS)
 
-    def units(self, text: str) -> list[str]:
-        """The text's independent units, in order; together they are the text with its dummy space."""
-        marked = SPACE + text.replace(SPACE, MARK).replace(" ", SPACE)
-        codes = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)
-        cuts = (np.flatnonzero(~self.joined[self._pair(codes[:-1], codes[1:])]) + 1).tolist()
-        return [marked[a:b] for a, b in zip([0, *cuts], [*cuts, len(marked)], strict=True)]
+    def units(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' independent units, in order: one string, where they start, their hashes, how many of each text.
+
+        The units of a text together are the text with its dummy space.
+        """
+        marked = [SPACE + t.replace(SPACE, MARK).replace(" ", SPACE) for t in texts]
+        joined = "".join(marked)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        opens = np.ones(len(codes), bool)
+        opens[1:] = ~self.joined[self._pair(codes[:-1], codes[1:])]
+        ends = np.cumsum([len(t) for t in marked])
+        opens[ends[:-1]] = True
+        starts = np.flatnonzero(opens)
+        sizes = np.diff(np.append(starts, len(codes)))
+        place = np.arange(len(codes)) - np.repeat(starts, sizes)
+        hashes = mix(np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * _powers(int(sizes.max()) + 1)[place], starts))
+        return joined, np.append(starts, len(codes)), hashes, np.diff(np.searchsorted(starts, np.concatenate([[0], ends])))
 
     def decode(self, ids: list[int]) -> str:
         """The text that the pieces spell, without the dummy space."""
@@ -154,20 +165,20 @@ class Lattices:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[int, int] = {}  # hash of a unit -> number
         self._first, self._start = Grown(np.int64), Grown(np.int64)
         self._above, self._log = Grown(np.float64), Grown(np.float64)
         self._next, self._piece = Grown(np.int64), Grown(np.int32)
         self._start.extend(np.zeros(1, np.int64))
 
-    def add(self, units: list[str]) -> None:
+    def add(self, units: list[str], hashes: list[int]) -> None:
         """Work out the lattices of new units, all together."""
         base = self._start.size - 1
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         n = len(codes)
         ends = np.cumsum(sizes)
-        self.known.update(zip(units, range(self._first.size, self._first.size + len(units)), strict=True))
+        self.known.update(zip(hashes, range(self._first.size, self._first.size + len(units)), strict=True))
         end = np.repeat(ends, sizes)
         # edges by length: the positions at which some piece may still go on shrink from step to step
         sources, lengths, pieces = [], [], []
@@ -234,13 +245,18 @@ class Lattices:
         self._next.extend(np.concatenate([following, np.array(extra_next, np.int64)]))
         self._piece.extend(np.concatenate([piece, np.array(extra_piece, np.int64)]))
 
-    def numbers(self, units: list[str]) -> np.ndarray:
+    def numbers(self, joined: str, starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The units' numbers; the cache is emptied between calls, when it has grown too large."""
         if len(self.known) > CACHE_UNITS:
             self.reset()
-        if fresh := list({u: 0 for u in units if u not in self.known}):
-            self.add(fresh)
-        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        single, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = single.tolist()
+        found = list(map(self.known.get, keys))
+        if fresh := [i for i, at in enumerate(found) if at is None]:
+            low, high = starts[first[fresh]].tolist(), starts[first[fresh] + 1].tolist()
+            self.add([joined[a:b] for a, b in zip(low, high, strict=True)], [keys[i] for i in fresh])
+            found = list(map(self.known.get, keys))
+        return np.array(found, np.int64)[of]
 
     def freeze(self) -> None:
         """Make the arrays of the lattices so far readable."""
@@ -298,7 +314,7 @@ class Lattices:
 def uniform(keys: np.ndarray, sample: int, unit: np.ndarray, step: int) -> np.ndarray:
     """Numbers in (0, 1) that follow from a row's key and the place of use."""
     h = keys ^ (unit.astype(np.uint64) * _SALT[0] + np.uint64((sample * int(_SALT[1]) + step * int(_SALT[2])) & (2**64 - 1)))
-    return ((mix(h) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+    return (mix(h) >> np.uint64(12)) * 2.0**-52 + 2.0**-53
 
 
 class Paths:
@@ -315,9 +331,12 @@ def draw_paths(lattices: Lattices, numbers: np.ndarray, keys: np.ndarray, unit:
     node, active, steps = lattices.first[numbers], np.arange(len(numbers)), []
     step = 0
     while len(active):
-        edge = np.searchsorted(lattices.above, node + uniform(keys[active], sample, unit[active], step), side="right")
-        edge = np.minimum(edge, lattices.start[node + 1] - 1)
-        log[active] += lattices.log[edge]
+        edge = lattices.start[node]
+        open_ = np.flatnonzero(lattices.start[node + 1] - edge > 1)  # the others have one way on
+        here, at = node[open_], active[open_]
+        found = np.searchsorted(lattices.above, here + uniform(keys[at], sample, unit[at], step), side="right")
+        edge[open_] = found = np.minimum(found, lattices.start[here + 1] - 1)
+        log[at] += lattices.log[found]
         steps.append((active, edge))
         node = lattices.next[edge]
         on = node >= 0
@@ -328,12 +347,11 @@ def draw_paths(lattices: Lattices, numbers: np.ndarray, keys: np.ndarray, unit:
 
 def sample_slice(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to ``k`` samples ``(ids, log-probability, perturbed value, log inclusion)``."""
-    split = [lattices.vocabulary.units(t) for t in texts]
-    counts = np.array([len(x) for x in split])
+    joined, starts, hashes, counts = lattices.vocabulary.units(texts)
     row = np.repeat(np.arange(len(texts)), counts)
     low = np.cumsum(counts) - counts
     at = np.arange(len(row)) - low[row]
-    numbers = lattices.numbers([u for x in split for u in x])
+    numbers = lattices.numbers(joined, starts, hashes)
     lattices.freeze()
     order = np.argsort(numbers, kind="stable")
     back = np.empty_like(order)
