@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from tideline.plans import conversations, series, texts  # noqa: F401  they register their queries
+    from tideline.plans import conversations, machines, series, texts  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
@@ -33,3 +33,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     queries()
     return dict(_SQL)
+
+
+def oracle_of(name: str) -> str | None:
+    """The SQL that another query is listed with."""
+    return _SQL.get(name)
