@@ -42,7 +42,9 @@ def write_sessions(lines: DataFrame, path: str, formats: list[str]) -> list[str]
     written = []
     for kind in dict.fromkeys(formats):
         folder = f"{path}/{kind}"
-        session_files(lines, kind).write.mode("append").partitionBy("session_id").option("lineSep", "").text(folder)
+        # the text writer ends each row with the line feed that the content ends with
+        whole = session_files(lines, kind).withColumn("content", F.regexp_replace("content", r"\n\z", ""))
+        whole.write.mode("append").partitionBy("session_id").text(folder)
         written.append(folder)
     return written
 
