@@ -167,7 +167,7 @@ class Lattices:
     def reset(self) -> None:
         self.known: dict[int, int] = {}  # hash of a unit -> number
         self._first, self._start = Grown(np.int64), Grown(np.int64)
-        self._above, self._log = Grown(np.float64), Grown(np.float64)
+        self._above, self._log, self._local = Grown(np.float64), Grown(np.float64), Grown(np.float64)
         self._next, self._piece = Grown(np.int64), Grown(np.int32)
         self._start.extend(np.zeros(1, np.int64))
 
@@ -221,8 +221,12 @@ class Lattices:
             most = np.maximum.reduceat(total, first)
             mass[nodes] = most + np.log(np.add.reduceat(np.exp(total - np.repeat(most, counts)), first))
             share[edges] = total - np.repeat(mass[nodes], counts)
-        running = np.cumsum(np.exp(share))
-        running -= np.repeat(np.concatenate([[0.0], running])[start[:-1]], np.diff(start))
+        # shares summed up within each node, one edge of all nodes at a time: other units don't touch the sums
+        running = np.exp(share)
+        degree = np.diff(start)
+        for k in range(1, int(degree.max())):
+            at = start[:-1][degree > k] + k
+            running[at] += running[at - 1]
         running = np.minimum(running, 1.0)
         running[start[1:] - 1] = 1.0
         following = np.where(inner, target + base, -1)
@@ -241,6 +245,7 @@ class Lattices:
         self._first.extend(base + ends - sizes)
         self._start.extend(np.concatenate([start[1:], len(source) + 1 + np.arange(more)]) + self._piece.size)
         self._above.extend(np.concatenate([source + running, n + np.arange(more) + 1.0]) + base)
+        self._local.extend(np.concatenate([running, np.ones(more)]))
         self._log.extend(np.concatenate([share, np.zeros(more)]))
         self._next.extend(np.concatenate([following, np.array(extra_next, np.int64)]))
         self._piece.extend(np.concatenate([piece, np.array(extra_piece, np.int64)]))
@@ -261,7 +266,7 @@ class Lattices:
     def freeze(self) -> None:
         """Make the arrays of the lattices so far readable."""
         self.first, self.start = self._first.view, self._start.view
-        self.above, self.log = self._above.view, self._log.view
+        self.above, self.log, self.local = self._above.view, self._log.view, self._local.view
         self.next, self.piece = self._next.view, self._piece.view
 
     def other(self, unit: int, excluded: list[tuple[int, ...]], draw) -> tuple[tuple[int, ...], float]:  # noqa: ANN001
@@ -334,8 +339,13 @@ def draw_paths(lattices: Lattices, numbers: np.ndarray, keys: np.ndarray, unit:
         edge = lattices.start[node]
         open_ = np.flatnonzero(lattices.start[node + 1] - edge > 1)  # the others have one way on
         here, at = node[open_], active[open_]
-        found = np.searchsorted(lattices.above, here + uniform(keys[at], sample, unit[at], step), side="right")
-        edge[open_] = found = np.minimum(found, lattices.start[here + 1] - 1)
+        u = uniform(keys[at], sample, unit[at], step)
+        found = np.minimum(np.searchsorted(lattices.above, here + u, side="right"), lattices.start[here + 1] - 1)
+        # the sum of node and share is rounded: the shares themselves decide at the borders
+        found += (lattices.local[found] <= u) & (found + 1 < lattices.start[here + 1])
+        before = np.maximum(found - 1, 0)
+        found -= (found > lattices.start[here]) & (lattices.local[before] > u)
+        edge[open_] = found
         log[at] += lattices.log[found]
         steps.append((active, edge))
         node = lattices.next[edge]
@@ -399,9 +409,9 @@ def sample_slice(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
         logs.append(log)
         chosen.append(special)
         drawn.append((paths, back, special))
-        whole = np.add.reduceat(log, low)
-        before = np.cumsum(log) - log
-        before -= before[low][row]
+        # summed text by text, so that the sums don't depend on a text's neighbours
+        sums = np.concatenate([np.cumsum(log[a : a + n]) for a, n in zip(low.tolist(), counts.tolist(), strict=True)])
+        whole, before = sums[low + counts - 1], sums - log
         rest = -np.expm1(log)
         for r in np.flatnonzero(alive).tolist() if s else ():
             taken = sum(math.exp(float(lattices.log[list(x)].sum())) for x in paths_of[r][(s, int(splits[s, r]))])

@@ -150,7 +150,7 @@ def lexicon(rows: list[tuple[str, int]]) -> dict[str, float]:
         a, b = toxic[token], other[token]
         prior = PRIOR_DOCS * (a + b) / len(rows)
         a1, b1 = a + prior, b + prior
-        odds = math.log(a1 / (n_toxic + PRIOR_DOCS - a1)) - math.log(b1 / (n_other + PRIOR_DOCS - b1))
+        odds = math.log(a1 / (n_toxic + PRIOR_DOCS + 1 - a1)) - math.log(b1 / (n_other + PRIOR_DOCS + 1 - b1))
         z = odds / math.sqrt(1 / a1 + 1 / b1)
         if z >= LEAST_Z and odds >= LEAST_ODDS:
             ranked.append((-z, token, odds))
