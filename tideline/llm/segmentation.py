@@ -44,7 +44,7 @@ from tideline.llm.store import small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SHARPNESS = 0.6
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 3 << 19
 CACHE_UNITS = 200_000
 SPACE = "▁"
 #: Stands for a U+2581 of the text while it is segmented: no valid text has a lone surrogate.
