@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tideline.functions.models import EchoTranslator, translate_rows
 from tideline.operators import lines
 from tideline.plans import series as sr
+from tideline.plans import sqltext as sq
 from tideline.plans.conversations import PACE, fold_patches, turns, two_lanes
 from tideline.plans.registry import oracle_of, register
 from tideline.session import table
@@ -31,7 +32,11 @@ def line_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.replay(lines.inputs_of(two_lanes(spark, sf_dir), PACE))
 
 
-@register("translated_lines")
+@register(
+    "translated_lines",
+    f"""SELECT conv_id AS session_id, turn AS line_id, text, array_to_string(list_reverse({sq.words('text')}), ' ') AS translation
+    FROM conversations WHERE len({sq.content_words('text')}) > 0""",
+)
 def translated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translate_rows(turns(spark, sf_dir), EchoTranslator)
 

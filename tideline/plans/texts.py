@@ -211,7 +211,7 @@ def cut_short_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang").agg(F.round(100.0 * F.avg(fullwidth.cut_short(F.col("text")).cast("int")), 6).alias("pct"))
 
 
-@register("subword_words")
+@register("subword_words", f"SELECT conv_id AS session_id, len({sq.words('text')})::BIGINT AS n_words FROM conversations WHERE turn = 0 AND len({sq.words('text')}) > 0")
 def subword_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.explode(tx.words(F.col("text")))
     spoken = turns(spark, sf_dir).where("line_id = 0").select("session_id", w.alias("word"))
