@@ -8,8 +8,8 @@ elected element's lines are the content, dense or not, so that short paragraphs
 Lines inside menus, headers, footers, side bars, notices, adverts, forms, reader
 comments, scripts and styles don't take part.
 
-Defined results: null or empty html gives an empty text; a page whose every line is
-excluded gives an empty text; unclosed and stray tags are tolerated; white space (as
+Defined results: null or empty html gives an empty text; where names of elements exclude
+every line they don't count, and if nothing is left even so the text is empty; unclosed and stray tags are tolerated; white space (as
 ``str.split`` sees it) becomes one space; equal rows are kept; other columns are ignored.
 """
 
@@ -44,8 +44,9 @@ SKIPPED_NAMES = frozenset(
     " notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall sidebar sidenav aside rail menu nav navbar"
     " navigation breadcrumb breadcrumbs topbar masthead header footer foot share sharing social related recommended recommendations trending"
     " comment comments commentlist discussion reply replies respond disqus feedback widget toolbar pagination pager skip copyright legal"
-    " disclaimer form search hidden".split()
+    " disclaimer form search hidden responses reactions guestbook announcement toast cta adsbygoogle adsense taboola outbrain".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROOTS = ("article", "main")
 SIGMA = 1.0
 DENSITY = 0.5
@@ -53,7 +54,7 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _excluded(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _excluded(tag: str, attrs: list[tuple[str, str | None]], by_name: bool) -> bool:
     if tag in SKIPPED:
         return True
     for name, value in attrs:
@@ -62,9 +63,9 @@ def _excluded(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "role" and value.lower() in SKIPPED_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "main"):
-            words = [w.lower() for w in _NAME.findall(value)]
-            if not SKIPPED_NAMES.isdisjoint(words):
+        if by_name and name in ("class", "id") and tag not in ("body", "html", "main"):
+            words = {w.lower() for w in _NAME.findall(value)}
+            if not SKIPPED_NAMES.isdisjoint(words - {"header"} if tag in HEADINGS else words):
                 return True
     return False
 
@@ -72,8 +73,9 @@ def _excluded(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 class Lines(HTMLParser):
     """Folds parser events into ``lines``: (text, tags, link characters, elements that hold it)."""
 
-    def __init__(self) -> None:
+    def __init__(self, by_name: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.by_name = by_name
         self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.kinds: list[str] = []
         self._open: list[tuple[str, int, bool]] = []
@@ -109,7 +111,7 @@ class Lines(HTMLParser):
         if tag == "a":
             self._anchors = 1
         if tag in INLINE:
-            if tag not in VOID and _excluded(tag, attrs):
+            if tag not in VOID and _excluded(tag, attrs, self.by_name):
                 self._break()
                 self._push(tag, True)
             return
@@ -118,7 +120,10 @@ class Lines(HTMLParser):
         closed = CLOSED_BY_BLOCK | {tag} if tag in ("li", "tr", "td", "th", "option") else CLOSED_BY_BLOCK
         while self._open and self._open[-1][0] in closed:
             self._pop_to(len(self._open) - 1)
-        self._push(tag, _excluded(tag, attrs))
+        if tag in ROOTS and self._skipping and not self.lines:
+            # what leads up to the content was left open: it ends here
+            self._pop_to(next(i for i, (_, _, skipped) in enumerate(self._open) if skipped))
+        self._push(tag, _excluded(tag, attrs, self.by_name))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -169,11 +174,15 @@ def main_text(page: str | None) -> str:
     """The text of the page's content region; blocks joined by one space."""
     if not page:
         return ""
-    parser = Lines()
-    parser.feed(page)
-    parser.close()
-    lines = [x for x in parser.lines if x[2] < 0.9 * len(x[0]) or len(x[0]) > 200]
-    if not lines:
+    # a wrapper with an unlucky name may hold the whole page: then names don't count
+    for by_name in (True, False):
+        parser = Lines(by_name)
+        parser.feed(page)
+        parser.close()
+        lines = [x for x in parser.lines if x[2] < 0.9 * len(x[0]) or len(x[0]) > 200]
+        if lines:
+            break
+    else:
         return ""
     ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines])
     threshold = DENSITY * sum(ratios) / len(ratios)
