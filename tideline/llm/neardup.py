@@ -35,7 +35,7 @@ from tideline.session import ship_package
 from tideline.llm.blocks import deal, over_groups, spanning
 from tideline.llm.graph import components
 from tideline.llm.shingles import splitmix, text_sets
-from tideline.llm.store import small_batches, written
+from tideline.llm.store import drop, small_batches, written
 
 REGISTERS = 96
 BAND_ROWS = 4
@@ -126,7 +126,7 @@ def _bounds(keys: np.ndarray) -> np.ndarray:
 
 
 def candidate_links(sets: DataFrame, least: float, threshold: float) -> DataFrame:
-    """``a, b``: links that keep together all sets that share a band and may reach ``threshold``.
+    """``a, b``, written: links that keep together all sets that share a band and may reach ``threshold``.
 
     ``sets(set_id, n_shingles, registers)`` has each set once.
     """
@@ -136,7 +136,7 @@ def candidate_links(sets: DataFrame, least: float, threshold: float) -> DataFram
     )
     rows = sets.select("set_id", F.explode(spread).alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = written(rows.join(shared, "band"), "buckets")
+    met = written(rows.join(written(shared, "shared-bands"), "band"), "buckets", release=True)
     dealt = deal(met, "band", "set_id", F.ceil(F.col("members") / BUCKET_BLOCK)).drop("members", "band")
     dealt = dealt.join(sets, "set_id").select("part", "set_id", "n_shingles", "registers")
 
@@ -178,7 +178,9 @@ def candidate_links(sets: DataFrame, least: float, threshold: float) -> DataFram
             found.extend((ids[low + a], ids[low + b]) for a, b in spanning(joined))
         yield _links(list(dict.fromkeys(found)))
 
-    return over_groups(dealt, "part", work, "a binary, b binary").distinct()
+    links = written(over_groups(dealt, "part", work, "a binary, b binary").distinct(), "candidates", release=True)
+    drop(met)
+    return links
 
 
 def intersections(arrays: list[np.ndarray]) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Substring dedup by banded MinHash of paragraphs.
 
 A text's lines are its paragraphs; a line of more than ``WHOLE_LINE`` words is cut further
-where the hash of three words says so, so that a passage is cut alike wherever it stands.
+where the hash of two words is smaller than those around it, so that a passage is cut
+alike wherever it stands.
 Each paragraph of ``LEAST_UNIT`` words or more gets MinHash values of its five-word
 shingles; bands of ``BAND_ROWS`` values, as many as a wanted recall at the threshold takes,
 bring paragraphs together. Paragraphs of equal words are one class. Colliding classes
@@ -12,7 +13,8 @@ inside a line is the part of a longer passage that cuts happen to frame, and cou
 ``LEAST_INNER`` words. Of each component, the
 first paragraph (by id and place) stays, the others are removals.
 
-Defined results: null, blank and short texts have no paragraphs; repeats inside one
+Defined results: null, blank and short texts have no paragraphs, and one of 16 MB or more
+(of up to 38 words) is left alone; repeats inside one
 document alone don't count; equal rows are one document; a row with a null id takes no
 part; empty input gives an empty result; other columns are ignored.
 """
@@ -31,12 +33,13 @@ from tideline.session import ship_package
 from tideline.llm.graph import components
 from tideline.llm.neardup import confirmed_links
 from tideline.llm.shingles import _powers, mix, pieces, shingle_hashes, splitmix, text_bytes, word_hashes
-from tideline.llm.store import only_ids, small_batches, written
+from tideline.llm.store import drop, only_ids, small_batches, written
 
 WHOLE_LINE = 16
-CUT_ONE_IN = 6
+REACH = 6
 LEAST_UNIT = 6
-MOST_UNIT = 24
+MOST_UNIT = 32
+LENGTH_BITS = 24
 LEAST_PASSAGE = 30
 LEAST_INNER = 14
 GAP_BYTES = 64
@@ -55,32 +58,34 @@ BANDS = bands_for(RECALL, THRESHOLD, BAND_ROWS)
 _MULTIPLIERS = splitmix(61, BANDS * BAND_ROWS) | np.uint64(1)
 
 
-def cut_words(words: np.ndarray, breaks: np.ndarray) -> np.ndarray:
-    """Starts of paragraphs among one text's words; ``breaks`` are the words that open a line."""
+def cut_places(words: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """Places of the words that open a paragraph; ``opens`` marks those that open a line or text.
+
+    Inside a long line the cuts are at words whose hash is the smallest of all within
+    ``REACH`` words of the line on either side: neighbouring cuts are further apart than
+    that, and what is cut depends on the words around it alone.
+    """
     n = len(words)
-    if n > 2:
-        rolled = (words[:-2] * np.uint64(3) + words[1:-1]) * np.uint64(5) + words[2:]
-        marks = np.flatnonzero((rolled >> np.uint64(33)) % np.uint64(CUT_ONE_IN) == 0) + 3
-    else:
-        marks = np.zeros(0, np.int64)
-    starts: list[int] = []
-    edges = [*breaks.tolist(), n]
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
-        starts.append(low)
-        if high - low <= WHOLE_LINE:
-            continue
-        last = low
-        for mark in marks[np.searchsorted(marks, low + LEAST_UNIT) : np.searchsorted(marks, high - LEAST_UNIT, side="right")].tolist():
-            while mark - last > MOST_UNIT:
-                last += MOST_UNIT
-                starts.append(last)
-            if mark - last >= LEAST_UNIT:
-                starts.append(mark)
-                last = mark
-        while high - last > MOST_UNIT + LEAST_UNIT:
-            last += MOST_UNIT
-            starts.append(last)
-    return np.array(starts, np.int64)
+    line = np.cumsum(opens)
+    starts = np.flatnonzero(opens)
+    sizes = np.diff(np.append(starts, n))
+    ranks = words * np.uint64(3)
+    ranks[1:] += np.where(opens[1:], np.uint64(0), words[:-1])
+    ranks = mix(ranks)
+    least = np.repeat(sizes > WHOLE_LINE, sizes)
+    for d in range(1, min(REACH, n - 1) + 1):
+        other = line[d:] != line[:-d]
+        least[d:] &= other | (ranks[d:] < ranks[:-d])
+        least[:-d] &= other | (ranks[:-d] <= ranks[d:])
+    into = np.arange(n) - np.repeat(starts, sizes)
+    least &= (into >= LEAST_UNIT) & (np.repeat(sizes, sizes) - into >= LEAST_UNIT)
+    places = np.flatnonzero(opens | least)
+    gaps = np.diff(np.append(places, n))
+    long = np.flatnonzero(gaps > MOST_UNIT + LEAST_UNIT)
+    if not len(long):
+        return places
+    more = [np.arange(places[i] + MOST_UNIT, places[i] + gaps[i] - LEAST_UNIT, MOST_UNIT) for i in long.tolist()]
+    return np.sort(np.concatenate([places, *more]))
 
 
 def _classes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -101,15 +106,16 @@ class Units:
         opens = np.ones(len(starts) + 1, bool)
         opens[1:-1] = lines[1:] != lines[:-1]
         opens[before] = True
-        cuts = [np.zeros(0, np.int64)]
-        for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
-            if b > a:
-                cuts.append(cut_words(words[a:b], np.flatnonzero(opens[a:b])) + a)
-        first = np.concatenate(cuts)
+        self.count = 0
+        if not len(words):
+            return
+        first = cut_places(words, opens[:-1])
         stops = np.append(first[1:], len(words))
         size = stops - first
         row = np.searchsorted(before, first, side="right") - 1
-        keep = np.flatnonzero(size >= LEAST_UNIT)
+        begin = starts[first]
+        length = ends[stops - 1] - begin
+        keep = np.flatnonzero((size >= LEAST_UNIT) & (length < 1 << LENGTH_BITS))
         self.count = len(keep)
         if not self.count:
             return
@@ -121,10 +127,9 @@ class Units:
         spans[1::2] = stops[keep] - WIDTH + 1
         least = np.minimum.reduceat(minima, spans if spans[-1] < len(runs) else spans[:-1], axis=0)[0::2]
         self.row = row[keep]
-        base = bounds[self.row]
-        self.place = ((starts[first[keep]] - base) << 32) | (ends[stops[keep] - 1] - base)
-        unit = keep - np.searchsorted(first, before[self.row])
-        self.info = (unit << 8) | (size[keep] << 2) | (opens[first[keep]].astype(np.int64) << 1) | opens[stops[keep]]
+        begin, length = begin[keep], length[keep]
+        flags = (opens[first[keep]].astype(np.int64) << 1) | opens[stops[keep]]
+        self.place = ((begin - bounds[self.row]) << 32) | (length << 8) | (size[keep] << 2) | flags
         self.set_class = classes[keep].view(np.int64)
         self.keys = _band_keys(least)
 
@@ -155,17 +160,17 @@ KEYS = [f"key{k}" for k in range(BANDS)]
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each paragraph of each document.
 
-    ``place`` is the start byte times 2^32 plus the stop byte; ``info`` is the number of
-    the paragraph times 256, its words times 4, and whether it opens and ends a line.
+    ``place`` packs, from the high bits down, the start byte (32 bits), the length in
+    bytes (24), the words (6) and whether the paragraph opens and ends a line.
     """
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    names = ["doc_id", "place", "info", "set_class", *KEYS]
+    names = ["doc_id", "place", "set_class", *KEYS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for at, units in text_units(batch.column(1)):
-                columns = [ids[at + units.row], units.place, units.info, units.set_class, *(np.ascontiguousarray(units.keys[:, k]) for k in range(BANDS))]
+                columns = [ids[at + units.row], units.place, units.set_class, *(np.ascontiguousarray(units.keys[:, k]) for k in range(BANDS))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     return chosen.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
@@ -183,7 +188,7 @@ def _same_class(texts: pa.Array, names: list[bytes]) -> list[bool]:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, unit, n_words, start, stop, cluster, removed``: each paragraph of a repeated passage.
+    """``doc_id, n_words, start, stop, cluster, removed``: each paragraph of a repeated passage.
 
     ``start`` and ``stop`` are byte places in the UTF-8 text; ``cluster`` names the
     component; ``removed`` is false for the one that stays.
@@ -193,34 +198,36 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     units = written(describe(docs, id_col, text_col), "units")
 
     # keys that two documents have; a hot key is one row for each task
-    shared = (
-        units.select("doc_id", F.explode(F.array(*KEYS)).alias("key"))
-        .groupBy("key")
-        .agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
-        .where("d0 <> d1")
-        .select("key")
-    )
+    keys = units.select("doc_id", F.explode(F.array(*KEYS)).alias("key"))
+    shared = written(keys.groupBy("key").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 <> d1").select("key"), "shared", release=True)
+    # the first key is part of a paragraph's name: rows of that key don't carry it twice
+    by_band = F.array(*(F.struct(F.col(k).alias("key"), (F.lit(None).cast("bigint") if k == KEYS[0] else F.col(KEYS[0])).alias("least")) for k in KEYS))
     met = written(
-        units.select("doc_id", "place", "info", "set_class", F.col("key0").alias("least"), F.explode(F.array(*KEYS)).alias("key"))
+        units.select("doc_id", "place", "set_class", F.explode(by_band).alias("band"))
+        .select("doc_id", "place", "set_class", "band.key", "band.least")
         .join(shared.hint("shuffle_hash"), "key")
         .select(
             "doc_id",
             F.shiftright("place", 32).alias("start"),
-            F.col("place").bitwiseAND((1 << 32) - 1).alias("stop"),
-            F.shiftright("info", 8).alias("unit"),
-            F.shiftright("info", 2).bitwiseAND(63).alias("n_words"),
-            (F.col("info").bitwiseAND(2) > 0).alias("head"),
-            (F.col("info").bitwiseAND(1) > 0).alias("tail"),
-            F.unhex(F.concat(F.lpad(F.hex("set_class"), 16, "0"), F.lpad(F.hex("least"), 16, "0"))).alias("set_id"),
+            (F.shiftright("place", 32) + F.shiftright("place", 8).bitwiseAND((1 << LENGTH_BITS) - 1)).alias("stop"),
+            F.shiftright("place", 2).bitwiseAND(63).alias("n_words"),
+            (F.col("place").bitwiseAND(2) > 0).alias("head"),
+            (F.col("place").bitwiseAND(1) > 0).alias("tail"),
+            F.unhex(F.concat(F.lpad(F.hex("set_class"), 16, "0"), F.lpad(F.hex(F.coalesce("least", "key")), 16, "0"))).alias("set_id"),
             "key",
         ),
         "met",
+        release=True,
     )
+    drop(units, shared)
     classes = written(
-        met.groupBy("set_id").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min(F.struct("doc_id", "start", "stop")).alias("at")), "classes"
+        met.groupBy("set_id").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min(F.struct("doc_id", "start", "stop")).alias("at")), "classes", release=True
     )
-    several = met.groupBy("key").agg(F.min("set_id").alias("s0"), F.max("set_id").alias("s1")).where("s0 <> s1").select("key")
-    pairs = written(met.select("key", "set_id").join(several, "key").distinct(), "pairs")
+    # classes by key: repeats of a class are put together before they are dealt by key
+    by_key = written(met.select("key", "set_id").distinct(), "by-key")
+    several = written(by_key.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "several-keys")
+    pairs = written(by_key.join(several, "key"), "pairs", release=True)
+    drop(by_key, several)
     wanted = written(pairs.select("set_id").distinct().join(classes, "set_id").select("set_id", "at.*"), "wanted")
     one = only_ids(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), wanted)
     texts = one.join(wanted.hint("shuffle_hash"), "doc_id").select(
@@ -233,8 +240,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     roots = components(links).withColumnsRenamed({"node": "set_id"})
     named = classes.join(roots, "set_id", "left").select("set_id", "d0", "d1", F.coalesce("root", "set_id").alias("cluster"))
     spread = written(named.groupBy("cluster").agg(F.min("d0").alias("c0"), F.max("d1").alias("c1")).where("c0 <> c1").select("cluster"), "spread")
-    repeated = written(named.join(spread, "cluster").select("set_id", "cluster"), "repeated")
-    hits = met.drop("key").distinct().join(repeated, "set_id")
+    repeated = written(named.join(spread, "cluster").select("set_id", "cluster"), "repeated", release=True)
+    hits = met.join(repeated, "set_id").drop("key", "set_id").distinct()
 
     by_place = Window.partitionBy("doc_id").orderBy("start", "stop")
     gap = F.col("start") - F.lag("stop").over(by_place)
@@ -242,19 +249,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     whole = Window.partitionBy("doc_id", "run")
     framed = F.min_by("head", "start").over(whole) & F.max_by("tail", "start").over(whole)
     least = F.when(framed, LEAST_PASSAGE).otherwise(LEAST_INNER)
-    passages = written(runs.withColumn("enough", F.sum("n_words").over(whole) >= least).where("enough"), "passages")
-    first = written(passages.groupBy("cluster").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.max("doc_id").alias("last")), "first")
+    passages = written(runs.withColumn("enough", F.sum("n_words").over(whole) >= least).where("enough").drop("enough", "opens", "run", "head", "tail"), "passages", release=True)
+    drop(met, classes, repeated)
+    first = written(passages.groupBy("cluster").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")), "first")
     return (
         passages.join(first, "cluster")
         .where(F.col("first.doc_id") != F.col("last"))
         .select(
             "doc_id",
-            F.col("unit").cast("int").alias("unit"),
             F.col("n_words").cast("int").alias("n_words"),
             F.col("start").cast("int").alias("start"),
             F.col("stop").cast("int").alias("stop"),
             F.lower(F.hex("cluster")).alias("cluster"),
-            (F.struct("doc_id", "unit") != F.col("first")).alias("removed"),
+            (F.struct("doc_id", "start") != F.col("first")).alias("removed"),
         )
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,17 +36,32 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """``df`` as a parquet table of the shared folder, read back.
 
     Unlike a local checkpoint it survives the loss of executors; it is removed when
-    the application's Python ends.
+    the application's Python ends. ``release`` has Spark drop the shuffle files of frames
+    that nothing refers to any more, which it otherwise does when the driver happens to
+    collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tideline-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    table = spark.read.schema(schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more: all that came of them is written itself."""
+    for table in tables:
+        _remove(table.sparkSession, table._written_at)
 
 
 def small_batches(spark: SparkSession) -> None:
