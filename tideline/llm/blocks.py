@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.store import give_back
+
 
 def deal(rows: DataFrame, group: str, member: str, n_blocks: Column) -> DataFrame:
     """``rows`` with ``part``, once for each pair of blocks that the member's block is in."""
@@ -55,6 +57,8 @@ def over_groups(rows: DataFrame, key: str, work: Callable[[pa.Table], Iterator[p
                 held.append(batch)
         if held:
             yield from work(pa.Table.from_batches(held))
+        held.clear()
+        give_back()
 
     return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 

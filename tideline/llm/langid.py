@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from tideline.session import ship_package
 from tideline.llm.shingles import _powers, mix, splitmix
-from tideline.llm.store import hashed_sample, small_batches
+from tideline.llm.store import give_back, hashed_sample, small_batches
 
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 12_000
@@ -291,5 +291,7 @@ def with_language(docs: DataFrame, model: Field, text_col: str = "text", lang_na
                 labels += fitted.label(batch.column(place).slice(low, high - low).to_pylist())
             columns = [*batch.columns, pa.array([x for x, _ in labels], pa.string()), pa.array([y for _, y in labels], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, lang_name, score_name])
+        del fitted
+        give_back()
 
     return docs.mapInArrow(run, schema)

@@ -35,7 +35,7 @@ from tideline.session import ship_package
 from tideline.llm.blocks import deal, over_groups, spanning
 from tideline.llm.graph import components
 from tideline.llm.shingles import splitmix, text_sets
-from tideline.llm.store import drop, small_batches, written
+from tideline.llm.store import drop, give_back, small_batches, written
 
 REGISTERS = 96
 BAND_ROWS = 4
@@ -112,6 +112,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 registers.append(sketch(elements).tobytes() if len(elements) else None)
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(registers, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_id", "registers"])
+        give_back()
 
     kind = chosen.schema["doc_id"].dataType.simpleString()
     return chosen.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_id binary, registers binary")

@@ -33,7 +33,7 @@ from tideline.session import ship_package
 from tideline.llm.graph import components
 from tideline.llm.neardup import confirmed_links
 from tideline.llm.shingles import _powers, mix, pieces, shingle_hashes, splitmix, text_bytes, word_hashes
-from tideline.llm.store import drop, only_ids, small_batches, written
+from tideline.llm.store import drop, give_back, only_ids, small_batches, written
 
 WHOLE_LINE = 16
 REACH = 6
@@ -172,6 +172,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for at, units in text_units(batch.column(1)):
                 columns = [ids[at + units.row], units.place, units.set_class, *(np.ascontiguousarray(units.keys[:, k]) for k in range(BANDS))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+        give_back()
 
     return chosen.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 

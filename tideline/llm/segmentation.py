@@ -39,13 +39,13 @@ from pyspark.sql import types as T
 
 from tideline.session import ship_package
 from tideline.llm.shingles import _powers, mix, splitmix
-from tideline.llm.store import small_batches
+from tideline.llm.store import give_back, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SHARPNESS = 0.6
 SLICE_BYTES = 3 << 19
-CACHE_UNITS = 200_000
+CACHE_UNITS = 120_000
 SPACE = "▁"
 #: Stands for a U+2581 of the text while it is segmented: no valid text has a lone surrogate.
 MARK = "\udc81"
@@ -517,6 +517,8 @@ def sample_segmentations(docs: DataFrame, key_col: str = "doc_id", text_col: str
                     for i, samples in zip(full, sampled, strict=True):
                         found[i] = samples
                 yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns[:-1]), _arrow(vocabulary, part, found)], names=[*batch.schema.names[:-1], name])
+        del lattices, vocabulary
+        give_back()
 
     return keyed.mapInArrow(run, schema)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -46,7 +48,7 @@ def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tideline-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     atexit.register(_remove, spark, path)
     schema = df.schema
     del df
@@ -64,6 +66,14 @@ def drop(*tables: DataFrame) -> None:
         _remove(table.sparkSession, table._written_at)
 
 
+def give_back() -> None:
+    """Return a Python worker's free memory to the system: idle workers keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that reach Python workers, by rows and by bytes: texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
