@@ -245,6 +245,30 @@ def test_paragraph_units_tile_the_text():
     assert sum(n for *_, n in spans) == 278 and all(n <= paragraphs.MOST_UNIT + paragraphs.LEAST_UNIT for *_, n in spans)
 
 
+@pytest.mark.parametrize("widths", [(5, 5), (4, 5), (12, 200), (5, 200)])
+def test_passages_of_short_and_rewrapped_lines_go(spark, widths):
+    rng = random.Random(21)
+    passage = prose(rng, 120).split()
+    wrapped = ["\n".join(" ".join(passage[i : i + n]) for i in range(0, len(passage), n)) for n in widths]
+    own = [prose(rng, 60) for _ in range(4)]
+    rows = [(i, f"{own[2 * i]}\n{wrapped[i]}\n{own[2 * i + 1]}") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"] for r in paragraphs.remove_repeats(docs, length_col=None).collect()}
+    # both own parts stay, and less than a cut's reach of the passage at either end
+    assert texts[0] == rows[0][1] and len(texts[1].split()) - 120 <= 40
+    assert texts[1].startswith(own[2]) and texts[1].endswith(own[3])
+
+
+def test_every_word_is_in_a_paragraph():
+    rng = random.Random(23)
+    text = "\n".join(prose(rng, n) for n in (3, 2, 8, 5, 70, 1, 4, 4, 200, 2))
+    covered = set()
+    for _, u in paragraphs.text_units(pa.array([text]), wide=True):
+        for w in u.words:
+            covered.update(range(int(w >> 32), int(w >> 32) + int(w & 0xFFFFFFFF)))
+    assert covered == set(range(len(text.split())))
+
+
 def test_repeated_passages_of_odd_rows(spark):
     found = paragraphs.repeated_passages(odd_documents(spark)).collect()
     assert {r["doc_id"] for r in found} == {1, 2}

@@ -1,8 +1,9 @@
 """Substring dedup by banded MinHash of paragraphs.
 
-A text's lines are its paragraphs; a line of more than ``WHOLE_LINE`` words is cut further
-where the hash of two words is smaller than those around it, so that a passage is cut
-alike wherever it stands.
+A text's lines are its paragraphs; a line of more than ``WHOLE_LINE`` words is cut further where the hash of two words is smaller than those around it, so
+that a passage is cut alike wherever it stands. The text is cut like that across its line
+ends too: passages of short lines, or wrapped otherwise, are found by these paragraphs,
+where their words are equal.
 Each paragraph of ``LEAST_UNIT`` words or more gets MinHash values of its five-word
 shingles; bands of ``BAND_ROWS`` values, as many as a wanted recall at the threshold takes,
 bring paragraphs together. Paragraphs of equal words are one class. Colliding classes
@@ -96,9 +97,14 @@ def _classes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 
 
 class Units:
-    """The paragraphs of a run of texts, as arrays: row, place in bytes, size in words, class, keys."""
+    """The paragraphs of a run of texts, as arrays: row, place in bytes and in words, class, keys.
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray) -> None:
+    ``wide`` adds those of the text cut by content as if it had no lines. They overlap the
+    others; as they may reach into the words beside a passage, they repeat where all their
+    words do, and not by similarity: ``near`` is false for them.
+    """
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, wide: bool = False) -> None:
         words, starts, ends, before = word_hashes(data, bounds)
         low = int(bounds[0])
         newlines = np.flatnonzero(data[low : int(bounds[-1])] == 10) + low
@@ -109,36 +115,52 @@ class Units:
         self.count = 0
         if not len(words):
             return
-        first = cut_places(words, opens[:-1])
-        stops = np.append(first[1:], len(words))
-        size = stops - first
-        row = np.searchsorted(before, first, side="right") - 1
-        begin = starts[first]
-        length = ends[stops - 1] - begin
-        keep = np.flatnonzero((size >= LEAST_UNIT) & (length < 1 << LENGTH_BITS))
-        self.count = len(keep)
+        texts = np.zeros(len(words), bool)
+        texts[before[:-1][before[:-1] < before[1:]]] = True
+        tilings = [cut_places(words, opens[:-1])]
+        if wide:
+            tilings += [cut_places(words, texts)]
+        firsts, ends_at, sizes, classes, near = [], [], [], [], []
+        for kind, first in enumerate(tilings):
+            stops = np.append(first[1:], len(words))
+            size = stops - first
+            length = ends[stops - 1] - starts[first]
+            fit = (size >= LEAST_UNIT) & (length < 1 << LENGTH_BITS)
+            for other, end in zip(firsts, ends_at, strict=True):
+                fit &= ~np.isin((first << 32) | stops, (other << 32) | end)
+            keep = np.flatnonzero(fit)
+            firsts.append(first[keep])
+            ends_at.append(stops[keep])
+            sizes.append(size[keep])
+            classes.append(_classes(words, first, size)[keep])
+            near.append(np.full(len(keep), kind != 1))
+        first, stops, size = np.concatenate(firsts), np.concatenate(ends_at), np.concatenate(sizes)
+        self.count = len(first)
         if not self.count:
             return
-        classes = _classes(words, first, size)
         runs, _ = shingle_hashes(words, before, WIDTH)
-        minima = runs[:, None] * _MULTIPLIERS[None, :]
-        spans = np.empty(2 * len(keep), np.int64)
-        spans[0::2] = first[keep]
-        spans[1::2] = stops[keep] - WIDTH + 1
-        least = np.minimum.reduceat(minima, spans if spans[-1] < len(runs) else spans[:-1], axis=0)[0::2]
-        self.row = row[keep]
-        begin, length = begin[keep], length[keep]
-        flags = (opens[first[keep]].astype(np.int64) << 1) | opens[stops[keep]]
-        self.place = ((begin - bounds[self.row]) << 32) | (length << 8) | (size[keep] << 2) | flags
-        self.set_class = classes[keep].view(np.int64)
+        minima = np.empty((len(runs) + 1, BANDS * BAND_ROWS), np.uint64)
+        np.multiply(runs[:, None], _MULTIPLIERS[None, :], out=minima[:-1])
+        minima[-1] = np.iinfo(np.uint64).max  # so that a span may end with the last run
+        spans = np.empty(2 * len(first), np.int64)
+        spans[0::2] = first
+        spans[1::2] = stops - WIDTH + 1
+        least = np.minimum.reduceat(minima, spans, axis=0)[0::2]
+        self.row = np.searchsorted(before, first, side="right") - 1
+        begin = starts[first]
+        flags = (opens[first].astype(np.int64) << 1) | opens[stops]
+        self.place = ((begin - bounds[self.row]) << 32) | ((ends[stops - 1] - begin) << 8) | (np.minimum(size, 63) << 2) | flags
+        self.words = ((first - before[self.row]) << 32) | size
+        self.set_class = np.concatenate(classes).view(np.int64)
         self.keys = _band_keys(least)
+        self.near = np.concatenate(near)
 
 
-def text_units(column: pa.Array) -> Iterator[tuple[int, Units]]:
+def text_units(column: pa.Array, wide: bool = False) -> Iterator[tuple[int, Units]]:
     """The paragraphs of an Arrow string column, with the row that each run starts at."""
     data, offsets = text_bytes(column)
     for at, to in pieces(offsets):
-        units = Units(data, offsets[at : to + 1])
+        units = Units(data, offsets[at : to + 1], wide)
         if units.count:
             yield at, units
 
@@ -161,17 +183,21 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each paragraph of each document.
 
     ``place`` packs, from the high bits down, the start byte (32 bits), the length in
-    bytes (24), the words (6) and whether the paragraph opens and ends a line.
+    bytes (24), the words (6, at most 63) and whether the paragraph opens and ends a line;
+    ``words`` the place of the first word in the text and the number of words (32 each). Keys after the first
+    are null where only equal words count.
     """
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    names = ["doc_id", "place", "set_class", *KEYS]
+    names = ["doc_id", "place", "words", "set_class", *KEYS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for at, units in text_units(batch.column(1)):
-                columns = [ids[at + units.row], units.place, units.set_class, *(np.ascontiguousarray(units.keys[:, k]) for k in range(BANDS))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+            for at, units in text_units(batch.column(1), wide=True):
+                columns = [ids[at + units.row], units.place, units.words, units.set_class, np.ascontiguousarray(units.keys[:, 0])]
+                arrays = [pa.array(c, pa.int64()) for c in columns]
+                arrays += [pa.array(np.ascontiguousarray(units.keys[:, k]), pa.int64(), mask=~units.near) for k in range(1, BANDS)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
         give_back()
 
     return chosen.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
@@ -199,60 +225,67 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     units = written(describe(docs, id_col, text_col), "units")
 
     # keys that two documents have; a hot key is one row for each task
-    keys = units.select("doc_id", F.explode(F.array(*KEYS)).alias("key"))
+    keys = units.select("doc_id", F.explode(F.array(*KEYS)).alias("key")).where("key is not null")
     shared = written(keys.groupBy("key").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 <> d1").select("key"), "shared", release=True)
     # the first key is part of a paragraph's name: rows of that key don't carry it twice
     by_band = F.array(*(F.struct(F.col(k).alias("key"), (F.lit(None).cast("bigint") if k == KEYS[0] else F.col(KEYS[0])).alias("least")) for k in KEYS))
     met = written(
-        units.select("doc_id", "place", "set_class", F.explode(by_band).alias("band"))
-        .select("doc_id", "place", "set_class", "band.key", "band.least")
+        units.select("doc_id", "place", "words", "set_class", F.col(KEYS[1]).isNotNull().alias("near"), F.explode(by_band).alias("band"))
+        .select("doc_id", "place", "words", "set_class", "near", "band.key", "band.least")
+        .where("key is not null")
         .join(shared.hint("shuffle_hash"), "key")
         .select(
             "doc_id",
             F.shiftright("place", 32).alias("start"),
             (F.shiftright("place", 32) + F.shiftright("place", 8).bitwiseAND((1 << LENGTH_BITS) - 1)).alias("stop"),
-            F.shiftright("place", 2).bitwiseAND(63).alias("n_words"),
+            F.shiftright("words", 32).alias("word"),
+            F.col("words").bitwiseAND(0xFFFFFFFF).alias("n_words"),
             (F.col("place").bitwiseAND(2) > 0).alias("head"),
             (F.col("place").bitwiseAND(1) > 0).alias("tail"),
             F.unhex(F.concat(F.lpad(F.hex("set_class"), 16, "0"), F.lpad(F.hex(F.coalesce("least", "key")), 16, "0"))).alias("set_id"),
             "key",
+            "near",
         ),
         "met",
         release=True,
     )
     drop(units, shared)
     classes = written(
-        met.groupBy("set_id").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min(F.struct("doc_id", "start", "stop")).alias("at")), "classes", release=True
+        met.groupBy("set_id").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min(F.struct("doc_id", "start", "stop", "n_words")).alias("at")), "classes", release=True
     )
     # classes by key: repeats of a class are put together before they are dealt by key
-    by_key = written(met.select("key", "set_id").distinct(), "by-key")
+    by_key = written(met.where("near").select("key", "set_id").distinct(), "by-key")
     several = written(by_key.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "several-keys")
     pairs = written(by_key.join(several, "key"), "pairs", release=True)
     drop(by_key, several)
     wanted = written(pairs.select("set_id").distinct().join(classes, "set_id").select("set_id", "at.*"), "wanted")
     one = only_ids(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), wanted)
     texts = one.join(wanted.hint("shuffle_hash"), "doc_id").select(
-        "set_id", F.substr(F.col("text").cast("binary"), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).cast("string").alias("text")
+        "set_id", "n_words", F.substr(F.col("text").cast("binary"), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).cast("string").alias("text")
     )
     members = pairs.join(written(texts, "unit-texts"), "set_id").select(
-        F.unhex(F.lpad(F.hex("key"), 16, "0")).alias("group_id"), "set_id", F.lit(MOST_UNIT).cast("bigint").alias("n_shingles"), "text"
+        F.unhex(F.lpad(F.hex("key"), 16, "0")).alias("group_id"), "set_id", F.col("n_words").alias("n_shingles"), "text"
     )
     links = confirmed_links(members, int(THRESHOLD * 100), 100, fits=_same_class)
     roots = components(links).withColumnsRenamed({"node": "set_id"})
     named = classes.join(roots, "set_id", "left").select("set_id", "d0", "d1", F.coalesce("root", "set_id").alias("cluster"))
     spread = written(named.groupBy("cluster").agg(F.min("d0").alias("c0"), F.max("d1").alias("c1")).where("c0 <> c1").select("cluster"), "spread")
     repeated = written(named.join(spread, "cluster").select("set_id", "cluster"), "repeated", release=True)
-    hits = met.join(repeated, "set_id").drop("key", "set_id").distinct()
+    hits = met.join(repeated, "set_id").drop("key", "near", "set_id").distinct()
 
+    # paragraphs overlap: gaps and words count from the furthest end so far
     by_place = Window.partitionBy("doc_id").orderBy("start", "stop")
-    gap = F.col("start") - F.lag("stop").over(by_place)
+    so_far = by_place.rowsBetween(Window.unboundedPreceding, -1)
+    gap = F.col("start") - F.max("stop").over(so_far)
+    last_word = F.coalesce(F.max(F.col("word") + F.col("n_words")).over(so_far), F.lit(0))
     runs = hits.withColumn("opens", F.coalesce((gap > GAP_BYTES).cast("int"), F.lit(1))).withColumn("run", F.sum("opens").over(by_place))
+    runs = runs.withColumn("new_words", F.greatest(F.lit(0), F.col("word") + F.col("n_words") - F.greatest("word", last_word)))
     whole = Window.partitionBy("doc_id", "run")
-    framed = F.min_by("head", "start").over(whole) & F.max_by("tail", "start").over(whole)
+    framed = F.min_by("head", "start").over(whole) & F.max_by("tail", "stop").over(whole)
     least = F.when(framed, LEAST_PASSAGE).otherwise(LEAST_INNER)
-    passages = written(runs.withColumn("enough", F.sum("n_words").over(whole) >= least).where("enough").drop("enough", "opens", "run", "head", "tail"), "passages", release=True)
+    passages = written(runs.withColumn("enough", F.sum("new_words").over(whole) >= least).where("enough").drop("enough", "opens", "run", "head", "tail", "word", "new_words"), "passages", release=True)
     drop(met, classes, repeated)
-    first = written(passages.groupBy("cluster").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")), "first")
+    first = written(passages.groupBy("cluster").agg(F.min(F.struct("doc_id", "start", "stop")).alias("first"), F.max("doc_id").alias("last")), "first")
     return (
         passages.join(first, "cluster")
         .where(F.col("first.doc_id") != F.col("last"))
@@ -262,7 +295,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             F.col("start").cast("int").alias("start"),
             F.col("stop").cast("int").alias("stop"),
             F.lower(F.hex("cluster")).alias("cluster"),
-            (F.struct("doc_id", "start") != F.col("first")).alias("removed"),
+            # what overlaps the first paragraph in its own text is not another one
+            ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") >= F.col("first.stop"))).alias("removed"),
         )
     )
 
@@ -273,7 +307,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``length_col``, if given, is set to the number of characters of a changed text.
     """
     found = repeated_passages(docs, id_col, text_col).where("removed")
-    spans = found.groupBy(F.col("doc_id").alias("span_doc")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cut_spans"))
+    # overlapping spans become one
+    by_start = Window.partitionBy("doc_id").orderBy("start", "stop")
+    apart = F.coalesce((F.col("start") > F.max("stop").over(by_start.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    parted = found.select("doc_id", "start", "stop", apart.alias("apart")).withColumn("span", F.sum("apart").over(by_start))
+    merged = parted.groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    spans = merged.groupBy(F.col("doc_id").alias("span_doc")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cut_spans"))
     raw = F.col(text_col).cast("binary")
     count = F.size("cut_spans")
     kept = F.transform(
