@@ -259,6 +259,17 @@ def test_passages_of_short_and_rewrapped_lines_go(spark, widths):
     assert texts[1].startswith(own[2]) and texts[1].endswith(own[3])
 
 
+def test_near_copies_of_long_lines_are_whole_paragraphs(spark):
+    rng = random.Random(22)
+    rows = []
+    for i in range(40):
+        w = prose(rng, 60).split()
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:29] + ["changed"] + w[30:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"] for r in paragraphs.remove_repeats(docs, length_col=None).collect()}
+    assert left >= set(range(0, 80, 2)) and len(left) <= 46
+
+
 def test_every_word_is_in_a_paragraph():
     rng = random.Random(23)
     text = "\n".join(prose(rng, n) for n in (3, 2, 8, 5, 70, 1, 4, 4, 200, 2))

@@ -1,6 +1,7 @@
 """Substring dedup by banded MinHash of paragraphs.
 
-A text's lines are its paragraphs; a line of more than ``WHOLE_LINE`` words is cut further where the hash of two words is smaller than those around it, so
+A text's lines are its paragraphs; a line of more than ``WHOLE_LINE`` words is one as a
+whole, and is cut further where the hash of two words is smaller than those around it, so
 that a passage is cut alike wherever it stands. The text is cut like that across its line
 ends too: passages of short lines, or wrapped otherwise, are found by these paragraphs,
 where their words are equal.
@@ -99,9 +100,9 @@ def _classes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 class Units:
     """The paragraphs of a run of texts, as arrays: row, place in bytes and in words, class, keys.
 
-    ``wide`` adds those of the text cut by content as if it had no lines. They overlap the
-    others; as they may reach into the words beside a passage, they repeat where all their
-    words do, and not by similarity: ``near`` is false for them.
+    ``wide`` adds those that overlap them: long lines as a whole, and the text cut by content
+    as if it had no lines. The latter, for which ``near`` is false, may reach into the words
+    beside a passage: they repeat where all their words do, and not by similarity.
     """
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, wide: bool = False) -> None:
@@ -119,13 +120,13 @@ class Units:
         texts[before[:-1][before[:-1] < before[1:]]] = True
         tilings = [cut_places(words, opens[:-1])]
         if wide:
-            tilings += [cut_places(words, texts)]
+            tilings += [cut_places(words, texts), np.flatnonzero(opens[:-1])]
         firsts, ends_at, sizes, classes, near = [], [], [], [], []
         for kind, first in enumerate(tilings):
             stops = np.append(first[1:], len(words))
             size = stops - first
             length = ends[stops - 1] - starts[first]
-            fit = (size >= LEAST_UNIT) & (length < 1 << LENGTH_BITS)
+            fit = (size >= (LEAST_UNIT if kind < 2 else WHOLE_LINE + 1)) & (length < 1 << LENGTH_BITS)
             for other, end in zip(firsts, ends_at, strict=True):
                 fit &= ~np.isin((first << 32) | stops, (other << 32) | end)
             keep = np.flatnonzero(fit)
