@@ -359,6 +359,27 @@ def test_posteriors_match_enumeration():
         at += n
 
 
+def test_languages_of_long_texts_are_learned(spark):
+    rng = random.Random(31)
+    rows = [(i, prose(rng, 50), "aa") for i in range(60)] + [(i, prose(rng, 4000).upper().translate(str.maketrans("ABDGK", "XZQWY")), "zz") for i in range(60, 70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.sample(docs, F.lit(True))
+    assert {y for _, y in learned} == {"aa", "zz"} and all(len(t) <= langid.SAMPLE_CHARS for t, _ in learned)
+    found = langid.with_language(docs, langid.fit(learned)).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in found)
+    with pytest.raises(ValueError):
+        langid.fit([("42", "aa")])
+
+
+def test_toxic_labels_of_long_texts_are_learned(spark):
+    rng = random.Random(32)
+    rows = [(i, ("vile " if i % 2 else "calm ") + prose(rng, 6000)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    learned = toxicity.sample(docs, labels, F.lit(True))
+    assert sorted(y for _, y in learned) == [0] * 10 + [1] * 10 and {len(t) for t, _ in learned} == {toxicity.SAMPLE_CHARS}
+
+
 def test_code_switched_words_and_odd_texts(spark):
     docs = table(spark, MIDDLE, "documents")
     model = langid.fit(langid.sample(docs, langid.learnable()))

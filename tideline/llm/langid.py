@@ -7,10 +7,10 @@ posterior, exactly, over the whole text; a text's language is the one with the l
 sum, and its score is that sum's share.
 
 The model is fitted on the driver, on a sample of labelled rows of at most
-``SAMPLE_DOCS`` texts of at most ``SAMPLE_CHARS`` characters each, whatever the size of
-the corpus. Its training sequences are spliced from runs of texts in different
-languages, so that transitions are learned from code-switched text. It has a weight for
-each of ``BUCKETS`` hashed features and language.
+``SAMPLE_DOCS`` texts, shared out to the languages (each has one at least), and of a longer
+text on a span of ``SAMPLE_CHARS`` characters, whatever the size of the corpus. Its training sequences are spliced from
+runs of texts in different languages, so that transitions are learned from code-switched
+text. It has a weight for each of ``BUCKETS`` hashed features and language.
 
 Defined results: a null text or one without any letter is ``und`` with score 0; without
 labelled rows every text is ``und``; equal rows get equal results; other columns pass through
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from tideline.session import ship_package
 from tideline.llm.shingles import _powers, mix, splitmix
-from tideline.llm.store import give_back, hashed_sample, small_batches
+from tideline.llm.store import give_back, hashed_sample_by, hashed_span, small_batches
 
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 12_000
@@ -225,7 +225,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> Field:
         sequence.append(run)
         label.extend([j] * len(run))
     if not label:
-        return Field([], np.zeros((1, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.uint64))
+        raise ValueError(f"none of {len(rows)} labelled texts has a word to learn from")
     n_seq = len(label) // SPAN
     sizes = np.full(n_seq, SPAN) if n_seq else np.array([len(label)])
     sequence, label = np.concatenate(sequence)[: int(sizes.sum())], np.array(label[: int(sizes.sum())])
@@ -260,12 +260,12 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> Field:
 
 
 def sample(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> list[tuple[str, str]]:
-    """At most ``SAMPLE_DOCS`` labelled rows, by hash of their id and text."""
+    """About ``SAMPLE_DOCS`` labelled rows with a letter, equally of each language, by hash of their ids."""
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where(
-        usable & F.col("label").isNotNull()
+        usable & F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    chosen = hashed_sample(labelled, SAMPLE_DOCS, extra="label").where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    return sorted((r[0], r[1]) for r in chosen.select("text", "label").collect())
+    chosen = hashed_sample_by(labelled, SAMPLE_DOCS, "label")
+    return sorted((r[0], r[1]) for r in chosen.select(hashed_span("text", SAMPLE_CHARS), "label").collect())
 
 
 def learnable(id_col: str = "doc_id") -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -122,3 +122,25 @@ def hashed_sample(rows: DataFrame, bound: int, key: str = "doc_id", extra: str |
     turn = F.shiftrightunsigned(F.xxhash64(key), 1)  # 63 bits
     limit = int(min(1.0, 1.3 * bound / max(1, count)) * (2**53 - 1)) << 10
     return rows.where(turn <= limit).orderBy(turn, key, *([extra] if extra else [])).limit(bound)
+
+
+def hashed_sample_by(rows: DataFrame, bound: int, group: str, key: str = "doc_id") -> DataFrame:
+    """About ``bound`` of ``rows``, shared out equally to the values of ``group``; each has one row at least."""
+    counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
+    quota = max(1, bound // max(1, len(counts)))
+    turn = F.shiftrightunsigned(F.xxhash64(key), 1)  # 63 bits
+    # of each group some more than wanted, so that chance leaves none without rows
+    limits = [(g, int(min(1.0, (1.3 * quota + 40) / n) * (2**53 - 1)) << 10) for g, n in counts.items()]
+    bounds = F.broadcast(rows.sparkSession.createDataFrame(limits, f"`{group}` {rows.schema[group].dataType.simpleString()}, __limit long"))
+    near = rows.join(bounds, group).where(turn <= F.col("__limit"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(turn, key, *(c for c in rows.columns if c not in (key, group))))
+    return near.withColumn("__place", place).where(F.col("__place") <= quota).select(*rows.columns)
+
+
+def hashed_span(text: str, chars: int, key: str = "doc_id") -> Column:
+    """A text, or ``chars`` characters of a longer one from a hashed place; from its first letter, if there is none in those."""
+    whole, size = F.col(text), F.length(text)
+    at = F.pmod(F.xxhash64(key, text), F.greatest(size - chars + 1, F.lit(1))) + 1
+    span = F.substr(whole, at.cast("int"), F.lit(chars))
+    first = F.substr(whole, F.greatest(F.regexp_instr(whole, F.lit(r"\p{L}")), F.lit(1)), F.lit(chars))
+    return F.when(size <= chars, whole).when(span.rlike(r"\p{L}"), span).otherwise(first)

@@ -10,8 +10,8 @@ value law with the rate ``lambda`` that solves ``sum p exp(lambda s) = 1`` and a
 ``SIGNIFICANT`` are toxic passages. A document's probability is a logistic function of
 the best segment's surprise and of the number of passages.
 
-The model is fitted on the driver, on at most ``SAMPLE_DOCS`` labelled texts of at most
-``SAMPLE_CHARS`` characters, whatever the size of the corpus; it has at most
+The model is fitted on the driver, on at most ``SAMPLE_DOCS`` labelled texts, and of
+a longer one on a span of ``SAMPLE_CHARS`` characters, whatever the size of the corpus; it has at most
 ``LEXICON`` tokens.
 
 Defined results: null and empty texts are scored as texts without tokens; without toxic
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.session import ship_package
-from tideline.llm.store import hashed_sample, small_batches
+from tideline.llm.store import hashed_sample, hashed_span, small_batches
 
 SAMPLE_DOCS = 8000
 SAMPLE_CHARS = 20_000
@@ -209,8 +209,8 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str =
     marked = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).where(usable & F.col("label").isin(0, 1))
     ids = hashed_sample(marked, SAMPLE_DOCS, extra="label")
     # at most SAMPLE_DOCS rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length("text") <= SAMPLE_CHARS)
-    return sorted((r[0], r[1]) for r in rows.select("text", "label").limit(2 * SAMPLE_DOCS).collect())
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null")
+    return sorted((r[0], r[1]) for r in rows.select(hashed_span("text", SAMPLE_CHARS), "label").limit(2 * SAMPLE_DOCS).collect())
 
 
 def with_toxicity(docs: DataFrame, model: Detector, text_col: str = "text") -> DataFrame:
