@@ -16,27 +16,28 @@ from pyspark.sql import functions as F
 from tideline.llm.store import give_back
 
 
+def block_parts(group: str, member: str, n_blocks: Column) -> Column:
+    """The numbers of the pairs of blocks that a member of a group takes part in, as an array."""
+    n = n_blocks.cast("bigint")
+    mine = F.pmod(F.xxhash64(member), n)
+    return F.when(n == 1, F.array(F.xxhash64(group))).otherwise(
+        F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda x: F.xxhash64(group, F.least(x, mine), F.greatest(x, mine)))
+    )
+
+
 def deal(rows: DataFrame, group: str, member: str, n_blocks: Column) -> DataFrame:
     """``rows`` with ``part``, once for each pair of blocks that the member's block is in."""
-    mine = F.pmod(F.xxhash64(member), F.col("n_blocks"))
-    others = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1),
-        lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")),
-    )
-    return (
-        rows.withColumn("n_blocks", n_blocks.cast("bigint"))
-        .withColumn("mine", mine)
-        .withColumn("pair", F.explode(F.when(F.col("n_blocks") == 1, F.array(F.struct(F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j")))).otherwise(others)))
-        .withColumn("part", F.xxhash64(group, "pair.i", "pair.j"))
-        .drop("n_blocks", "mine", "pair")
-    )
+    return rows.withColumn("part", F.explode(block_parts(group, member, n_blocks)))
 
 
 def over_groups(rows: DataFrame, key: str, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Run ``work`` over tables of whole groups of ``key``, a column of longs without nulls.
 
-    Rows come sorted by key; a group that Arrow batches cut is joined again.
+    Rows come sorted by key; a group that Arrow batches cut is joined again. The number of
+    partitions is fixed: work on pairs is bound by time and not by bytes, which Spark would
+    put partitions together by.
     """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = rows.columns.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +61,7 @@ def over_groups(rows: DataFrame, key: str, work: Callable[[pa.Table], Iterator[p
         held.clear()
         give_back()
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return rows.repartition(parts, key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
 def spanning(joined: np.ndarray) -> list[tuple[int, int]]:

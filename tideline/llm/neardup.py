@@ -11,9 +11,10 @@ on full sets, by exact intersections.
 Sets are represented once however many documents have them. Buckets and candidate groups
 that are too large for one task are dealt out in pairs of blocks, and each block hands on
 a spanning forest of its links, so that connected sets stay connected and no task emits
-all pairs. A pair at the similarity 0.85 misses all bands with probability
-(1 - 0.85^4)^24 = 2e-8 and falls below the likelihood's cut, five standard deviations
-down, with about 1e-6.
+all pairs. A pair at the similarity 0.8 misses all bands with probability
+(1 - 0.8^6)^32 = 6e-5, at 0.85 with 3e-7, and falls below the likelihood's cut, four and a half
+standard deviations down, with 3e-6. Six registers to a band keep unlike sets
+apart: two agree in a band by chance with 2e-10.
 
 Defined results: null or blank texts have an empty set, link with nothing and are kept;
 equal rows are kept, with one component; a row with a null id links with nothing, has a
@@ -32,17 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.session import ship_package
-from tideline.llm.blocks import deal, over_groups, spanning
+from tideline.llm.blocks import block_parts, deal, over_groups, spanning
 from tideline.llm.graph import components
 from tideline.llm.shingles import splitmix, text_sets
 from tideline.llm.store import drop, give_back, small_batches, written
 
-REGISTERS = 96
-BAND_ROWS = 4
+REGISTERS = 192
+BAND_ROWS = 6
 SKETCH_BASE = 1.1
 SKETCH_RATE = 20.0
 TOP_REGISTER = 255
-MARGIN = 0.17
+MARGIN = 0.13
 BUCKET_BLOCK = 512
 SET_BLOCK = 512
 SET_BLOCK_SHINGLES = 400_000
@@ -210,25 +211,35 @@ def _same_set(texts: pa.Array, names: list[bytes]) -> list[bool]:
     return [digest(e.tobytes()) == name for e, name in zip(text_sets(texts), names, strict=True)]
 
 
-def confirmed_links(members: DataFrame, num: int, den: int, fits: Callable[[pa.Array, list[bytes]], list[bool]] = _same_set) -> DataFrame:
+def parts_of(members: DataFrame) -> DataFrame:
+    """``members(group_id, set_id, n_shingles, ...)``, written, with ``parts``: the blocks' pairs that each takes part in.
+
+    Groups are measured and cut before any text is attached; the join reads two written
+    tables, so that Spark can split a hot group.
+    """
+    sums = written(members.groupBy("group_id").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("volume")).where("members > 1"), "group-sizes")
+    wide = F.greatest(F.ceil(F.col("members") / SET_BLOCK), F.ceil(F.col("volume") / SET_BLOCK_SHINGLES))
+    joined = members.join(sums, "group_id").withColumn("parts", block_parts("group_id", "set_id", F.least(wide, F.col("members"))))
+    return written(joined.drop("members", "volume"), "parts")
+
+
+def confirmed_links(texts: DataFrame, num: int, den: int, fits: Callable[[pa.Array, list[bytes]], list[bool]] = _same_set) -> DataFrame:
     """``a, b``: a spanning forest, block by block, of the links with ``den * both >= num * either``.
 
-    ``members(group_id, set_id, n_shingles, text)`` has each set of a group once; an id may
+    ``texts(set_id, parts, text)`` has each set once for each part; an id may
     come with several texts, of which those count that ``fits`` finds to be of the set.
     """
-    sums = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("volume"))
-    wide = F.greatest(F.ceil(F.col("members") / SET_BLOCK), F.ceil(F.col("volume") / SET_BLOCK_SHINGLES))
-    n_blocks = F.least(wide, F.col("members"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [e.tobytes() for e in text_sets(batch.column(2))]
-            right = fits(batch.column(2), batch.column(1).to_pylist())
-            whole = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["group_id", "set_id", "elements"])
+            right = fits(batch.column(2), batch.column(0).to_pylist())
+            whole = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["set_id", "parts", "elements"])
             yield whole.filter(pa.array(right, pa.bool_()))
+        give_back()
 
-    packed = members.select("group_id", "set_id", "text").mapInArrow(pack, "group_id binary, set_id binary, elements binary")
-    dealt = deal(packed.join(sums, "group_id"), "group_id", "set_id", n_blocks).select("part", "set_id", "elements")
+    packed = texts.select("set_id", "parts", "text").mapInArrow(pack, "set_id binary, parts array<bigint>, elements binary")
+    dealt = packed.select(F.explode("parts").alias("part"), "set_id", "elements")
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         bounds = _bounds(table.column(0).to_numpy())
@@ -237,6 +248,8 @@ def confirmed_links(members: DataFrame, num: int, den: int, fits: Callable[[pa.A
         found: list[tuple[bytes, bytes]] = []
         for low, high in zip(bounds[:-1], bounds[1:], strict=True):
             arrays = [np.frombuffer(x, np.uint64) for x in packed.slice(low, high - low).to_pylist()]
+            if len(arrays) < 2:
+                continue
             both = intersections(arrays)
             sizes = np.array([len(a) for a in arrays])
             joined = den * both >= num * (sizes[:, None] + sizes[None, :] - both)
@@ -265,10 +278,11 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, id_col: str
     chosen = written(
         groups.select(F.col("node").alias("set_id"), F.col("root").alias("group_id")).join(sets.select("set_id", "n_shingles", "first_id"), "set_id"), "chosen"
     )
+    chosen = parts_of(chosen)
     one = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).where("first_id is not null")
     # the same join at every size: texts are dealt by id, the small side is hashed in each partition
-    members = one.join(chosen.hint("shuffle_hash"), "first_id").select("group_id", "set_id", "n_shingles", "text")
-    links = confirmed_links(members, num, den)
+    texts = one.join(chosen.hint("shuffle_hash"), "first_id").select("set_id", "parts", "text")
+    links = confirmed_links(texts, num, den)
     roots = components(links).select(F.col("node").alias("set_id"), "root")
     labelled = written(full.drop("registers").join(roots, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "set_id").alias("label")), "labelled")
     # written, so that the join reads two exchanges and Spark can split a hot label
