@@ -240,9 +240,12 @@ def test_paragraph_units_tile_the_text():
     rng = random.Random(3)
     text = "\n".join(prose(rng, n) for n in (3, 8, 70, 200)) + "\n"
     raw = text.encode()
-    spans = [(int(p >> 32), int(p >> 8 & 0xFFFFFF), int(p >> 2 & 63)) for _, u in paragraphs.text_units(pa.array([text])) for p in u.place]
+    units = [u for _, u in paragraphs.text_units(pa.array([text]))]
+    spans = [(int(a), int(n), int(k)) for u in units for a, n, k in zip(u.begin, u.length, u.size)]
+    pieces = [int(k) for u in units for k in u.size[: u.lines]]
     assert all(len(raw[a : a + size].split()) == n for a, size, n in spans)
-    assert sum(n for *_, n in spans) == 278 and all(n <= paragraphs.MOST_UNIT + paragraphs.LEAST_UNIT for *_, n in spans)
+    assert sum(pieces) == 281 and max(pieces) <= paragraphs.MOST_UNIT + paragraphs.LEAST_UNIT
+    assert [int(k) for u in units for k in u.size[u.lines :]] == [8, 70, 200]
 
 
 @pytest.mark.parametrize("widths", [(5, 5), (4, 5), (12, 200), (5, 200)])
@@ -274,9 +277,9 @@ def test_every_word_is_in_a_paragraph():
     rng = random.Random(23)
     text = "\n".join(prose(rng, n) for n in (3, 2, 8, 5, 70, 1, 4, 4, 200, 2))
     covered = set()
-    for _, u in paragraphs.text_units(pa.array([text]), wide=True):
-        for w in u.words:
-            covered.update(range(int(w >> 32), int(w >> 32) + int(w & 0xFFFFFFFF)))
+    for _, u in paragraphs.text_units(pa.array([text])):
+        for word, size in zip(u.word.tolist(), u.size.tolist()):
+            covered.update(range(word, word + size))
     assert covered == set(range(len(text.split())))
 
 

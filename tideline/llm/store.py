@@ -80,36 +80,56 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-FILTER_BITS = 23
+def fresh_name(rows: DataFrame, name: str) -> str:
+    """``name``, or one made of it that no column of ``rows`` has; names don't tell cases apart."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
-def only_ids(rows: DataFrame, wanted: DataFrame, id_col: str = "doc_id", bits: int = FILTER_BITS) -> DataFrame:
+BITS_AN_ID = 8
+BLOCK_BITS = 1 << 16
+MOST_BITS = 1 << 29
+
+
+def only_ids(rows: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``rows`` whose id may be one of ``wanted``'s; a join has to follow.
 
-    A bit map of ``2 ** bits`` hashed ids, of 1 MB whatever the size of ``wanted``, keeps
-    most other rows, and their texts, out of the join's shuffle.
+    A bit map of hashed ids, ``BITS_AN_ID`` bits for each wanted row, keeps most other rows,
+    and their texts, out of the join's shuffle. It is put together in blocks of 8 kB by
+    tasks, and is broadcast; beyond 64 million wanted rows it would take more than 64 MB, and
+    the join goes without it: then most texts have to move in any case.
     """
-    size = 1 << bits
+    asked = BITS_AN_ID * max(1, wanted.count())
+    if asked > MOST_BITS:
+        return rows
+    size = max(BLOCK_BITS, 1 << (asked - 1).bit_length())
     bit = F.pmod(F.xxhash64(id_col), F.lit(size))
-    packed = (
-        wanted.select(F.floor(bit / 32).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{id_col}`), 32) as int))").alias("mask"))
-        .groupBy("at")
-        .agg(F.bit_or("mask").alias("mask"))
-        .collect()
-    )
-    bitmap = np.zeros(size // 32, np.int64)
-    for at, mask in packed:
-        bitmap[at] = mask
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap.astype(np.uint32))
-    asked = rows.withColumn("__bit", bit)
+    bits = wanted.select((bit / BLOCK_BITS).cast("bigint").alias("block"), (bit % BLOCK_BITS).cast("int").alias("bit")).distinct()
+
+    def pack(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        blocks, places = table.column(0).to_numpy(), table.column(1).to_numpy()
+        for block in np.unique(blocks):
+            held = np.zeros(BLOCK_BITS, bool)
+            held[places[blocks == block]] = True
+            yield pa.RecordBatch.from_arrays([pa.array([int(block)], pa.int64()), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["block", "bits"])
+
+    from tideline.llm.blocks import over_groups
+
+    bitmap = np.zeros(size // 8, np.uint8)
+    for block, held in over_groups(bits, "block", pack, "block bigint, bits binary").collect():
+        bitmap[block * (BLOCK_BITS // 8) : (block + 1) * (BLOCK_BITS // 8)] = np.frombuffer(held, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    numbered = rows.withColumn(fresh_name(rows, "bit"), bit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.column(batch.num_columns - 1).to_numpy()
-            hit = (shared.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1
+            hit = (shared.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(hit.astype(bool)))
 
-    return asked.mapInArrow(run, rows.schema)
+    return numbered.mapInArrow(run, rows.schema)
 
 
 def hashed_sample(rows: DataFrame, bound: int, key: str = "doc_id", extra: str | None = None) -> DataFrame:
