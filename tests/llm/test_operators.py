@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -552,6 +553,118 @@ def test_pages_of_the_tables(spark):
     assert len(rows) == 50 and all(r["n_chars"] == len(r["text"]) > 0 for r in rows)
 
 
+MENU = "<div><p>Home</p><p>About us</p><p>Contact</p></div>"
+STORY = "<div><h2>Title</h2><p>{0}</p><p>Be.</p><p>{0}</p><p>So.</p></div>".format("A sentence of the text that is told here. " * 4)
+
+
+def test_ratios_decide_without_names_of_elements(monkeypatch):
+    page = f"<body>{MENU}{STORY}<div><p>Top</p><p>Imprint</p></div></body>"
+    story = " ".join(x for x in re.sub("<[^>]*>", " ", STORY).split())
+    assert html.main_text(page) == story
+    monkeypatch.setattr(html, "smoothed", lambda values: [1.0] * len(values))
+    assert html.main_text(page) != story
+
+
+def test_smoothing_keeps_short_lines_among_long_ones(monkeypatch):
+    long = "A sentence of the text that is told here. " * 4
+    parts = [long, long, "Be.", long, long]
+    page = "<body>" + MENU + "".join(f"<div><p>{x}</p></div>" for x in parts) + MENU + "</body>"
+    want = " ".join(" ".join(parts).split())
+    assert html.main_text(page) == want
+    monkeypatch.setattr(html, "smoothed", lambda values: values)
+    assert html.main_text(page) != want
+
+
+def random_page(rng):
+    """A page, and its lines as (text, tags, link characters, elements around it)."""
+    out, lines, tags = ["<html><body>"], [], [2]
+
+    def block(tag, path, inner):
+        out.append(f"<{tag}>")
+        tags[0] += 1
+        inner([*path, f"{tag} {rng.random()}"])
+        out.append(f"</{tag}>")
+        tags[0] += 1
+
+    def words(path):
+        text = prose(rng, rng.choice([1, 1, 2, 3, 8, 20, 60]))
+        linked = rng.random() < 0.2
+        out.append(f"<a href=x>{text}</a>" if linked else text)
+        # the tag that ends the line is one of its tags
+        lines.append((text, tags[0] + 2 * linked + 1, len(text) if linked else 0, path))
+        tags[0] = -1
+
+    def part(path, depth):
+        for _ in range(rng.randint(1, 5)):
+            if depth < 3 and rng.random() < 0.4:
+                block(rng.choice(["div", "section", "blockquote"]), path, lambda q: part(q, depth + 1))
+            elif rng.random() < 0.2:
+                block("ul", path, lambda q: [block("li", q, words) for _ in range(rng.randint(1, 4))])
+            else:
+                block("p", path, words)
+
+    part(["html", "body"], 0)
+    return "".join(out) + "</body></html>", lines
+
+
+def plain_content(lines):
+    def kind(e):
+        return e.split(" ")[0]
+
+    def container(path):
+        while path and kind(path[-1]) in ("p", "ul", "li", "blockquote"):
+            path = path[:-1]
+        return path[-1] if path else ""
+
+    n = len(lines)
+    raw = [((len(t) - k) / max(1, g)) ** 0.5 for t, g, k, _ in lines]
+    soft = []
+    for i in range(n):
+        w = {j: math.exp(-((i - j) ** 2) / 2) for j in range(n) if abs(i - j) <= 3}
+        soft.append(sum(raw[j] * x for j, x in w.items()) / sum(w.values()))
+    centre, near = max(soft), None
+    while near != (near := [x >= centre / 2 for x in soft]):
+        centre = np.mean([x for x, y in zip(soft, near) if y])
+    over = [i for i in range(n) if raw[i] >= centre / 2]
+    near = [any(j <= i <= k and all(near[j : k + 1]) for j in over for k in over) for i in range(n)]
+    kept = []
+    for i, (text, _, k, path) in enumerate(lines):
+        own = [j for j in range(n) if near[j] and container(lines[j][3]) == container(path)]
+        inner = bool(own) and min(own) < i < max(own)
+        links = any(kind(e) == "li" for e in path) and k >= 0.9 * len(text)
+        kept.append(near[i] or inner or bool(own) and kind(container(path)) not in ("html", "body") and not links)
+    return " ".join(line[0] for line, x in zip(lines, kept) if x)
+
+
+def test_main_text_matches_brute_force():
+    rng = random.Random(31)
+    changed = 0
+    for _ in range(150):
+        page, lines = random_page(rng)
+        found = html.main_text(page)
+        assert found == plain_content(lines)
+        changed += found != " ".join(x[0] for x in lines)
+    assert changed > 50
+
+
+def test_main_text_takes_linear_time():
+    def spent(page):
+        start = time.perf_counter()
+        html.main_text(page)
+        return time.perf_counter() - start
+
+    for unit in ("<div>text", "<div class=ad><article>", "<section>x</b></i></p>", "</div><foo>y"):
+        assert spent(unit * 16_000) < 16 * max(spent(unit * 4_000), 0.02)
+
+
+def test_pages_of_odd_rows(spark):
+    rows = [(1, "u", None, "t"), (1, "u", None, "t"), (2, None, "", "t"), (None, "v", "<p>A word or two.", "t"), (3, "w", "<nav>x</nav>", "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    found = [tuple(r) for r in html.extract_text(pages).collect()]
+    assert sorted(found, key=str) == sorted([(1, "u", ""), (1, "u", ""), (2, None, ""), (None, "v", "A word or two."), (3, "w", "")], key=str)
+    assert html.extract_text(pages.limit(0)).count() == 0
+
+
 # toxicity
 
 

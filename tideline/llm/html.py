@@ -2,15 +2,21 @@
 
 The standard library's parser streams events; they are folded into lines (one for each
 block of running text) with counts of text, tags and link text. A line's ratio of text
-to tags is smoothed with a Gaussian over its neighbours, and a threshold splits lines
-into dense and sparse ones. Dense lines vote for the element that holds them; the
-elected element's lines are the content, dense or not, so that short paragraphs stay.
-Lines inside menus, headers, footers, side bars, notices, adverts, forms, reader
-comments, scripts and styles don't take part.
-
-Defined results: null or empty html gives an empty text; where names of elements exclude
-every line they don't count, and if nothing is left even so the text is empty; unclosed and stray tags are tolerated; white space (as
-``str.split`` sees it) becomes one space; equal rows are kept; other columns are ignored.
+outside links to tags (its square root, so that a few long lines don't outweigh all) is smoothed with a Gaussian over its
+neighbours. Two clusters, around the origin and around a mean that is worked out, set the
+threshold between sparse and dense lines. Runs of dense lines, from one that is dense by
+itself to another, are content, and so is what belongs to these regions: sparse lines
+between dense ones of the same container, and at its ends too, but for lists of links;
+of the page's body itself only what is between dense lines.
+
+Elements, roles and names only exclude: menus, headers, footers, side bars, notices,
+adverts, forms, reader comments, scripts and styles don't take part. An element that holds
+all text of the page isn't excluded by its name.
+
+Defined results: null or empty html gives an empty text, and so does a page whose lines
+are all excluded; unclosed and stray tags are tolerated; white space (as ``str.split``
+sees it) becomes one space; equal rows are kept; other columns are ignored. Time and memory
+are linear in the page.
 """
 
 from __future__ import annotations
@@ -47,83 +53,119 @@ SKIPPED_NAMES = frozenset(
     " disclaimer form search hidden responses reactions guestbook announcement toast cta adsbygoogle adsense taboola outbrain".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol li dl dt dd table thead tbody tfoot tr td th caption".split())
+WITHIN = LISTS | HEADINGS | frozenset("p blockquote pre figure figcaption center details summary hgroup address".split())
+PAGE = frozenset(("html", "body", ""))
 ROOTS = ("article", "main")
 SIGMA = 1.0
-DENSITY = 0.5
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _excluded(tag: str, attrs: list[tuple[str, str | None]], by_name: bool) -> bool:
+def _excluded(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """2 if the element never counts, 1 if its name says that it doesn't, or else 0."""
     if tag in SKIPPED:
-        return True
+        return 2
+    named = 0
     for name, value in attrs:
         value = value or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
-            return True
+            return 2
         if name == "role" and value.lower() in SKIPPED_ROLES:
-            return True
-        if by_name and name in ("class", "id") and tag not in ("body", "html", "main"):
+            return 2
+        if name in ("class", "id") and tag not in ("body", "html", "main"):
             words = {w.lower() for w in _NAME.findall(value)}
             if not SKIPPED_NAMES.isdisjoint(words - {"header"} if tag in HEADINGS else words):
-                return True
-    return False
+                named = 1
+    return named
 
 
 class Lines(HTMLParser):
-    """Folds parser events into ``lines``: (text, tags, link characters, elements that hold it)."""
+    """Folds parser events into ``lines``: (text, tags, link characters, element that holds it).
+
+    Elements are numbered as they open: ``kinds``, ``parents`` and ``named`` tell of each;
+    number 0 stands for the page. What never counts is left out here.
+    """
 
-    def __init__(self, by_name: bool = True) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.by_name = by_name
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
-        self.kinds: list[str] = []
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.kinds, self.parents, self.named = [""], [0], [False]
         self._open: list[tuple[str, int, bool]] = []
+        self._places: dict[str, list[int]] = {}
+        self._scopes: list[int] = []
         self._skipping = 0
+        self._doubtful: list[int] = []
         self._text: list[str] = []
         self._tags = 0
         self._links = 0
         self._anchors = 0
+        self._seen, self._known, self._beside, self._found = 0, 1, [False], False
 
     def _break(self) -> None:
         text = " ".join("".join(self._text).split())
         if text:
-            self.lines.append((text, self._tags, self._links, tuple(i for _, i, _ in self._open)))
+            self.lines.append((text, self._tags, min(self._links, len(text)), self._open[-1][1] if self._open else 0))
             self._tags = 0
         self._text.clear()
         self._links = 0
 
-    def _push(self, tag: str, skipped: bool) -> None:
+    def _push(self, tag: str, excluded: int) -> None:
+        self._places.setdefault(tag, []).append(len(self._open))
+        if tag in SCOPES:
+            self._scopes.append(len(self._open))
+        self.parents.append(self._open[-1][1] if self._open else 0)
         self.kinds.append(tag)
-        self._open.append((tag, len(self.kinds) - 1, skipped))
-        self._skipping += skipped
+        self.named.append(excluded == 1)
+        self._open.append((tag, len(self.kinds) - 1, excluded == 2))
+        self._skipping += excluded == 2
+        if excluded:
+            self._doubtful.append(len(self._open) - 1)
 
     def _pop_to(self, place: int) -> None:
-        for _, _, skipped in self._open[place:]:
+        while self._doubtful and self._doubtful[-1] >= place:
+            self._doubtful.pop()
+        for tag, _, skipped in self._open[place:]:
             self._skipping -= skipped
+            self._places[tag].pop()
+            if tag in SCOPES:
+                self._scopes.pop()
         del self._open[place:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self._tags += 1
+        self._tags += not self._skipping
         if tag == "br" or (tag in VOID and tag not in INLINE):
             self._break()
             return
         if tag == "a":
             self._anchors = 1
         if tag in INLINE:
-            if tag not in VOID and _excluded(tag, attrs, self.by_name):
+            if tag not in VOID and (excluded := _excluded(tag, attrs)):
                 self._break()
-                self._push(tag, True)
+                self._push(tag, excluded)
             return
         self._break()
         self._anchors = 0
         closed = CLOSED_BY_BLOCK | {tag} if tag in ("li", "tr", "td", "th", "option") else CLOSED_BY_BLOCK
         while self._open and self._open[-1][0] in closed:
             self._pop_to(len(self._open) - 1)
-        if tag in ROOTS and self._skipping and not self.lines:
+        if tag in ROOTS and self._doubtful and not self._clean:
             # what leads up to the content was left open: it ends here
-            self._pop_to(next(i for i, (_, _, skipped) in enumerate(self._open) if skipped))
-        self._push(tag, _excluded(tag, attrs, self.by_name))
+            self._pop_to(self._doubtful[0])
+        self._push(tag, _excluded(tag, attrs))
+
+    @property
+    def _clean(self) -> bool:
+        """Whether there is a line already that nothing excludes."""
+        while self._seen < len(self.lines):
+            element = self.lines[self._seen][3]
+            while self._known < len(self.kinds):
+                self._beside.append(self.named[self._known] or self._beside[self.parents[self._known]])
+                self._known += 1
+            self._seen += 1
+            if not self._beside[element]:
+                self._found = True
+        return self._found
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -131,20 +173,20 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        self._tags += 1
+        self._tags += not self._skipping
         if tag == "a":
             self._anchors = 0
         if tag not in INLINE:
             self._break()
-        for place in range(len(self._open) - 1, -1, -1):
-            name = self._open[place][0]
-            if name == tag:
-                if tag in INLINE:
-                    self._break()
+        place = (self._places.get(tag) or [-1])[-1]
+        if place < 0:
+            return
+        if tag in INLINE:
+            if place == len(self._open) - 1:
+                self._break()
                 self._pop_to(place)
-                return
-            if name in SCOPES and tag not in SCOPES or tag in INLINE:
-                return
+        elif tag in SCOPES or not self._scopes or place > self._scopes[-1]:
+            self._pop_to(place)
 
     def handle_data(self, data: str) -> None:
         if self._skipping:
@@ -170,34 +212,80 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     return found
 
 
+def threshold(ratios: list[float]) -> float:
+    """The boundary of two clusters of ratios.
+
+    One centre stays at the origin, the other starts at the largest ratio and moves to the
+    mean of the ratios that are nearer to it, which lowers the boundary between the two.
+    """
+    centre, count = max(ratios, default=0.0), 0
+    while True:
+        near = [value for value in ratios if 2 * value >= centre]
+        if len(near) == count:
+            return centre / 2
+        count = len(near)
+        centre = sum(near) / count
+
+
+def dense(ratios: list[float]) -> list[bool]:
+    """Which lines are in dense regions: runs over the threshold, smoothed, that start and end with lines over it themselves."""
+    soft = smoothed(ratios)
+    least = threshold(soft)
+    found = [value >= least for value in soft]
+    for order in (range(len(ratios)), range(len(ratios) - 1, -1, -1)):
+        inside = False
+        for i in order:
+            inside = found[i] and (inside or ratios[i] >= least)
+            found[i] = inside
+    return found
+
+
+def included(parser: Lines) -> list[tuple[str, int, int, int]]:
+    """The lines that no element's name excludes."""
+    size = [0] * len(parser.kinds)
+    for text, _, _, element in parser.lines:
+        size[element] += len(text)
+    for element in range(len(size) - 1, 0, -1):
+        size[parser.parents[element]] += size[element]
+    beside = [False] * len(size)
+    for element in range(1, len(size)):
+        beside[element] = beside[parser.parents[element]] or (parser.named[element] and size[element] < size[0])
+    return [x for x in parser.lines if not beside[x[3]]]
+
+
+def content(lines: list[tuple[str, int, int, int]], kinds: list[str], parents: list[int]) -> list[bool]:
+    """Which lines are content: the dense ones, and the sparse ones of their regions."""
+    marked = dense([math.sqrt((len(text) - links) / max(1, tags)) for text, tags, links, _ in lines])
+    container, listed = [0] * len(kinds), [False] * len(kinds)
+    for element in range(1, len(kinds)):
+        inside = kinds[element] in WITHIN or kinds[element] in INLINE
+        container[element] = container[parents[element]] if inside else element
+        listed[element] = inside and (kinds[element] in LISTS or listed[parents[element]])
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for i, line in enumerate(lines):
+        if marked[i]:
+            first.setdefault(container[line[3]], i)
+            last[container[line[3]]] = i
+    kept = []
+    for i, (text, _, links, element) in enumerate(lines):
+        holder = container[element]
+        between = holder in first and first[holder] < i < last[holder]
+        ends = holder in first and kinds[holder] not in PAGE and not (listed[element] and links >= 0.9 * len(text))
+        kept.append(marked[i] or between or ends)
+    return kept
+
+
 def main_text(page: str | None) -> str:
-    """The text of the page's content region; blocks joined by one space."""
+    """The text of the page's content regions; blocks joined by one space."""
     if not page:
         return ""
-    # a wrapper with an unlucky name may hold the whole page: then names don't count
-    for by_name in (True, False):
-        parser = Lines(by_name)
-        parser.feed(page)
-        parser.close()
-        lines = [x for x in parser.lines if x[2] < 0.9 * len(x[0]) or len(x[0]) > 200]
-        if lines:
-            break
-    else:
-        return ""
-    ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines])
-    threshold = DENSITY * sum(ratios) / len(ratios)
-    votes: dict[int, float] = {}
-    for (text, _, links, inside), ratio in zip(lines, ratios, strict=True):
-        if ratio < threshold:
-            continue
-        holders = [e for e in inside if parser.kinds[e] not in CLOSED_BY_BLOCK]
-        for depth, element in enumerate(reversed(holders)):
-            votes[element] = votes.get(element, 0.0) + (len(text) - links) * 0.7**depth
-    roots = [e for e in votes if parser.kinds[e] == ROOTS[0]] or [e for e in votes if parser.kinds[e] == ROOTS[1]] or list(votes)
-    if not roots:
-        return " ".join(text for text, *_ in lines)
-    elected = max(roots, key=lambda e: (votes[e], -e))
-    return " ".join(text for text, _, _, inside in parser.lines if elected in inside)
+    parser = Lines()
+    parser.feed(page)
+    parser.close()
+    lines = included(parser)
+    kept = content(lines, parser.kinds, parser.parents)
+    return " ".join(line[0] for line, held in zip(lines, kept, strict=True) if held)
 
 
 def extract_text(pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
