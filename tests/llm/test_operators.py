@@ -716,3 +716,37 @@ def test_queries_match_sql(spark, name):
     result = con.execute(queries.oracle_sql()[name])
     order = [[d[0] for d in result.description].index(c) for c in columns]
     assert got == sorted((tuple(r[i] for i in order) for r in result.fetchall()), key=repr)
+
+
+def test_e_values_are_those_of_ordinary_texts():
+    con = duckdb.connect()
+    rows = con.sql(
+        "SELECT d.doc_id, d.text, l.toxic FROM '/root/testdata/sf0.1/documents.parquet' d JOIN '/root/testdata/sf0.1/labels.parquet' l USING (doc_id)"
+        " WHERE d.text IS NOT NULL AND l.toxic IS NOT NULL ORDER BY 1"
+    ).fetchall()
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows]
+    model = toxicity.fit([(text, y) for (_, text, y), out in zip(rows, held) if not out])
+    ordinary = [min((e for *_, e in model.segments(text)[0]), default=math.inf) for (_, text, y), out in zip(rows, held) if out and not y]
+    for c in (0.01, 0.1, 1.0):
+        want = 1 - math.exp(-c)
+        assert np.mean(np.array(ordinary) < c) == pytest.approx(want, abs=3 * math.sqrt(want * (1 - want) / len(ordinary)))
+    right = [(model.judge(text)[0] >= 0.3) == bool(y) for (_, text, y), out in zip(rows, held) if out]
+    assert np.mean(right) >= 0.985
+
+
+def test_toxicity_replaces_columns_of_its_names(spark):
+    docs = spark.createDataFrame([(1, "x", 0.5, "y")], "doc_id long, text string, Score double, passages string")
+    model = toxicity.fit([("you vile thing here", 1)] * 40 + [("a calm sentence here", 0)] * 200)
+    out = toxicity.with_toxicity(docs, model)
+    assert out.columns == ["doc_id", "text", "score", "passages"] and out.first()["passages"] == []
+
+
+def test_copies_count_once():
+    rng = random.Random(33)
+    text = prose(rng, 60)
+    copies = [(text + " end" * i, 1) for i in range(5)]
+    grouped = toxicity.in_groups([*copies, *((prose(rng, 60), 1) for _ in range(toxicity.FOLDS)), ("", 0)])
+    assert len({g for g, _, y in grouped if y}) == 1 + toxicity.FOLDS
+    _, sizes = toxicity.document_counts(grouped)
+    assert [sum(s[k] for s in sizes) for k in (0, 1)] == [1, 1 + toxicity.FOLDS]
+    assert len({g for g, *_ in toxicity.in_groups(copies)}) == 5

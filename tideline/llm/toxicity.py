@@ -1,14 +1,23 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Tokens, and beginnings of tokens, that mark toxic documents are found by log-odds of document frequencies with an
-informative Dirichlet prior (the frequencies of all labelled documents). A token's score
-is the log-ratio of its rate in a toxic passage to that in ordinary text; all other
-tokens share a small negative score. A linear-time scan finds every maximal-scoring
-segment of a text. Under ordinary text the best score of n tokens follows an extreme
-value law with the rate ``lambda`` that solves ``sum p exp(lambda s) = 1`` and a factor
-``K``; it turns scores into expected counts (E-values). Segments with an E-value under
-``SIGNIFICANT`` are toxic passages. A document's probability is a logistic function of
-the best segment's surprise and of the number of passages.
+A token's score is the log-odds of its document frequencies in toxic and in other labelled
+documents, with an informative Dirichlet prior (``PRIOR_DOCS`` documents with the token, toxic
+or not as the labels are; near copies count as one document), times a
+weight that goes from 0 to 1 around ``FIRM_Z`` standard errors; it is that of the strongest
+of the token and its beginnings. A linear-time scan finds every maximal-scoring segment of
+a text, in which tokens of ``LEAST_MARK`` or less cost ``COST``; a text without marks has
+its strongest token as its best segment.
+
+Calibration: under ordinary text the best score of n tokens grows with ``log(n) / lambda``,
+where ``lambda`` solves ``sum p exp(lambda s) = 1`` over the distribution of the scores of
+ordinary tokens; without that, best scores of all lengths are comparable. Their distribution
+over ordinary documents is taken as it is, and beyond ``TAIL`` of them by the exponential
+tail that extreme values have. It turns scores into E-values: an ordinary document has a
+segment with an E-value under c with the probability ``1 - exp(-c)``. All is taken
+out of fold: a document's tokens are scored by the odds of the other folds, as those of a
+new text will be. Segments with an E-value under ``SIGNIFICANT`` are toxic passages. A
+document's probability is a logistic function of the best segment's surprise and of the
+surprise of all segments together, fitted out of fold too.
 
 The model is fitted on the driver, on at most ``SAMPLE_DOCS`` labelled texts, and of
 a longer one on a span of ``SAMPLE_CHARS`` characters, whatever the size of the corpus; it has at most
@@ -16,7 +25,8 @@ a longer one on a span of ``SAMPLE_CHARS`` characters, whatever the size of the
 
 Defined results: null and empty texts are scored as texts without tokens; without toxic
 labels every score is that of the share of toxic labels, 0 without any; equal rows get
-equal results; null labels don't count; other columns pass through ``with_toxicity``.
+equal results; null labels don't count; other columns pass through ``with_toxicity``, but
+for those of the names that it adds, which it replaces.
 """
 
 from __future__ import annotations
@@ -26,6 +36,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +46,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.session import ship_package
+from tideline.llm.shingles import splitmix, text_sets
 from tideline.llm.store import hashed_sample, hashed_span, small_batches
 
 SAMPLE_DOCS = 8000
 SAMPLE_CHARS = 20_000
 LEXICON = 20_000
-PRIOR_DOCS = 50.0
-LEAST_Z = 4.0
-LEAST_ODDS = 1.5
-LEAST_DOCS = 3
+PRIOR_DOCS = 10.0
+LEAST_DOCS = 2
+OWN_DOCS = 5
+FIRM_Z = 3.5
+LEAST_MARK = 0.5
+COST = 0.1
+FOLDS = 10
+TAIL = 0.01
+QUANTILES = 1000
 STEM = (4, 8)
 CACHE_TOKENS = 300_000
-DENSITY = 0.1
 SIGNIFICANT = 1e-2
 SLICE_BYTES = 4 << 20
 PASSAGES = "array<struct<first:int,last:int,score:double,e_value:double>>"
+_MULTIPLIERS = splitmix(83, 4) | np.uint64(1)
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -79,17 +96,16 @@ def maximal_segments(items: list[tuple[int, float]], between: float) -> list[tup
 
 
 class Scores(dict):
-    """Token -> score or None, by the best of the marks that the token is or begins with."""
+    """Token -> score, by the best of the marks that the token is or begins with; 0 without."""
 
     def __init__(self, marks: dict[str, float]) -> None:
         super().__init__()
         self.marks = marks
 
-    def __missing__(self, token: str) -> float | None:
+    def __missing__(self, token: str) -> float:
         if len(self) > CACHE_TOKENS:
             self.clear()
-        found = [self.marks[x] for x in stems(token) if x in self.marks]
-        self[token] = value = max(found) if found else None
+        self[token] = value = max((self.marks[x] for x in stems(token) if x in self.marks), default=0.0)
         return value
 
 
@@ -98,63 +114,173 @@ def stems(token: str) -> list[str]:
     return [token, *(token[:k] + "-" for k in range(STEM[0], min(STEM[1], len(token) - 1) + 1))]
 
 
+@dataclass
+class Law:
+    """How often ordinary documents reach a length-free best score, and beyond."""
+
+    values: np.ndarray  # ascending
+    shares: np.ndarray  # of documents that reach them
+    tail: float  # the rate of the exponential tail
+
+    @classmethod
+    def of(cls, values: np.ndarray) -> Law:
+        """The law of a sample, of which at most ``QUANTILES`` points are kept."""
+        n = len(values)
+        ordered = np.sort(values)
+        top = max(1, min(n - 1, max(10, round(TAIL * n))))
+        excess = float((ordered[n - top :] - ordered[n - top - 1]).mean()) if n > 1 else 1.0
+        places = np.unique(np.linspace(0, n - top - 1, QUANTILES).round().astype(int)) if n > 1 else np.array([0])
+        return cls(ordered[places], (n - places) / (n + 1), 1 / max(excess, 1e-3))
+
+    def e_value(self, value: float) -> float:
+        """The expected number of segments that score as much in an ordinary document."""
+        if value > self.values[-1]:
+            share = self.shares[-1] * math.exp(-min(700.0, self.tail * (value - self.values[-1])))
+        else:
+            share = float(np.interp(value, self.values, self.shares))
+        return -math.log1p(-min(share, 1 - 1e-9))
+
+
+_FLAT = Law(np.zeros(1), np.full(1, 0.5), 1.0)
+
+
 @dataclass
 class Detector:
     """A fitted model."""
 
     marks: dict[str, float]
-    between: float
     rate: float
-    factor: float
+    law: Law
     weights: tuple[float, float, float]
 
     def __post_init__(self) -> None:
         self.scores = Scores(self.marks)
 
-    def segments(self, text: str | None) -> tuple[list[tuple[int, int, float, float]], int]:
-        """Segments ``(first token, last token, score, E-value)`` and the number of tokens."""
+    def raw_segments(self, text: str | None) -> tuple[list[tuple[int, int, float]], list[str], list[float]]:
+        """Segments ``(first token, last token, score)``, the tokens, and their scores."""
         tokens = _TOKEN.findall(text.lower()) if text else []
-        marks = [(i, s) for i, s in enumerate(map(self.scores.__getitem__, tokens)) if s is not None]
-        n = max(1, len(tokens))
-        found = [(a, b, s, self.factor * n * math.exp(-self.rate * s)) for a, b, s in maximal_segments(marks, self.between)]
-        return found, len(tokens)
-
-    def facts(self, found: list[tuple[int, int, float, float]]) -> tuple[float, float]:
-        """The best segment's surprise, and the significant segments' number, as logarithms."""
-        best = min((e for *_, e in found), default=math.inf)
-        surprise = 30.0 if best < 1e-13 else math.log1p(1 / best)
-        return surprise / 10, math.log1p(sum(e < SIGNIFICANT for *_, e in found))
+        scores = [self.scores[t] for t in tokens]
+        marks = [(i, s) for i, s in enumerate(scores) if s > LEAST_MARK]
+        if marks:
+            return maximal_segments(marks, -COST), tokens, scores
+        best = max(scores, default=0.0)
+        return [(scores.index(best),) * 2 + (best,)] if tokens else [], tokens, scores
+
+    def segments(self, text: str | None) -> tuple[list[tuple[int, int, float, float]], list[str]]:
+        """Segments ``(first token, last token, score, E-value)`` and the tokens."""
+        found, tokens, _ = self.raw_segments(text)
+        shift = math.log(max(1, len(tokens))) / self.rate
+        return [(a, b, s, self.law.e_value(s - shift)) for a, b, s in found], tokens
+
+    def facts(self, e_values: list[float], names: list[str]) -> tuple[float, float]:
+        """The best segment's surprise, and that of all segments that are rarer than one a document, together.
+
+        Of segments that start with the same token the best counts: repeating it says nothing more.
+        """
+        surprises: dict[str, float] = {}
+        for e, name in zip(e_values, names, strict=True):
+            if e < 1:
+                surprises[name] = max(surprises.get(name, 0.0), min(30.0, -math.log(max(e, 1e-300))))
+        return max(surprises.values(), default=0.0) / 10, math.log1p(sum(surprises.values()))
 
     def judge(self, text: str | None) -> tuple[float, list[tuple[int, int, float, float]]]:
         """Probability of the toxic label, and the significant passages."""
-        found, _ = self.segments(text)
-        x, y = self.facts(found)
+        found, tokens = self.segments(text)
+        x, y = self.facts([e for *_, e in found], [tokens[a] for a, *_ in found])
         a, b, c = self.weights
-        return 1 / (1 + math.exp(-(a + b * x + c * y))), [s for s in found if s[3] < SIGNIFICANT]
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, a + b * x + c * y)))), [s for s in found if s[3] < SIGNIFICANT]
 
 
-def lexicon(rows: list[tuple[str, int]]) -> dict[str, float]:
-    """Log-odds of the tokens and beginnings of tokens that mark toxic documents."""
-    toxic, other = Counter(), Counter()
-    n_toxic = sum(y for _, y in rows)
-    n_other = len(rows) - n_toxic
-    for text, y in rows:
-        if y:
-            toxic.update({x for t in set(_TOKEN.findall(text.lower())) for x in stems(t)})
-    able = {x for x, n in toxic.items() if n >= LEAST_DOCS}
-    for text, y in rows:
-        if not y:
-            other.update({x for t in set(_TOKEN.findall(text.lower())) for x in stems(t) if x in able})
+def in_groups(rows: list[tuple[str, int]]) -> list[tuple[int, str, int]]:
+    """``(group, text, label)``, sorted: texts that share one of a few MinHash values of five words, and chains of such, are a group.
+
+    With fewer toxic groups than folds there is nothing to leave out: then each text is one.
+    """
+    sets = list(text_sets(pa.array([text for text, _ in rows], pa.string())))
+    roots = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while roots[i] != i:
+            roots[i] = i = roots[roots[i]]
+        return i
+
+    seen: dict[tuple[int, int], int] = {}
+    for i, elements in enumerate(sets):
+        for k, multiplier in enumerate(_MULTIPLIERS if len(elements) else ()):
+            other = root(seen.setdefault((k, int((elements * multiplier).min())), i))
+            roots[max(other, root(i))] = min(other, root(i))
+    names = [int(sets[root(i)][0]) if len(sets[i]) else 0 for i in range(len(rows))]
+    if len({name for name, (_, y) in zip(names, rows, strict=True) if y}) < FOLDS:
+        return [(i, text, y) for i, (text, y) in enumerate(sorted(rows))]
+    return sorted((name, text, y) for name, (text, y) in zip(names, rows, strict=True))
+
+
+def document_counts(rows: list[tuple[int, str, int]]) -> tuple[list[tuple[Counter, Counter]], list[list[int]]]:
+    """For each fold, in how many other and toxic groups of copies a token or beginning is, and how many there are.
+
+    Only what ``LEAST_DOCS`` toxic groups have is counted. A beginning that groups have in
+    tokens that are not known by themselves (to ``OWN_DOCS`` toxic groups) counts by those:
+    it says nothing that the known token doesn't.
+    """
+    counts = [(Counter(), Counter()) for _ in range(FOLDS)]
+    beside: list[Counter] = [Counter() for _ in range(FOLDS)]
+    sizes = [[0, 0] for _ in range(FOLDS)]
+
+    def groups(label: int) -> Iterator[tuple[int, set[str]]]:
+        for group, copies in groupby((row for row in rows if row[2] == label), key=lambda row: row[0]):
+            yield group % FOLDS, {t for _, text, _ in copies for t in _TOKEN.findall(text.lower())}
+
+    whole = Counter(t for _, tokens in groups(1) for t in tokens)
+    known = {t for t, n in whole.items() if n >= OWN_DOCS}
+    for fold, tokens in groups(1):
+        counts[fold][1].update({x for t in tokens for x in stems(t)})
+        beside[fold].update({x for t in tokens - known for x in stems(t)[1:]})
+        sizes[fold][1] += 1
+    able = {x for x, n in sum((c[1] for c in counts), Counter()).items() if n >= LEAST_DOCS}
+    for fold, tokens in groups(0):
+        counts[fold][0].update({x for t in tokens for x in stems(t) if x in able})
+        sizes[fold][0] += 1
+    met = sum((c[0] for c in counts), Counter())
+    others = sum(beside, Counter())
+    for (_, toxic), unknown in zip(counts, beside, strict=True):
+        for x in list(toxic):
+            if x not in able:
+                del toxic[x]
+            elif x.endswith("-") and met[x] + others[x] >= OWN_DOCS:
+                toxic[x] = unknown[x]
+    return counts, sizes
+
+
+def lexicon(toxic: Counter, other: Counter, n_toxic: int, n_other: int) -> dict[str, float]:
+    """Scores of the at most ``LEXICON`` tokens, and beginnings of tokens, that speak most for toxic documents."""
+    share = n_toxic / (n_toxic + n_other)
     ranked = []
-    for token in able:
-        a, b = toxic[token], other[token]
-        prior = PRIOR_DOCS * (a + b) / len(rows)
-        a1, b1 = a + prior, b + prior
+    for token, a in toxic.items():
+        if a < LEAST_DOCS:
+            continue
+        b = other[token]
+        a1, b1 = a + PRIOR_DOCS * share, b + PRIOR_DOCS * (1 - share)
         odds = math.log(a1 / (n_toxic + PRIOR_DOCS + 1 - a1)) - math.log(b1 / (n_other + PRIOR_DOCS + 1 - b1))
         z = odds / math.sqrt(1 / a1 + 1 / b1)
-        if z >= LEAST_Z and odds >= LEAST_ODDS:
-            ranked.append((-z, token, odds))
-    return {token: odds for _, token, odds in sorted(ranked)[:LEXICON]}
+        if odds > 0:
+            ranked.append((-z, token, odds / (1 + math.exp(-3 * (z - FIRM_Z)))))
+    return {token: score for _, token, score in sorted(ranked)[:LEXICON]}
+
+
+def growth_rate(scores: Counter) -> float:
+    """The positive ``lambda`` of ``sum p exp(lambda s) = 1``, over counted scores with a negative mean."""
+    values, counts = np.array(list(scores)), np.array(list(scores.values()), float)
+    low, high = 0.0, 1.0
+
+    def total(rate: float) -> float:
+        return float((counts * np.exp(np.minimum(rate * values, 700))).sum() / counts.sum())
+
+    while total(high) < 1 and high < 100:
+        high *= 2
+    for _ in range(100):
+        rate = (low + high) / 2
+        low, high = (rate, high) if total(rate) < 1 else (low, rate)
+    return (low + high) / 2
 
 
 def fit(rows: list[tuple[str, int]]) -> Detector:
@@ -162,33 +288,35 @@ def fit(rows: list[tuple[str, int]]) -> Detector:
     n_toxic = sum(y for _, y in rows)
     share = n_toxic / len(rows) if rows else 0.0
     flat = (math.log(share / (1 - share)) if 0 < share < 1 else (30.0 if share else -30.0), 0.0, 0.0)
-    marks = lexicon(rows) if 0 < share < 1 else {}
-    if not marks:
-        return Detector({}, -1.0, 1.0, 1.0, flat)
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    n_plain = 0
-    for text, y in rows:
-        tokens = _TOKEN.findall(text.lower())
-        n_plain += 0 if y else len(tokens)
-        for token, n in Counter(tokens).items():
-            held = [x for x in stems(token) if x in marks]
-            if held:  # a token counts for its strongest mark; how often a document repeats it matters little
-                counts[y][max(held, key=lambda x: (marks[x], x))] += n if not y else min(n, 3)
-    everyone = sum(counts[1].values())
-    plain = {t: (counts[0][t] + n / everyone) / (n_plain + 1) for t, n in counts[1].items()}
-    base = sum(plain.values())
-    between = math.log((1 - DENSITY) / (1 - min(base, DENSITY / 2)))
-    scores = {t: math.log(DENSITY * n / everyone / plain[t]) for t, n in counts[1].items()}
-    scores = {t: s for t, s in scores.items() if s > 0}
-    low, high = 1e-6, 50.0
-    for _ in range(200):
-        rate = (low + high) / 2
-        total = sum(plain[t] * math.exp(min(700, rate * s)) for t, s in scores.items()) + (1 - base) * math.exp(rate * between)
-        low, high = (rate, high) if total < 1 else (low, rate)
-    factor = max(sum(plain[t] * math.exp(low * s) for t, s in scores.items()), 1e-12)
-    detector = Detector(scores, between, low, factor, flat)
-    facts = np.array([(1.0, *detector.facts(detector.segments(text)[0])) for text, _ in rows])
-    labels = np.array([float(y) for _, y in rows])
+    if not 0 < share < 1:
+        return Detector({}, 1.0, _FLAT, flat)
+    grouped = in_groups(rows)
+    counts, sizes = document_counts(grouped)
+
+    def without(left_out: int | None) -> Detector:
+        """A detector, without calibration, of the other folds."""
+        folds = [k for k in range(FOLDS) if k != left_out]
+        toxic, other = (sum((counts[k][y] for k in folds), Counter()) for y in (1, 0))
+        n1, n0 = (sum(sizes[k][y] for k in folds) for y in (1, 0))
+        return Detector(lexicon(toxic, other, n1, n0) if n1 and n0 else {}, 1.0, _FLAT, flat)
+
+    detector = without(None)
+    if not detector.marks:
+        return detector
+    scores: Counter = Counter()
+    held: list[tuple[int, int, list[float], list[str]]] = []
+    for k in range(FOLDS):
+        other = without(k)
+        for _, text, y in [row for row in grouped if row[0] % FOLDS == k]:
+            found, tokens, values = other.raw_segments(text)
+            held.append((y, max(1, len(tokens)), [s for *_, s in found], [tokens[a] for a, *_ in found]))
+            if not y:
+                scores.update(round(s, 2) if s > LEAST_MARK else -COST for s in values)
+    scores[-COST] += 1
+    detector.rate = growth_rate(scores)
+    detector.law = Law.of(np.array([max(s, default=0.0) - math.log(n) / detector.rate for y, n, s, _ in held if not y]))
+    facts = np.array([(1.0, *detector.facts([detector.law.e_value(s - math.log(n) / detector.rate) for s in found], names)) for _, n, found, names in held])
+    labels = np.array([float(y) for y, *_ in held])
     w = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-facts @ w))
@@ -210,15 +338,17 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str =
     ids = hashed_sample(marked, SAMPLE_DOCS, extra="label")
     # at most SAMPLE_DOCS rows of two numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null")
-    return sorted((r[0], r[1]) for r in rows.select(hashed_span("text", SAMPLE_CHARS), "label").limit(2 * SAMPLE_DOCS).collect())
+    some = rows.orderBy(F.xxhash64("doc_id", "text", "label"), "doc_id", "text", "label").limit(SAMPLE_DOCS)  # ids may repeat
+    return sorted((r[0], r[1]) for r in some.select(hashed_span("text", SAMPLE_CHARS), "label").collect())
 
 
 def with_toxicity(docs: DataFrame, model: Detector, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` and ``passages``, by token places."""
     ship_package(docs.sparkSession)
     small_batches(docs.sparkSession)
+    docs = docs.drop("score", "passages")
     place = docs.columns.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast((model.marks, model.between, model.rate, model.factor, model.weights))  # at most LEXICON tokens
+    shared = docs.sparkSession.sparkContext.broadcast((model.marks, model.rate, model.law, model.weights))  # at most LEXICON tokens
     added = T.StructType.fromDDL(f"score double, passages {PASSAGES}").fields
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))
 
