@@ -394,6 +394,22 @@ def test_code_switched_words_and_odd_texts(spark):
     assert langid.fit([]).label(["abc"]) == [("und", 0.0)]
 
 
+def test_long_runs_of_letters_count_whole():
+    words = langid.Words(["ab" * 100, "x" * 64, None, "y" * 65 + " z"])
+    assert (words.ends - words.starts).tolist() == [64, 64, 64, 8, 64, 64, 1, 1] and words.counts.tolist() == [4, 1, 0, 3]
+    a, b = langid.Words(["q" * 64 + "abcd" * 10]), langid.Words(["q" * 64 + "dcba" * 10])
+    model = langid.fit([("abcd " * 30, "one"), ("dcba " * 30, "two")] * 5)
+    assert [model.label([x])[0][0] for x in ("q" * 64 + "abcd" * 50, "q" * 64 + "dcba" * 50)] == ["one", "two"]
+    assert set(a.hashes.tolist()) != set(b.hashes.tolist())
+
+
+def test_language_replaces_columns_of_its_names(spark):
+    docs = spark.createDataFrame([(1, "abcd abcd", 0.5, "y")], "doc_id long, text string, Score double, lang_pred string")
+    model = langid.fit([("abcd " * 30, "one"), ("dcba " * 30, "two")] * 5)
+    out = langid.with_language(docs, model)
+    assert out.columns == ["doc_id", "text", "lang_pred", "score"] and out.first()["lang_pred"] == "one"
+
+
 # decontamination
 
 
@@ -428,6 +444,17 @@ def _halves(items):
     return rows[::2], rows[1::2]
 
 
+def test_matches_of_several_blocks_and_text_ids(spark, monkeypatch):
+    frame, items = table(spark, SMALL, "documents"), table(spark, SMALL, "benchmark").withColumn("item_id", F.concat(F.lit("i"), "item_id"))
+    once = {r["doc_id"]: sorted(m["item_id"] for m in r["matches"]) for r in decontam.with_matches(frame, items).collect()}
+    assert any(once.values()) and all(x.startswith("i") for v in once.values() for x in v)
+    halves = list(_halves(items))
+    monkeypatch.setattr(decontam, "item_blocks", lambda *a: iter(halves))
+    found = decontam.with_matches(frame, items)
+    assert {r["doc_id"]: sorted(m["item_id"] for m in r["matches"]) for r in found.collect()} == once
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_columns_pass_through(spark):
     docs = odd_documents(spark)
     kept = decontam.drop_contaminated(docs, table(spark, SMALL, "benchmark"))

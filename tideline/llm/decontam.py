@@ -15,14 +15,15 @@ there are blocks (one, for usual benchmarks); documents are never shuffled.
 
 Defined results: null or blank texts match nothing; an item of fewer than five words is
 one shingle and only matches a document that is the same sequence; equal rows each
-match; a null item id is kept as a null; empty tables give no matches; other columns of
-documents pass through ``with_matches`` untouched.
+match; a null item id is kept as a null; item ids may be text; empty tables give no matches;
+other columns of documents pass through ``with_matches`` untouched.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,13 @@ from pyspark.sql import types as T
 
 from tideline.session import ship_package
 from tideline.llm.shingles import _short, pieces, shingle_hashes, splitmix, text_bytes, text_sets, word_hashes
-from tideline.llm.store import small_batches
+from tideline.llm.store import fresh_name, small_batches, written
 
 THRESHOLD_NUM, THRESHOLD_DEN = 4, 5
 FUNCTIONS = 64
 BLOCK_BYTES = 4 << 20
 WIDTH = 5
-MATCH = "array<struct<item_id:bigint,n_item:bigint,n_shared:bigint>>"
+MATCH = "array<struct<item_id:{},n_item:bigint,n_shared:bigint>>"
 _MULTIPLIERS = splitmix(41, FUNCTIONS) | np.uint64(1)
 _TABLE_BITS = 22
 
@@ -50,7 +51,7 @@ def minima(elements: np.ndarray) -> np.ndarray:
 class Items:
     """A block of test items, ready to be looked for."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]]) -> None:
+    def __init__(self, rows: list[tuple[int | str | None, str | None]]) -> None:
         self.ids = [r[0] for r in rows]
         self.sets = list(text_sets(pa.array([r[1] for r in rows], pa.string())))
         full = [s for s in self.sets if len(s)]
@@ -112,45 +113,70 @@ class Items:
         return found
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, str | None]]]:
+def _id_type(items: DataFrame, id_col: str) -> str:
+    """The type of ids in matches: longs, or else text."""
+    return "bigint" if items.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
+
+
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | str | None, str | None]]]:
     """The items in blocks of about ``block_bytes`` of text; an item is never cut."""
-    rows = items.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text"))
+    rows = items.select(F.col(id_col).cast(_id_type(items, id_col)).alias("item_id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-total // block_bytes))
     for block in range(count):
         yield [(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block).collect()]
 
 
+def _one_pass(docs: DataFrame, rows: list, place: int, name: str, id_type: str) -> DataFrame:
+    """``docs`` with the matches of one block of items in the column ``name``."""
+    shared = docs.sparkSession.sparkContext.broadcast(rows)  # at most one block
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string(MATCH.format(id_type)))])
+    kind = pa.list_(pa.struct([("item_id", pa.int64() if id_type == "bigint" else pa.string()), ("n_item", pa.int64()), ("n_shared", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Items(shared.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known.matches(batch.column(place)), kind)], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
+
+
 def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", name: str = "matches") -> DataFrame:
-    """``docs`` with the matches of each row's text, as an array of structs."""
+    """``docs`` with the matches of each row's text, as an array of structs; a column of that name is replaced.
+
+    Of several blocks each is a pass of its own, with a table written between them, so that
+    a task holds one block at a time.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     small_batches(spark)
-    place = docs.columns.index(text_col)
-    out = docs.withColumn(name, F.expr(f"cast(array() as {MATCH})"))
-    schema = T.StructType(out.schema.fields)
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64())]))
+    out, id_type = docs.drop(name), _id_type(items, item_id)
+    place = out.columns.index(text_col)
+    before: DataFrame | None = None
+    new = fresh_name(out.withColumn(name, F.lit(None)), "more")
     for rows in item_blocks(items, item_id, item_text):
-        shared = spark.sparkContext.broadcast(rows)  # at most one block
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            known = Items(shared.value)
-            for batch in batches:
-                old = batch.column(batch.num_columns - 1).to_pylist()
-                new = [a + b for a, b in zip(old, known.matches(batch.column(place)), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new, kind)], names=batch.schema.names)
-
-        out = out.mapInArrow(run, schema)
+        if before is None:
+            before = out = _one_pass(out, rows, place, name, id_type)
+            continue
+        out = _one_pass(written(out, "matches"), rows, place, new, id_type)
+        out = out.withColumn(name, F.concat(name, new)).drop(new)
     return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, item_id, n_item, n_shared``: one row for each item that a row of ``docs`` contains."""
+    """``doc_id, item_id, n_item, n_shared``: one row for each item that a row of ``docs`` contains.
+
+    Each block of items is a scan of its own.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    small_batches(spark)
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return with_matches(chosen, items).select("doc_id", F.inline("matches"))
+    scans = [_one_pass(chosen, rows, 1, "matches", _id_type(items, "item_id")).select("doc_id", F.inline("matches")) for rows in item_blocks(items, "item_id", "text")]
+    return reduce(DataFrame.unionByName, scans)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no item."""
-    name = "matches" + "_" * sum(c.lower().startswith("matches") for c in docs.columns)
+    name = fresh_name(docs, "matches")
     return with_matches(docs, items, text_col, name=name).where(F.size(name) == 0).drop(name)

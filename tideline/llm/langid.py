@@ -14,7 +14,7 @@ text. It has a weight for each of ``BUCKETS`` hashed features and language.
 
 Defined results: a null text or one without any letter is ``und`` with score 0; without
 labelled rows every text is ``und``; equal rows get equal results; other columns pass through
-``with_language`` untouched; words are runs of letters, lower-cased.
+``with_language`` untouched, but for those of the names that it adds, which it replaces.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ SAMPLE_WORDS = 400_000
 BUCKETS = 1 << 16
 LEXICON = 2_000
 SPAN = 40
+LONGEST = 64
 EPOCHS = 25
 CACHE_WORDS = 200_000
 SLICE_BYTES = 2 << 20
@@ -58,14 +59,22 @@ def letters(codes: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words (runs of letters, lower-cased) of several texts, as spans of one array of code points."""
+    """The words of several texts, as spans of one array of code points.
+
+    Words are runs of letters, lower-cased; a run of more than ``LONGEST`` letters, as scripts
+    without spaces have them, is cut into consecutive words of that many, and the rest.
+    """
 
     def __init__(self, texts: list[str | None]) -> None:
         lowered = [t.lower() if t else "" for t in texts]
         self.codes = np.frombuffer(("\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
         inside = letters(self.codes)
         edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-        self.starts, self.ends = edges[0::2], edges[1::2]
+        starts, ends = edges[0::2], edges[1::2]
+        parts = -(-(ends - starts) // LONGEST)
+        part = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        self.starts = np.repeat(starts, parts) + LONGEST * part
+        self.ends = np.minimum(self.starts + LONGEST, np.repeat(ends, parts))
         stops = np.cumsum([len(t) + 1 for t in lowered])
         self.counts = np.diff(np.searchsorted(self.starts, np.concatenate([[0], stops])))
         if len(self.starts):
@@ -81,10 +90,10 @@ class Words:
         """Hashed features of the words ``which`` and the places in ``which`` that they are of, in order.
 
         Character n-grams of the word between marks, longer affixes, and the word itself
-        if the lexicon (sorted hashes) has it. Of a longer word its first 64 letters count.
+        if the lexicon (sorted hashes) has it.
         """
         starts = self.starts[which]
-        sizes = np.minimum(self.ends[which] - starts, 64)
+        sizes = self.ends[which] - starts
         padded = sizes + 2
         first = np.cumsum(padded) - padded
         owner = np.repeat(np.arange(len(which)), padded)
@@ -277,6 +286,7 @@ def with_language(docs: DataFrame, model: Field, text_col: str = "text", lang_na
     """``docs`` with each row's predicted language and score."""
     ship_package(docs.sparkSession)
     small_batches(docs.sparkSession)
+    docs = docs.drop(lang_name, score_name)
     place = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.transitions, model.lexicon))  # BUCKETS rows
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
