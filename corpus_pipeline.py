@@ -11,15 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import decontam, langid, neardup, paragraphs, segmentation
-from tideline.llm.store import written
+from tideline.llm.store import fresh_name, written
 from tideline.session import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without any letter go."""
     model = langid.fit(langid.sample(docs, langid.learnable()))
-    found = langid.with_language(docs, model, lang_name="__language", score_name="__share")
-    return found.where(F.col("__language") != langid.UNKNOWN).select(*docs.columns)
+    language, share = fresh_name(docs, "language"), fresh_name(docs, "share")
+    found = langid.with_language(docs, model, lang_name=language, score_name=share)
+    return found.where(F.col(language) != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
