@@ -490,6 +490,29 @@ def test_samples_are_distinct_and_decode(vocabulary, text):
     assert values == sorted(values, reverse=True)
 
 
+def test_pieces_of_several_spaces_are_sampled(vocabulary):
+    text = "def f(x):\n        return  x"
+    out = segmentation.sample_slice(segmentation.Lattices(vocabulary), [text] * 40, np.arange(40, dtype=np.uint64) * np.uint64(7919), 3)
+    ids = [i for samples in out for x in samples for i in x[0].tolist()]
+    assert any(segmentation.SPACE * 2 in vocabulary.pieces[i] for i in ids)
+    assert all(vocabulary.decode(x[0].tolist()) == text for samples in out for x in samples)
+
+
+def test_samples_of_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a text", 3, "y", "z")], "doc_id long, text string, Samples int, sample_key string, __key string")
+    out = segmentation.sample_segmentations(docs)
+    assert out.columns == ["doc_id", "text", "sample_key", "__key", "samples"] and out.first()["samples"][0]["round_trip"]
+
+
+def test_long_units_take_linear_time(vocabulary):
+    def spent(n):
+        start = time.perf_counter()
+        segmentation.sample_slice(segmentation.Lattices(vocabulary), ["a" * n], np.array([3], np.uint64), 2)
+        return time.perf_counter() - start
+
+    assert spent(40_000) < 12 * spent(10_000)
+
+
 def test_probabilities_are_those_of_all_segmentations(vocabulary):
     lattices = segmentation.Lattices(vocabulary)
     joined, starts, hashes, counts = vocabulary.units(["the erhe"])

@@ -21,7 +21,8 @@ rows give the same samples wherever and however often they are worked out.
 Defined results: a null text has no samples; an empty text has one, empty; a text with
 fewer segmentations than ``k`` has all of them, the last threshold being minus infinity
 (inclusion 0, certain); equal rows get equal samples; a null key counts as a key; white space, control
-characters and the mark U+2581 itself survive decoding; other columns pass through.
+characters and the mark U+2581 itself survive decoding; other columns pass through, and one
+of the name of the samples is replaced.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import types as T
 
 from tideline.session import ship_package
 from tideline.llm.shingles import _powers, mix, splitmix
-from tideline.llm.store import give_back, small_batches
+from tideline.llm.store import fresh_name, give_back, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
@@ -70,7 +71,7 @@ class Vocabulary:
         for i, piece in enumerate(self.pieces):
             if processor.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
-            elif not (processor.is_control(i) or processor.is_unknown(i) or SPACE in piece[1:]):
+            elif not (processor.is_control(i) or processor.is_unknown(i)):
                 self.ids[piece] = i
                 self.log_weight[i] = -SHARPNESS * math.log(max(0.0, -processor.get_score(i)) + 2.0)
         self.longest = max(map(len, self.ids))
@@ -271,16 +272,18 @@ class Lattices:
 
     def other(self, unit: int, excluded: list[tuple[int, ...]], draw) -> tuple[tuple[int, ...], float]:  # noqa: ANN001
         """A path of edges of the unit that is none of ``excluded``, and its log-probability."""
-        node, path, log, step = int(self.first[unit]), (), 0.0, 0
-        mass = [(x, math.exp(float(self.log[list(x)].sum()))) for x in excluded]
+        node, path, log = int(self.first[unit]), [], 0.0
+        # the excluded paths that go the way gone so far, with their probabilities
+        along = [(x, math.exp(float(self.log[list(x)].sum()))) for x in excluded]
         while node >= 0:
+            step = len(path)
             edges = range(int(self.start[node]), int(self.start[node + 1]))
             left = []
             for e in edges:
-                taken = sum(m for x, m in mass if x[: len(path) + 1] == (*path, e))
-                whole = math.exp(log + float(self.log[e]))
+                held = [m for x, m in along if x[step] == e]
+                taken, whole = sum(held), math.exp(log + float(self.log[e]))
                 alone = int(self.next[e]) < 0 and taken > 0
-                left.append(0.0 if alone or (taken > 0 and whole - taken < 1e-14 * whole and self._only(e, path, excluded)) else max(whole - taken, 1e-300))
+                left.append(0.0 if alone or (taken > 0 and whole - taken < 1e-14 * whole and self._at_most(e, len(held))) else max(whole - taken, 1e-300))
             aim = draw(step) * sum(left)
             chosen = max(k for k, m in enumerate(left) if m > 0)
             for k, m in enumerate(left):
@@ -289,20 +292,21 @@ class Lattices:
                     break
                 aim -= m
             e = edges[chosen]
-            path, log, node, step = (*path, e), log + float(self.log[e]), int(self.next[e]), step + 1
-        return path, log
+            along = [(x, m) for x, m in along if x[step] == e]
+            path.append(e)
+            log, node = log + float(self.log[e]), int(self.next[e])
+        return tuple(path), log
 
-    def _only(self, edge: int, path: tuple[int, ...], excluded: list[tuple[int, ...]]) -> bool:
-        """Whether all paths on from ``edge`` are excluded."""
-        inside = {x for x in excluded if x[: len(path) + 1] == (*path, edge)}
+    def _at_most(self, edge: int, limit: int) -> bool:
+        """Whether no more than ``limit`` paths go on from ``edge``."""
         count, front = 0, [int(self.next[edge])]
-        while front and count <= len(inside):
+        while front and count <= limit:
             node = front.pop()
             if node < 0:
                 count += 1
                 continue
             front.extend(int(self.next[e]) for e in range(int(self.start[node]), int(self.start[node + 1])))
-        return count <= len(inside) and not front
+        return count <= limit and not front
 
     def paths_at_most(self, unit: int, limit: int) -> int:
         """The number of the unit's segmentations, counted up to ``limit``."""
@@ -496,9 +500,10 @@ def sample_segmentations(docs: DataFrame, key_col: str = "doc_id", text_col: str
     ship_package(spark)
     small_batches(spark)
     shared = spark.sparkContext.broadcast(Path(model).read_bytes())  # one tokenizer file
-    keyed = docs.withColumn("__key", F.xxhash64(key_col))
+    key = F.xxhash64(key_col)
+    docs = docs.withColumn(fresh_name(docs, "sample_key"), key).drop(name)
     place = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(f"`{name}` array<{SAMPLE}>").fields])
+    schema = T.StructType([*docs.schema.fields[:-1], *T.StructType.fromDDL(f"`{name}` array<{SAMPLE}>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(shared.value)
@@ -520,7 +525,7 @@ def sample_segmentations(docs: DataFrame, key_col: str = "doc_id", text_col: str
         del lattices, vocabulary
         give_back()
 
-    return keyed.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _arrow(vocabulary: Vocabulary, texts: list[str | None], found: list[list]) -> pa.Array:
