@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -9,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN: dict[str, str] = {}
 
 
 def build_session(name: str = "tideline", cpus: str = "*", shuffle: int = 8) -> SparkSession:
@@ -32,13 +36,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session, for tables that driver and executors share.
+
+    Where it is unset, one process has a folder of its own (it is removed when Python
+    ends), and a cluster one in the warehouse, which its machines share too.
+    """
+    told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if told:
+        return told.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tideline-{app}"
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="tideline-shared-")
+        atexit.register(shutil.rmtree, _OWN[app], True)
+    return _OWN[app]
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once an application."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="tideline-ship-")) / "tideline_pkg.zip"
+    folder = tempfile.mkdtemp(prefix="tideline-ship-")
+    atexit.register(shutil.rmtree, folder, True)
+    target = Path(folder) / "tideline_pkg.zip"
     with zipfile.ZipFile(target, "w") as archive:
         for source in sorted(root.rglob("*.py")):
             archive.write(source, f"{root.name}/{source.relative_to(root)}")
