@@ -122,6 +122,46 @@ def test_binomial_tail(spark):
         assert got == pytest.approx(tail(k, n, p), rel=1e-9)
 
 
+def test_certified_steps_match_sql(spark):
+    rng = random.Random(41)
+    docs, labels = [], []
+    for i in range(2400):
+        lang = ["de", "en", "fr", None, "es"][i % 5]
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(55, 80))]
+        good = rng.random() < 0.8
+        if not good and rng.random() < 0.8:
+            kind = rng.randrange(3)
+            if kind == 0:
+                words = [w + rng.choice(["%%%", "$", "##"]) for w in words]
+            elif kind == 1:
+                words = [*words[:10], "\n", *words[:10], "\n", *words]
+            else:
+                words = words + words[:20]
+        elif rng.random() < (0.02 if lang == "es" else 0.002):
+            words = [w + "&" for w in words]
+        docs.append((i, " ".join(words), lang))
+        labels.append((i, int(good) if i % 11 else None))
+    frames = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    steps = {r["cut_stratum"]: r["step"] for r in quality.certified_steps(quality.measure(frames[0]), frames[1]).collect()}
+    assert len(steps) >= 3 and len(set(steps.values())) > 1
+    con = duckdb.connect()
+    con.register("documents", frames[0].toPandas())
+    con.register("labels", frames[1].toPandas())
+    want = sorted(con.sql(queries.OP2_SQL).fetchall())
+    found = quality.judge(*frames).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert sorted(map(tuple, found.collect())) == want
+    assert sum(not r[6] and not r[7] for r in want) > 100
+
+
+def test_quality_of_odd_rows(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (99, 1)], "doc_id long, quality int")
+    docs = odd_documents(spark).withColumn("stratum", F.lit("x")).withColumn("step", F.lit(1)).withColumn("first", F.lit(1))
+    found = quality.judge(docs, labels).collect()
+    assert len(found) == 11 and {r["base_failed"] for r in found if r["doc_id"] in (3, 4, 5, 6, 7, 8, 9)} == {True}
+    assert all(r["kept"] for r in found if r["doc_id"] in (1, 2)) and [r["n_words"] for r in found if r["doc_id"] == 3] == [0]
+    assert quality.judge(docs.limit(0), labels).count() == 0 and quality.judge(docs, labels.limit(0)).where("kept").count() == 4
+
+
 def test_cutoffs_need_enough_labels(spark):
     def docs(n):
         words = " ".join(f"w{i}" for i in range(60))

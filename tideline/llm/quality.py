@@ -2,15 +2,18 @@
 
 A fixed base rule rejects what is short or mostly repeats itself. Three further rules
 compare an exact count with a percentage: symbols of word characters, repeated lines of
-lines, repeated words of words. Their cutoffs are chosen by stratum (language): for each
-rule and each cutoff of a fixed grid, the good documents of the labelled holdout that
-pass the base rule give a binomial count of false rejections, and the exact binomial
-tail tests whether the rate is at most the rule's share of ``RISK``. A Bonferroni
-correction over all strata, rules and cutoffs keeps the chance of any wrong certificate
-at ``DELTA``. Of the certified cutoffs, the one whose gain, bad less good documents rejected,
-is largest is used (the most lenient of several); a rule without a certified cutoff with a
-gain rejects nothing in that stratum. So in every stratum at most ``RISK`` of good documents
-are lost to the three rules together, and few labels mean few rejections.
+lines, repeated words of words. Their cutoffs are chosen by stratum (language), along a
+fixed path: from no cutoff at all, each step tightens one rule by one cutoff of its grid,
+the rules in turn. What the rules together reject only grows along the path. At each step
+the good documents of the labelled holdout that pass the base rule give a binomial count of
+false rejections, and the exact binomial tail tests whether their rate is at most
+``RISK``. The steps of a stratum are tested in their order, up to the first that
+fails (fixed-sequence testing: no correction among them), and a Bonferroni correction over
+the strata keeps the chance of any wrong certificate at ``DELTA``. Of the certified steps,
+the one whose gain, bad less good documents rejected, is largest is used (the most lenient
+of several); without a gain nothing is rejected in that stratum. So in every
+stratum at most ``RISK`` of good documents are lost to the three rules together, and few
+labels mean few rejections: without any loss a stratum needs 217 good labels if it is one of four.
 
 Everything here is DataFrame expressions.
 
@@ -37,7 +40,7 @@ RULES: dict[str, tuple[str, str, tuple[int, ...]]] = {
     "lines": ("n_dup_lines", "n_lines", (20, 30, 40, 50, 60, 75)),
     "repeats": ("n_repeat_words", "n_words", (10, 15, 20, 25, 30, 40)),
 }
-SHARE = RISK / len(RULES)
+STEPS = sum(len(grid) for *_, grid in RULES.values())
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -111,49 +114,48 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
     return F.when(k > n * rate, F.lit(1.0)).when(k == 0, F.exp(first)).otherwise(summed)
 
 
-def certified_cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """``rule, cut_stratum, cutoff``: at most one row for each rule and stratum."""
+def first_step() -> Column:
+    """The first step of the path whose rules reject the document; beyond ``STEPS`` if none does.
+
+    A rule's cutoffs come from the most lenient to the strictest, at every third step.
+    """
+    firsts = []
+    for turn, (part, whole, grid) in enumerate(RULES.values()):
+        exceeded = sum(((100 * F.col(part) > c * F.col(whole)).cast("int") for c in grid), F.lit(0))
+        firsts.append(F.when(exceeded > 0, len(RULES) * (len(grid) - exceeded) + turn + 1).otherwise(STEPS + 1))
+    return F.least(*firsts)
+
+
+def certified_steps(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """``cut_stratum, step``: the step that each stratum uses, for those that have a certified one with a gain."""
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("good")).where("good is not null")
     held = measured.where(~base_failed()).join(marks, "doc_id")
-    # how many cutoffs of the grid a document exceeds, so that one row for each rule is counted
-    level = [
-        F.struct(
-            F.lit(rule).alias("rule"),
-            sum(((100 * F.col(part) > c * F.col(whole)).cast("int") for c in grid), F.lit(0)).alias("level"),
-        )
-        for rule, (part, whole, grid) in RULES.items()
-    ]
     counts = (
-        held.select("stratum", "good", F.explode(F.array(*level)).alias("at"))
-        .groupBy("stratum", "at.rule", "at.level")
+        held.groupBy("stratum", first_step().alias("first"))
         .agg(F.sum(F.when(F.col("good") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("good") == 0, 1).otherwise(0)).alias("bad"))
+        .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(STEPS))))
     )
-    grids = F.create_map(*(x for rule, (_, _, grid) in RULES.items() for x in (F.lit(rule), F.array(*(F.lit(c) for c in grid)))))
-    tests = (
-        counts.select("stratum", "rule", "level", "good", "bad", F.posexplode(grids[F.col("rule")]).alias("place", "cutoff"))
-        .groupBy("stratum", "rule", "cutoff")
-        .agg(
-            F.sum("good").alias("n"),
-            F.sum(F.when(F.col("level") > F.col("place"), F.col("good")).otherwise(0)).alias("lost"),
-            F.sum(F.when(F.col("level") > F.col("place"), F.col("bad")).otherwise(0)).alias("caught"),
-        )
+    reached = F.col("first") <= F.col("step")
+    tests = counts.groupBy("stratum", "step").agg(
+        F.sum("good").alias("n"), F.sum(F.when(reached, F.col("good")).otherwise(0)).alias("lost"), F.sum(F.when(reached, F.col("bad")).otherwise(0)).alias("caught")
     )
-    total = tests.agg(F.count(F.lit(1)).alias("m"))
-    passed = tests.crossJoin(F.broadcast(total)).where(  # one row
-        (F.col("caught") > F.col("lost")) & (binomial_tail(F.col("lost"), F.col("n"), SHARE) <= DELTA / F.col("m"))
+    strata = tests.agg((F.count(F.lit(1)) / STEPS).alias("strata"))
+    # losses only grow along the path: a step that passes has no failed one before it
+    passed = tests.crossJoin(F.broadcast(strata)).where(  # one row
+        (F.col("caught") > F.col("lost")) & (binomial_tail(F.col("lost"), F.col("n"), RISK) <= DELTA / F.col("strata"))
     )
-    best = passed.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct(F.col("caught") - F.col("lost"), "cutoff")).alias("cutoff"))
-    return best.select(F.col("stratum").alias("cut_stratum"), "rule", "cutoff")
+    best = passed.groupBy("stratum").agg(F.min_by("step", F.struct(F.col("lost") - F.col("caught"), "step")).alias("step"))
+    return best.select(F.col("stratum").alias("cut_stratum"), "step")
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """``doc_id``, ``COUNTS``, ``base_failed``, the stratum's cutoffs and ``kept``."""
+    """``doc_id``, ``COUNTS``, the stratum's cutoffs (null: none), ``base_failed`` and ``kept``."""
     measured = written(measure(docs, id_col, text_col, stratum_col), "measured")
-    cuts = certified_cutoffs(measured, labels, id_col)
-    wide = cuts.groupBy("cut_stratum").agg(*(F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"cut_{rule}") for rule in RULES))
-    judged = measured.join(wide, F.col("stratum").eqNullSafe(F.col("cut_stratum")), "left")
-    fails = [F.coalesce(100 * F.col(part) > F.col(f"cut_{rule}") * F.col(whole), F.lit(False)) for rule, (part, whole, _) in RULES.items()]
-    verdict = ~(fails[0] | fails[1] | fails[2])
-    return judged.select(
-        "doc_id", *COUNTS, *(f"cut_{rule}" for rule in RULES), base_failed().alias("base_failed"), (~base_failed() & verdict).alias("kept")
-    )
+    steps = certified_steps(measured, labels, id_col)
+    judged = measured.withColumn("first", first_step()).join(steps, F.col("stratum").eqNullSafe(F.col("cut_stratum")), "left")
+    cuts = []
+    for turn, (rule, (_, _, grid)) in enumerate(RULES.items()):
+        notch = F.floor((F.col("step") - turn - 1) / len(RULES)) + 1
+        cuts.append(F.get(F.array(*(F.lit(c) for c in reversed(grid))), (notch - 1).cast("int")).alias(f"cut_{rule}"))
+    verdict = F.coalesce(F.col("first") > F.col("step"), F.lit(True))
+    return judged.select("doc_id", *COUNTS, *cuts, base_failed().alias("base_failed"), (~base_failed() & verdict).alias("kept"))

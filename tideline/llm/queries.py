@@ -67,31 +67,29 @@ WITH docs AS (
   FROM docs LEFT JOIN covered c USING (doc_id)
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured
-), grid AS (
-  SELECT * FROM (VALUES ('symbols', [2, 5, 10, 15, 20, 30]), ('lines', [20, 30, 40, 50, 60, 75]), ('repeats', [10, 15, 20, 25, 30, 40])) AS g(rule, cuts)
-), cells AS (SELECT rule, unnest(cuts) AS cutoff FROM grid),
-tests AS (
-  SELECT lang, rule, cutoff, count(*) FILTER (WHERE quality = 1) AS n,
-    count(*) FILTER (WHERE quality = 1 AND over) AS lost, count(*) FILTER (WHERE quality = 0 AND over) AS caught
-  FROM (SELECT j.lang, rule, cutoff, quality, CASE rule WHEN 'symbols' THEN 100 * n_symbols > cutoff * word_chars
-      WHEN 'lines' THEN 100 * n_dup_lines > cutoff * n_lines ELSE 100 * n_repeat_words > cutoff * n_words END AS over
-    FROM judged j JOIN labels USING (doc_id), cells WHERE NOT base_failed AND quality IS NOT NULL)
-  GROUP BY lang, rule, cutoff
+), path AS (
+  SELECT *, least(
+    list_sum(list_transform([2, 5, 10, 15, 20, 30], lambda c: CASE WHEN 100 * n_symbols > c * word_chars THEN 0 ELSE 3 END)) + 1 + CASE WHEN 100 * n_symbols > 2 * word_chars THEN 0 ELSE 99 END,
+    list_sum(list_transform([20, 30, 40, 50, 60, 75], lambda c: CASE WHEN 100 * n_dup_lines > c * n_lines THEN 0 ELSE 3 END)) + 2 + CASE WHEN 100 * n_dup_lines > 20 * n_lines THEN 0 ELSE 99 END,
+    list_sum(list_transform([10, 15, 20, 25, 30, 40], lambda c: CASE WHEN 100 * n_repeat_words > c * n_words THEN 0 ELSE 3 END)) + 3 + CASE WHEN 100 * n_repeat_words > 10 * n_words THEN 0 ELSE 99 END
+  ) AS first FROM judged
+), tests AS (
+  SELECT lang, step, count(*) FILTER (WHERE quality = 1) AS n,
+    count(*) FILTER (WHERE quality = 1 AND first <= step) AS lost, count(*) FILTER (WHERE quality = 0 AND first <= step) AS caught
+  FROM path JOIN labels USING (doc_id), unnest(generate_series(1, 18)) AS t(step) WHERE NOT base_failed AND quality IS NOT NULL
+  GROUP BY lang, step
 ), tails AS (
-  SELECT *, count(*) OVER () AS m, 0.02 / 3 AS rate FROM tests
-), passed AS (
-  SELECT * FROM tails WHERE caught > lost AND lost <= n * rate AND list_sum(list_transform(generate_series(0, lost),
-    lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(rate) + (n - i) * ln(1 - rate)))) <= 0.05 / m
+  SELECT *, count(*) OVER () / 18 AS strata, 0.02 AS rate FROM tests
+), certified AS (
+  SELECT *, lost <= n * rate AND list_sum(list_transform(generate_series(0, lost),
+    lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(rate) + (n - i) * ln(1 - rate)))) <= 0.05 / strata AS passed FROM tails
+), sequence AS (
+  SELECT *, bool_and(passed) OVER (PARTITION BY lang ORDER BY step) AS holds FROM certified
 ), best AS (
-  SELECT lang, rule, cutoff FROM passed QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY caught - lost DESC, cutoff DESC) = 1
-), wide AS (
-  SELECT lang, max(cutoff) FILTER (WHERE rule = 'symbols') AS s, max(cutoff) FILTER (WHERE rule = 'lines') AS l, max(cutoff) FILTER (WHERE rule = 'repeats') AS r
-  FROM best GROUP BY lang
+  SELECT lang, step FROM sequence WHERE holds AND caught > lost QUALIFY row_number() OVER (PARTITION BY lang ORDER BY caught - lost DESC, step) = 1
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR coalesce(100 * n_symbols > s * word_chars, false) OR coalesce(100 * n_dup_lines > l * n_lines, false)
-    OR coalesce(100 * n_repeat_words > r * n_words, false)) AS kept
-FROM judged j LEFT JOIN wide v ON j.lang IS NOT DISTINCT FROM v.lang
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (step IS NULL OR first > step) AS kept
+FROM path j LEFT JOIN best b ON j.lang IS NOT DISTINCT FROM b.lang
 """
 
 

@@ -6,7 +6,6 @@ import atexit
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,18 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
+from tideline.session import shared_folder
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own where it is unset."""
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="tideline-shared-")
-    return _OWN[app]
+    """The folder that the driver and all executors share; see ``tideline.session``."""
+    return shared_folder(spark)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
