@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    found = neardup.near_duplicates(docs)
+    """One document of each group of near copies (four fifths alike or more): the one with the smallest id."""
+    found = neardup.near_duplicates(docs, num=80, den=100)
     kept = found.where("kept").select("doc_id").where("doc_id is not null").distinct()
     once = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(docs.where("doc_id is null")).select(*docs.columns)
