@@ -174,24 +174,30 @@ def test_percentiles(spark):
     assert math.isnan(empty[0]) and empty[1] == 0.0
 
 
-def test_boundary_policy():
-    policy = confirm.BoundaryPolicy()
-    assert policy.observe("we went to the shop.", 2.0) is None
-    assert policy.observe("we went to the shop. then", 2.5) == 4
-    policy.cut(4, 2.5)
-    assert policy.observe("we went to the shop. then it was late.", 3.0) is None
-    flap = confirm.BoundaryPolicy()
-    for text in ("a b c d. e", "a b c d e", "a b c d. e"):
-        assert flap.observe(text, 5.0) is None
-
-
-def test_early_prefix_only_grows():
-    early = confirm.EarlyPrefix()
-    assert early.observe("one two. three") is None
-    assert early.observe("one two. three four") == "one two."
-    assert early.observe("one two. three four five, six seven") is None
-    assert early.observe("one two. three four five, six seven eight nine. ten") is None
-    assert early.observe("one two. three four five, six seven eight nine. ten eleven") == "one two. three four five, six seven eight nine."
+def hypotheses_of(spark, texts, at):
+    rows = [(1, 1, i + 1, float(t), x) for i, (x, t) in enumerate(zip(texts, at))]
+    return spark.createDataFrame(rows, "session_id long, line_id long, hyp_no int, at double, text string")
+
+
+def test_boundary_policy(spark):
+    def cuts(texts, at):
+        return [(r["hyp_no"], r["word_no"]) for r in confirm.boundaries(hypotheses_of(spark, texts, at)).orderBy("hyp_no").collect()]
+
+    grown = ["we went to the shop.", "we went to the shop. then", "we went to the shop. then it was late."]
+    assert cuts(grown, [2.0, 2.5, 3.0]) == [(2, 4)]
+    assert cuts(["a b c d. e", "a b c d e", "a b c d. e"], [5.0, 5.0, 5.0]) == []
+
+
+def test_early_prefix_only_grows(spark):
+    texts = [
+        "one two. three",
+        "one two. three four",
+        "one two. three four five, six seven",
+        "one two. three four five, six seven eight nine. ten",
+        "one two. three four five, six seven eight nine. ten eleven",
+    ]
+    found = confirm.early_prefixes(hypotheses_of(spark, texts, [1.0] * 5)).orderBy("hyp_no").collect()
+    assert [(r["hyp_no"], r["prefix"]) for r in found] == [(2, "one two."), (5, "one two. three four five, six seven eight nine.")]
 
 
 def test_words_of_pieces(spark):

@@ -1,138 +1,121 @@
 """Boundaries that hypotheses have to confirm, and prefixes that may be sent early.
 
-The policies are plain Python state, without Spark, so that batch and streaming adapters
-share them. A hypothesis is the text of an open line so far.
+A hypothesis is the text of an open line so far, ``session_id, line_id, hyp_no, at, text``,
+numbered without gaps. What a row's last few hypotheses agree on is found by windows; which
+of it counts depends on what has been cut or sent before, so that a line's hypotheses are
+folded in order, by an expression. A line's hypotheses are one row there.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.text import FILLERS, words
-from tideline.session import ship_package
-
-_SENTENCE = re.compile("[.!?][\"')\\]”]*$")
-_CLAUSE = re.compile("[,;:][\"')\\]”]*$")
-_EDGES = re.compile(r"^[^\w']+|[^\w']+$|^_+|_+$")
-
+from tideline.functions.text import FILLERS, ends_clause, ends_sentence, let, normalize, words
 
-def content(spoken: list[str]) -> list[str]:
-    """Normalised words without fillers, as the column function gives them."""
-    bare = [_EDGES.sub("", w).lower() for w in spoken]
-    return [w for w in bare if w and w not in FILLERS]
+LINE = ["session_id", "line_id"]
+CUTS = "struct<done:int,last:double,since:int,found:array<struct<hyp_no:int,place:int>>>"
+SENT = "struct<sent:int,found:array<struct<hyp_no:int,place:int>>>"
 
 
-@dataclass
-class Sightings:
-    """How often in a row each place has been seen; a place that is missing once starts over."""
-
-    runs: dict[int, int] = field(default_factory=dict)
-
-    def see(self, places: list[int]) -> None:
-        self.runs = {p: self.runs.get(p, 0) + 1 for p in places}
+def growing(lines: DataFrame, step: int, pace: float) -> DataFrame:
+    """``session_id, line_id, hyp_no, at, text``: each line as it grows by ``step`` words."""
+    w = lines.select("session_id", "line_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    each = w.select("session_id", "line_id", "w", F.explode(F.sequence(F.lit(1), F.ceil(F.size("w") / step).cast("int"))).alias("hyp_no"))
+    return each.select(
+        "session_id", "line_id", "hyp_no", (F.col("hyp_no") * step * pace).alias("at"), F.array_join(F.slice("w", 1, F.col("hyp_no") * step), " ").alias("text")
+    )
 
-    def latest(self, least: int, fits=lambda place: True) -> int | None:  # noqa: ANN001
-        return max((p for p, n in self.runs.items() if n >= least and fits(p)), default=None)
 
+def agreed(hypotheses: DataFrame, runs: int) -> DataFrame:
+    """Hypotheses with the places of words that end a sentence, or a sentence or clause, in each of the last ``runs`` of them.
 
-@dataclass
-class BoundaryPolicy:
-    """Where a line may end before its utterance does."""
+    ``firm`` are the former and ``soft`` the latter; ``spoken`` has a 1 for each word with
+    content.
+    """
+    w = hypotheses.select(*LINE, "hyp_no", "at", words(F.col("text")).alias("w"))
 
-    confirm_runs: int = 2
-    min_words_after: int = 1
-    min_line_words: int = 4
-    min_gap_s: float = 1.0
-    seen: Sightings = field(default_factory=Sightings)
-    done: int = 0
-    last: float = 0.0
+    def places(test) -> Column:  # noqa: ANN001
+        return F.filter(F.transform("w", lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
 
-    def observe(self, text: str, now: float) -> int | None:
-        """The word that the line should end on, or None; ``cut`` has to follow for it to count."""
-        spoken = text.split()
-        self.seen.see([i for i, w in enumerate(spoken) if _SENTENCE.search(w)])
-        if now < self.last + self.min_gap_s:
-            return None
+    silent = F.array(*(F.lit(f) for f in ("", *FILLERS)))
+    marked = w.select(
+        *LINE,
+        "hyp_no",
+        "at",
+        F.size("w").alias("n"),
+        F.transform("w", lambda x: (~F.array_contains(silent, normalize(x))).cast("int")).alias("spoken"),
+        places(ends_sentence).alias("firm"),
+        places(lambda x: ends_sentence(x) | ends_clause(x)).alias("soft"),
+    )
+    order = Window.partitionBy(*LINE).orderBy("hyp_no")
+    none = F.array().cast("array<int>")
+    for name in ("firm", "soft"):
+        held = F.col(name)
+        for k in range(1, runs):
+            held = F.array_intersect(held, F.coalesce(F.lag(name, k).over(order), none))
+        marked = marked.withColumn(f"{name}_agreed", held)
+    return marked.select(*LINE, "hyp_no", "at", "n", "spoken", F.col("firm_agreed").alias("firm"), F.col("soft_agreed").alias("soft"))
 
-        def fits(place: int) -> bool:
-            return (
-                place >= self.done and place + self.min_words_after < len(spoken) and len(content(spoken[self.done : place + 1])) >= self.min_line_words
-            )
 
-        return self.seen.latest(self.confirm_runs, fits)
+def _by_line(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*LINE).agg(F.sort_array(F.collect_list(F.struct("hyp_no", "at", "n", "spoken", "firm", "soft"))).alias("hyps"))
 
-    def cut(self, place: int, now: float) -> None:
-        self.done, self.last, self.seen = place + 1, now, Sightings()
 
-    def settle(self, now: float) -> None:
-        self.done, self.last, self.seen = 0, now, Sightings()
+def _content(spoken: Column, start: Column, stop: Column) -> Column:
+    """How many words with content there are from ``start`` up to and with ``stop``."""
+    return F.aggregate(F.slice(spoken, start + 1, F.greatest(stop - start + 1, F.lit(0))), F.lit(0), lambda a, x: a + x)
 
 
-@dataclass
-class EarlyPrefix:
-    """The longest prefix of an open line that may be translated already; it only grows."""
+def boundaries(hypotheses: DataFrame, runs: int = 2, words_after: int = 1, least_words: int = 4, gap_s: float = 1.0) -> DataFrame:
+    """``session_id, line_id, hyp_no, word_no``: where a line is cut before its utterance ends, all cuts accepted.
 
-    confirm_runs: int = 2
-    clause_words: int = 6
-    seen: Sightings = field(default_factory=Sightings)
-    sent: int = 0
+    A cut is at the last word that ``runs`` hypotheses since the cut before agree to end a
+    sentence, with ``words_after`` words behind it and ``least_words`` words of content in
+    the line; cuts are ``gap_s`` apart at least.
+    """
 
-    def observe(self, text: str) -> str | None:
-        spoken = text.split()
-        self.seen.see(
-            [
-                i
-                for i, w in enumerate(spoken[:-1])
-                if _SENTENCE.search(w) or (_CLAUSE.search(w) and i + 1 >= self.sent + self.clause_words)
-            ]
+    def step(state: Column, hyp: Column) -> Column:
+        able = F.filter(
+            hyp["firm"],
+            lambda p: (p >= state["done"]) & (p + words_after < hyp["n"]) & (_content(hyp["spoken"], state["done"], p) >= least_words),
         )
-        place = self.seen.latest(self.confirm_runs)
-        if place is None or place < self.sent or not content(spoken[: place + 1]):
-            return None
-        self.sent = place + 1
-        return " ".join(spoken[: place + 1])
+        due = (hyp["at"] >= state["last"] + gap_s) & (hyp["hyp_no"] - state["since"] >= runs)
 
+        def moved(place: Column) -> Column:
+            cut = F.array(F.struct(hyp["hyp_no"].alias("hyp_no"), place.alias("place")))
+            after = F.struct((place + 1).alias("done"), hyp["at"].alias("last"), hyp["hyp_no"].alias("since"), F.concat(state["found"], cut).alias("found"))
+            return F.when(place.isNull(), state).otherwise(after.cast(CUTS))
 
-def growing(lines: DataFrame, step: int, pace: float) -> DataFrame:
-    """``session_id, line_id, hyp_no, at, text``: each line as it grows by ``step`` words."""
-    w = lines.select("session_id", "line_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    each = w.select("session_id", "line_id", "w", F.explode(F.sequence(F.lit(1), F.ceil(F.size("w") / step).cast("int"))).alias("hyp_no"))
-    return each.select(
-        "session_id", "line_id", "hyp_no", (F.col("hyp_no") * step * pace).alias("at"), F.array_join(F.slice("w", 1, F.col("hyp_no") * step), " ").alias("text")
-    )
+        return let(F.when(due, F.array_max(able)), moved)
 
+    start = F.expr(f"cast(named_struct('done', 0, 'last', 0.0D, 'since', -{runs}, 'found', array()) as {CUTS})")
+    folded = _by_line(agreed(hypotheses, runs)).select(*LINE, F.aggregate("hyps", start, step)["found"].alias("found"))
+    return folded.select(*LINE, F.inline("found")).select(*LINE, "hyp_no", F.col("place").cast("bigint").alias("word_no"))
 
-def boundaries(hypotheses: DataFrame) -> DataFrame:
-    """``session_id, line_id, hyp_no, word_no``: the cuts that the policy makes, all accepted."""
-    ship_package(hypotheses.sparkSession)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        policy, rows = BoundaryPolicy(), []
-        for row in frame.sort_values("hyp_no").itertuples():
-            place = policy.observe(row.text, row.at)
-            if place is not None:
-                policy.cut(place, row.at)
-                rows.append((row.session_id, row.line_id, row.hyp_no, place))
-        return pd.DataFrame(rows, columns=["session_id", "line_id", "hyp_no", "word_no"])
+def early_prefixes(hypotheses: DataFrame, runs: int = 2, clause_words: int = 6) -> DataFrame:
+    """``session_id, line_id, hyp_no, prefix``: what is sent before lines are finished; a line's prefix only grows.
 
-    return hypotheses.groupBy("session_id", "line_id").applyInPandas(run, "session_id long, line_id long, hyp_no int, word_no long")
+    A prefix ends where ``runs`` hypotheses agree on the end of a sentence, or of a clause
+    ``clause_words`` words or more beyond what has been sent, with a word behind it.
+    """
 
+    def step(state: Column, hyp: Column) -> Column:
+        able = F.filter(
+            hyp["soft"], lambda p: (p + 1 < hyp["n"]) & (F.array_contains(hyp["firm"], p) | (p + 1 >= state["sent"] + clause_words))
+        )
 
-def early_prefixes(hypotheses: DataFrame) -> DataFrame:
-    """``session_id, line_id, hyp_no, prefix``: what is sent before lines are finished."""
-    ship_package(hypotheses.sparkSession)
+        def moved(place: Column) -> Column:
+            sends = place.isNotNull() & (place >= state["sent"]) & (_content(hyp["spoken"], F.lit(0), place) > 0)
+            sent = F.array(F.struct(hyp["hyp_no"].alias("hyp_no"), place.alias("place")))
+            after = F.struct((place + 1).alias("sent"), F.concat(state["found"], sent).alias("found"))
+            return F.when(sends, after.cast(SENT)).otherwise(state)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        policy, rows = EarlyPrefix(), []
-        for row in frame.sort_values("hyp_no").itertuples():
-            prefix = policy.observe(row.text)
-            if prefix is not None:
-                rows.append((row.session_id, row.line_id, row.hyp_no, prefix))
-        return pd.DataFrame(rows, columns=["session_id", "line_id", "hyp_no", "prefix"])
+        return let(F.array_max(able), moved)
 
-    return hypotheses.groupBy("session_id", "line_id").applyInPandas(run, "session_id long, line_id long, hyp_no int, prefix string")
+    start = F.expr(f"cast(named_struct('sent', 0, 'found', array()) as {SENT})")
+    folded = _by_line(agreed(hypotheses, runs)).select(*LINE, F.aggregate("hyps", start, step)["found"].alias("found"))
+    sent = folded.select(*LINE, F.inline("found"))
+    text = F.array_join(F.slice(words(F.col("text")), 1, F.col("place") + 1), " ")
+    return sent.join(hypotheses, [*LINE, "hyp_no"]).select(*LINE, "hyp_no", text.alias("prefix"))

@@ -1,199 +1,340 @@
-"""The two-lane line machine: ordered lines out of partial, final and late answers.
-
-``LineMachine`` is plain Python state without a clock: time comes with each input, so
-that a batch replay and a stream give the same lines. Lines keep the number that they
-got when they first showed, close in order, and wait for the accurate lane until it has
-covered them or their time is up.
+"""Ordered lines out of two lanes: hypotheses and utterances of the quick one, late answers of the accurate one.
+
+What comes out follows from four facts, which the batch form works out by windows and the
+streaming form keeps as state:
+
+* numbers: whatever shows a line first takes the next number, a hypothesis for the line it
+  grows into, and lines leave in the order of their numbers;
+* spans: a line's start and end are those of its quick words; an utterance of more words
+  than a line holds is several lines, and words cut out early aren't said again;
+* shares: the running maxima of line ends part the time axis, and an accurate word is of the
+  line in whose part its middle lies; once that line is out, the word is too late;
+* release: a line is ready when the accurate lane has covered its end or its time is up,
+  whatever comes first, and is out when all lines before it are ready too.
+
+A session's rows are ordered by windows; state in streams is bounded by what a session has
+open, goes when it stops, and has a timer for the time that a line waits.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+import re
+from itertools import takewhile
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.confirm import content
-from tideline.operators.merge import MergeConfig
-from tideline.session import ship_package
+from tideline.functions.text import FILLERS
+from tideline.operators.merge import MergeConfig, decide
 
 BOTH, QUICK_ONLY, ACCURATE_ONLY = "both", "quick_only", "accurate_only"
 MAX_WORDS = 40
-PROMPT_CHARS = 200
+PROMOTE_AFTER = 8.0
+WORDS = "array<struct<text:string,start:double,end:double>>"
+INPUT = f"session_id long, seq long, kind string, now double, text string, end double, words {WORDS}"
+OUTPUT = "session_id long, line_id long, start_s double, end_s double, source string, lane string, reason string"
+COLUMNS = ["session_id", "line_id", "start_s", "end_s", "source", "lane", "reason"]
 
 Word = tuple[str, float, float]
 
 
-def middle(word: Word) -> float:
-    return word[1] + max(word[2] - word[1], 0.0) / 2
+# the batch form
 
 
-def text_of(words: list[Word]) -> str:
-    return " ".join(t for w in words if (t := w[0].strip()))
+def _middle(word: Column) -> Column:
+    return word["start"] + F.greatest(word["end"] - word["start"], F.lit(0.0)) / 2
+
+
+def _text(words: Column) -> Column:
+    trimmed = F.transform(words, lambda w: F.regexp_replace(w["text"], r"(?U)^\s+|\s+$", ""))
+    return F.array_join(F.filter(trimmed, lambda t: t != ""), " ")
+
 
+def _cut(words: Column, size: int) -> Column:
+    """The words in arrays of ``size``, without those that have no text."""
+    count = F.ceil(F.size(words) / size).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.slice(words, i * size + 1, size))
+    return F.filter(parts, lambda part: _text(part) != "")
+
+
+def first_reaching(events: DataFrame, levels: DataFrame) -> DataFrame:
+    """``levels(session_id, line_id, level)`` with ``at``: the first ``seq`` whose ``value`` reaches the level.
+
+    ``events(session_id, seq, value)`` have values that don't fall. Events and levels are put
+    in one order of values, so that no pairs are formed.
+    """
+    both = events.select("session_id", "seq", "value", F.lit(None).cast("long").alias("line_id"), F.lit(0).alias("asks")).unionByName(
+        levels.select("session_id", F.lit(None).cast("long").alias("seq"), F.col("level").alias("value"), "line_id", F.lit(1).alias("asks"))
+    )
+    over = Window.partitionBy("session_id").orderBy(F.desc("value"), "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("at", F.min("seq").over(over)).where("asks = 1").select("session_id", "line_id", F.col("value").alias("level"), "at")
 
-def decide_text(quick: str | None, accurate: str | None, late: bool, config: MergeConfig = MergeConfig()) -> tuple[str, str, str | None] | None:
+
+def quick_lines(inputs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+    """``session_id, line_id, seq, start_s, end_s, quick, due_from``: lines as the quick lane closes them.
+
+    ``inputs`` have a ``clock`` that doesn't fall. A line cut out of an open utterance is due
+    from the end of that utterance on, others from their own.
+    """
+    before = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    spoken = inputs.where(F.col("kind").isin("partial", "cut", "final"))
+    spoken = spoken.withColumn("utterance", F.coalesce(F.sum((F.col("kind") == "final").cast("int")).over(before), F.lit(0)))
+    early = F.when((F.col("kind") == "cut") & (_text(F.col("words")) != ""), F.greatest(F.coalesce("end", "now"), F.get("words", F.lit(0))["start"]))
+    said = Window.partitionBy("session_id", "utterance").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    spoken = spoken.withColumn("until", early).withColumn("said", F.coalesce(F.last("until", ignorenulls=True).over(said), F.lit(0.0)))
+    new = F.array_position(F.transform("words", lambda w: _middle(w) >= F.col("said")), F.lit(True)).cast("int")
+    rest = F.when(new > 0, F.slice("words", F.greatest(new, F.lit(1)), F.size("words"))).otherwise(F.slice("words", 1, 0))
+    parts = F.when(F.col("kind") == "final", _cut(rest, max_words)).when(F.col("until").isNotNull(), F.array("words")).otherwise(F.array().cast(f"array<{WORDS}>"))
+    spoken = spoken.withColumn("parts", parts)
+    # hypotheses between two closings are of one line, which has the number that the first of them took
+    shown = spoken.where((F.col("kind") != "cut") | (F.size("parts") > 0))
+    order = Window.partitionBy("session_id").orderBy("seq")
+    opened = F.coalesce(F.lag("kind").over(order) == "partial", F.lit(False)).cast("int")
+    takes = F.when(F.col("kind") == "partial", 1 - F.col("opened")).otherwise(F.greatest(F.size("parts") - F.col("opened"), F.lit(0)))
+    shown = shown.withColumn("opened", opened).withColumn("takes", takes)
+    shown = shown.withColumn("taken", F.coalesce(F.sum("takes").over(before), F.lit(0)))
+    ended = Window.partitionBy("session_id", "utterance")
+    shown = shown.withColumn("ended", F.max(F.when(F.col("kind") == "final", F.col("clock"))).over(ended))
+    each = shown.select("session_id", "seq", "kind", "until", "ended", "taken", "opened", F.posexplode("parts").alias("place", "part"))
+    start, stop = F.get("part", F.lit(0))["start"], F.coalesce("until", F.greatest(F.element_at("part", -1)["end"], F.get("part", F.lit(0))["start"]))
+    return each.select(
+        "session_id",
+        (F.col("taken") + 1 + F.col("place") - F.col("opened")).cast("long").alias("line_id"),
+        "seq",
+        start.alias("start_s"),
+        stop.alias("end_s"),
+        _text(F.col("part")).alias("quick"),
+        F.when(F.col("kind") == "final", stop).otherwise(F.col("ended")).alias("due_from"),
+    )
+
+
+def accurate_lines(inputs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+    """Lines of the accurate lane alone: each answer's words, but for those before the end of an earlier answer."""
+    before = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    answers = inputs.where("kind = 'answer'").withColumn("reach", F.array_max(F.transform("words", lambda w: w["end"])))
+    fresh = answers.withColumn("edge", F.coalesce(F.max("reach").over(before), F.lit(0.0)))
+    parts = fresh.withColumn("parts", _cut(F.filter("words", lambda w: _middle(w) >= F.col("edge")), max_words))
+    taken = F.coalesce(F.sum(F.size("parts")).over(before), F.lit(0))
+    each = parts.withColumn("taken", taken).select("session_id", "taken", F.posexplode("parts").alias("place", "part"))
+    start = F.get("part", F.lit(0))["start"]
+    return each.select(
+        "session_id",
+        (F.col("taken") + 1 + F.col("place")).cast("long").alias("line_id"),
+        start.alias("start_s"),
+        F.greatest(F.element_at("part", -1)["end"], start).alias("end_s"),
+        _text(F.col("part")).alias("source"),
+        F.lit("accurate").alias("lane"),
+        F.lit(None).cast("string").alias("reason"),
+    )
+
+
+def released(inputs: DataFrame, lines: DataFrame, promote_after: float = PROMOTE_AFTER) -> DataFrame:
+    """``lines`` with ``out``, the ``seq`` of the input that lets them go, and ``covered``: whether the accurate lane has heard their end by then."""
+    by_seq = Window.partitionBy("session_id").orderBy("seq")
+    heard = F.when(F.col("kind") == "answer", F.greatest("clock", F.array_max(F.transform("words", lambda w: w["end"]))))
+    events = inputs.select("session_id", "seq", "clock", F.max(heard).over(by_seq).alias("covers"))
+    ends = inputs.groupBy("session_id").agg((F.max("seq") + 1).alias("last"))
+    covered = first_reaching(events.select("session_id", "seq", F.col("covers").alias("value")).where("value is not null"), lines.select("session_id", "line_id", F.col("end_s").alias("level")))
+    due = lines.where("due_from is not null").select("session_id", "line_id", (F.col("due_from") + promote_after).alias("level"))
+    late = first_reaching(events.select("session_id", "seq", F.col("clock").alias("value")), due)
+    key = ["session_id", "line_id"]
+    timed = lines.join(covered.select(*key, F.col("at").alias("cover_at")), key, "left").join(late.select(*key, F.col("at").alias("late_at")), key, "left").join(ends, "session_id")
+    ready = F.greatest("seq", F.least(F.coalesce("cover_at", "last"), F.coalesce("late_at", "last")))
+    in_order = Window.partitionBy("session_id").orderBy("line_id")
+    timed = timed.withColumn("out", F.max(ready).over(in_order))
+    return timed.withColumn("covered", F.coalesce(F.col("cover_at") <= F.col("out"), F.lit(False))).drop("cover_at", "late_at", "last")
+
+
+def replay(inputs: DataFrame, mode: str = BOTH, max_words: int = MAX_WORDS, promote_after: float = PROMOTE_AFTER) -> DataFrame:
+    """Final lines of whole sessions of input rows (see ``INPUT``); the session's end lets all lines go."""
+    clock = F.max("now").over(Window.partitionBy("session_id").orderBy("seq"))
+    inputs = inputs.withColumn("clock", F.greatest(clock, F.lit(0.0)))
+    if mode == ACCURATE_ONLY:
+        return accurate_lines(inputs, max_words).select(*COLUMNS)
+    lines = quick_lines(inputs, max_words)
+    if mode == QUICK_ONLY:
+        return lines.select("session_id", "line_id", "start_s", "end_s", F.col("quick").alias("source"), F.lit("fast").alias("lane"), F.lit("accurate_disabled").alias("reason"))
+    out = released(inputs, lines, promote_after)
+    shared = attributed(inputs, out)
+    heard = F.when(F.col("covered"), F.coalesce("accurate", F.lit("")))
+    decided = out.join(shared, ["session_id", "line_id"], "left").withColumn("decision", decide(F.col("quick"), heard, ~F.col("covered")))
+    return decided.select("session_id", "line_id", "start_s", "end_s", F.col("decision.text").alias("source"), F.col("decision.lane").alias("lane"), F.col("decision.reason").alias("reason"))
+
+
+def attributed(inputs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``session_id, line_id, accurate``: the accurate words of each line that came by the time that it was out."""
+    each = inputs.where("kind = 'answer'").select("session_id", "seq", F.posexplode("words").alias("place", "word"))
+    words = each.select("session_id", _middle(F.col("word")).alias("at"), F.lit(1).alias("asks"), "seq", "place", F.col("word.text").alias("text"))
+    order = Window.partitionBy("session_id").orderBy("line_id").rowsBetween(Window.unboundedPreceding, -1)
+    edges = lines.withColumn("edge", F.coalesce(F.max("end_s").over(order), F.lit(0.0))).where(F.col("end_s") > F.col("edge"))
+    marks = edges.select("session_id", F.col("end_s").alias("at"), F.lit(0).alias("asks"), F.struct("line_id", "out").alias("of"))
+    ahead = Window.partitionBy("session_id").orderBy("at", "asks").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # a word right at a line's end is of the next line: ends come first and words look ahead
+    met = words.unionByName(marks, allowMissingColumns=True).withColumn("of", F.first("of", ignorenulls=True).over(ahead))
+    own = met.where((F.col("asks") == 1) & (F.col("seq") <= F.col("of.out")))
+    said = F.sort_array(F.collect_list(F.struct("seq", "place", "text")))
+    return own.groupBy("session_id", F.col("of.line_id").alias("line_id")).agg(_text(said).alias("accurate"))
+
+
+# the streaming form
+
+_EDGES = re.compile(r"^[^\w']+|[^\w']+$|^_+|_+$")
+
+
+def _bare(text: str) -> list[str]:
+    """Normalised words without fillers, as the column function gives them."""
+    found = (_EDGES.sub("", w).lower() for w in text.split())
+    return [w for w in found if w and w not in FILLERS]
+
+
+def distrust(quick: str, accurate: str, config: MergeConfig = MergeConfig()) -> str | None:
+    """Why an accurate text isn't trusted, as ``merge.suspicion`` has it."""
+    said, heard = _bare(quick), _bare(accurate)
+    gap, run = len(said) - len(heard), config.repetition_run
+    runs = {tuple(heard[i : i + run]) for i in range(len(heard) - run + 1)}
+    reasons = {
+        "accurate_truncated": not heard or (gap >= config.min_drop_words and len(heard) < config.truncation_guard * len(said)),
+        "accurate_looped": -gap >= config.min_extra_words and len(heard) > config.repetition_guard * len(said) and len(heard) >= 2 * run and len(runs) <= len(heard) - run,
+    }
+    return next((reason for reason, holds in reasons.items() if said and holds), None)
+
+
+def decide_text(quick: str | None, accurate: str | None, late: bool) -> tuple[str, str, str | None] | None:
     """``(text, lane, reason)`` as ``merge.decide`` gives it, or None while a line has to wait."""
     if accurate is None:
-        return (quick, "fast", "accurate_timeout") if quick is not None and late else None
-    heard, found = content((quick or "").split()), content(accurate.split())
-    reason = None
-    if quick is not None and heard:
-        n, m, run = len(heard), len(found), config.repetition_run
-        if m == 0 or (n - m >= config.min_drop_words and m < config.truncation_guard * n):
-            reason = "accurate_truncated"
-        elif m - n >= config.min_extra_words and m > config.repetition_guard * n and m >= 2 * run:
-            runs = [tuple(found[i : i + run]) for i in range(m - run + 1)]
-            reason = "accurate_looped" if len(set(runs)) < len(runs) else None
-    return (quick, "fast", reason) if reason else (accurate, "accurate", None)
-
-
-@dataclass
-class Line:
-    """A closed line on its way out; without a deadline it isn't waiting yet."""
-
-    line_id: int
-    start: float
-    end: float
-    quick: str | None = None
-    accurate: str | None = None
-    deadline: float | None = None
-
-
-@dataclass
+        return (quick, "fast", "accurate_timeout") if late and quick is not None else None
+    reason = None if quick is None else distrust(quick, accurate)
+    return (accurate, "accurate", None) if reason is None else (quick, "fast", reason)
+
+
 class LineMachine:
-    """State of one session."""
-
-    mode: str = BOTH
-    max_words: int = MAX_WORDS
-    promote_after: float = 8.0
-    next_id: int = 1
-    open_id: int | None = None
-    waiting: list[Line] = field(default_factory=list)
-    spare: list[Word] = field(default_factory=list)
-    tail: str = ""
-    frontier: float = 0.0
-    answered: float = 0.0
-    emitted: float = 0.0
-    cut_until: float = 0.0
-    now: float = 0.0
-
-    def _number(self) -> int:
-        """The open line's number, which is then taken, or a new one."""
-        number, self.open_id = self.open_id, None
-        if number is None:
-            number, self.next_id = self.next_id, self.next_id + 1
-        return number
-
-    def _close(self, words: list[Word], end: float, waits: bool) -> list[dict]:
-        line = Line(self._number(), words[0][1], max(end, words[0][1]), quick=text_of(words))
-        line.deadline = line.end if waits else None
-        self.waiting.append(line)
-        return [] if self.mode == QUICK_ONLY else [{"kind": "draft", "line_id": line.line_id, "text": line.quick, "end": line.end}]
+    """A session's state between micro-batches, as plain data.
+
+    ``lines`` are closed and not yet out: number, start, end, quick text, accurate text (of
+    the accurate lane alone) and the time that they are due from. ``heard`` are accurate
+    words that no line that is out has had, by their middle.
+    """
+
+    def __init__(self, mode: str = BOTH, max_words: int = MAX_WORDS, promote_after: float = PROMOTE_AFTER, **state) -> None:  # noqa: ANN003
+        self.mode, self.max_words, self.promote_after = mode, max_words, promote_after
+        self.facts = {"clock": 0.0, "covers": 0.0, "edge": 0.0, "said": 0.0, "numbers": 0, "shown": 0, "lines": [], "heard": [], **state}
+
+    def dump(self) -> str:
+        return json.dumps({"mode": self.mode, "max_words": self.max_words, "promote_after": self.promote_after, **self.facts})
+
+    @classmethod
+    def load(cls, state: str) -> LineMachine:
+        return cls(**json.loads(state))
+
+    # one input of each kind
 
     def partial(self, text: str, now: float) -> list[dict]:
-        """The quick lane's hypothesis of the open line."""
-        self.now = max(self.now, now)
-        self.open_id = self._number()
-        return [{"kind": "partial", "line_id": self.open_id, "text": text}, *self._drain()]
+        return self.feed("partial", text, [], None, now)
 
     def final(self, words: list[Word], now: float) -> list[dict]:
-        """The quick lane's utterance; words that were cut out early are skipped from its front."""
-        self.now = max(self.now, now)
-        skip = next((i for i, w in enumerate(words) if middle(w) >= self.cut_until), len(words))
-        rest, self.cut_until = words[skip:], 0.0
-        for line in self.waiting:
-            line.deadline = self.now if line.deadline is None else line.deadline
-        out: list[dict] = []
-        for at in range(0, len(rest), max(self.max_words, 1)):
-            part = rest[at : at + max(self.max_words, 1)]
-            if text_of(part):
-                out += self._close(part, part[-1][2], True)
-        self.open_id = None
-        return out + self._drain()
+        return self.feed("final", None, words, None, now)
 
     def cut(self, words: list[Word], end: float, now: float) -> list[dict]:
-        """The front of the open utterance becomes a line of its own; it waits from the utterance's end."""
-        self.now = max(self.now, now)
-        if not text_of(words):
-            return self._drain()
-        self.cut_until = max(end, words[0][1])
-        return self._close(words, self.cut_until, False) + self._drain()
+        return self.feed("cut", None, words, end, now)
 
     def answer(self, words: list[Word], now: float) -> list[dict]:
-        """The accurate lane's words for an utterance."""
-        self.now = max(self.now, now)
-        self.tail = (self.tail + " " + text_of(words)).strip()[-PROMPT_CHARS:]
-        self.frontier = max([self.frontier, *(w[2] for w in words)])
-        self.spare += [w for w in words if middle(w) >= self.emitted]
-        self.answered = self.now
-        while self.mode == ACCURATE_ONLY and self.spare:
-            part, self.spare = self.spare[: self.max_words], self.spare[self.max_words :]
-            end = max(part[-1][2], part[0][1])
-            self.waiting.append(Line(self._number(), part[0][1], end, accurate=text_of(part), deadline=end))
-        return self._drain()
+        return self.feed("answer", None, words, None, now)
 
     def tick(self, now: float) -> list[dict]:
-        """Time has passed."""
-        self.now = max(self.now, now)
-        return self._drain()
+        return self.feed("tick", None, [], None, now)
 
     def finish(self) -> list[dict]:
-        """The session has ended: what still waits is let go."""
-        last = max((line.end if line.deadline is None else line.deadline for line in self.waiting), default=self.now)
-        return self.tick(max(self.now, last) + self.promote_after)
-
-    def _claim(self, end: float) -> list[Word]:
-        """Words from the front whose middle is before ``end``."""
-        take = next((i for i, w in enumerate(self.spare) if middle(w) >= end), len(self.spare))
-        taken, self.spare = self.spare[:take], self.spare[take:]
-        return taken
-
-    def _drain(self) -> list[dict]:
-        out: list[dict] = []
-        while self.waiting:
-            line = self.waiting[0]
-            if self.mode == BOTH and line.accurate is None and max(self.frontier, self.answered) >= line.end:
-                line.accurate = text_of(self._claim(line.end))
-            if self.mode == QUICK_ONLY:
-                found = (line.quick, "fast", "accurate_disabled") if line.quick is not None else None
-            else:
-                since = self.now if line.deadline is None else line.deadline
-                found = decide_text(line.quick, line.accurate, self.now >= since + self.promote_after)
-            if found is None:
-                break
-            self.waiting.pop(0)
-            self.emitted = max(self.emitted, line.end)
-            self._claim(self.emitted)  # late words of a promoted line never reach the next one
-            out.append({"kind": "final", "line_id": line.line_id, "text": found[0], "start": line.start, "end": line.end, "lane": found[1], "reason": found[2]})
-        return out
+        return self.feed("stop", None, [], None, self.facts["clock"])
 
     def feed(self, kind: str, text: str | None, words: list[Word], end: float | None, now: float) -> list[dict]:
-        """One input row."""
+        """What an input row shows and lets go."""
+        facts = self.facts
+        facts["clock"] = max(facts["clock"], now)
+        events: list[dict] = []
         if kind == "partial":
-            return self.partial(text or "", now)
-        if kind == "cut":
-            return self.cut(words, now if end is None else end, now)
-        if kind in ("final", "answer"):
-            return getattr(self, kind)(words, now)
-        return self.finish() if kind == "stop" else self.tick(now)
+            facts["shown"] = facts["shown"] or self._next_number()
+            events = [{"kind": "partial", "line_id": facts["shown"], "text": text}]
+        elif kind in ("cut", "final"):
+            events = self._close(kind == "cut", words, now if end is None else end)
+        elif kind == "answer":
+            self._hear(words)
+        return events + self._release(kind == "stop")
+
+    def due_at(self) -> float | None:
+        """When time alone lets the next line go."""
+        first = next(iter(self.facts["lines"]), None)
+        return None if first is None or first["due_from"] is None else first["due_from"] + self.promote_after
+
+    def _next_number(self) -> int:
+        self.facts["numbers"] += 1
+        return self.facts["numbers"]
+
+    def _add(self, words: list[Word], end: float, due_from: float | None, **texts: str) -> dict:
+        number, self.facts["shown"] = self.facts["shown"] or self._next_number(), 0
+        line = {"line_id": number, "start": words[0][1], "end": max(end, words[0][1]), "quick": None, "accurate": None, "due_from": due_from, **texts}
+        self.facts["lines"].append(line)
+        return line
+
+    def _close(self, early: bool, words: list[Word], end: float) -> list[dict]:
+        facts = self.facts
+        if early:
+            parts = [words]
+        else:
+            fresh = [i for i, w in enumerate(words) if w[1] + max(w[2] - w[1], 0.0) / 2 >= facts["said"]]
+            parts = pieces(words[fresh[0] :], self.max_words) if fresh else []
+            facts["said"] = 0.0
+            facts["lines"] = [{**x, "due_from": facts["clock"] if x["due_from"] is None else x["due_from"]} for x in facts["lines"]]
+        new = []
+        for part in parts:
+            if text := joined(part):
+                stop = end if early else part[-1][2]
+                new.append(self._add(part, stop, None if early else max(stop, part[0][1]), quick=text))
+        if early and new:
+            facts["said"] = new[0]["end"]
+        facts["shown"] = facts["shown"] if early else 0
+        return [] if self.mode == QUICK_ONLY else [{"kind": "draft", "line_id": x["line_id"], "text": x["quick"], "end": x["end"]} for x in new]
+
+    def _hear(self, words: list[Word]) -> None:
+        facts = self.facts
+        timed = [(w[1] + max(w[2] - w[1], 0.0) / 2, w) for w in words]
+        kept = [(at, w) for at, w in timed if at >= facts["edge"]]
+        facts["covers"] = max([facts["covers"], facts["clock"], *(w[2] for w in words)])
+        if self.mode == ACCURATE_ONLY:
+            for part in pieces([w for _, w in kept], self.max_words):
+                if text := joined(part):
+                    self._add(part, part[-1][2], part[-1][2], accurate=text)
+        else:
+            facts["heard"] += [[at, w[0]] for at, w in kept]
+
+    def _verdict(self, line: dict, ending: bool) -> dict | None:
+        """The line as it leaves, or None while it waits; lines before it are out."""
+        facts = self.facts
+        event = {"kind": "final", "line_id": line["line_id"], "start": line["start"], "end": line["end"]}
+        heard = line["accurate"]
+        if heard is None and facts["covers"] >= line["end"]:
+            heard = joined([(word,) for at, word in facts["heard"] if facts["edge"] <= at < line["end"]])
+        late = ending or (line["due_from"] is not None and facts["clock"] >= line["due_from"] + self.promote_after)
+        verdict = (line["quick"], "fast", "accurate_disabled") if self.mode == QUICK_ONLY else decide_text(line["quick"], heard, late)
+        return None if verdict is None else event | dict(zip(("text", "lane", "reason"), verdict, strict=True))
+
+    def _release(self, ending: bool) -> list[dict]:
+        facts, out = self.facts, []
+        for line, event in takewhile(lambda x: x[1] is not None, ((x, self._verdict(x, ending)) for x in facts["lines"])):
+            facts["edge"] = max(facts["edge"], line["end"])
+            out.append(event)
+        facts["lines"] = facts["lines"][len(out) :]
+        facts["heard"] = [x for x in facts["heard"] if x[0] >= facts["edge"]]
+        return out
 
-    def dump(self) -> str:
-        return json.dumps(asdict(self))
 
-    @classmethod
-    def load(cls, state: str) -> LineMachine:
-        raw = json.loads(state)
-        machine = cls(**{k: v for k, v in raw.items() if k not in ("waiting", "spare")})
-        machine.waiting = [Line(**x) for x in raw["waiting"]]
-        machine.spare = [tuple(w) for w in raw["spare"]]
-        return machine
+def joined(words: list[tuple]) -> str:
+    return " ".join(t for w in words if (t := w[0].strip()))
 
 
-INPUT = "session_id long, seq long, kind string, now double, text string, end double, words array<struct<text:string,start:double,end:double>>"
-OUTPUT = "session_id long, line_id long, start_s double, end_s double, source string, lane string, reason string"
+def pieces(words: list[Word], size: int) -> list[list[Word]]:
+    return [words[at : at + size] for at in range(0, len(words), size)]
 
 
 def rows_of(session: int, events: list[dict]) -> list[tuple]:
@@ -202,7 +343,7 @@ def rows_of(session: int, events: list[dict]) -> list[tuple]:
 
 
 def frame_of(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["session_id", "line_id", "start_s", "end_s", "source", "lane", "reason"])
+    return pd.DataFrame(rows, columns=COLUMNS)
 
 
 def feed_frame(machine: LineMachine, frame: pd.DataFrame) -> list[dict]:
@@ -215,18 +356,6 @@ def feed_frame(machine: LineMachine, frame: pd.DataFrame) -> list[dict]:
     return out
 
 
-def replay(inputs: DataFrame, mode: str = BOTH) -> DataFrame:
-    """Final lines of whole sessions of input rows (see ``INPUT``)."""
-    ship_package(inputs.sparkSession)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        machine = LineMachine(mode=mode)
-        events = feed_frame(machine, frame) + machine.finish()
-        return frame_of(rows_of(int(frame["session_id"].iloc[0]), events))
-
-    return inputs.groupBy("session_id").applyInPandas(run, OUTPUT)
-
-
 def inputs_of(lanes: DataFrame, pace: float) -> DataFrame:
     """Input rows out of lines with both lanes' texts: partial, final, answer and tick for each.
 
@@ -239,7 +368,7 @@ def inputs_of(lanes: DataFrame, pace: float) -> DataFrame:
             w, lambda x, i: F.struct(x.alias("text"), (F.col("start_s") + pace * i).alias("start"), (F.col("start_s") + pace * (i + 1)).alias("end"))
         )
 
-    none = F.array().cast("array<struct<text:string,start:double,end:double>>")
+    none = F.array().cast(WORDS)
 
     def row(kind: str, place: int, now, text, words):  # noqa: ANN001, ANN202
         return F.struct(

@@ -40,13 +40,16 @@ def two_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_LANES_SQL = f"""
+LANES_SQL = f"""
 WITH lanes AS (
   SELECT conv_id AS session_id, turn AS line_id, {sq.strip_upper('text')} AS quick,
     CASE turn % 5 WHEN 0 THEN text WHEN 1 THEN array_to_string(list_slice({sq.words('text')}, 1, 2), ' ') WHEN 2 THEN text || ' ' || text || ' ' || text END AS accurate,
     turn % 5 = 3 AS timed_out, turn * 10.0::DOUBLE AS start_s, (turn * 10.0 + {PACE} * len({sq.words('text')}))::DOUBLE AS end_s
   FROM conversations WHERE text IS NOT NULL
-), counted AS (
+)
+"""
+
+_SETTLED_SQL = LANES_SQL + f""", counted AS (
   SELECT *, {sq.content_words('quick')} AS q, {sq.content_words('accurate')} AS a FROM lanes
 ), judged AS (
   SELECT *, CASE WHEN accurate IS NULL THEN CASE WHEN timed_out THEN 'accurate_timeout' END
@@ -62,12 +65,12 @@ WITH lanes AS (
 """
 
 
-@register("settled_lines", _LANES_SQL + "SELECT * FROM settled")
+@register("settled_lines", _SETTLED_SQL + "SELECT * FROM settled")
 def settled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.settle(two_lanes(spark, sf_dir))
 
 
-@register("settled_reason_counts", _LANES_SQL + "SELECT coalesce(reason, 'accurate') AS reason, count(*) AS n FROM settled GROUP BY ALL")
+@register("settled_reason_counts", _SETTLED_SQL + "SELECT coalesce(reason, 'accurate') AS reason, count(*) AS n FROM settled GROUP BY ALL")
 def settled_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled_lines(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("accurate")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 

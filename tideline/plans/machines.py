@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,22 +11,79 @@ from tideline.functions.models import EchoTranslator, translate_rows
 from tideline.operators import lines
 from tideline.plans import series as sr
 from tideline.plans import sqltext as sq
-from tideline.plans.conversations import PACE, fold_patches, turns, two_lanes
+from tideline.plans.conversations import LANES_SQL, PACE, fold_patches, turns, two_lanes
 from tideline.plans.registry import oracle_of, register
-from tideline.session import table
+from tideline.session import shared_folder, table
 from tideline.streaming import queries as st
 
 
 def _scratch(spark: SparkSession) -> str:
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tideline-stream-")
-    return f"{told.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _name(what: str) -> str:
     return f"{what}_{uuid.uuid4().hex[:8]}"
 
 
-@register("line_machine")
+_LINES_SQL = f"""
+, base AS (
+  SELECT session_id, line_id AS turn, quick, accurate, timed_out, start_s, end_s FROM lanes
+), spoken AS (
+  SELECT *, {sq.words("coalesce(quick, '')")} AS q, {sq.words("coalesce(accurate, '')")} AS a FROM base
+), parts AS (
+  -- numbers: the partial of a turn takes one, and each further piece of 40 words another
+  SELECT *, greatest(1, ceil(len(q) / 40)::INT) AS numbers FROM spoken
+), numbered AS (
+  SELECT *, coalesce(sum(numbers) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM parts
+), closed AS (
+  SELECT session_id, turn, (taken + 1 + k)::BIGINT AS line_id, start_s + {PACE} * (k * 40) AS s, start_s + {PACE} * least(k * 40 + 40, len(q)) AS e,
+    array_to_string(list_slice(q, k * 40 + 1, k * 40 + 40), ' ') AS quick, turn * 4 + 1 AS closed_at
+  FROM numbered, unnest(generate_series(0, ceil(len(q) / 40)::INT - 1)) AS t(k) WHERE len(q) > 0
+), inputs AS (
+  SELECT session_id, turn * 4 AS seq, start_s AS now, NULL::DOUBLE AS hears FROM spoken
+  UNION ALL SELECT session_id, turn * 4 + 1, end_s, NULL FROM spoken
+  UNION ALL SELECT session_id, turn * 4 + 2, end_s + 1.0, greatest(end_s + 1.0, start_s + {PACE} * len(a)) FROM spoken WHERE accurate IS NOT NULL
+  UNION ALL SELECT session_id, turn * 4 + 3, end_s + 8.0, NULL FROM spoken WHERE timed_out
+), clocked AS (
+  SELECT session_id, seq, max(now) OVER o AS clock, CASE WHEN hears IS NOT NULL THEN greatest(hears, max(now) OVER o) END AS hears FROM inputs
+  WINDOW o AS (PARTITION BY session_id ORDER BY seq)
+), events AS (
+  SELECT session_id, seq, clock, max(hears) OVER (PARTITION BY session_id ORDER BY seq) AS covers FROM clocked
+), ready AS (
+  SELECT c.*, (SELECT min(seq) FROM events v WHERE v.session_id = c.session_id AND v.covers >= c.e) AS cover_at,
+    (SELECT min(seq) FROM events v WHERE v.session_id = c.session_id AND v.clock >= c.e + 8.0) AS late_at,
+    (SELECT max(seq) + 1 FROM events v WHERE v.session_id = c.session_id) AS last
+  FROM closed c
+), out AS (
+  SELECT *, max(greatest(closed_at, least(coalesce(cover_at, last), coalesce(late_at, last)))) OVER o AS let_go,
+    coalesce(max(e) OVER (PARTITION BY session_id ORDER BY line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS edge
+  FROM ready WINDOW o AS (PARTITION BY session_id ORDER BY line_id)
+), heard AS (
+  SELECT session_id, turn * 4 + 2 AS seq, i, a[i] AS word, start_s + {PACE} * (i - 1) AS ws, start_s + {PACE} * i AS we
+  FROM spoken, unnest(generate_series(1, len(a))) AS t(i) WHERE accurate IS NOT NULL
+), shares AS (
+  SELECT o.session_id, o.line_id, string_agg(h.word, ' ' ORDER BY h.seq, h.i) AS accurate
+  FROM out o JOIN heard h ON h.session_id = o.session_id AND h.ws + greatest(h.we - h.ws, 0) / 2 >= o.edge AND h.ws + greatest(h.we - h.ws, 0) / 2 < o.e AND h.seq <= o.let_go
+  GROUP BY o.session_id, o.line_id
+), decided AS (
+  SELECT o.session_id, o.line_id, o.s AS start_s, o.e AS end_s, o.quick,
+    CASE WHEN o.cover_at <= o.let_go THEN coalesce(x.accurate, '') END AS accurate
+  FROM out o LEFT JOIN shares x ON x.session_id = o.session_id AND x.line_id = o.line_id
+), counted_again AS (
+  SELECT *, {sq.content_words("quick")} AS q, {sq.content_words("coalesce(accurate, '')")} AS a FROM decided
+), reasoned AS (
+  SELECT *, CASE WHEN accurate IS NULL THEN 'accurate_timeout' WHEN len(q) = 0 THEN NULL
+    WHEN len(a) = 0 OR (len(q) - len(a) >= 5 AND len(a) < 0.6 * len(q)) THEN 'accurate_truncated'
+    WHEN len(a) - len(q) >= 5 AND len(a) > 1.5 * len(q) AND {sq.repeated('a', 4)} THEN 'accurate_looped' END AS reason
+  FROM counted_again
+)
+SELECT session_id, line_id, start_s, end_s, CASE WHEN reason IS NULL THEN accurate ELSE quick END AS source,
+  CASE WHEN reason IS NULL THEN 'accurate' ELSE 'fast' END AS lane, reason
+FROM reasoned
+"""
+
+
+@register("line_machine", LANES_SQL + _LINES_SQL)
 def line_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.replay(lines.inputs_of(two_lanes(spark, sf_dir), PACE))
 
@@ -68,7 +124,7 @@ def stream_fold_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.run_to_end(st.fold_stream(stream, ["session_id", "line_id"], "seq"), _name("fold"), f"{path}/state", "complete")
 
 
-@register("stream_line_machine")
+@register("stream_line_machine", oracle_of("line_machine"))
 def stream_line_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark)
     inputs = lines.inputs_of(two_lanes(spark, sf_dir), PACE)

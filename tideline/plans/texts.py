@@ -192,12 +192,56 @@ def boundary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.boundary_scores(found.withColumn("predicted", moved), ["session_id", "line_id"])
 
 
-@register("confirmed_boundaries")
+_HYPS = f"""
+told AS (
+  SELECT session_id, line_id, w, list_filter(generate_series(0, len(w) - 1), lambda i: regexp_matches(w[i + 1], '[.!?]["'')\\]”]*$')) AS ends,
+    list_filter(generate_series(0, len(w) - 1), lambda i: regexp_matches(w[i + 1], '[.!?,;:]["'')\\]”]*$')) AS stops,
+    list_transform(list_transform(w, lambda x: {sq.normalize('x')}), lambda x: CASE WHEN x = '' OR list_contains({sq.FILLER_LIST}, x) THEN 0 ELSE 1 END) AS flags
+  FROM (SELECT conv_id AS session_id, turn AS line_id, {sq.words('text')} AS w FROM conversations WHERE text IS NOT NULL)
+), marks AS (
+  SELECT session_id, line_id, h::INT AS hyp_no, h * 3 * 0.4 AS said_at, list_slice(w, 1, h * 3) AS w, list_filter(ends, lambda p: p < h * 3) AS firm,
+    list_filter(stops, lambda p: p < h * 3) AS soft, list_slice(flags, 1, h * 3) AS spoken
+  FROM told, unnest(generate_series(1, ceil(len(w) / 3)::INT)) AS t(h)
+), agreed AS MATERIALIZED (
+  SELECT session_id, line_id, hyp_no, said_at, len(w) AS n, w, spoken,
+    list_filter(firm, lambda p: list_contains(lag(firm) OVER o, p)) AS firm, list_filter(soft, lambda p: list_contains(lag(soft) OVER o, p)) AS soft
+  FROM marks WINDOW o AS (PARTITION BY session_id, line_id ORDER BY hyp_no)
+)"""
+
+
+@register(
+    "confirmed_boundaries",
+    f"""WITH RECURSIVE {_HYPS}, folded AS (
+      SELECT DISTINCT session_id, line_id, 0 AS hyp_no, 0 AS done, 0.0::DOUBLE AS last, -2 AS since, NULL::BIGINT AS place FROM marks
+      UNION ALL
+      SELECT session_id, line_id, hyp_no, coalesce(p + 1, done) AS done, CASE WHEN p IS NULL THEN last ELSE said_at END AS last, CASE WHEN p IS NULL THEN since ELSE hyp_no END AS since, p
+      FROM (
+        SELECT a.session_id, a.line_id, a.hyp_no, a.said_at::DOUBLE AS said_at, f.done, f.last, f.since,
+          CASE WHEN a.said_at >= f.last + 1.0 AND a.hyp_no - f.since >= 2 THEN list_max(list_filter(a.firm, lambda p: p >= f.done AND p + 1 < a.n
+            AND list_sum(list_slice(a.spoken, f.done + 1, p + 1)) >= 4)) END AS p
+        FROM folded f JOIN agreed a ON a.session_id = f.session_id AND a.line_id = f.line_id AND a.hyp_no = f.hyp_no + 1
+      )
+    ) SELECT session_id, line_id, hyp_no, place::BIGINT AS word_no FROM folded WHERE place IS NOT NULL""",
+)
 def confirmed_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confirm.boundaries(confirm.growing(turns(spark, sf_dir), step=3, pace=0.4))
 
 
-@register("early_prefixes")
+@register(
+    "early_prefixes",
+    f"""WITH RECURSIVE {_HYPS}, folded AS (
+      SELECT DISTINCT session_id, line_id, 0 AS hyp_no, 0 AS sent, NULL::VARCHAR AS prefix FROM marks
+      UNION ALL
+      SELECT session_id, line_id, hyp_no, CASE WHEN sends THEN p + 1 ELSE sent END, CASE WHEN sends THEN array_to_string(list_slice(w, 1, p + 1), ' ') END
+      FROM (
+        SELECT *, coalesce(p >= sent AND list_sum(list_slice(spoken, 1, p + 1)) > 0, false) AS sends FROM (
+          SELECT a.session_id, a.line_id, a.hyp_no, a.w, a.spoken, f.sent,
+            list_max(list_filter(a.soft, lambda p: p + 1 < a.n AND (list_contains(a.firm, p) OR p + 1 >= f.sent + 6))) AS p
+          FROM folded f JOIN agreed a ON a.session_id = f.session_id AND a.line_id = f.line_id AND a.hyp_no = f.hyp_no + 1
+        )
+      )
+    ) SELECT session_id, line_id, hyp_no, prefix FROM folded WHERE prefix IS NOT NULL""",
+)
 def early_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confirm.early_prefixes(confirm.growing(turns(spark, sf_dir), step=3, pace=0.4))
 
