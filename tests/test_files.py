@@ -1,5 +1,6 @@
 """Sources and sinks: round trips, errors, restarts."""
 
+import time
 import wave
 
 import numpy as np
@@ -100,8 +101,18 @@ def test_a_restarted_stream_adds_nothing(spark, tmp_path):
 def test_late_rows_are_dropped(spark, tmp_path):
     source = str(tmp_path / "in")
     schema = "session_id long, ts timestamp"
-    for part in (["2024-01-01 00:00:00", "2024-01-01 05:00:00"], ["2024-01-01 00:00:30"], ["2024-01-02 00:00:00"]):
-        spark.createDataFrame([(1, t) for t in part], "session_id long, t string").select("session_id", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    found = st.run_to_end(st.late_dropped(stream, "10 minutes", "1 hour"), "late_rows", str(tmp_path / "state"))
-    assert sum(r["n"] for r in found.collect()) <= 3
+    # a batch between the newest row and the late one: the watermark moves after each batch
+    parts = (["2024-01-01 00:00:00", "2024-01-01 05:00:00"], ["2024-01-01 05:00:10"], ["2024-01-01 00:00:30"], ["2024-01-02 00:00:00"], ["2024-01-02 00:00:10"])
+    for number, part in enumerate(parts):
+        rows = spark.createDataFrame([(1, t) for t in part], "session_id long, t string").select("session_id", F.col("t").cast("timestamp").alias("ts"))
+        rows.coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1 if number + 1 < len(parts) else 0)
+
+    def counts(delay):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        found = st.run_to_end(st.late_dropped(stream, delay, "1 hour"), f"late_rows_{delay[:2]}", str(tmp_path / f"state{delay[:2]}"))
+        return sorted((str(r["window"]["start"]), r["n"]) for r in found.collect())
+
+    # the row that is five hours late is dropped, or counted, by the delay that is allowed
+    assert counts("10 minutes") == [("2024-01-01 00:00:00", 1), ("2024-01-01 05:00:00", 2)]
+    assert counts("10 hours") == [("2024-01-01 00:00:00", 2), ("2024-01-01 05:00:00", 2)]

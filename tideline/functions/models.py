@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions.text import content_words
+from tideline.session import ship_package
 
 
 class Translator(Protocol):
@@ -38,6 +39,7 @@ class EchoTranslator:
 
 def translate_rows(rows: DataFrame, load: Callable[[], Translator], text: str = "text") -> DataFrame:
     """``rows`` with ``translation``; lines without content never reach the model."""
+    ship_package(rows.sparkSession)
     wanted = rows.where(F.size(content_words(F.col(text))) > 0)
     place = wanted.columns.index(text)
     schema = T.StructType([*wanted.schema.fields, T.StructField("translation", T.StringType())])
@@ -66,6 +68,8 @@ def recognise_rows(utterances: DataFrame, load: Callable[[], Recogniser], prompt
     piece without words gives no row.
     """
 
+    ship_package(utterances.sparkSession)
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         model, heard, rows = load(), "", []
         for row in frame.sort_values("piece_no").itertuples():

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,6 +35,36 @@ def upper_median(values: Column) -> Column:
     return F.get(F.transform(F.array(_sorted(values)), lambda v: F.coalesce(F.get(v, F.floor(F.size(v) / 2).cast("int")), F.lit(0.0))), F.lit(0))
 
 
+def near_rank(q: float) -> Callable[[Column], Column]:
+    """The place, from 0, that ``nearest_rank`` takes of n."""
+    return lambda n: F.round(q * (n - 1)).cast("long")
+
+
+def low_rank(q: float) -> Callable[[Column], Column]:
+    """The place, from 0, that ``floor_rank`` takes of n."""
+    return lambda n: F.least(F.floor(n * q), n - 1).cast("long")
+
+
+def at_ranks(rows: DataFrame, keys: list[str], value: str, picks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``keys..., n, longest`` and a column for each of ``picks``: the value at that place of a group's sorted values.
+
+    Equal values are counted before they are put in order, and the order is a sort that can
+    spill: no group is held in an array.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("times"))
+    totals = counted.groupBy(*keys).agg(F.sum("times").alias("n"), F.max(value).alias("longest"))
+    constant = [F.lit(0)] if not keys else [F.col(k) for k in keys]
+    upto = F.sum("times").over(Window.partitionBy(*constant).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    joined = counted.withColumn("upto", upto).join(totals, keys) if keys else counted.withColumn("upto", upto).crossJoin(F.broadcast(totals))  # one row
+    found = [F.min(F.when((F.col("upto") > place(F.col("n"))) & (F.col("upto") - F.col("times") <= place(F.col("n"))), F.col(value))).alias(name) for name, place in picks.items()]
+    return joined.groupBy(*keys).agg(F.max("n").alias("n"), F.max("longest").alias("longest"), *found)
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """NaN where there is nothing to divide by."""
     return F.when(whole == 0, F.lit(float("nan"))).otherwise(part / whole)
+
+
+def verdict(passed: Column) -> Column:
+    """``pass``, ``fail``, or ``n/a`` where there is no reading."""
+    return F.when(passed.isNull(), "n/a").when(passed, "pass").otherwise("fail")

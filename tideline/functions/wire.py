@@ -5,10 +5,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.session import ship_package
+
 EVENT = (
     "kind string, line_id long, text string, lane string, settled boolean, start_s double, end_s double, reason string, state string,"
     " stage string, latency_s double"
@@ -103,6 +105,7 @@ def wrap_text(text: str, columns: int) -> list[str]:
 
 def wrapped(text: Column, columns: int) -> Column:
     """``wrap_text`` over a column."""
+    ship_package(SparkSession.active())
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:

@@ -50,13 +50,22 @@ def boundary_timings(hypotheses: DataFrame, closed: DataFrame, runs: int = 2) ->
 
 def earliness_table(timings: DataFrame, gate_s: float = 1.0) -> DataFrame:
     """One row: counts, percentiles of each column, and whether the median saving passes."""
-    found = []
-    for name in ("saved", "saved_raw", "lag", "flaps"):
-        value = F.col(name).cast("double")
-        found += [F.count(name).alias(f"{name}_n"), stats.nearest_rank(value, 0.5).alias(f"{name}_p50"), stats.nearest_rank(value, 0.9).alias(f"{name}_p90"), F.max(value).alias(f"{name}_max")]
-    counts = [
+    names = ("saved", "saved_raw", "lag", "flaps")
+    table = timings.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("saved_raw").isNull()).alias("never_seen"),
         F.count_if(F.col("saved_raw").isNotNull() & F.col("saved").isNull()).alias("never_stable"),
-    ]
-    return timings.agg(*counts, *found).withColumn("passed", (F.col("saved_n") > 0) & (F.col("saved_p50") >= gate_s))
+        *(F.count(name).alias(f"{name}_n") for name in names),
+    )
+    ranks = stats.at_ranks(
+        timings.select(F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.col(name).cast("double").alias("value")) for name in names))).alias("x")).select("x.*"),
+        ["name"], "value", {"p50": stats.near_rank(0.5), "p90": stats.near_rank(0.9)},
+    )
+    nan = F.lit(float("nan"))
+    wide = ranks.agg(
+        *(F.coalesce(F.max(F.when(F.col("name") == name, F.col(p))), nan).alias(f"{name}_{p}") for name in names for p in ("p50", "p90")),
+        *(F.max(F.when(F.col("name") == name, F.col("longest"))).alias(f"{name}_max") for name in names),
+    )
+    both = table.crossJoin(F.broadcast(wide))  # one row
+    order = ["n", "never_seen", "never_stable", *(f"{name}_{x}" for name in names for x in ("n", "p50", "p90", "max"))]
+    return both.select(*order, ((F.col("saved_n") > 0) & (F.col("saved_p50") >= gate_s)).alias("passed"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,31 +18,51 @@ from tideline.session import ship_package
 OPS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("ref_no", T.IntegerType())]))
 
 
+def _next_row(above: np.ndarray, word: int, others: np.ndarray) -> np.ndarray:
+    """Costs of one more reference word: the best of pairing and dropping, then added words as a running minimum."""
+    ramp = np.arange(len(above), dtype=np.int32)
+    row = np.empty_like(above)
+    row[0] = above[0] + 1
+    row[1:] = np.minimum(above[:-1] + (others != word), above[1:] + 1)
+    return np.minimum.accumulate(row - ramp) + ramp
+
+
 def align_words(reference: list[str], hypothesis: list[str]) -> list[tuple[str, int]]:
     """Steps of a cheapest alignment: ``E`` equal, ``S`` other word, ``D`` dropped, ``I`` added.
 
     Of several cheapest ones, the one that, read from the end, prefers a pair of words,
-    then a drop. Each step has its place in the reference.
+    then a drop. Each step has its place in the reference. Every ``k``-th row of the table
+    is kept, ``k`` being the root of their number, and the rows between are worked out again
+    on the way back: memory is that of ``2 k`` rows.
     """
     codes = {w: i for i, w in enumerate({*reference, *hypothesis})}
     r = np.array([codes[w] for w in reference], np.int64)
     h = np.array([codes[w] for w in hypothesis], np.int64)
-    m, n = len(r), len(h)
-    cost = np.zeros((m + 1, n + 1), np.int64)
-    cost[0] = np.arange(n + 1)
-    ramp = np.arange(n + 1)
+    tail = 0  # equal ends are pairs in any case
+    while tail < min(len(r), len(h)) and r[-1 - tail] == h[-1 - tail]:
+        tail += 1
+    m, n = len(r) - tail, len(h) - tail
+    every = max(1, int(np.sqrt(m)))
+    row = np.arange(n + 1, dtype=np.int32)
+    kept = [row]
     for i in range(1, m + 1):
-        # a row at a time: the best of pairing and dropping, then added words as a running minimum
-        row = np.empty(n + 1, np.int64)
-        row[0] = i
-        row[1:] = np.minimum(cost[i - 1, :-1] + (h != r[i - 1]), cost[i - 1, 1:] + 1)
-        cost[i] = np.minimum.accumulate(row - ramp) + ramp
-    steps, i, j = [], m, n
+        row = _next_row(row, r[i - 1], h[:n])
+        if i % every == 0:
+            kept.append(row)
+    steps = [("E", i) for i in range(len(r) - 1, m - 1, -1)]
+    i, j, low, block = m, n, m + 1, []
     while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (r[i - 1] != h[j - 1]):
+        if i and i <= low:
+            low = (i - 1) // every * every
+            block = [kept[low // every]]
+            while len(block) <= i - low:
+                block.append(_next_row(block[-1], r[low + len(block) - 1], h[:n]))
+        cost = block[i - low] if i else None
+        above = block[i - low - 1] if i else None
+        if i and j and cost[j] == above[j - 1] + (r[i - 1] != h[j - 1]):
             i, j = i - 1, j - 1
             steps.append(("E" if r[i] == h[j] else "S", i))
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
+        elif i and cost[j] == above[j] + 1:
             i -= 1
             steps.append(("D", i))
         else:
@@ -97,40 +118,59 @@ def measure(pairs: DataFrame, keys: list[str], least_run: int = 5) -> DataFrame:
     )
 
 
+def _gram_counts(text: str, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length up to ``order`` the distinct character n-grams, as hashes, and their counts."""
+    codes = np.frombuffer(re.sub(r"\s+", "", text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    found, runs = [], np.zeros(len(codes), np.uint64)
+    for n in range(1, order + 1):
+        if len(codes) < n:
+            break
+        runs = runs[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
+        found.append(np.unique(runs, return_counts=True))
+    return found
+
+
+def chrf_score(reference: str | None, hypothesis: str | None, order: int = 6, beta: float = 2.0) -> float:
+    """Character n-gram F-score, in percent; 0 where a side is missing."""
+    precision, recall = [], []
+    for (a, n), (b, k) in zip(_gram_counts(reference or "", order), _gram_counts(hypothesis or "", order)):
+        _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        both = int(np.minimum(n[i], k[j]).sum())
+        precision.append(both / int(k.sum()))
+        recall.append(both / int(n.sum()))
+    p, q = (sum(x) / len(x) if x else 0.0 for x in (precision, recall))
+    return 100.0 * (1 + beta * beta) * p * q / (beta * beta * p + q) if p + q else 0.0
+
+
 def chrf(pairs: DataFrame, keys: list[str], order: int = 6, beta: float = 2.0) -> DataFrame:
-    """``keys..., chrf`` of ``pairs(keys..., ref, hyp)``: character n-gram F-score, in percent."""
+    """``keys..., chrf`` of ``pairs(keys..., ref, hyp)``: a row's score depends on it alone, so nothing is shuffled."""
+    ship_package(pairs.sparkSession)
 
-    def grams(column: str, side: str) -> DataFrame:
-        bare = pairs.select(*keys, F.regexp_replace(column, r"(?U)\s+", "").alias("text"))
-        sizes = bare.select(*keys, "text", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n")).where(F.length("text") >= F.col("n"))
-        places = F.transform(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1), lambda i: F.substr(F.col("text"), i, F.col("n")))
-        counted = sizes.select(*keys, "n", F.explode(places).alias("gram")).groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("c"))
-        return counted.select(*keys, "n", "gram", *(F.when(F.lit(s == side), F.col("c")).otherwise(0).alias(s) for s in ("r", "h")))
+    @F.pandas_udf("double")
+    def score(references: pd.Series, hypotheses: pd.Series) -> pd.Series:
+        return pd.Series([chrf_score(a, b, order, beta) for a, b in zip(references, hypotheses, strict=True)], dtype="float64")
 
-    both = grams("ref", "r").unionByName(grams("hyp", "h")).groupBy(*keys, "n", "gram").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
-    by_order = both.groupBy(*keys, "n").agg(F.sum(F.least("r", "h")).alias("m"), F.sum("r").alias("r"), F.sum("h").alias("h")).where("r > 0 and h > 0")
-    totals = by_order.groupBy(*keys).agg(F.avg(F.col("m") / F.col("h")).alias("p"), F.avg(F.col("m") / F.col("r")).alias("q"))
-    b = beta * beta
-    score = F.when(F.col("p") + F.col("q") == 0, 0.0).otherwise(100.0 * (1 + b) * F.col("p") * F.col("q") / (b * F.col("p") + F.col("q")))
-    return pairs.select(*keys).join(totals.select(*keys, score.alias("chrf")), keys, "left").select(*keys, F.coalesce("chrf", F.lit(0.0)).alias("chrf"))
+    return pairs.select(*keys, score("ref", "hyp").alias("chrf"))
 
 
 def match_boundaries(predicted: list[int], real: list[int], wanted: list[int], slack: int = 1) -> tuple[int, int, int]:
     """Hits, predictions and truths; each truth is taken once, by the first prediction near it.
 
     ``wanted`` are the truths of one class: a prediction that only matches another class
-    isn't held against this one.
+    isn't held against this one. Both sides go in order, so that one pass does.
     """
-    free = list(wanted)
-    hits = misses = 0
-    for at in predicted:
-        near = next((t for t in free if abs(t - at) <= slack), None)
-        if near is not None:
-            free.remove(near)
-            hits += 1
-        elif all(abs(t - at) > slack for t in real):
-            misses += 1
-    return hits, hits + misses, len(wanted)
+    truths, guesses = np.sort(np.array(wanted, np.int64)), np.sort(np.array(predicted, np.int64))
+    taken = hits = 0
+    loose = []
+    for guess in guesses.tolist():
+        taken = max(taken, int(np.searchsorted(truths, guess - slack)))
+        if taken < len(truths) and truths[taken] <= guess + slack:
+            taken, hits = taken + 1, hits + 1
+        else:
+            loose.append(guess)
+    every = np.sort(np.array(real, np.int64))
+    near = np.searchsorted(every, np.array(loose, np.int64) + slack, "right") - np.searchsorted(every, np.array(loose, np.int64) - slack)
+    return hits, hits + int((near == 0).sum()), len(truths)
 
 
 def boundary_scores(pairs: DataFrame, keys: list[str], slack: int = 1) -> DataFrame:

@@ -6,6 +6,7 @@ worked through by an Arrow batch function each.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -16,58 +17,55 @@ WINDOW_S = 0.032
 PAD = 6
 
 
-class PieceCutter:
-    """Cuts one session's probabilities, a window at a time, into pieces of speech.
+def speech_runs(p: np.ndarray, pause: int) -> list[tuple[int, int, int]]:
+    """``(first, last voiced, end)`` of each run of speech: from an opening window to the ``pause``-th silent one in a row."""
+    voiced = np.flatnonzero(p >= SILENT_BELOW)
+    # stretches of voice with less than a pause between them; each counts from its first opening window
+    stretches = np.split(voiced, np.flatnonzero(np.diff(voiced) > pause) + 1) if len(voiced) else []
+    found = []
+    for stretch in stretches:
+        opening = stretch[p[stretch] >= OPEN_AT]
+        if len(opening):
+            found.append((int(opening[0]), int(stretch[-1]), min(len(p), int(stretch[-1]) + 1 + pause)))
+    return found
+
+
+def cut_pieces(p: np.ndarray, pause: int, longest: int, look_back: int) -> list[tuple[int, int]]:
+    """Pieces of speech ``(first, end)``, in windows, of one session's probabilities.
 
-    A piece ends after ``pause`` windows below the silence threshold. One that reaches
-    ``longest`` windows is cut at the quietest of its last ``look_back`` windows, the
-    earliest of several. ``finish`` gives pieces as ``(first, end)`` windows with the
-    padding of sides that are no forced cuts.
+    A run of speech that reaches ``longest`` windows is cut at the quietest of its last
+    ``look_back`` windows, the earliest of several, and again from there on. Ends that are
+    no such cuts get a padding; what is left behind a cut without voice is no piece, and
+    the cut is the end of the piece before it.
     """
+    look_back = max(min(look_back, longest - 1), 1)
+    found: list[tuple[int, int]] = []
+    for first, last, end in speech_runs(p, pause):
+        places = [first]
+        while end - places[-1] > longest or (end - places[-1] == longest and (end < last + 1 + pause or pause == 0)):
+            full = places[-1] + longest
+            places.append(full - look_back + int(p[full - look_back : full].argmin()))
+        stop = last + 1
+        while places[-1] > last:
+            stop = places.pop()
+        edges = [*places, stop]
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            found.append((a if k else max(0, a - PAD), b if k + 2 < len(edges) else min(len(p), b + PAD)))
+    return found
+
+
+class PieceCutter:
+    """Collects one session's probabilities, a window at a time, for ``cut_pieces``."""
 
     def __init__(self, pause: int, longest: int, look_back: int) -> None:
-        self.pause, self.longest, self.look_back = pause, longest, min(look_back, longest - 1)
-        self.recent: list[float] = []
-        self.count = 0
-        self.silent = 0
-        self.start: int | None = None
-        self.forced = False
-        self.voiced = 0
-        self.pieces: list[list] = []  # first, end, cut before, cut after
+        self.limits = (pause, longest, look_back)
+        self.windows: list[float] = []
 
     def push(self, p: float) -> None:
-        at = self.count
-        self.count += 1
-        self.recent.append(p)
-        del self.recent[: -max(self.look_back, 1)]
-        if p >= SILENT_BELOW:
-            self.voiced, self.silent = at, 0
-        else:
-            self.silent += 1
-        if self.start is None:
-            if p >= OPEN_AT:
-                self.start, self.forced = at, False
-        elif self.silent >= self.pause:
-            self._close()
-        elif at + 1 - self.start >= self.longest:
-            quietest = min(range(len(self.recent)), key=self.recent.__getitem__)
-            cut = at + 1 - len(self.recent) + quietest
-            self.pieces.append([self.start, cut, self.forced, True])
-            self.start, self.forced = cut, True
-
-    def _close(self) -> None:
-        if self.start <= self.voiced:
-            self.pieces.append([self.start, self.voiced + 1, self.forced, False])
-        elif self.forced and self.pieces:
-            self.pieces[-1][3] = False
-        self.start = None
+        self.windows.append(p)
 
     def finish(self) -> list[tuple[int, int]]:
-        if self.start is not None:
-            self._close()
-        return [
-            (max(0, first - (0 if before else PAD)), min(self.count, end + (0 if after else PAD))) for first, end, before, after in self.pieces
-        ]
+        return cut_pieces(np.array(self.windows), *self.limits)
 
 
 def capped_pieces(series: DataFrame, pause: float, longest: float, look_back: float) -> DataFrame:
@@ -76,10 +74,8 @@ def capped_pieces(series: DataFrame, pause: float, longest: float, look_back: fl
     windows = [round(x * 1000) // 32 for x in (pause, longest, look_back)]
 
     def cut(frame: pd.DataFrame) -> pd.DataFrame:
-        cutter = PieceCutter(*windows)
-        for p in frame.sort_values(["at", "seq"])["p"]:
-            cutter.push(p)
-        rows = [(frame["session_id"].iloc[0], i, a, b) for i, (a, b) in enumerate(cutter.finish())]
+        found = cut_pieces(frame.sort_values(["at", "seq"])["p"].to_numpy(), *windows)
+        rows = [(frame["session_id"].iloc[0], i, a, b) for i, (a, b) in enumerate(found)]
         return pd.DataFrame(rows, columns=["session_id", "piece_no", "first", "last_end"])
 
     return series.select("session_id", "at", "seq", "p").groupBy("session_id").applyInPandas(cut, "session_id long, piece_no long, first long, last_end long")

@@ -100,6 +100,19 @@ def boundary_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _timings(spark, sf_dir).select("session_id", "line_id", "word_no", *(F.round(c, 6).alias(c) for c in ("saved", "saved_raw", "lag")), "flaps")
 
 
-@register("earliness_table")
+def _columns(name: str) -> str:
+    ordered = f"list_sort(list({name}::DOUBLE) FILTER (WHERE {name} IS NOT NULL))"
+    ranks = (f"coalesce({ordered}[round({q} * (count({name}) - 1))::BIGINT + 1], 'nan'::DOUBLE) AS {name}_p{round(100 * q)}" for q in (0.5, 0.9))
+    return f"count({name}) AS {name}_n, {', '.join(ranks)}, max({name}::DOUBLE) AS {name}_max"
+
+
+@register(
+    "earliness_table",
+    f"""WITH t AS ({oracle_of("boundary_timings")})
+    SELECT *, saved_n > 0 AND saved_p50 >= 1.0 AS passed FROM (
+      SELECT count(*) AS n, count(*) FILTER (WHERE saved_raw IS NULL) AS never_seen, count(*) FILTER (WHERE saved_raw IS NOT NULL AND saved IS NULL) AS never_stable,
+        {", ".join(_columns(name) for name in ("saved", "saved_raw", "lag", "flaps"))} FROM t
+    )""",
+)
 def earliness_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return earliness.earliness_table(_timings(spark, sf_dir))
+    return earliness.earliness_table(boundary_timings(spark, sf_dir))

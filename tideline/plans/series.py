@@ -148,15 +148,9 @@ def _rank(q: float) -> str:
     SELECT label, len(v)::BIGINT AS n, {_rank(0.5)} AS p50, {_rank(0.9)} AS p90, v[len(v)] AS longest, v[least(floor(len(v) * 0.9)::BIGINT, len(v) - 1) + 1] AS p90_floor, v[len(v) // 2 + 1] AS median_upper FROM t""",
 )
 def latency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value")
-    return series(spark, sf_dir).groupBy(F.col("event_type").alias("label")).agg(
-        F.count(v).alias("n"),
-        stats.nearest_rank(v, 0.5).alias("p50"),
-        stats.nearest_rank(v, 0.9).alias("p90"),
-        F.max(v).alias("longest"),
-        stats.floor_rank(v, 0.9).alias("p90_floor"),
-        stats.upper_median(v).alias("median_upper"),
-    )
+    rows = series(spark, sf_dir).select(F.col("event_type").alias("label"), "value")
+    picks = {"p50": stats.near_rank(0.5), "p90": stats.near_rank(0.9), "p90_floor": stats.low_rank(0.9), "median_upper": lambda n: F.floor(n / 2).cast("long")}
+    return stats.at_ranks(rows, ["label"], "value", picks)
 
 
 @listed(
@@ -181,10 +175,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = series(spark, sf_dir).select(gap.alias("gap")).where("gap is not null")
     # each gap is put under the thresholds that it reaches: four literals, no join
     reached = F.explode(F.filter(F.array(*(F.lit(x) for x in (600.0, 1800.0, 3600.0, 7200.0))), lambda t: t <= F.col("gap")))
-    g = F.col("gap")
-    return gaps.select("gap", reached.alias("threshold")).groupBy("threshold").agg(
-        F.count(g).alias("n"), stats.nearest_rank(g, 0.5).alias("p50"), stats.nearest_rank(g, 0.9).alias("p90"), F.max(g).alias("longest")
-    )
+    return stats.at_ranks(gaps.select("gap", reached.alias("threshold")), ["threshold"], "gap", {"p50": stats.near_rank(0.5), "p90": stats.near_rank(0.9)})
 
 
 @listed(
@@ -255,13 +246,28 @@ def monotone_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.withColumn("top", F.max("line_id").over(past)).where("line_id >= top").drop("top")
 
 
-@listed("keep_last_two")
+@listed(
+    "keep_last_two",
+    """WITH RECURSIVE o AS (SELECT user_id AS session_id, (event_id * 7) % 11 AS line_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+    k AS (SELECT session_id, 0 AS rn, []::BIGINT[] AS shown FROM o GROUP BY session_id
+      UNION ALL SELECT o.session_id, o.rn, CASE WHEN list_contains(k.shown, o.line_id) OR (len(k.shown) > 0 AND o.line_id < k.shown[len(k.shown)]) THEN k.shown
+        ELSE list_slice(list_append(k.shown, o.line_id), greatest(len(k.shown), 1), len(k.shown) + 1) END
+      FROM k JOIN o ON o.session_id = k.session_id AND o.rn = k.rn + 1)
+    SELECT session_id, arg_max(shown, rn) AS shown FROM k GROUP BY session_id""",
+)
 def keep_last_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = series(spark, sf_dir).select("session_id", "seq", ((F.col("seq") * 7) % 11).alias("line_id"))
     return segment.keep_newest(shown, 2)
 
 
-@listed("admission")
+@listed(
+    "admission",
+    """WITH RECURSIVE o AS (SELECT user_id AS session_id, event_id AS seq, epoch_us(ts) / 1e6 AS at_s, epoch_us(ts) / 1e6 + value * 100 AS done_at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    k AS (SELECT session_id, NULL::BIGINT AS seq, 0 AS rn, []::DOUBLE[] AS busy, false AS admitted FROM o GROUP BY session_id
+      UNION ALL SELECT session_id, seq, rn, CASE WHEN len(free) < 2 THEN list_append(free, done_at) ELSE free END, len(free) < 2
+      FROM (SELECT o.session_id, o.seq, o.rn, o.done_at, list_filter(k.busy, lambda x: x > o.at_s) AS free FROM k JOIN o ON o.session_id = k.session_id AND o.rn = k.rn + 1))
+    SELECT session_id, seq, admitted FROM k WHERE rn > 0""",
+)
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     offers = series(spark, sf_dir).select("session_id", "seq", "at", (F.col("at") + F.col("value") * 100).alias("done_at"))
     return segment.admit(offers, 2)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import chunks, fullwidth, interjections
@@ -182,7 +182,25 @@ def chrf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("chrf", F.round("chrf", 6))
 
 
-@register("boundary_scores")
+@register(
+    "boundary_scores",
+    f"""WITH RECURSIVE real AS (
+      SELECT conv_id AS session_id, turn AS line_id, list_filter(generate_series(0, len(w) - 1), lambda i: regexp_matches(w[i + 1], '[.!?]["'')\\]”]*$')) AS real
+      FROM (SELECT *, {sq.words('text')} AS w FROM conversations WHERE text IS NOT NULL)
+    ), pairs AS (
+      SELECT *, list_sort(list_transform(list_filter(real, lambda i: i % 3 <> 0), lambda i: i + (i % 2))) AS predicted FROM real
+    ), walked AS (
+      SELECT session_id, line_id, real, predicted, 1 AS i, 0 AS taken, 0 AS hits, 0 AS misses FROM pairs
+      UNION ALL
+      SELECT session_id, line_id, real, predicted, i + 1, CASE WHEN near THEN skipped + 1 ELSE skipped END, hits + near::INT, misses + (NOT near AND NOT known)::INT
+      FROM (
+        SELECT *, coalesce(real[skipped + 1] <= predicted[i] + 1, false) AS near, len(list_filter(real, lambda t: abs(t - predicted[i]) <= 1)) > 0 AS known
+        FROM (SELECT *, greatest(taken, len(list_filter(real, lambda t: t < predicted[i] - 1))) AS skipped FROM walked WHERE i <= len(predicted))
+      )
+    ) SELECT session_id, line_id, hits::BIGINT AS hits, (hits + misses)::BIGINT AS predicted, len(real)::BIGINT AS truth,
+      CASE WHEN hits + misses = 0 THEN 'nan'::DOUBLE ELSE hits / (hits + misses) END AS precision, CASE WHEN len(real) = 0 THEN 'nan'::DOUBLE ELSE hits / len(real) END AS recall
+    FROM walked WHERE i = len(predicted) + 1""",
+)
 def boundary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = F.transform(
         F.filter(F.transform(tx.words(F.col("text")), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: tx.ends_sentence(x["w"])), lambda x: x["i"]
@@ -255,16 +273,24 @@ def cut_short_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang").agg(F.round(100.0 * F.avg(fullwidth.cut_short(F.col("text")).cast("int")), 6).alias("pct"))
 
 
-@register("subword_words", f"SELECT conv_id AS session_id, len({sq.words('text')})::BIGINT AS n_words FROM conversations WHERE turn = 0 AND len({sq.words('text')}) > 0")
+@register(
+    "subword_words",
+    f"""WITH said AS (
+      SELECT conv_id AS session_id, turn, i, w[i] AS word, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS place
+      FROM (SELECT *, {sq.words('text')} AS w FROM conversations WHERE text IS NOT NULL), unnest(generate_series(1, len(w))) AS t(i)
+    ) SELECT session_id, place AS word_no, word, round(place * 0.2::DOUBLE, 6) AS start_s,
+      round(coalesce(lead(place) OVER (PARTITION BY session_id ORDER BY place) * 0.2::DOUBLE, place * 0.2::DOUBLE), 6) AS end_s FROM said""",
+)
 def subword_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.explode(tx.words(F.col("text")))
-    spoken = turns(spark, sf_dir).where("line_id = 0").select("session_id", w.alias("word"))
-    order = F.monotonically_increasing_id()
-    halves = spoken.withColumn("at", order).select(
-        "session_id", "at", F.posexplode(F.array(F.concat(F.lit("▁"), F.substring("word", 1, 2)), F.substring("word", 3, 1 << 30))).alias("half", "piece")
+    """All words of each conversation, cut into two pieces and put together again."""
+    each = turns(spark, sf_dir).select("session_id", "line_id", F.posexplode(tx.words(F.col("text"))).alias("i", "word"))
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("line_id", "i")) - 1
+    halves = each.withColumn("place", place).select(
+        "session_id", "place", F.posexplode(F.array(F.concat(F.lit("▁"), F.substring("word", 1, 2)), F.substring("word", 3, 1 << 30))).alias("half", "piece")
     )
-    pieces = halves.select("session_id", (F.col("at") * 2 + F.col("half")).alias("piece_no"), "piece", ((F.col("at") * 2 + F.col("half")) * 0.1).alias("start_s"), F.lit(0.0).alias("t_end"))
-    return words.merge_pieces(pieces).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_words"))
+    at = F.col("place") * 2 + F.col("half")
+    pieces = halves.select("session_id", at.alias("piece_no"), "piece", (at * 0.1).alias("start_s"), F.lit(0.0).alias("t_end"))
+    return words.merge_pieces(pieces).select("session_id", "word_no", "word", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))
 
 
 @register(

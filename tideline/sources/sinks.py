@@ -38,13 +38,16 @@ def session_files(lines: DataFrame, kind: str) -> DataFrame:
 
 
 def write_sessions(lines: DataFrame, path: str, formats: list[str]) -> list[str]:
-    """One folder for each format (named once), one file part for each session; returns the folders."""
+    """One folder for each format (named once), one file part for each session; returns the folders.
+
+    Sessions that are written again replace what is there of them; others stay.
+    """
     written = []
     for kind in dict.fromkeys(formats):
         folder = f"{path}/{kind}"
         # the text writer ends each row with the line feed that the content ends with
         whole = session_files(lines, kind).withColumn("content", F.regexp_replace("content", r"\n\z", ""))
-        whole.write.mode("append").partitionBy("session_id").text(folder)
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").text(folder)
         written.append(folder)
     return written
 
