@@ -324,6 +324,82 @@ def test_every_word_is_in_a_paragraph():
     assert covered == set(range(len(text.split())))
 
 
+def windows_of(text, size=50):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+
+
+def test_passages_match_brute_force(spark):
+    rng = random.Random(51)
+    texts = {i: prose(rng, rng.randint(60, 160)).split() for i in range(60)}
+    for size in (30, 40, 49, 50, 51, 60, 75, 90, 120):
+        passage = prose(rng, size).split()
+        for i in rng.sample(range(60), 3):
+            at = rng.randrange(len(texts[i]))
+            texts[i][at:at] = passage
+    docs = {i: " ".join(w) for i, w in texts.items()}
+    seen = Counter(x for t in docs.values() for x in windows_of(t))
+    want = {i for i, t in docs.items() if any(seen[x] > 1 for x in windows_of(t))}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    rows = paragraphs.repeated_passages(frame).collect()
+    assert {r["doc_id"] for r in rows} == want and 8 < len(want) < 30
+    raw = {i: t.encode() for i, t in docs.items()}
+    by = {}
+    for r in rows:
+        words = tuple(raw[r["doc_id"]][r["start"] : r["stop"]].decode().split())
+        assert len(words) == r["n_words"]
+        by.setdefault(r["cluster"], []).append((r["doc_id"], r["removed"], words))
+    # without near copies, paragraphs of a cluster have the same words, and somebody keeps them
+    assert all(len({w for *_, w in x}) == 1 for x in by.values())
+    left = {r["doc_id"]: r["text"] for r in paragraphs.remove_repeats(frame, length_col=None).collect()}
+    again = Counter(x for t in left.values() for x in windows_of(t))
+    assert not any(n > 1 for n in again.values())
+    assert all(left[i] == docs[i] for i in docs if i not in want)
+    kept = {x for t in left.values() for x in windows_of(t, 5)}
+    assert all(x in kept for r in by.values() for x in windows_of(" ".join(r[0][2]), 5))
+
+
+def test_similar_lines_match_brute_force(spark):
+    rng = random.Random(52)
+    rows, place = [], 0
+    for _ in range(12):
+        w = prose(rng, 70).split()
+        for copy in range(4):
+            v = list(w)
+            for at in rng.sample(range(70), copy):
+                v[at] = "changed" + str(rng.randrange(1000))
+            rows.append((place, " ".join(v)))
+            place += 1
+    sets = {i: word_set(t) for i, t in rows}
+    links = [(a, b) for a, b in combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    roots = parts(dict(rows), links)
+    found = [r for r in paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_words"] == 70]
+    clusters = {}
+    for r in found:
+        clusters.setdefault(r["cluster"], set()).add(r["doc_id"])
+    want = {}
+    for i, root in roots.items():
+        want.setdefault(root, set()).add(i)
+    assert sorted(map(sorted, clusters.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+    assert {r["doc_id"] for r in found if r["removed"]} == {i for i, root in roots.items() if i != root}
+
+
+def test_blank_lines_and_columns_stay(spark):
+    rng = random.Random(53)
+    passage, own = prose(rng, 70), [prose(rng, 30) for _ in range(4)]
+    text = f"{own[0]}\n\n    {own[1]}\n\n\n{own[2]}\n{passage}\n\n{own[3]}"
+    rows = [("a", passage, 1, "x", "y"), ("b", text, 2, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, cut_spans int, span_doc string, Cut_of string")
+    found = {r["doc_id"]: r for r in paragraphs.remove_repeats(docs).collect()}
+    assert found["a"]["text"] == passage
+    assert found["b"]["text"] == f"{own[0]}\n\n    {own[1]}\n\n\n{own[2]}\n\n{own[3]}" and found["b"]["cut_spans"] == 2
+
+
+def test_long_words_have_paragraphs():
+    text = "x" * (17 << 20) + " " + " ".join(f"w{i}" for i in range(20))
+    assert sum(u.count for _, u in paragraphs.text_units(pa.array([text]))) >= 2
+
+
 def test_repeated_passages_of_odd_rows(spark):
     found = paragraphs.repeated_passages(odd_documents(spark)).collect()
     assert {r["doc_id"] for r in found} == {1, 2}
