@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import wire
+from tideline.functions import text as tx
 from tideline.operators import confirm, earliness, gate
 from tideline.plans import sqltext as sq
 from tideline.plans.conversations import PACE, settled_lines, timed, turns
@@ -44,9 +45,18 @@ def selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.explode(names).alias("name")).select("name", wire.selector(F.col("name"))["kind"].alias("kind"))
 
 
-@register("display_lines")
+@register(
+    "display_lines",
+    """WITH RECURSIVE k AS (
+      SELECT conv_id AS session_id, turn AS line_id, []::VARCHAR[] AS shown, trim(regexp_replace(text, '[\\x00-\\x1f\\x7f-\\x9f ]+', ' ', 'g')) AS rest, false AS done FROM conversations WHERE text IS NOT NULL
+      UNION ALL
+      SELECT session_id, line_id, list_append(shown, CASE WHEN ends THEN rest WHEN p > 0 THEN regexp_replace(left(rest, p), '\\s+$', '') ELSE left(rest, 40) END),
+        CASE WHEN p > 0 THEN regexp_replace(substr(rest, p + 1), '^\\s+', '') ELSE substr(rest, 41) END, ends
+      FROM (SELECT *, length(rest) <= 40 AS ends, CASE WHEN strpos(reverse(substr(rest, 2, 39)), ' ') > 0 THEN 40 - strpos(reverse(substr(rest, 2, 39)), ' ') ELSE 0 END AS p FROM k WHERE NOT done)
+    ) SELECT session_id, line_id, shown FROM k WHERE done""",
+)
 def display_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns(spark, sf_dir).select("session_id", "line_id", wire.wrapped(F.col("text"), 40).alias("shown"))
+    return turns(spark, sf_dir).select("session_id", "line_id", wire.wrapped(tx.one_line(F.col("text")), 40).alias("shown"))
 
 
 @register(
