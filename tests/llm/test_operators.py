@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and held-out labels."""
 
+import hashlib
 import math
 import random
 import re
@@ -916,3 +917,47 @@ def test_copies_count_once():
     _, sizes = toxicity.document_counts(grouped)
     assert [sum(s[k] for s in sizes) for k in (0, 1)] == [1, 1 + toxicity.FOLDS]
     assert len({g for g, *_ in toxicity.in_groups(copies)}) == 5
+
+
+def test_sharding_query_matches_brute_force(spark):
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{MIDDLE}/documents.parquet'").fetchall()
+    sizes = {}
+    for _, text in rows:
+        key = hashlib.sha256(text.encode()).hexdigest() if text is not None else ""
+        sizes[key] = sizes.get(key, 0) + len((text or "").encode()) + 1
+    own, rest = [], sum(sizes.values())
+    for key in sorted(sizes, key=lambda k: (-sizes[k], k)):
+        if len(own) == 15 or sizes[key] * (16 - len(own)) <= rest:
+            break
+        own.append(key)
+        rest -= sizes[key]
+    others = sorted(k for k in sizes if k not in own)
+
+    def runs(capacity):
+        found, used = [0], 0
+        for key in others:
+            if used + sizes[key] > capacity:
+                found, used = [*found, 0], 0
+            used += sizes[key]
+            found[-1] += 1
+        return found
+
+    low, high = max(sizes[k] for k in others), rest
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if len(runs(middle)) <= 16 - len(own) else (middle + 1, high)
+    place, want = 0, {k: i for i, k in enumerate(own)}
+    for i, count in enumerate(runs(low)):
+        want.update(dict.fromkeys(others[place : place + count], len(own) + i))
+        place += count
+    found = queries.op5_sharding(spark, MIDDLE).collect()
+    texts = {}
+    for i, text in rows:
+        texts.setdefault(i, []).append(text)
+    slots = {}
+    for r in found:
+        options = [t for t in texts[r["doc_id"]] if (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) == (r["size"], r["text_crc32"])]
+        assert any(want[hashlib.sha256(t.encode()).hexdigest() if t is not None else ""] == r["shard"] for t in options)
+        assert r["law"] == "bytes" and r["grown_shard"] is None
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(found) == len(rows) and all(sorted(v) == list(range(len(v))) for v in slots.values())
