@@ -87,6 +87,9 @@ def test_chat_round_trip(spark, text):
         ('{"output":"b","instruction":"a"}', "instruction", [("user", "a"), ("assistant", "b")]),
         ('{"question":null,"answer":"b"}', "question_answer", [("user", None), ("assistant", "b")]),
         ('{"unknown":1}', None, None),
+        ('{"prompt":"a","response":"b","meta":{"x":1}}', "prompt_response", [("user", "a"), ("assistant", "b")]),
+        ('{"system":"s","messages":[{"role":"user","content":"a","name":"n"}],"n":2}', "messages", [("system", "s"), ("user", "a")]),
+        ('{"messages":[]}', None, None),
     ],
 )
 def test_layouts_by_fingerprint(spark, record, layout, turns):
@@ -95,6 +98,18 @@ def test_layouts_by_fingerprint(spark, record, layout, turns):
     assert (row["turns"] and [(t["role"], t["text"]) for t in row["turns"]]) == turns
 
 
+def test_chats_of_odd_rows(spark):
+    rows = [(1, 1, "user", "b"), (1, 0, None, None), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (None, 0, "user", "x"), (2, None, "user", None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("t"))
+    records = frame.select("conv_id", F.to_variant_object(F.struct("conv_id", "turn", "role", "text")).alias("record"), "turns", F.lit(1).alias("layout"))
+    made = chat.format_chats(chat.to_turns(records, keep=("conv_id",)), "conv_id")
+    found = {r["conv_id"]: [(t["role"], t["text"]) for t in r["t"]] for r in made.select("conv_id", chat.read_back(F.col("formatted")).alias("t")).collect()}
+    assert found == {1: [("", ""), ("assistant", "a"), ("assistant", "a"), ("user", "b")], None: [("user", "x")], 2: [("user", "")]}
+    assert chat.digests(chat.format_chats(chat.to_turns(records.limit(0), keep=("conv_id",)), "conv_id"), "conv_id").count() == 0
+    odd = spark.createDataFrame([(5, '{"unknown":1}')], "conv_id long, r string").select("conv_id", F.parse_json("r").alias("record"))
+    assert [r["formatted"] for r in chat.format_chats(chat.to_turns(odd, keep=("conv_id",)), "conv_id").collect()] == [None]
+
+
 # quality
 
 

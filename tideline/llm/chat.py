@@ -2,8 +2,10 @@ r"""Chat formatting by schema fingerprint.
 
 Each record's nested field paths (names only, without types or values) are hashed.
 The hash selects a declarative mapping, an SQL expression that yields canonical turns
-``array<struct<pos, role, text>>``. A layout that no mapping knows gives no turns and is
-reported with a null layout.
+``array<struct<pos, role, text>>``. A record whose hash isn't known, as it has more fields, takes
+the first mapping all of whose paths it has; a text in ``system`` is a turn before the others.
+A layout that no mapping knows, or whose values don't fit, gives no turns: it is reported
+with a null layout, or null turns, and its conversation has a row without a text.
 
 Template: ``<turn ROLE>TEXT</turn>\n`` for each turn. Inside roles and texts ``\`` is
 written ``\\``, ``<`` is ``\l`` and ``>`` is ``\g``, so that no text can hold a mark, and
@@ -27,32 +29,36 @@ TURN = "struct<pos:bigint,role:string,text:string>"
 END = "</turn>\n"
 
 _PAIR = "array(named_struct('pos', 0L, 'role', 'user', 'text', {0}), named_struct('pos', 1L, 'role', 'assistant', 'text', {1}))"
-_S = "variant_get(record, '$.{0}', 'string')".format
+_S = "try_variant_get(record, '$.{0}', 'string')".format
 
-#: layout -> (shapes of its field paths, expression for its turns). ``record`` is the VARIANT.
-MAPPINGS: dict[str, tuple[list[str], str]] = {
+#: layout -> (shapes of its field paths, the paths that it needs, expression for its turns). ``record`` is the VARIANT.
+MAPPINGS: dict[str, tuple[list[str], list[str], str]] = {
     "turn_row": (
         ["OBJECT<conv_id, role, text, turn>", "OBJECT<role, text, turn>"],
-        f"array(named_struct('pos', variant_get(record, '$.turn', 'bigint'), 'role', {_S('role')}, 'text', {_S('text')}))",
+        ["turn", "role", "text"],
+        f"array(named_struct('pos', try_variant_get(record, '$.turn', 'bigint'), 'role', {_S('role')}, 'text', {_S('text')}))",
     ),
     "messages": (
         ["OBJECT<messages: ARRAY<OBJECT<content, role>>>", "OBJECT<id, messages: ARRAY<OBJECT<content, role>>>"],
-        "transform(variant_get(record, '$.messages', 'array<struct<role string, content string>>'),"
+        ["messages[0].role", "messages[0].content"],
+        "transform(try_variant_get(record, '$.messages', 'array<struct<role string, content string>>'),"
         " (m, i) -> named_struct('pos', cast(i as bigint), 'role', m.role, 'text', m.content))",
     ),
     "from_value": (
         ["OBJECT<conversations: ARRAY<OBJECT<from, value>>>", "OBJECT<conversations: ARRAY<OBJECT<from, value>>, id>"],
-        "transform(variant_get(record, '$.conversations', 'array<struct<`from` string, value string>>'), (m, i) ->"
+        ["conversations[0].from", "conversations[0].value"],
+        "transform(try_variant_get(record, '$.conversations', 'array<struct<`from` string, value string>>'), (m, i) ->"
         " named_struct('pos', cast(i as bigint), 'role', case m.`from` when 'human' then 'user' when 'gpt' then 'assistant'"
         " else m.`from` end, 'text', m.value))",
     ),
-    "prompt_response": (["OBJECT<prompt, response>"], _PAIR.format(_S("prompt"), _S("response"))),
-    "prompt_completion": (["OBJECT<completion, prompt>"], _PAIR.format(_S("prompt"), _S("completion"))),
+    "prompt_response": (["OBJECT<prompt, response>"], ["prompt", "response"], _PAIR.format(_S("prompt"), _S("response"))),
+    "prompt_completion": (["OBJECT<completion, prompt>"], ["prompt", "completion"], _PAIR.format(_S("prompt"), _S("completion"))),
     "instruction": (
         ["OBJECT<input, instruction, output>", "OBJECT<instruction, output>"],
+        ["instruction", "output"],
         _PAIR.format(f"concat_ws('\\n\\n', {_S('instruction')}, nullif({_S('input')}, ''))", _S("output")),
     ),
-    "question_answer": (["OBJECT<answer, question>"], _PAIR.format(_S("question"), _S("answer"))),
+    "question_answer": (["OBJECT<answer, question>"], ["question", "answer"], _PAIR.format(_S("question"), _S("answer"))),
 }
 
 
@@ -65,12 +71,17 @@ def fingerprint(record: Column) -> Column:
 def to_turns(records: DataFrame, record: str = "record", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep..., fingerprint, layout, turns`` for each record."""
     base = records.select(*keep, F.col(record).alias("record")).withColumn("fingerprint", fingerprint(F.col("record")))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
-    for name, (shapes, expression) in MAPPINGS.items():
-        known = F.col("fingerprint").isin([hashlib.sha256(s.encode()).hexdigest() for s in shapes])
-        layout = F.when(known, F.lit(name)).otherwise(layout)
-        turns = F.when(known, F.expr(expression)).otherwise(turns)
-    return base.select(*keep, "fingerprint", layout.alias("layout"), turns.alias("turns"))
+    exact, near = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, (shapes, paths, _) in reversed(MAPPINGS.items()):
+        exact = F.when(F.col("fingerprint").isin([hashlib.sha256(s.encode()).hexdigest() for s in shapes]), name).otherwise(exact)
+        near = F.when(F.expr(" and ".join(f"try_variant_get(record, '$.{path}', 'variant') is not null" for path in paths)), name).otherwise(near)
+    named = base.withColumn("layout", F.coalesce(exact, near))
+    turns = F.lit(None).cast(f"array<{TURN}>")
+    for name, (_, _, expression) in MAPPINGS.items():
+        turns = F.when(F.col("layout") == name, F.expr(expression).cast(f"array<{TURN}>")).otherwise(turns)
+    system = F.expr("try_variant_get(record, '$.system', 'string')")
+    first = F.array(F.struct(F.lit(-1).cast("long").alias("pos"), F.lit("system").alias("role"), system.alias("text")))
+    return named.select(*keep, "fingerprint", "layout", F.when(system.isNotNull(), F.concat(first, turns)).otherwise(turns).alias("turns"))
 
 
 def escape(text: Column) -> Column:
@@ -104,9 +115,13 @@ def render(turns: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, key: str) -> DataFrame:
-    """``key, formatted, segments``: one row for each conversation of ``turns(key, turns)``."""
-    single = turns.select(F.col(key), F.explode("turns").alias("turn"))
+    """``key, formatted, segments``: one row for each conversation of ``turns(key, turns)``.
+
+    One without any turn has nulls there, so that nothing is lost unseen.
+    """
+    single = turns.select(F.col(key), F.explode_outer("turns").alias("turn"))
     whole = single.groupBy(key).agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    whole = whole.withColumn("turns", F.when(F.size("turns") > 0, F.col("turns")))
     return whole.select(key, render(F.col("turns")).alias("segments")).select(
         key, F.array_join(F.col("segments.text"), "").alias("formatted"), "segments"
     )
