@@ -110,7 +110,7 @@ def test_late_rows_are_dropped(spark, tmp_path):
 
     def counts(delay):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-        found = st.run_to_end(st.late_dropped(stream, delay, "1 hour"), f"late_rows_{delay[:2]}", str(tmp_path / f"state{delay[:2]}"))
+        found = st.run_to_end(st.late_dropped(stream, delay, "1 hour"), f"late_rows_{delay[3:]}", str(tmp_path / f"state_{delay[3:]}"))
         return sorted((str(r["window"]["start"]), r["n"]) for r in found.collect())
 
     # the row that is five hours late is dropped, or counted, by the delay that is allowed
