@@ -69,7 +69,30 @@ def session_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.sessions(series(spark, sf_dir), 2 * HOUR)
 
 
-@listed("capped_segments")
+_PIECE = "STRUCT(f BIGINT, e BIGINT, b BOOLEAN, a BOOLEAN)"
+_CLOSED = """CASE WHEN start <= voiced THEN list_append(pieces, {'f': start, 'e': voiced + 1, 'b': forced, 'a': false})
+      WHEN forced AND len(pieces) > 0 THEN list_append(list_slice(pieces, 1, len(pieces) - 1), {'f': pieces[-1].f, 'e': pieces[-1].e, 'b': pieces[-1].b, 'a': false}) ELSE pieces END"""
+
+
+@register(
+    "capped_segments",
+    f"""WITH RECURSIVE o AS (SELECT user_id AS session_id, least(value / 200, 1.0) AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    k AS (
+      SELECT session_id, 0::BIGINT AS rn, NULL::BIGINT AS start, false AS forced, 0::BIGINT AS voiced, 0::BIGINT AS silent, []::DOUBLE[] AS recent, []::{_PIECE}[] AS pieces FROM o GROUP BY session_id
+      UNION ALL
+      SELECT session_id, rn, CASE WHEN start IS NULL THEN CASE WHEN p >= {segment.OPEN_AT} THEN rn - 1 END WHEN silent >= 6 THEN NULL WHEN rn - start >= 40 THEN cut ELSE start END,
+        CASE WHEN start IS NULL THEN CASE WHEN p >= {segment.OPEN_AT} THEN false ELSE forced END WHEN silent < 6 AND rn - start >= 40 THEN true ELSE forced END, voiced, silent, recent,
+        CASE WHEN start IS NULL THEN pieces WHEN silent >= 6 THEN {_CLOSED}
+          WHEN rn - start >= 40 THEN list_append(pieces, {{'f': start, 'e': cut, 'b': forced, 'a': true}}) ELSE pieces END
+      FROM (SELECT *, rn - len(recent) + list_position(recent, list_min(recent)) - 1 AS cut FROM (
+        SELECT o.session_id, o.rn, o.p, k.start, k.forced, CASE WHEN o.p >= {segment.SILENT_BELOW} THEN o.rn - 1 ELSE k.voiced END AS voiced, CASE WHEN o.p >= {segment.SILENT_BELOW} THEN 0 ELSE k.silent + 1 END AS silent,
+          list_append(list_slice(k.recent, greatest(len(k.recent) - 8, 1), len(k.recent)), o.p::DOUBLE) AS recent, k.pieces
+        FROM k JOIN o ON o.session_id = k.session_id AND o.rn = k.rn + 1))
+    ), z AS (SELECT session_id, rn AS n, CASE WHEN start IS NULL THEN pieces ELSE {_CLOSED} END AS pieces FROM k QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY rn DESC) = 1)
+    SELECT session_id, (i - 1)::BIGINT AS piece_no, greatest(0, pieces[i].f - CASE WHEN pieces[i].b THEN 0 ELSE {segment.PAD} END)::BIGINT AS first,
+      least(n, pieces[i].e + CASE WHEN pieces[i].a THEN 0 ELSE {segment.PAD} END)::BIGINT AS last_end
+    FROM z, unnest(generate_series(1, len(pieces))) AS t(i)""",
+)
 def capped_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.capped_pieces(series(spark, sf_dir), pause=segment.WINDOW_S * 6, longest=segment.WINDOW_S * 40, look_back=segment.WINDOW_S * 10)
 
