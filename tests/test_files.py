@@ -2,12 +2,13 @@
 
 import time
 import wave
+from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import render
+from tideline.operators import fold, render
 from tideline.sources import readers, sinks
 from tideline.streaming import queries as st
 
@@ -88,6 +89,47 @@ def test_names(tmp_path):
         sinks.parse_output("fr")
 
 
+def test_logs_are_compacted_in_place(spark, tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    file = folder / "a.jsonl"
+    rows = ['{"line_id":1,"start":0.0,"end":1.0,"source":"a"}', '{"line_id":2,"start":1.0,"end":2.0,"source":"b"}']
+    file.write_text("\n".join(rows) + "\n")
+    assert not sinks.compact_in_place(spark, str(folder)) and file.exists()
+    file.write_text("\n".join([*rows, '{"line_id":1,"translation":"x"}', "no record"]) + "\n")
+    assert not sinks.compact_in_place(spark, str(folder)) and file.exists()
+    file.write_text("\n".join([*rows, '{"line_id":1,"translation":"x"}']) + "\n")
+    assert sinks.compact_in_place(spark, str(folder))
+    found = spark.read.json(str(folder)).orderBy("line_id").collect()
+    assert [(r["source"], r["translation"]) for r in found] == [("a", "x"), ("b", None)]
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["log"]
+
+
+def test_stems_of_sessions(tmp_path):
+    started = datetime(2024, 1, 2, 3, 4, 5)
+    assert sinks.free_stem(str(tmp_path), started) == "2024-01-02_030405"
+    (tmp_path / "2024-01-02_030405.srt").write_text("x")
+    (tmp_path / "2024-01-02_030405-2.txt").write_text("x")
+    assert sinks.free_stem(str(tmp_path), started) == "2024-01-02_030405-3"
+    assert sinks.free_stem(str(tmp_path), started, "a b") == "2024-01-02_030405_a-b"
+
+
+def test_sessions_written_again_replace_themselves(spark, tmp_path):
+    def lines(session):
+        return spark.createDataFrame([(session, 1, 0.0, 1.0, "a", None)], "session_id long, line_id long, start_s double, end_s double, source string, translation string")
+
+    for session in (1, 2, 1):
+        folders = sinks.write_sessions(lines(session), str(tmp_path / "out"), ["txt"])
+    assert spark.read.text(folders[0]).count() == 2
+
+
+def test_upsert_of_an_empty_batch(spark):
+    current = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    changes = spark.createDataFrame([(2, 5, "c"), (3, 6, "d")], "k long, seq long, v string")
+    assert sorted(map(tuple, fold.upsert(current, changes.limit(0), ["k"], "seq").collect())) == [(1, "a"), (2, "b")]
+    assert sorted(map(tuple, fold.upsert(current, changes, ["k"], "seq").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
 def test_a_restarted_stream_adds_nothing(spark, tmp_path):
     source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     rows = spark.createDataFrame([(1, 0, "a")], "line_id long, seq long, source string")

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
 import re
+import tempfile
+from datetime import datetime
+from itertools import count
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators import render
 from tideline.operators.fold import fold_log
+from tideline.sources.readers import transcript_log
 
 FORMATS = {"txt": render.txt, "srt": render.srt, "vtt": render.vtt, "jsonl": render.jsonl, "bilingual": render.bilingual}
 
@@ -62,14 +69,50 @@ def compact(log: DataFrame, keys: list[str], seq: str, path: str) -> None:
     fold_log(log, keys, seq).write.mode("errorifexists").json(path)
 
 
+def compact_in_place(spark: SparkSession, path: str) -> bool:
+    """A folder of log files folded to one row for each file and line, and put in its own place; whether that was done.
+
+    A log without patches stays as it is, and so does one with a row that is no record. The
+    new files are whole before the old ones go: the folders change names.
+    """
+    log = transcript_log(spark, path)
+    try:
+        folded = fold_log(log, ["path", "line_id"], "seq")
+        if log.count() == folded.count():
+            return False
+        names = ["line_id", "start", "end", "source", "translation", "lane", "reason"]
+        folded.orderBy("path", "line_id").select(*names).write.mode("overwrite").json(f"{path}.new")
+    except PySparkException:
+        return False
+    folders = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}{end}") for end in ("", ".new", ".old")]
+    files = folders[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(folders[2], True)
+    if not files.rename(folders[0], folders[2]) or not files.rename(folders[1], folders[0]):
+        raise OSError(f"{path} could not be replaced; its rows are in {path}.old")
+    return files.delete(folders[2], True)
+
+
+def free_stem(folder: str, started: datetime, name: str = "") -> str:
+    """``YYYY-mm-dd_HHMMSS`` of a session, with its tag and, if files of that stem are there, a number."""
+    stem = started.strftime("%Y-%m-%d_%H%M%S") + (f"_{tag(name)}" if name else "")
+    taken = {x.name.split(".")[0] for x in Path(folder).glob(f"{stem}*")}
+    return next(x for x in (stem if n == 1 else f"{stem}-{n}" for n in count(1)) if x not in taken)
+
+
 def claim_name(folder: str, stem: str, suffix: str, content: str) -> str:
-    """Write a small file without overwriting: ``stem``, then ``stem-2``, ``stem-3``..."""
-    for number in range(1, 10_000):
-        target = Path(folder) / f"{stem}{'' if number == 1 else f'-{number}'}{suffix}"
-        try:
-            with target.open("x", encoding="utf-8") as file:
-                file.write(content)
-        except FileExistsError:
-            continue
-        return str(target)
-    raise FileExistsError(stem)
+    """Write a small file without overwriting: ``stem``, then ``stem-2``, ``stem-3``...
+
+    The file is whole before it gets the name: it is written under another and linked.
+    """
+    handle, whole = tempfile.mkstemp(dir=folder, prefix=".claim-")
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8") as file:
+            file.write(content)
+        for number in range(1, 10_000):
+            target = Path(folder) / f"{stem}{'' if number == 1 else f'-{number}'}{suffix}"
+            with contextlib.suppress(FileExistsError):
+                os.link(whole, target)
+                return str(target)
+        raise FileExistsError(stem)
+    finally:
+        os.unlink(whole)
