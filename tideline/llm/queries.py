@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tideline.session import table
-from tideline.llm import chat, decontam, html, langid, neardup, paragraphs, quality, segmentation, sharding, toxicity
+from tideline.llm import chat, decontam, fim, html, langid, neardup, paragraphs, quality, segmentation, sharding, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -176,6 +176,40 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as fill-in-the-middle texts, and their texts rebuilt from these."""
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents
+), draws AS (
+  SELECT *, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM docs
+), cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM draws
+), made AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substring(t, 1, a) || '<S>' || substring(t, b + 1) || '<M>' || substring(t, a + 1, b - a)
+    ELSE '<S>' || substring(t, b + 1) || '<P>' || substring(t, 1, a) || '<M>' || substring(t, a + 1, b - a) END AS output FROM cuts
+), split AS (
+  SELECT *, string_split(CASE form WHEN 'psm' THEN replace(substring(output, 4), '<S>', '<M>') ELSE replace(substring(output, 4), '<P>', '<M>') END, '<M>') AS x FROM made
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+  sha256(output) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN x[1] || x[3] || x[2] ELSE x[2] || x[3] || x[1] END) AS restored_sha256
+FROM split
+"""
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened coordinates of every usable vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -193,6 +227,8 @@ def queries() -> dict[str, Query]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_html_extraction": op9_html_extraction,
         "op10_toxicity": op10_toxicity,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op13_embedding_whitening": op13_embedding_whitening,
         "pipeline": pipeline,
     }
 
@@ -203,4 +239,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": OP2_SQL,
         "op3_minhash_near_dedup": OP3_SQL,
         "op7_decontamination": OP7_SQL,
+        "op11_fill_in_middle": OP11_SQL,
     }
