@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontam, graph, html, langid, neardup, paragraphs, quality, queries, segmentation, sharding, shingles, toxicity
+from tideline.llm import chat, countjoin, decontam, fim, graph, html, langid, neardup, paragraphs, quality, queries, segmentation, sharding, shingles, toxicity, whitening
 from tideline.session import table
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -976,3 +976,125 @@ def test_sharding_query_matches_brute_force(spark):
         assert r["law"] == "bytes" and r["grown_shard"] is None
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert len(found) == len(rows) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+# fill-in-middle
+
+
+def plain_fim(doc_id, text):
+    """Output, form and cuts by characters."""
+    text = text or ""
+    digest = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(digest[8 * k : 8 * k + 8], 16) for k in range(4))
+    n = len(text)
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return text, "plain", n, None, None
+    prefix, middle, suffix = text[:a], text[a:b], text[b:]
+    output = f"<S>{suffix}<P>{prefix}<M>{middle}" if h4 % 100 < 20 else f"<P>{prefix}<S>{suffix}<M>{middle}"
+    return output, "spm" if h4 % 100 < 20 else "psm", n, a, b - a
+
+
+def odd_texts(rng, count):
+    letters = ["a", "é", "ß", "漢", "😀", "́", "\n", " ", "<", "P", ">", "S", "M", "\x00", "‍"]
+    sizes = [0, 1, 2, 7, 63, 64, 65, 511, 512, 513, 5000]
+    return ["".join(rng.choice(letters) for _ in range(rng.choice(sizes))) for _ in range(count)]
+
+
+@pytest.mark.parametrize("text", ["", "a", "漢" * 700, "é", "😀" * 129, "x" * 512, "x" * 511 + "漢", "ab漢é😀" * 200])
+def test_rank_and_select(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    marks = fim.Boundaries(data)
+    starts = [k for k, c in enumerate(text.encode()) if c & 0xC0 != 0x80]
+    assert marks.before[-1] == len(text) == len(starts)
+    assert marks.select(np.arange(len(text) + 1)).tolist() == [*starts, len(data)]
+    assert marks.rank(np.arange(len(data) + 1)).tolist() == [sum(s < at for s in starts) for at in range(len(data) + 1)]
+
+
+def test_fill_in_middle_matches_brute_force(spark):
+    rng = random.Random(3)
+    texts = odd_texts(rng, 300) + [None, "<P>", "a<", "<", ">", "漢" * 100_000]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "text"), (5, "again"), (5, "again")]
+    made = fim.fill_in_middle(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = made.select("doc_id", "text", "output", "form", "n", "prefix_chars", "middle_chars", fim.restored(F.col("output"), F.col("form")).alias("back")).collect()
+    assert len(found) == len(rows) and {r["form"] for r in found} == {"plain", "psm", "spm"}
+    for r in found:
+        assert tuple(r)[2:7] == plain_fim(r["doc_id"], r["text"]) and r["back"] == (r["text"] or "")
+
+
+def test_fill_in_middle_of_odd_rows(spark):
+    docs = odd_documents(spark).withColumn("N", F.lit(1)).withColumn("output", F.lit("x")).withColumn("draw", F.lit("y"))
+    made = fim.fill_in_middle(docs)
+    assert made.columns == ["doc_id", "text", "lang", "source", "n_chars", "matches", "draw", "n", "form", "prefix_chars", "middle_chars", "output"]
+    rows = made.collect()
+    assert len(rows) == 11 and {r["draw"] for r in rows} == {"y"}
+    assert all((r["output"], r["form"]) == plain_fim(r["doc_id"], r["text"])[:2] for r in rows)
+    assert fim.fill_in_middle(docs.limit(0)).count() == 0
+    keyed = fim.fill_in_middle(spark.createDataFrame([("k", "abc")], "key string, body string"), "key", "body", salt="s", rate=100, spm_rate=100).first()
+    assert keyed["form"] == "spm"
+
+
+# whitening
+
+
+def plain_whitening(vectors):
+    x = np.floor(1024 * np.array(vectors, np.float64)) + 100_000
+    n = len(x)
+    centred = x - x.mean(axis=0)
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    order = np.argsort(-values)[:8]
+    exact = [sum((n * int(v) - int(s)) ** 2 for v, s in zip(row, x.sum(axis=0), strict=True)) for row in x]
+    return exact, (centred @ vectors[:, order]) / np.sqrt(values[order]), values[order] / values.sum()
+
+
+def test_whitening_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    mixed = rng.normal(size=(400, 12)) @ rng.normal(size=(12, 12)) * np.linspace(0.1, 2, 12)
+    vectors = [[float(np.float32(v)) for v in row] for row in mixed] + [[0.0] * 12] * 30
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(7)
+    exact, white, shares = plain_whitening(vectors)
+    rows = whitening.whiten(frame).collect()
+    assert len(rows) == 8 * len(vectors) and {r["n"] for r in rows} == {len(vectors)}
+    found = np.zeros((len(vectors), 8))
+    for r in rows:
+        found[r["vec_id"], r["component"] - 1] = r["whitened"]
+        assert r["deviation"] == exact[r["vec_id"]] and abs(r["explained"] / shares[r["component"] - 1] - 1) < 1e-9
+    signs = np.sign((found * white).sum(axis=0))
+    assert np.abs(found - white * signs).max() < 1e-8
+    assert len({r["identity_error"] for r in rows}) == 1 and rows[0]["identity_error"] < 1e-10
+    assert rows[0]["identity_error"] >= np.abs(white.T @ white / len(white) - np.eye(8)).max() - 1e-10
+
+
+def test_moments_merge_in_any_tree():
+    rng = np.random.default_rng(1)
+    rows = (rng.normal(size=(300, 5)) * 1000 + 1e5).astype(np.int64)
+    whole = whitening.Moments.of(rows)
+    cuts = [0, 0, 1, 2, 50, 51, 200, 300]
+    parts_ = [whitening.Moments.of(rows[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    left = whitening.Moments.none(5)
+    for p in parts_:
+        left = left.merge(p)
+    right = parts_[0]
+    for p in reversed(parts_[1:]):
+        right = p.merge(right)
+    for got in (left, right):
+        assert (got.n, got.sums) == (300, [int(v) for v in rows.sum(axis=0)])
+        assert np.allclose(got.covariance, np.cov(rows.T, bias=True), rtol=1e-12) and np.allclose(got.covariance, whole.covariance, rtol=1e-12)
+
+
+def test_whitening_of_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    good = [(1, [0.1, 0.2]), (1, [0.1, 0.2]), (2, [0.3, -0.2]), (None, [0.0, 0.5])]
+    bad = [(3, None), (4, []), (5, [0.1, None]), (6, [nan, 0.0]), (7, [inf, 0.0]), (8, [-inf, 0.0]), (9, [0.1]), (10, [0.1, 0.2, 0.3])]
+    frame = spark.createDataFrame(good + bad, "vec_id long, embedding array<double>").withColumn("n", F.lit("x")).withColumn("component", F.lit("y"))
+    rows = whitening.whiten(frame).collect()
+    assert len(rows) == 8 and {r["vec_id"] for r in rows} == {1, 2, None} and {r["n"] for r in rows} == {4}
+    assert whitening.whiten(frame.limit(0)).count() == 0 and whitening.whiten(frame.where("vec_id = 3")).count() == 0
+    assert whitening.whiten(frame.where("vec_id = 1")).count() == 0  # no variance
+    flat = spark.createDataFrame([(i, [float(i), 2.0 * i, 1.0]) for i in range(9)], "vec_id long, embedding array<double>")
+    assert {r["component"] for r in whitening.whiten(flat).collect()} == {1}
+    with pytest.raises(OverflowError):
+        whitening._blocks(pa.array([[1e300, 0.0]]), 2)
+    wide = whitening.Whitening(10, [0, 0], np.ones(2), np.eye(2), 2.0)
+    with pytest.raises(OverflowError):
+        wide.centred(np.array([[2**39, 0]]))

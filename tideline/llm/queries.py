@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tideline.session import table
-from tideline.llm import chat, decontam, fim, html, langid, neardup, paragraphs, quality, segmentation, sharding, toxicity, whitening
+from tideline.llm import chat, countjoin, decontam, fim, html, langid, neardup, paragraphs, quality, segmentation, sharding, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -205,6 +205,29 @@ FROM split
 """
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents whose four-word shingle sets are 85 % alike."""
+    return countjoin.jaccard_classes(table(spark, sf_dir, "documents"), num=85, den=100)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS s FROM words, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS t(i) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+  JOIN sizes p ON p.doc_id = x.doc_id JOIN sizes q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(r.b) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id, n
+"""
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight whitened coordinates of every usable vector."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
@@ -228,6 +251,7 @@ def queries() -> dict[str, Query]:
         "op9_html_extraction": op9_html_extraction,
         "op10_toxicity": op10_toxicity,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_ngram_jaccard_join": op12_ngram_jaccard_join,
         "op13_embedding_whitening": op13_embedding_whitening,
         "pipeline": pipeline,
     }
@@ -240,4 +264,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_minhash_near_dedup": OP3_SQL,
         "op7_decontamination": OP7_SQL,
         "op11_fill_in_middle": OP11_SQL,
+        "op12_ngram_jaccard_join": OP12_SQL,
     }
