@@ -1098,3 +1098,137 @@ def test_whitening_of_odd_rows(spark):
     wide = whitening.Whitening(10, [0, 0], np.ones(2), np.eye(2), 2.0)
     with pytest.raises(OverflowError):
         wide.centred(np.array([[2**39, 0]]))
+
+
+# n-gram Jaccard join
+
+
+def quad_set(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+
+
+def quad_classes(texts, num=85, den=100):
+    sets = {i: quad_set(t) for i, t in texts.items()}
+    links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    return parts(texts, links)
+
+
+def variants(rng, bases, most, length):
+    """Texts in groups of copies with a few words changed, some about at the threshold."""
+    texts = {}
+    for base in range(bases):
+        words = prose(rng, rng.randint(3, length)).split()
+        for copy in range(rng.choice((1, 2, 3, most))):
+            changed = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 40))):
+                changed[rng.randrange(len(changed))] = prose(rng, 1)
+            texts[base * 1000 + copy] = " ".join(changed)
+    return texts
+
+
+@pytest.mark.parametrize("count", [1, 2, 15, 16, 17, 65, 300])
+@pytest.mark.parametrize("num", [50, 85, 100])
+def test_trees_find_all_pairs_in_bound(count, num):
+    rng = np.random.default_rng(count)
+    bases = [shingles.mix(rng.integers(0, 2**63, int(rng.integers(1, 200))).astype(np.uint64)) for _ in range(max(1, count // 6))]
+    sets = []
+    for _ in range(count):
+        base = bases[int(rng.integers(len(bases)))].copy()
+        at = rng.integers(0, len(base), int(rng.integers(0, 6)))
+        base[at] = shingles.mix(rng.integers(0, 2**63, len(at)).astype(np.uint64))
+        sets.append(np.unique(base))
+    points, sizes = np.stack([countjoin.at_width(countjoin.point(s)) for s in sets]), np.array([len(s) for s in sets])
+    assert (points.sum(axis=1) == sizes).all()
+    found = [(min(a, b), max(a, b)) for i, j in countjoin.Tree(points, sizes).pairs(num, 100) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    bound = {(i, j): int(np.minimum(points[i], points[j]).sum()) for i, j in combinations(range(count), 2)}
+    assert len(found) == len(set(found)) and set(found) == {p for p, o in bound.items() if (num + 100) * o >= num * int(sizes[p[0]] + sizes[p[1]])}
+    for (i, j), least in bound.items():  # the bound is one
+        assert len(np.intersect1d(sets[i], sets[j])) <= least
+
+
+def test_trees_prune_nodes():
+    rng = np.random.default_rng(4)
+    sets = [shingles.mix(rng.integers(0, 2**63, 40).astype(np.uint64)) for _ in range(512)]
+    tree = countjoin.Tree(np.stack([countjoin.at_width(countjoin.point(s)) for s in sets]), np.array([len(s) for s in sets]))
+    assert len(tree.levels) > 3 and sum(len(i) for i, _ in tree.pairs(85, 100)) < 20
+
+
+def test_points_of_large_sets_bound_more_closely():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(shingles.mix(rng.integers(0, 2**63, n).astype(np.uint64))) for n in (3000, 3100, 9000, 9500, 40, 45)]
+    sets += [np.unique(np.concatenate([sets[0][:2900], sets[1][:40]])), np.unique(np.concatenate([sets[2][:8800], sets[4]]))]
+    points, sizes = [countjoin.point(s) for s in sets], np.array([len(s) for s in sets])
+    assert [len(p) for p in points[:6]] == [512, 512, 2048, 2048, 32, 32] and all(int(p.sum()) == n for p, n in zip(points, sizes))
+    found = {(min(a, b), max(a, b)) for i, j in countjoin.surviving(points, sizes, 85, 100) for a, b in zip(i.tolist(), j.tolist())}
+    assert found == {(0, 6), (2, 7)}
+    many = [np.unique(shingles.mix(rng.integers(0, 2**63, 600).astype(np.uint64)) >> np.uint64(5)) for _ in range(3)]  # all in one group of 32
+    assert all(countjoin.point(s).max() < 256 and countjoin.point(s).sum() == len(s) for s in many)
+
+
+def test_similar_sets_share_a_prefix_shingle():
+    rng = np.random.default_rng(8)
+    rank = rng.integers(0, 255, countjoin.COUNTERS).astype(np.uint8)
+    for _ in range(300):
+        base = shingles.mix(rng.integers(0, 2**63, int(rng.integers(1, 120))).astype(np.uint64))
+        other = base.copy()
+        at = rng.integers(0, len(base), int(rng.integers(0, 1 + len(base) // 8)))
+        other[at] = shingles.mix(rng.integers(0, 2**63, len(at)).astype(np.uint64))
+        a, b = np.unique(base), np.unique(other)
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 85 * (len(a) + len(b) - both):
+            assert len(np.intersect1d(countjoin.prefix(a, rank, 85, 100), countjoin.prefix(b, rank, 85, 100)))
+
+
+def test_jaccard_classes_match_brute_force(spark):
+    rng = random.Random(12)
+    texts = variants(rng, 40, 30, 150)
+    passage = prose(rng, 60)
+    texts |= {90_000 + k: f"{passage} {prose(rng, 40)}" for k in range(60)}  # alike by what all have
+    texts |= {95_000 + k: " ".join(WORDS[k : k + 1 + k % 6]) for k in range(30)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = countjoin.jaccard_classes(rows).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == quad_classes(texts)
+    assert {r["doc_id"]: r["n_shingles"] for r in found} == {i: len(quad_set(t)) for i, t in texts.items()}
+    assert len({r["component_id"] for r in found}) < len(texts) - 30
+
+
+def test_jaccard_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SET_BLOCK", 4)
+    monkeypatch.setattr(countjoin, "BUCKET_BLOCK", 4)
+    rng = random.Random(2)
+    words = prose(rng, 200).split()
+    rows = []
+    for i in range(25):
+        words[i * 7] = prose(rng, 1)  # a chain: neighbours are alike, the ends are not
+        rows.append((i, " ".join(words)))
+    found = countjoin.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in found} == {0}
+
+
+def test_jaccard_at_other_thresholds(spark):
+    texts = variants(random.Random(5), 12, 8, 60)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for num, den in ((1, 2), (95, 100)):
+        found = countjoin.jaccard_classes(rows, num, den).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == quad_classes(texts, num, den)
+
+
+def test_jaccard_classes_of_odd_rows(spark):
+    docs = odd_documents(spark).withColumn("set", F.lit(1)).withColumn("point", F.lit("x")).withColumn("block", F.lit(2))
+    found = countjoin.jaccard_classes(docs).collect()
+    assert len(found) == 11
+    by = {r["doc_id"]: r for r in found}
+    assert (by[2]["component_id"], by[9]["component_id"], by[3]["n_shingles"], by[5]["component_id"], by[None]["component_id"]) == (1, 8, 0, 5, None)
+    assert by[8]["n_shingles"] == 1 and by[7]["n_shingles"] == 1
+    assert countjoin.jaccard_classes(docs.limit(0)).count() == 0 and countjoin.jaccard_classes(docs.where("doc_id = 4")).count() == 1
+
+
+def test_counters_add_up(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, 50) for _ in range(40)] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
+    rank = countjoin.rarity(countjoin.describe(docs, "doc_id", "text"))
+    elements = np.concatenate(list(shingles.text_sets(pa.array(texts), 4)))
+    counts = np.bincount((elements >> countjoin.COUNTER_SHIFT).astype(np.int64), minlength=countjoin.COUNTERS)
+    assert (rank == np.minimum(np.log2(counts + 1) * countjoin.STEPS, 255).astype(np.uint8)).all() and rank.max() > 0
