@@ -38,7 +38,7 @@ def test_formats_are_written_once(spark, tmp_path):
 def test_log_round_trip_and_fold(spark, tmp_path):
     path = str(tmp_path / "log")
     rows = lines_of(spark).where("line_id <> 2")
-    sinks.append_log(rows, path)
+    render.jsonl(rows).select("session_id", F.col("row").alias("value")).write.partitionBy("session_id").text(path)
     patches = rows.select("session_id", "line_id", F.upper("source").alias("translation"))
     render.jsonl_patch(patches).select("session_id", F.col("row").alias("value")).coalesce(1).write.mode("append").partitionBy("session_id").text(path)
     log = readers.transcript_log(spark, path)

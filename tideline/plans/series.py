@@ -182,8 +182,8 @@ def latency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT session_id, {_rank(0.5)} <= 1.2 AND {_rank(0.9)} <= 2.0 AS passed FROM t""",
 )
 def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value") / 100
-    found = series(spark, sf_dir).groupBy("session_id").agg(stats.nearest_rank(v, 0.5).alias("median"), stats.nearest_rank(v, 0.9).alias("p90"))
+    rows = series(spark, sf_dir).select("session_id", (F.col("value") / 100).alias("v"))
+    found = stats.at_ranks(rows, ["session_id"], "v", {"median": stats.near_rank(0.5), "p90": stats.near_rank(0.9)})
     return found.select("session_id", ((F.col("median") <= 1.2) & (F.col("p90") <= 2.0)).alias("passed"))
 
 
@@ -221,16 +221,11 @@ def top3_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def onset_gap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.col("at") - F.lag("at").over(Window.partitionBy("session_id").orderBy("at", "seq"))
-    g = F.col("gap")
-    long = F.count(F.when(g >= HOUR, 1))
-    return series(spark, sf_dir).select("session_id", gap.alias("gap")).where("gap is not null").groupBy("session_id").agg(
-        stats.nearest_rank(g, 0.5).alias("p50"),
-        stats.nearest_rank(g, 0.9).alias("p90"),
-        stats.nearest_rank(g, 0.99).alias("p99"),
-        F.max(g).alias("longest"),
-        long.alias("n_long"),
-        (100.0 * long / F.greatest(F.count(g), F.lit(1))).alias("pct_long"),
-    )
+    gaps = series(spark, sf_dir).select("session_id", gap.alias("gap")).where("gap is not null")
+    ranks = stats.at_ranks(gaps, ["session_id"], "gap", {f"p{q}": stats.near_rank(q / 100) for q in (50, 90, 99)})
+    long = gaps.groupBy("session_id").agg(F.count(F.when(F.col("gap") >= HOUR, 1)).alias("n_long"))
+    pct = (100.0 * F.col("n_long") / F.greatest("n", F.lit(1))).alias("pct_long")
+    return ranks.join(long, "session_id").select("session_id", "p50", "p90", "p99", "longest", "n_long", pct)
 
 
 @listed(

@@ -34,20 +34,26 @@ def mixed_lines(spark: SparkSession, path: str) -> DataFrame:
     return kept.select("path", F.when(is_json, F.col("row.source")).otherwise(F.col("line")).alias("line")).where("line is not null")
 
 
-def transcript_log(spark: SparkSession, path: str) -> DataFrame:
-    """``path, seq`` and a transcript log's columns; a row that is no JSON is an error that names its place."""
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """``path, block, place, value, row, bad``: rows of log files as they are, and whether they are no records."""
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value"
     ).where("trim(value) <> ''")
+    read = raw.withColumn("row", F.from_json("value", f"{RECORD}, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
+    return read.withColumn("bad", F.col("row.broken").isNotNull() | F.col("row.line_id").isNull())
+
+
+def transcript_log(spark: SparkSession, path: str) -> DataFrame:
+    """``path, seq`` and a transcript log's columns; a row that is no JSON is an error that names its place."""
+    raw = records(spark, path)
     # numbered within each block of a file, and by the rows of the blocks before
     sizes = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("size"))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("path", "block", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("path", "block").orderBy("place"))
     numbered = raw.withColumn("within", within).join(starts, ["path", "block"])
-    parsed = numbered.withColumn("number", F.col("before") + F.col("within")).withColumn("row", F.from_json("value", f"{RECORD}, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
-    bad = F.col("row.broken").isNotNull() | F.col("row.line_id").isNull()
-    checked = parsed.withColumn("line_id", F.when(bad, F.raise_error(F.concat("path", F.lit(":"), F.col("number").cast("string")))).otherwise(F.col("row.line_id")))
+    parsed = numbered.withColumn("number", F.col("before") + F.col("within"))
+    checked = parsed.withColumn("line_id", F.when(F.col("bad"), F.raise_error(F.concat("path", F.lit(":"), F.col("number").cast("string")))).otherwise(F.col("row.line_id")))
     return checked.select("path", F.col("number").alias("seq"), "line_id", *(f"row.{c}" for c in ("start", "end", "source", "translation", "lane", "reason")))
 
 

@@ -10,13 +10,13 @@ from datetime import datetime
 from itertools import count
 from pathlib import Path
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators import render
 from tideline.operators.fold import fold_log
-from tideline.sources.readers import transcript_log
+from tideline.sources import committed
+from tideline.sources.readers import records, transcript_log
 
 FORMATS = {"txt": render.txt, "srt": render.srt, "vtt": render.vtt, "jsonl": render.jsonl, "bilingual": render.bilingual}
 
@@ -59,9 +59,27 @@ def write_sessions(lines: DataFrame, path: str, formats: list[str]) -> list[str]
     return written
 
 
-def append_log(lines: DataFrame, path: str) -> None:
-    """Source rows of a log; patches follow by the same call with ``render.jsonl_patch``."""
-    render.jsonl(lines).select("session_id", F.col("row").alias("value")).write.mode("append").partitionBy("session_id").text(path)
+_LOGGED = {"session_id": "long", "line_id": "long", "seq": "long", "start_s": "double", "end_s": "double", "source": "string", "translation": "string", "lane": "string", "reason": "string"}
+
+
+def _logged(rows: DataFrame, seq: int) -> DataFrame:
+    given = rows.withColumn("seq", F.lit(seq))
+    return given.select(*((F.col(c) if c in given.columns else F.lit(None)).cast(k).alias(c) for c, k in _LOGGED.items()))
+
+
+def append_lines(lines: DataFrame, path: str, job: str) -> None:
+    """Source rows of a committed log: a job that is killed or repeated leaves each row once."""
+    committed.append(_logged(lines, 0), path, job)
+
+
+def append_patches(patches: DataFrame, path: str, job: str, seq: int = 1) -> None:
+    """``session_id, line_id`` and what is new of a line; of several values of a column that with the largest ``seq`` counts."""
+    committed.append(_logged(patches, seq), path, job)
+
+
+def logged_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A committed log folded to one row for each line."""
+    return fold_log(committed.read(spark, path), ["session_id", "line_id"], "seq")
 
 
 def compact(log: DataFrame, keys: list[str], seq: str, path: str) -> None:
@@ -72,18 +90,14 @@ def compact(log: DataFrame, keys: list[str], seq: str, path: str) -> None:
 def compact_in_place(spark: SparkSession, path: str) -> bool:
     """A folder of log files folded to one row for each file and line, and put in its own place; whether that was done.
 
-    A log without patches stays as it is, and so does one with a row that is no record. The
-    new files are whole before the old ones go: the folders change names.
+    A log without patches stays as it is, and so does one with a row that is no record; any other
+    error is one. The new files are whole before the old ones go: the folders change names.
     """
-    log = transcript_log(spark, path)
-    try:
-        folded = fold_log(log, ["path", "line_id"], "seq")
-        if log.count() == folded.count():
-            return False
-        names = ["line_id", "start", "end", "source", "translation", "lane", "reason"]
-        folded.orderBy("path", "line_id").select(*names).write.mode("overwrite").json(f"{path}.new")
-    except PySparkException:
+    names = ["line_id", "start", "end", "source", "translation", "lane", "reason"]
+    state = records(spark, path).agg(F.coalesce(F.bool_or("bad"), F.lit(False)), F.count(F.lit(1)), F.count_distinct("path", "row.line_id")).first()
+    if state[0] or state[1] == state[2]:
         return False
+    fold_log(transcript_log(spark, path), ["path", "line_id"], "seq").orderBy("path", "line_id").select(*names).write.mode("overwrite").json(f"{path}.new")
     folders = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}{end}") for end in ("", ".new", ".old")]
     files = folders[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.delete(folders[2], True)
