@@ -735,6 +735,46 @@ def test_pages_of_the_tables(spark):
     assert len(rows) == 50 and all(r["n_chars"] == len(r["text"]) > 0 for r in rows)
 
 
+LONG = "<p>" + "A sentence of the text that is told here. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "named",
+    ["content has-sidebar", "layout-right-sidebar", "entry with-comments", "post-share-enabled", "page no-header", "post ad-free", "related-story main", "sidebar", "ad"],
+)
+@pytest.mark.parametrize("tag", ["div", "section", "article", "form"])
+def test_names_never_take_the_article(named, tag):
+    story = " ".join(re.sub("<[^>]*>", " ", LONG * 2).split())
+    page = f"<body><{tag} class='{named}'>{LONG}{LONG}</{tag}><p>Imprint</p></body>"
+    assert html.main_text(page) == story
+    inner = f"<body><{tag} id='{named}'><div class='{named}'>{LONG}{LONG}</div><nav>Home About</nav></{tag}><footer>f</footer></body>"
+    assert html.main_text(inner) == story
+
+
+def test_a_form_around_the_page():
+    story = " ".join(re.sub("<[^>]*>", " ", LONG * 2).split())
+    page = f"<body><form id='aspnetForm'><nav>Home About</nav><div>{LONG}{LONG}</div><aside>{LONG}</aside><form class=search>find</form></form></body>"
+    assert html.main_text(page) == story
+    assert html.main_text(f"<body><div>{LONG}{LONG}</div><form>{LONG}</form></body>") == story
+
+
+def test_long_texts_beside_the_article_go():
+    story = " ".join(re.sub("<[^>]*>", " ", LONG * 2).split())
+    for beside in (f"<div class='comments'>{LONG * 4}</div>", f"<div id=related><div>{LONG}</div></div>", f"<div class='post-comments'>{LONG}</div>", f"<aside>{LONG * 9}</aside>"):
+        assert html.main_text(f"<body><div class='post'>{LONG}{LONG}</div>{beside}</body>") == story
+
+
+def test_ratios_find_most_of_the_text_without_evidence(spark, monkeypatch):
+    pages = [r["html"] for r in table(spark, MIDDLE, "pages").collect()]
+    want = [Counter(html.main_text(p).split()) for p in pages]
+    monkeypatch.setattr(html, "_excluded", lambda tag, attrs: None if tag in html.SKIPPED else 0.0)
+    found = [Counter(html.main_text(p).split()) for p in pages]
+    assert np.mean([2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())) for a, b in zip(want, found)]) > 0.95
+    monkeypatch.undo()
+    monkeypatch.setattr(html, "ratios_of", lambda lines, beside: [1.0] * len(lines))
+    assert sum(Counter(html.main_text(p).split()) != w for p, w in zip(pages, want)) > len(pages) / 2
+
+
 MENU = "<div><p>Home</p><p>About us</p><p>Contact</p></div>"
 STORY = "<div><h2>Title</h2><p>{0}</p><p>Be.</p><p>{0}</p><p>So.</p></div>".format("A sentence of the text that is told here. " * 4)
 

@@ -9,9 +9,11 @@ itself to another, are content, and so is what belongs to these regions: sparse
 between dense ones of the same container, and at its ends too, but for lists of links;
 of the page's body itself only what is between dense lines.
 
-Elements, roles and names only exclude: menus, headers, footers, side bars, notices,
-adverts, forms, reader comments, scripts and styles don't take part. An element that holds
-all text of the page isn't excluded by its name.
+Elements, roles and names are evidence on the ratio. Lines of menus, headers, footers, side bars, notices, adverts,
+forms and reader comments get a ratio below all others, so that they are neither dense nor of a dense region. Names
+are weak evidence, for they tell of layouts too (``has-sidebar``): all lines are clustered first without any, and
+an element that holds most of the dense text keeps its ratios whatever it is named, and so does
+a form. Scripts, styles, controls and hidden elements have no lines.
 
 Defined results: null or empty html gives an empty text, and so does a page whose lines
 are all excluded; unclosed and stray tags are tolerated; white space (as ``str.split``
@@ -38,10 +40,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup"
     " time tt u var wbr".split()
 )
-SKIPPED = frozenset(
-    "nav header footer aside form script style noscript template title button select textarea iframe object svg canvas audio video dialog menu"
-    " map datalist option".split()
-)
+SKIPPED = frozenset("script style noscript template title button select textarea iframe object svg canvas audio video map datalist option".split())
+BESIDE = frozenset("nav header footer aside dialog menu".split())
 CLOSED_BY_BLOCK = frozenset(("p", "dt", "dd"))
 SCOPES = frozenset("article main body html nav header footer aside form table section dialog".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
@@ -52,45 +52,49 @@ SKIPPED_NAMES = frozenset(
     " comment comments commentlist discussion reply replies respond disqus feedback widget toolbar pagination pager skip copyright legal"
     " disclaimer form search hidden responses reactions guestbook announcement toast cta adsbygoogle adsense taboola outbrain".split()
 )
+#: words that names of containers of articles have beside those
+WHOLE_NAMES = frozenset("article body content entry has layout main no page post story with without wrap wrapper".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol li dl dt dd table thead tbody tfoot tr td th caption".split())
 WITHIN = LISTS | HEADINGS | frozenset("p blockquote pre figure figcaption center details summary hgroup address".split())
 PAGE = frozenset(("html", "body", ""))
 ROOTS = ("article", "main")
+#: shares of the dense text from which an element counts as the article's, whatever its name says
+MOST, NEARLY_ALL, NEVER = 0.5, 0.8, 2.0
 SIGMA = 1.0
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _excluded(tag: str, attrs: list[tuple[str, str | None]]) -> int:
-    """2 if the element never counts, 1 if its name says that it doesn't, or else 0."""
+def _excluded(tag: str, attrs: list[tuple[str, str | None]]) -> float | None:
+    """None if the element has no lines; else 0, or the share of the dense text from which it isn't beside the article after all."""
     if tag in SKIPPED:
-        return 2
-    named = 0
+        return None
+    beside = NEVER if tag in BESIDE else MOST if tag == "form" else 0.0
     for name, value in attrs:
         value = value or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
-            return 2
+            return None
         if name == "role" and value.lower() in SKIPPED_ROLES:
-            return 2
+            beside = NEVER
         if name in ("class", "id") and tag not in ("body", "html", "main"):
             words = {w.lower() for w in _NAME.findall(value)}
             if not SKIPPED_NAMES.isdisjoint(words - {"header"} if tag in HEADINGS else words):
-                named = 1
-    return named
+                beside = max(beside, NEARLY_ALL if WHOLE_NAMES.isdisjoint(words) and tag not in ROOTS else MOST)
+    return beside
 
 
 class Lines(HTMLParser):
     """Folds parser events into ``lines``: (text, tags, link characters, element that holds it).
 
-    Elements are numbered as they open: ``kinds``, ``parents`` and ``named`` tell of each;
-    number 0 stands for the page. What never counts is left out here.
+    Elements are numbered as they open: ``kinds``, ``parents`` and ``beside`` tell of each;
+    number 0 stands for the page. What has no lines is left out here.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int]] = []
-        self.kinds, self.parents, self.named = [""], [0], [False]
+        self.kinds, self.parents, self.beside = [""], [0], [0.0]
         self._open: list[tuple[str, int, bool]] = []
         self._places: dict[str, list[int]] = {}
         self._scopes: list[int] = []
@@ -100,7 +104,7 @@ class Lines(HTMLParser):
         self._tags = 0
         self._links = 0
         self._anchors = 0
-        self._seen, self._known, self._beside, self._found = 0, 1, [False], False
+        self._seen, self._known, self._within, self._found = 0, 1, [False], False
 
     def _break(self) -> None:
         text = " ".join("".join(self._text).split())
@@ -110,16 +114,16 @@ class Lines(HTMLParser):
         self._text.clear()
         self._links = 0
 
-    def _push(self, tag: str, excluded: int) -> None:
+    def _push(self, tag: str, excluded: float | None) -> None:
         self._places.setdefault(tag, []).append(len(self._open))
         if tag in SCOPES:
             self._scopes.append(len(self._open))
         self.parents.append(self._open[-1][1] if self._open else 0)
         self.kinds.append(tag)
-        self.named.append(excluded == 1)
-        self._open.append((tag, len(self.kinds) - 1, excluded == 2))
-        self._skipping += excluded == 2
-        if excluded:
+        self.beside.append(excluded or 0.0)
+        self._open.append((tag, len(self.kinds) - 1, excluded is None))
+        self._skipping += excluded is None
+        if excluded != 0:
             self._doubtful.append(len(self._open) - 1)
 
     def _pop_to(self, place: int) -> None:
@@ -140,7 +144,7 @@ class Lines(HTMLParser):
         if tag == "a":
             self._anchors = 1
         if tag in INLINE:
-            if tag not in VOID and (excluded := _excluded(tag, attrs)):
+            if tag not in VOID and (excluded := _excluded(tag, attrs)) != 0:
                 self._break()
                 self._push(tag, excluded)
             return
@@ -160,10 +164,10 @@ class Lines(HTMLParser):
         while self._seen < len(self.lines):
             element = self.lines[self._seen][3]
             while self._known < len(self.kinds):
-                self._beside.append(self.named[self._known] or self._beside[self.parents[self._known]])
+                self._within.append(self.beside[self._known] > 0 or self._within[self.parents[self._known]])
                 self._known += 1
             self._seen += 1
-            if not self._beside[element]:
+            if not self._within[element]:
                 self._found = True
         return self._found
 
@@ -228,10 +232,13 @@ def threshold(ratios: list[float]) -> float:
 
 
 def dense(ratios: list[float]) -> list[bool]:
-    """Which lines are in dense regions: runs over the threshold, smoothed, that start and end with lines over it themselves."""
-    soft = smoothed(ratios)
+    """Which lines are in dense regions: runs over the threshold, smoothed, that start and end with lines over it themselves.
+
+    A line with a ratio below 0 is in none.
+    """
+    soft = smoothed([max(0.0, value) for value in ratios])
     least = threshold(soft)
-    found = [value >= least for value in soft]
+    found = [value >= least and own >= 0 for value, own in zip(soft, ratios, strict=True)]
     for order in (range(len(ratios)), range(len(ratios) - 1, -1, -1)):
         inside = False
         for i in order:
@@ -240,27 +247,33 @@ def dense(ratios: list[float]) -> list[bool]:
     return found
 
 
-def included(parser: Lines) -> list[tuple[str, int, int, int]]:
-    """The lines that no element's name excludes."""
-    size = [0] * len(parser.kinds)
-    for text, _, _, element in parser.lines:
-        size[element] += len(text)
+def ratios_of(lines: list[tuple[str, int, int, int]], beside: list[bool]) -> list[float]:
+    """Text outside links to tags, its square root; below 0 in elements that are beside the article."""
+    return [-1.0 if beside[element] else math.sqrt((len(text) - links) / max(1, tags)) for text, tags, links, element in lines]
+
+
+def put_aside(parser: Lines) -> list[bool]:
+    """Which elements are beside the article: by what they are, unless they hold the dense text."""
+    if not any(parser.beside):
+        return [False] * len(parser.kinds)
+    size, nothing = [0] * len(parser.kinds), [False] * len(parser.kinds)
+    for (text, _, _, element), held in zip(parser.lines, dense(ratios_of(parser.lines, nothing)), strict=True):
+        size[element] += held * len(text)
     for element in range(len(size) - 1, 0, -1):
         size[parser.parents[element]] += size[element]
-    beside = [False] * len(size)
-    for element in range(1, len(size)):
-        beside[element] = beside[parser.parents[element]] or (parser.named[element] and size[element] < size[0])
-    return [x for x in parser.lines if not beside[x[3]]]
+    return [share > 0 and size[element] < share * max(1, size[0]) for element, share in enumerate(parser.beside)]
 
 
-def content(lines: list[tuple[str, int, int, int]], kinds: list[str], parents: list[int]) -> list[bool]:
+def content(parser: Lines) -> list[bool]:
     """Which lines are content: the dense ones, and the sparse ones of their regions."""
-    marked = dense([math.sqrt((len(text) - links) / max(1, tags)) for text, tags, links, _ in lines])
-    container, listed = [0] * len(kinds), [False] * len(kinds)
+    lines, kinds, parents, aside = parser.lines, parser.kinds, parser.parents, put_aside(parser)
+    beside, container, listed = list(aside), [0] * len(kinds), [False] * len(kinds)
     for element in range(1, len(kinds)):
-        inside = kinds[element] in WITHIN or kinds[element] in INLINE
+        beside[element] = aside[element] or beside[parents[element]]
+        inside = not aside[element] and (kinds[element] in WITHIN or kinds[element] in INLINE)
         container[element] = container[parents[element]] if inside else element
         listed[element] = inside and (kinds[element] in LISTS or listed[parents[element]])
+    marked = dense(ratios_of(lines, beside))
     first: dict[int, int] = {}
     last: dict[int, int] = {}
     for i, line in enumerate(lines):
@@ -283,9 +296,7 @@ def main_text(page: str | None) -> str:
     parser = Lines()
     parser.feed(page)
     parser.close()
-    lines = included(parser)
-    kept = content(lines, parser.kinds, parser.parents)
-    return " ".join(line[0] for line, held in zip(lines, kept, strict=True) if held)
+    return " ".join(line[0] for line, held in zip(parser.lines, content(parser), strict=True) if held)
 
 
 def extract_text(pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
