@@ -16,8 +16,11 @@ from tideline.session import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without any letter go."""
-    model = langid.fit(langid.sample(docs, langid.learnable()))
+    """Documents in a known language; those without any letter go, and where no language is labelled, those alone."""
+    learned = langid.sample(docs, langid.learnable())
+    if not learned:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    model = langid.fit(learned)
     language, share = fresh_name(docs, "language"), fresh_name(docs, "share")
     found = langid.with_language(docs, model, lang_name=language, score_name=share)
     return found.where(F.col(language) != langid.UNKNOWN).select(*docs.columns)

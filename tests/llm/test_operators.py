@@ -375,6 +375,24 @@ def test_passages_match_brute_force(spark):
     assert all(x in kept for r in by.values() for x in windows_of(" ".join(r[0][2]), 5))
 
 
+def test_shared_runs_reach_their_ends(spark):
+    rng = random.Random(77)
+    rows, shared = [], {}
+    for k in range(60):
+        run = [prose(rng, 1) + str(rng.randrange(10**6)) for _ in range(rng.randint(60, 140))]
+        for side in (0, 1):
+            words = [[f"x{rng.randrange(10**9)}" for _ in range(rng.randint(0, 90))] for _ in range(2)]
+            rows.append((2 * k + side, " ".join([*words[0], *run, *words[1]])))
+            shared[2 * k + side] = set(run)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {i: t.encode() for i, t in rows}
+    found = {}
+    for r in paragraphs.repeated_passages(frame).collect():
+        found.setdefault(r["doc_id"], set()).update(texts[r["doc_id"]][r["start"] : r["stop"]].decode().split())
+    assert set(found) == set(texts) and all(shared[i] <= found[i] for i in found)
+    assert paragraphs.BESIDE >= paragraphs.MOST_UNIT + paragraphs.LEAST_UNIT
+
+
 def test_similar_lines_match_brute_force(spark):
     rng = random.Random(52)
     rows, place = [], 0

@@ -3,6 +3,8 @@
 import re
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_operators import SMALL, odd_documents, parts, word_set
 from tideline.llm.store import written
@@ -59,3 +61,9 @@ def test_empty_documents_pass_all_stages(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SMALL), f"none-{name}")
     assert docs.count() == 0
+
+
+def test_documents_without_a_labelled_language_stay(spark):
+    docs = table(spark, SMALL, "documents").withColumn("lang", F.lit(None).cast("string"))
+    left = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs, SMALL).collect()}
+    assert left == {r["doc_id"] for r in docs.collect() if r["text"] and re.search(r"[^\W\d_]", r["text"])}

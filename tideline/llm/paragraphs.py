@@ -43,7 +43,7 @@ MOST_UNIT = 32
 LEAST_LINE = 8
 LEAST_CORE = 12
 LEAST_PASSAGE = 50
-BESIDE = 32
+BESIDE = 40  # more than the longest unit has
 GAP_BYTES = 64
 WIDTH = 5
 BAND_ROWS = 2
