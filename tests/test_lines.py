@@ -1,5 +1,7 @@
 """The line machine: order, timeouts, early cuts, late answers; replay and stream agree."""
 
+import random
+
 from tideline.operators.lines import ACCURATE_ONLY, QUICK_ONLY, LineMachine, inputs_of, replay
 from tideline.plans import machines
 from tideline.plans.conversations import PACE, two_lanes
@@ -76,3 +78,60 @@ def test_replay_does_not_depend_on_partitions_and_stream_agrees(spark):
     rows = sorted(map(tuple, replay(inputs).collect()), key=repr)
     assert rows and rows == sorted(map(tuple, replay(inputs.repartition(5)).collect()), key=repr)
     assert rows == sorted(map(tuple, machines.stream_line_machine(spark, SF).collect()), key=repr)
+
+
+def random_session(rng, session):
+    """Input rows as a recogniser gives them: utterances with hypotheses, cuts and ends, answers and ticks at any time."""
+    rows, now, start, seq = [], 0.0, rng.choice([0.0, 0.0, 2.5]), 0
+
+    def add(kind, words=(), text=None, end=None):
+        nonlocal seq
+        rows.append((session, seq, kind, now, text, end, [(w, float(a), float(b)) for w, a, b in words]))
+        seq += 1
+
+    for _ in range(rng.randint(1, 4)):
+        count, per = rng.choice([0, 1, 3, 9, 50]), rng.choice([0.0, 0.25, 0.5])
+        words = say(" ".join(f"w{rng.randrange(9)}" for _ in range(count)), start, per)
+        for _ in range(rng.randint(0, 2)):
+            now += rng.choice([0.0, 0.5])
+            add("partial", text="p")
+        for at in sorted(rng.sample(range(count + 1), min(count, rng.choice([0, 0, 1, 2])))):
+            now += rng.choice([0.0, 0.5])
+            add("cut", words[:at], end=rng.choice([None, words[at - 1][2] if at else 0.0]))
+        now = max(now, start + count * per) + rng.choice([0.0, 0.2])
+        add("final", words)
+        for _ in range(rng.randint(0, 2)):
+            now += rng.choice([0.0, 1.0, 8.0, 9.0])
+            if rng.random() < 0.6:
+                heard = [w for w in words if rng.random() < 0.9]
+                add("answer", [(w.upper(), a, b) for w, a, b in heard])
+            else:
+                add("tick")
+        start = max(now, start + count * per) + rng.choice([0.0, 1.0])
+    return rows
+
+
+def test_replay_of_random_sessions_is_the_machines(spark):
+    rng = random.Random(17)
+    rows = [row for session in range(300) for row in random_session(rng, session)]
+    schema = "session_id long, seq long, kind string, now double, text string, end double, words array<struct<text:string,start:double,end:double>>"
+    found = {}
+    for r in replay(spark.createDataFrame(rows, schema)).collect():
+        found.setdefault(r["session_id"], []).append(tuple(r)[1:])
+    cuts = 0
+    for session in range(300):
+        machine, out = LineMachine(), []
+        for _, _, kind, now, text, end, words in (r for r in rows if r[0] == session):
+            out += machine.feed(kind, text, words, end, now)
+            cuts += kind == "cut"
+        out += machine.finish()
+        want = [(e["line_id"], e["start"], e["end"], e["text"], e["lane"], e["reason"]) for e in out if e["kind"] == "final"]
+        assert sorted(found.get(session, [])) == want, session
+    assert cuts > 100
+
+
+def test_a_line_that_ends_at_zero_is_covered(spark):
+    rows = [(1, 0, "cut", 0.0, None, 0.0, [("a", 0.0, 0.0)]), (1, 1, "final", 3.0, None, None, [("a", 0.0, 0.0), ("b", 1.0, 2.0)])]
+    schema = "session_id long, seq long, kind string, now double, text string, end double, words array<struct<text:string,start:double,end:double>>"
+    found = {r["line_id"]: r["reason"] for r in replay(spark.createDataFrame(rows, schema)).collect()}
+    assert found == {1: "accurate_truncated", 2: "accurate_timeout"}

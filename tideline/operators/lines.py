@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tideline.functions.text import FILLERS
 from tideline.operators.merge import MergeConfig, decide
 
+CUT_WORDS = 8
 BOTH, QUICK_ONLY, ACCURATE_ONLY = "both", "quick_only", "accurate_only"
 MAX_WORDS = 40
 PROMOTE_AFTER = 8.0
@@ -134,9 +135,10 @@ def released(inputs: DataFrame, lines: DataFrame, promote_after: float = PROMOTE
     """``lines`` with ``out``, the ``seq`` of the input that lets them go, and ``covered``: whether the accurate lane has heard their end by then."""
     by_seq = Window.partitionBy("session_id").orderBy("seq")
     heard = F.when(F.col("kind") == "answer", F.greatest("clock", F.array_max(F.transform("words", lambda w: w["end"]))))
-    events = inputs.select("session_id", "seq", "clock", F.max(heard).over(by_seq).alias("covers"))
+    # before any answer, what is heard is the start of time itself
+    events = inputs.select("session_id", "seq", "clock", F.coalesce(F.max(heard).over(by_seq), F.lit(0.0)).alias("covers"))
     ends = inputs.groupBy("session_id").agg((F.max("seq") + 1).alias("last"))
-    covered = first_reaching(events.select("session_id", "seq", F.col("covers").alias("value")).where("value is not null"), lines.select("session_id", "line_id", F.col("end_s").alias("level")))
+    covered = first_reaching(events.select("session_id", "seq", F.col("covers").alias("value")), lines.select("session_id", "line_id", F.col("end_s").alias("level")))
     due = lines.where("due_from is not null").select("session_id", "line_id", (F.col("due_from") + promote_after).alias("level"))
     late = first_reaching(events.select("session_id", "seq", F.col("clock").alias("value")), due)
     key = ["session_id", "line_id"]
@@ -356,10 +358,11 @@ def feed_frame(machine: LineMachine, frame: pd.DataFrame) -> list[dict]:
     return out
 
 
-def inputs_of(lanes: DataFrame, pace: float) -> DataFrame:
+def inputs_of(lanes: DataFrame, pace: float, cuts: Column | None = None) -> DataFrame:
     """Input rows out of lines with both lanes' texts: partial, final, answer and tick for each.
 
-    ``lanes(session_id, line_id, quick, accurate, timed_out, start_s, end_s)``.
+    ``lanes(session_id, line_id, quick, accurate, timed_out, start_s, end_s)``. Where ``cuts`` is true (every third
+    line, if it isn't told), a line of ``CUT_WORDS`` words or more is cut in its middle while it is spoken.
     """
 
     def timed(text: str):  # noqa: ANN202
@@ -370,16 +373,21 @@ def inputs_of(lanes: DataFrame, pace: float) -> DataFrame:
 
     none = F.array().cast(WORDS)
 
-    def row(kind: str, place: int, now, text, words):  # noqa: ANN001, ANN202
+    def row(kind: str, place: int, now, text, words, end=F.lit(None)):  # noqa: B008  # noqa: ANN001, ANN202
         return F.struct(
-            (F.col("line_id") * 4 + place).alias("seq"), F.lit(kind).alias("kind"), now.alias("now"), text.alias("text"), F.lit(None).cast("double").alias("end"), words.alias("words")
+            (F.col("line_id") * 5 + place).alias("seq"), F.lit(kind).alias("kind"), now.alias("now"), text.alias("text"), end.cast("double").alias("end"), words.alias("words")
         )
 
-    nothing = F.lit(None).cast("string")
+    nothing, spoken = F.lit(None).cast("string"), timed("quick")
+    half = F.floor(F.size(spoken) / 2).cast("int")
+    cut_at = F.col("start_s") + pace * half
+    cuts = F.col("line_id") % 3 == 1 if cuts is None else cuts
+    cut = F.coalesce(cuts & (F.size(spoken) >= CUT_WORDS), F.lit(False))
     rows = F.array(
         row("partial", 0, F.col("start_s"), F.col("quick"), none),
-        row("final", 1, F.col("end_s"), nothing, timed("quick")),
-        F.when(F.col("accurate").isNotNull(), row("answer", 2, F.col("end_s") + 1.0, nothing, timed("accurate"))),
-        F.when(F.col("timed_out"), row("tick", 3, F.col("end_s") + 8.0, nothing, none)),
+        F.when(cut, row("cut", 1, cut_at + 0.1, nothing, F.slice(spoken, F.lit(1), half), cut_at)),
+        row("final", 2, F.col("end_s"), nothing, spoken),
+        F.when(F.col("accurate").isNotNull(), row("answer", 3, F.col("end_s") + 1.0, nothing, timed("accurate"))),
+        F.when(F.col("timed_out"), row("tick", 4, F.col("end_s") + 8.0, nothing, none)),
     )
     return lanes.select("session_id", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("session_id", "r.*")

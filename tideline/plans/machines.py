@@ -30,28 +30,33 @@ _LINES_SQL = f"""
   SELECT session_id, line_id AS turn, quick, accurate, timed_out, start_s, end_s FROM lanes
 ), spoken AS (
   SELECT *, {sq.words("coalesce(quick, '')")} AS q, {sq.words("coalesce(accurate, '')")} AS a FROM base
+), halved AS (
+  SELECT *, CASE WHEN turn % 3 = 1 AND len(q) >= 8 THEN len(q) // 2 END AS h FROM spoken
 ), parts AS (
-  -- numbers: the partial of a turn takes one, and each further piece of 40 words another
-  SELECT *, greatest(1, ceil(len(q) / 40)::INT) AS numbers FROM spoken
+  -- numbers: the partial of a turn takes one, which a cut uses up, and each further piece of 40 words another
+  SELECT *, CASE WHEN h IS NULL THEN greatest(1, ceil(len(q) / 40)::INT) ELSE 1 + ceil((len(q) - h) / 40)::INT END AS numbers FROM halved
 ), numbered AS (
   SELECT *, coalesce(sum(numbers) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM parts
-), closed AS (
-  SELECT session_id, turn, (taken + 1 + k)::BIGINT AS line_id, start_s + {PACE} * (k * 40) AS s, start_s + {PACE} * least(k * 40 + 40, len(q)) AS e,
-    array_to_string(list_slice(q, k * 40 + 1, k * 40 + 40), ' ') AS quick, turn * 4 + 1 AS closed_at
-  FROM numbered, unnest(generate_series(0, ceil(len(q) / 40)::INT - 1)) AS t(k) WHERE len(q) > 0
 ), inputs AS (
-  SELECT session_id, turn * 4 AS seq, start_s AS now, NULL::DOUBLE AS hears FROM spoken
-  UNION ALL SELECT session_id, turn * 4 + 1, end_s, NULL FROM spoken
-  UNION ALL SELECT session_id, turn * 4 + 2, end_s + 1.0, greatest(end_s + 1.0, start_s + {PACE} * len(a)) FROM spoken WHERE accurate IS NOT NULL
-  UNION ALL SELECT session_id, turn * 4 + 3, end_s + 8.0, NULL FROM spoken WHERE timed_out
+  SELECT session_id, turn * 5 AS seq, start_s AS now, NULL::DOUBLE AS hears FROM parts
+  UNION ALL SELECT session_id, turn * 5 + 1, start_s + {PACE} * h + 0.1, NULL FROM parts WHERE h IS NOT NULL
+  UNION ALL SELECT session_id, turn * 5 + 2, end_s, NULL FROM parts
+  UNION ALL SELECT session_id, turn * 5 + 3, end_s + 1.0, greatest(end_s + 1.0, start_s + {PACE} * len(a)) FROM parts WHERE accurate IS NOT NULL
+  UNION ALL SELECT session_id, turn * 5 + 4, end_s + 8.0, NULL FROM parts WHERE timed_out
 ), clocked AS (
   SELECT session_id, seq, max(now) OVER o AS clock, CASE WHEN hears IS NOT NULL THEN greatest(hears, max(now) OVER o) END AS hears FROM inputs
   WINDOW o AS (PARTITION BY session_id ORDER BY seq)
 ), events AS (
-  SELECT session_id, seq, clock, max(hears) OVER (PARTITION BY session_id ORDER BY seq) AS covers FROM clocked
+  SELECT session_id, seq, clock, coalesce(max(hears) OVER (PARTITION BY session_id ORDER BY seq), 0) AS covers FROM clocked
+), closed AS (
+  SELECT session_id, turn, (taken + 1 + k + (h IS NOT NULL)::INT)::BIGINT AS line_id, start_s + {PACE} * (coalesce(h, 0) + k * 40) AS s, start_s + {PACE} * least(coalesce(h, 0) + k * 40 + 40, len(q)) AS e,
+    array_to_string(list_slice(q, coalesce(h, 0) + k * 40 + 1, coalesce(h, 0) + k * 40 + 40), ' ') AS quick, turn * 5 + 2 AS closed_at, NULL::DOUBLE AS due
+  FROM numbered, unnest(generate_series(0, ceil((len(q) - coalesce(h, 0)) / 40)::INT - 1)) AS t(k) WHERE len(q) > 0
+  UNION ALL SELECT n.session_id, turn, (taken + 1)::BIGINT, start_s, start_s + {PACE} * h, array_to_string(list_slice(q, 1, h), ' '), turn * 5 + 1, v.clock
+  FROM numbered n JOIN events v ON v.session_id = n.session_id AND v.seq = turn * 5 + 2 WHERE h IS NOT NULL
 ), ready AS (
   SELECT c.*, (SELECT min(seq) FROM events v WHERE v.session_id = c.session_id AND v.covers >= c.e) AS cover_at,
-    (SELECT min(seq) FROM events v WHERE v.session_id = c.session_id AND v.clock >= c.e + 8.0) AS late_at,
+    (SELECT min(seq) FROM events v WHERE v.session_id = c.session_id AND v.clock >= coalesce(c.due, c.e) + 8.0) AS late_at,
     (SELECT max(seq) + 1 FROM events v WHERE v.session_id = c.session_id) AS last
   FROM closed c
 ), out AS (
@@ -59,7 +64,7 @@ _LINES_SQL = f"""
     coalesce(max(e) OVER (PARTITION BY session_id ORDER BY line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS edge
   FROM ready WINDOW o AS (PARTITION BY session_id ORDER BY line_id)
 ), heard AS (
-  SELECT session_id, turn * 4 + 2 AS seq, i, a[i] AS word, start_s + {PACE} * (i - 1) AS ws, start_s + {PACE} * i AS we
+  SELECT session_id, turn * 5 + 3 AS seq, i, a[i] AS word, start_s + {PACE} * (i - 1) AS ws, start_s + {PACE} * i AS we
   FROM spoken, unnest(generate_series(1, len(a))) AS t(i) WHERE accurate IS NOT NULL
 ), shares AS (
   SELECT o.session_id, o.line_id, string_agg(h.word, ' ' ORDER BY h.seq, h.i) AS accurate
