@@ -135,3 +135,43 @@ def test_a_quiet_session_wakes_without_rows_of_its_own(spark):
     with stateful.in_rocksdb(spark):
         found, _ = run(spark, stateful.quiescent_stream(in_files(spark, rows, schema, 5), 60.0, "1 second"))
     assert found == [(1, 10.0, 0, "a"), (2, 12.0, 1, "y")]  # of z nothing is known yet
+
+
+def plain_utterances(rows, min_silence, pause, longest):
+    """As the rules say it, with the whole history at hand."""
+    found, start, speaking = [], None, False
+    for k, (at, p) in enumerate(rows):
+        loud = [a for a, q in rows[: k + 1] if q >= 0.35]
+        silence = at - (loud[-1] if loud else rows[0][0])
+        before = speaking
+        if p >= 0.5:
+            speaking = True
+        elif silence >= min_silence:
+            speaking = False
+        if speaking and not before and start is None:
+            start = at - silence
+        if before and not speaking and silence >= pause:
+            found, start = found + [(start, at, False)], None
+        elif start is not None and at - start >= longest:
+            found, start = found + [(start, at, True)], at
+    return [x for x in found if x[0] is not None]
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_utterances_carry_their_rest_over_batches(spark, files):
+    rng = random.Random(files)
+    rows, want = [], []
+    for session in range(5):
+        at, line = 0.0, []
+        for seq in range(150):
+            at += rng.choice([0.25, 0.5, 1.0])
+            line.append((at, rng.choice([0.1, 0.4, 0.9, 0.9]) if rng.random() < 0.8 else 0.1))
+            rows.append((session, at, seq, line[-1][1]))
+        want += [(session, *x) for x in plain_utterances(line, 1.0, 1.5, 8.0)]
+    schema = "session_id long, at double, seq long, p double"
+    found = sorted(map(tuple, stateful.utterances(spark.createDataFrame(rows, schema), 1.0, 1.5, 8.0).collect()))
+    assert found == sorted(want) and {x[3] for x in found} == {True, False}
+    rows = [*sorted(rows, key=lambda r: r[1] + 4 * rng.random()), (-1, 1e5, 0, 0.0)]
+    with stateful.in_rocksdb(spark):
+        streamed, _ = run(spark, stateful.utterance_stream(in_files(spark, rows, schema, files), 1.0, 1.5, 8.0, "30 seconds"))
+    assert sorted(streamed) == sorted(want)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.text import FILLERS
 from tideline.operators.merge import MergeConfig, decide
+from tideline.session import written
 
 CUT_WORDS = 8
 BOTH, QUICK_ONLY, ACCURATE_ONLY = "both", "quick_only", "accurate_only"
@@ -152,10 +153,11 @@ def released(inputs: DataFrame, lines: DataFrame, promote_after: float = PROMOTE
 def replay(inputs: DataFrame, mode: str = BOTH, max_words: int = MAX_WORDS, promote_after: float = PROMOTE_AFTER) -> DataFrame:
     """Final lines of whole sessions of input rows (see ``INPUT``); the session's end lets all lines go."""
     clock = F.max("now").over(Window.partitionBy("session_id").orderBy("seq"))
-    inputs = inputs.withColumn("clock", F.greatest(clock, F.lit(0.0)))
+    # written once: each of the branches below would work the inputs out again
+    inputs = written(inputs.withColumn("clock", F.greatest(clock, F.lit(0.0))), "line-inputs")
     if mode == ACCURATE_ONLY:
         return accurate_lines(inputs, max_words).select(*COLUMNS)
-    lines = quick_lines(inputs, max_words)
+    lines = written(quick_lines(inputs, max_words), "quick-lines")
     if mode == QUICK_ONLY:
         return lines.select("session_id", "line_id", "start_s", "end_s", F.col("quick").alias("source"), F.lit("fast").alias("lane"), F.lit("accurate_disabled").alias("reason"))
     out = released(inputs, lines, promote_after)

@@ -94,3 +94,37 @@ def stream_quiescent_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     quiet = stateful.quiescent_stream(as_stream(rows.unionByName(clock), "types"), 2 * HOUR, "1 hour")
     with stateful.in_rocksdb(spark):
         return run(quiet.where("seq >= 0").select("session_id", "seq", F.col("value").alias("event_type")), "quiet")
+
+
+MIN_SILENCE, PAUSE, LONGEST = HOUR, 1.5 * HOUR, 12 * HOUR
+
+
+@listed(
+    "forced_utterances",
+    f"""WITH RECURSIVE {_SERIES}, k AS (
+      SELECT session_id, 0::BIGINT AS rn, NULL::DOUBLE AS loud, NULL::DOUBLE AS since, false AS speaking, NULL::DOUBLE AS began, NULL::DOUBLE AS a, NULL::DOUBLE AS b, NULL::BOOLEAN AS forced FROM o GROUP BY session_id
+      UNION ALL SELECT session_id, rn, loud, since, speaking, CASE WHEN ended THEN NULL WHEN cut THEN t ELSE began END, CASE WHEN ended OR cut THEN began END, CASE WHEN (ended AND began IS NOT NULL) OR cut THEN t END, cut
+      FROM (SELECT *, NOT ended AND coalesce(t - began >= {LONGEST}, false) AS cut FROM (SELECT *, was AND NOT speaking AND silence >= {PAUSE} AS ended, CASE WHEN speaking AND NOT was AND start IS NULL THEN t - silence ELSE start END AS began
+        FROM (SELECT *, p >= 0.5 OR (was AND silence < {MIN_SILENCE}) AS speaking
+          FROM (SELECT *, t - coalesce(loud, since) AS silence
+            FROM (SELECT o.session_id, o.rn, o.at AS t, o.p, k.speaking AS was, k.began AS start, CASE WHEN o.p >= 0.35 THEN o.at ELSE k.loud END AS loud, coalesce(k.since, o.at) AS since
+              FROM k JOIN o ON o.session_id = k.session_id AND o.rn = k.rn + 1)))))
+    ) SELECT session_id, a AS start_s, b AS end_s, forced FROM k WHERE b IS NOT NULL""",
+)
+def forced_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Utterances of one lane alone: most end with a pause, the others by time."""
+    return _named(stateful.utterances(series(spark, sf_dir), MIN_SILENCE, PAUSE, LONGEST))
+
+
+def _named(found: DataFrame) -> DataFrame:
+    return found.select("session_id", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "forced")
+
+
+@listed("stream_forced_utterances", oracle_of("forced_utterances").replace('"at"', "at"))
+def stream_forced_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a stream of eight files; a clock row at the end moves the watermark."""
+    rows = series(spark, sf_dir).select("session_id", "at", "seq", "p")
+    clock = rows.agg((F.max("at") + 10 * HOUR).alias("at")).select(F.lit(-1).cast("long").alias("session_id"), "at", F.lit(-1).cast("long").alias("seq"), F.lit(0.0).alias("p"))
+    found = stateful.utterance_stream(as_stream(rows.unionByName(clock), "speech", 8), MIN_SILENCE, PAUSE, LONGEST, "1 hour")
+    with stateful.in_rocksdb(spark):
+        return run(_named(found.where("session_id >= 0")), "utterances")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -47,6 +49,8 @@ def shared_folder(spark: SparkSession) -> str:
         return told.rstrip("/")
     app = spark.sparkContext.applicationId
     if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        if spark.conf.get("spark.sql.warehouse.dir").startswith(("file:", "/")):
+            raise ValueError("the warehouse is a folder of one machine: set spark.checkpoint.dir to one that all machines share")
         return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tideline-{app}"
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="tideline-shared-")
@@ -54,6 +58,24 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a Parquet table of the shared folder, read back: worked out once for all that read it, and safe from lost executors.
+
+    It is removed when Python ends.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/tideline-{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the application may have ended already
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once an application."""
     app = spark.sparkContext.applicationId

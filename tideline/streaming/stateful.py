@@ -3,6 +3,7 @@
 * ``held_cuts`` and ``held_cuts_stream``: frames that spans ask for, of what is still retained.
 * ``scores`` and ``scored_stream``: a recurrent scorer over fixed windows of a session's samples.
 * ``quiescent_stream``: changes that nothing followed for a while, by timers.
+* ``utterances`` and ``utterance_stream``: speech cut by pauses, and by time where there is none.
 
 State is bounded: frames leave it with the watermark, a scorer has one hidden vector, less than one
 window of samples and what came too early, and goes with its time to live; a quiescent key has its last
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tideline.operators.gate import OPEN_AT, SILENT_BELOW
 from tideline.session import ship_package
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -308,3 +310,118 @@ def quiescent_stream(rows: DataFrame, quiet: float, delay: str = "1 hour") -> Da
     return timed.groupBy("session_id").transformWithStateInPandas(
         QuiescenceProcessor(quiet), f"session_id {kind}, at double, seq long, value string", "Append", "EventTime"
     )
+
+
+# utterances of one lane alone
+
+
+class Utterances:
+    """Utterances by the gate, where no other lane tells their ends.
+
+    One starts where speech does. It ends when speech has ended and the silence is ``pause``; one
+    that has lasted ``longest`` by then is cut there, and its rest goes on as the next one.
+    """
+
+    def __init__(self, min_silence: float, pause: float, longest: float, state: tuple = (None, False, None, None)) -> None:
+        self.min_silence, self.pause, self.longest = min_silence, pause, longest
+        self.loud_at, self.speaking, self.first, self.start = state
+
+    @property
+    def state(self) -> tuple:
+        return self.loud_at, self.speaking, self.first, self.start
+
+    def push(self, at: float, p: float) -> tuple[float, float, bool] | None:
+        """``start, end, forced`` of the utterance that ends with this row."""
+        self.first = at if self.first is None else self.first
+        if p >= SILENT_BELOW:
+            self.loud_at = at
+        silence = at - (self.first if self.loud_at is None else self.loud_at)
+        before, self.speaking = self.speaking, p >= OPEN_AT or (self.speaking and silence < self.min_silence)
+        if self.speaking and not before and self.start is None:
+            self.start = at - silence
+        if before and not self.speaking and silence >= self.pause:
+            start, self.start = self.start, None
+            return None if start is None else (start, at, False)
+        if self.start is not None and at - self.start >= self.longest:
+            start, self.start = self.start, at
+            return start, at, True
+        return None
+
+
+UTTERANCES = "session_id long, start double, end double, forced boolean"
+_UTTERANCE_COLUMNS = ["session_id", "start", "end", "forced"]
+
+
+def utterances(series: DataFrame, min_silence: float, pause: float, longest: float) -> DataFrame:
+    """``session_id, start, end, forced`` of ``series(session_id, at, seq, p)``: the batch form.
+
+    Sorted rows of a session pass one by one; what is held of it are four numbers.
+    """
+    ship_package(series.sparkSession)
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = series.select("session_id", "at", "seq", "p").where("session_id is not null").repartition(parts, "session_id").sortWithinPartitions("session_id", "at", "seq")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, marker = None, None
+        for batch in batches:
+            found = []
+            for key, at, p in zip(batch["session_id"], batch["at"], batch["p"], strict=True):
+                if key != session:
+                    session, marker = key, Utterances(min_silence, pause, longest)
+                if ended := marker.push(float(at), float(p)):
+                    found.append((int(key), *ended))
+            yield pd.DataFrame(found, columns=_UTTERANCE_COLUMNS)
+
+    return ordered.mapInPandas(run, UTTERANCES)
+
+
+class UtteranceProcessor(StatefulProcessor):
+    """Carries an open utterance from batch to batch; rows wait until none can come before them any more."""
+
+    def __init__(self, min_silence: float, pause: float, longest: float) -> None:
+        self.limits = (min_silence, pause, longest)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at double, seq long, p double")
+        self.open = handle.getValueState("open", "loud_at double, speaking boolean, first double, start double, timer long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        fresh = [(float(at), int(seq), float(p)) for frame in rows for at, seq, p in zip(frame["at"], frame["seq"], frame["p"], strict=True)]
+        yield self._on(key, fresh, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield self._on(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def _on(self, key: tuple, fresh: list[tuple], watermark: int) -> pd.DataFrame:
+        waiting = sorted([*(tuple(x) for x in (self.waiting.get() if self.waiting.exists() else [])), *fresh])
+        *state, timer = self.open.get() if self.open.exists() else (None, False, None, None, 0)
+        marker, found, passed = Utterances(*self.limits, tuple(state)), [], 0
+        for at, _, p in waiting:
+            if at * 1000 >= watermark:
+                break
+            passed += 1
+            if ended := marker.push(at, p):
+                found.append((key[0], *ended))
+        left = waiting[passed:]
+        wake = max(int(left[0][0] * 1000) + 1, watermark + 1) if left else 0
+        if timer and timer != wake and timer > watermark:
+            self.handle.deleteTimer(timer)
+        if wake and (wake != timer or timer <= watermark):
+            self.handle.registerTimer(wake)
+        if left:
+            self.waiting.put(left)
+        else:
+            self.waiting.clear()
+        self.open.update((*marker.state, wake))
+        return pd.DataFrame(found, columns=_UTTERANCE_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def utterance_stream(series: DataFrame, min_silence: float, pause: float, longest: float, delay: str = "1 hour") -> DataFrame:
+    """``utterances`` of a stream; rows more than ``delay`` behind are dropped."""
+    ship_package(series.sparkSession)
+    timed = series.select("session_id", "at", "seq", "p").where("session_id is not null").withColumn("event_time", F.timestamp_seconds("at")).withWatermark("event_time", delay)
+    return timed.groupBy("session_id").transformWithStateInPandas(UtteranceProcessor(min_silence, pause, longest), UTTERANCES, "Append", "EventTime")
