@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.sources import committed, readers, sinks, wave_stream
+from tideline.streaming import jobs
 
 
 def wav(path, samples, rate=16_000, bits=16, channels=1, is_float=False, extensible=False):
@@ -123,7 +124,7 @@ def test_a_repeated_job_adds_nothing(spark, tmp_path):
     found = committed.read(spark, path)
     assert found.count() == 110 and found.select("id").distinct().count() == 100 and dict(found.dtypes) == {"id": "bigint", "text": "string"}
     named = {name for told in committed.Log(path).commits() for name in told["files"]}
-    assert {f"data/{p.name}" for p in (tmp_path / "log" / "data").iterdir()} == named
+    assert {str(p.relative_to(tmp_path / "log")) for p in (tmp_path / "log" / "data").rglob("*.parquet")} == named
     with pytest.raises(Exception, match="appended"):
         rows.write.format("tideline_log").option("path", path).option("job", "x").mode("overwrite").save()
 
@@ -151,7 +152,7 @@ def test_a_killed_job_is_never_read(spark, tmp_path):
     writer = committed.LogWriter(path, "third", spark.range(1).schema)
     message = writer.write(iter(batch))
     writer.abort([message, None])
-    assert len(list((tmp_path / "log" / "data").iterdir())) == len(log.commits()[0]["files"])
+    assert len(list((tmp_path / "log" / "data").rglob("*.parquet"))) == len(log.commits()[0]["files"])
     assert json.loads((tmp_path / "log" / "commits" / "first.json").read_text())["rows"] == 5
     with pytest.raises(Exception, match="no commit"):
         committed.read(spark, str(tmp_path / "none")).count()
@@ -166,3 +167,85 @@ def test_transcript_rows_are_logged_once(spark, tmp_path):
         sinks.append_patches(patches, path, "patches")
     folded = {r["line_id"]: (r["source"], r["translation"]) for r in sinks.logged_lines(spark, path).collect()}
     assert folded == {1: ("first", None), 2: ("second", "zwei")} and committed.read(spark, path).count() == 3
+
+
+# jobs and readers
+
+
+def slow(spark, seconds, rows=40):
+    """Rows that take their time, over eight tasks."""
+
+    def wait(batches):
+        for batch in batches:
+            time.sleep(seconds)
+            yield batch
+
+    return spark.range(rows).repartition(8).mapInPandas(wait, "id long")
+
+
+def test_a_cancelled_job_leaves_no_file(spark, tmp_path):
+    path = str(tmp_path / "log")
+    committed.append(spark.range(3), path, "before")
+    job = jobs.Job(spark, lambda: committed.append(slow(spark, 20), path, "slow")).start()
+    deadline = time.time() + 30
+    while job.progress()[1] == 0 and time.time() < deadline:
+        time.sleep(0.2)
+    done, total = job.progress()
+    assert 0 <= done < total and not job.done()
+    start = time.time()
+    job.cancel()
+    with pytest.raises(jobs.Cancelled):
+        job.result(15)
+    assert time.time() - start < 15 and committed.read(spark, path).count() == 3 and not committed.Log(path).published("slow")
+    assert len(list((tmp_path / "log" / "data").rglob("*.parquet"))) == len(committed.Log(path).commits()[0]["files"])
+    other = jobs.Job(spark, lambda: committed.append(slow(spark, 0.01), path, "slow")).start()
+    other.result(60)
+    assert committed.read(spark, path).count() == 43 and other.progress()[0] == other.progress()[1] > 0
+    with pytest.raises(ZeroDivisionError):
+        jobs.Job(spark, lambda: 1 // 0).start().result(10)
+
+
+def test_a_slow_reader_learns_what_it_missed(spark, tmp_path):
+    log = jobs.EventLog(spark, str(tmp_path / "events"), keep=25)
+    got = {"quick": [], "slow": []}
+    missed = {"quick": 0, "slow": 0}
+
+    def poll(reader, acknowledge=True):
+        found = log.poll(reader)
+        missed[reader] += found.skipped
+        got[reader] += sorted(r["id"] for r in found.rows.collect()) if found.rows is not None else []
+        if acknowledge:
+            log.done(reader, found)
+
+    for batch in range(12):
+        log.publish(spark.range(batch * 10, batch * 10 + 10), f"b{batch:06d}")
+        poll("quick")
+        if batch in (1, 9):
+            poll("slow")
+    poll("slow")
+    assert got["quick"] == list(range(120)) and missed["quick"] == 0
+    # twenty rows, then those of the last thirty when ten batches were there, then the last two batches
+    assert got["slow"] == [*range(20), *range(70, 100), *range(100, 120)] and missed["slow"] == 50
+    assert len(got["slow"]) + missed["slow"] == 120
+    poll("slow")
+    assert missed["slow"] == 50 and len(got["slow"]) == 70
+    log.publish(spark.range(5), "b000100")
+    again = [log.poll("slow") for _ in range(2)]  # not acknowledged: the same again
+    assert [d.rows.count() for d in again] == [5, 5] and again[0].upto == 125
+    log.publish(spark.range(5), "b000100")  # a repeated job
+    assert log.poll("slow").rows.count() == 5 and log.kept()[0] + sum(x["rows"] for x in log.kept()[1]) == 125
+
+
+def test_rows_of_streams_are_counted(spark, tmp_path):
+    rows = jobs.Rows()
+    spark.streams.addListener(rows)
+    try:
+        spark.range(30).write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        committed.append_stream(stream, str(tmp_path / "log"), "s", str(tmp_path / "state")).awaitTermination()
+        deadline = time.time() + 10
+        while not rows.ended and time.time() < deadline:
+            time.sleep(0.1)
+        assert sum(rows.read.values()) == 30 and list(rows.ended.values()) == [None]
+    finally:
+        spark.streams.removeListener(rows)

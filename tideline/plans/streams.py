@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideline.functions import recognition
 from tideline.plans.registry import oracle_of
 from tideline.plans.series import _SERIES, HOUR, listed, series
 from tideline.session import shared_folder
@@ -96,6 +97,22 @@ def stream_quiescent_types(spark: SparkSession, sf_dir: str) -> DataFrame:
         return run(quiet.where("seq >= 0").select("session_id", "seq", F.col("value").alias("event_type")), "quiet")
 
 
+@listed(
+    "recognised_frames",
+    f"""WITH {_SERIES}, n AS (SELECT session_id, floor(value) AS v, at, seq, row_number() OVER (PARTITION BY session_id ORDER BY at, seq) - 1 AS n FROM s),
+    f AS (SELECT session_id, n // 5 AS piece_no, max(v) >= 280 AS bad, string_agg(v::BIGINT::VARCHAR, ' ' ORDER BY n) FILTER (WHERE v >= 90) AS text,
+      min(n) FILTER (WHERE v >= 90) AS a, max(n) FILTER (WHERE v >= 90) AS b FROM n GROUP BY ALL)
+    SELECT session_id, piece_no::BIGINT AS piece_no, CASE WHEN NOT bad THEN text END AS text, CASE WHEN NOT bad THEN a::DOUBLE END AS start_s, CASE WHEN NOT bad THEN b + 1.0::DOUBLE END AS end_s,
+      CASE WHEN bad THEN 'ValueError: overdriven' END AS error FROM f WHERE bad OR text IS NOT NULL""",
+)
+def recognised_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's values as samples, heard by the stand-in engine; a frame that it fails on costs its own row only."""
+    frames = sample_frames(spark, sf_dir)
+    pieces = frames.select("session_id", F.floor(F.col("offset") / FRAME).alias("piece_no"), F.col("offset").cast("double").alias("start_s"), F.col("samples").cast("array<float>").alias("pcm"))
+    heard = recognition.recognised(pieces, lambda: recognition.LevelEngine(90.0, 280.0, 1.0), "levels-90-280", rate=1)
+    return heard.select("session_id", "piece_no", "text", "start_s", "end_s", "error")
+
+
 MIN_SILENCE, PAUSE, LONGEST = HOUR, 1.5 * HOUR, 12 * HOUR
 
 

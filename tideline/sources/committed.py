@@ -78,13 +78,13 @@ class Log:
         safe = re.sub("[^A-Za-z0-9._-]", "-", job)
         return f"{self.folder}/commits/{safe if safe == job else f'{safe}-{uuid.uuid5(uuid.NAMESPACE_URL, job).hex[:8]}'}.json"
 
-    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        """The rows of a task, in a file of its own."""
+    def write(self, batches: Iterator[pa.RecordBatch], run: str = "alone") -> Written:
+        """The rows of a task, in a file of its own in the folder of the run."""
         writer, rows = None, 0
-        name = f"data/{uuid.uuid4().hex}.parquet"
+        name = f"data/{run}/{uuid.uuid4().hex}.parquet"
         for batch in batches:
             if writer is None:
-                self.files.create_dir(f"{self.folder}/data", recursive=True)
+                self.files.create_dir(f"{self.folder}/data/{run}", recursive=True)
                 writer = pq.ParquetWriter(f"{self.folder}/{name}", batch.schema, filesystem=self.files)
             writer.write_batch(batch)
             rows += batch.num_rows
@@ -114,20 +114,26 @@ class Log:
                     self.files.delete_file(f"{self.folder}/{m.file}")
 
 
+    def remove_run(self, run: str) -> None:
+        """Take back all that a run has written, what its killed tasks left half done too."""
+        with contextlib.suppress(FileNotFoundError):
+            self.files.delete_dir(f"{self.folder}/data/{run}")
+
+
 class LogWriter(DataSourceArrowWriter):
     """A batch job's writer."""
 
     def __init__(self, path: str, job: str, schema: StructType) -> None:
-        self.path, self.job, self.schema = path, job, schema
+        self.path, self.job, self.schema, self.run = path, job, schema, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        return Log(self.path).write(iterator)
+        return Log(self.path).write(iterator, self.run)
 
     def commit(self, messages: list[Written | None]) -> None:
         Log(self.path).publish(self.job, self.schema, messages)
 
     def abort(self, messages: list[Written | None]) -> None:
-        Log(self.path).remove(messages)
+        Log(self.path).remove_run(self.run)
 
 
 class LogStreamWriter(DataSourceStreamArrowWriter):
@@ -210,8 +216,8 @@ def vacuum(path: str, older_than_s: float = 24 * 3600.0) -> int:
     """Remove files that no commit names and that are older than any job may run; returns how many."""
     log = Log(path)
     named = {name for told in log.commits() for name in told["files"]}
-    found = log.files.get_file_info(fs.FileSelector(f"{log.folder}/data", allow_not_found=True))
-    left = [x for x in found if f"data/{x.base_name}" not in named and (x.mtime_ns or 0) / 1e9 <= time.time() - older_than_s]
+    found = log.files.get_file_info(fs.FileSelector(f"{log.folder}/data", allow_not_found=True, recursive=True))
+    left = [x for x in found if x.is_file and x.path.removeprefix(f"{log.folder}/") not in named and (x.mtime_ns or 0) / 1e9 <= time.time() - older_than_s]
     for x in left:
         log.files.delete_file(x.path)
     return len(left)
