@@ -114,3 +114,8 @@ def test_spans(one):
 def test_nulls(one):
     assert one(None, tx.normalize) is None
     assert one(None, lambda x: F.size(tx.content_words(F.coalesce(x, F.lit(""))))) == 0
+
+
+def test_parts_are_trimmed_and_joined(spark):
+    rows = spark.createDataFrame([(["a", " b ", "  ", "", " c"],), ([],)], "x array<string>")
+    assert [r[0] for r in rows.select(tx.join_words(F.col("x"))).collect()] == ["a b c", ""]

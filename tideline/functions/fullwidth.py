@@ -31,7 +31,7 @@ def to_terms(text: Column, terms: dict[str, str]) -> Column:
 
 def finish(parts: Column, terms: dict[str, str] = SAMPLE_TERMS) -> Column:
     """Parts joined, by a space unless the text so far ends on a mark; terms and marks put right."""
-    shown = F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    shown = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
     marks = F.lit("[,.:;!?，。：；！？]$")
     joined = F.aggregate(
         shown, F.lit(""), lambda acc, p: F.when((acc == "") | F.rlike(acc, marks), F.concat(acc, p)).otherwise(F.concat(acc, F.lit(" "), p))

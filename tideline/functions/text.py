@@ -56,7 +56,7 @@ def content_words(text: Column) -> Column:
 
 def join_words(parts: Column) -> Column:
     """Trimmed parts with single spaces between them; blank ones don't count."""
-    return F.array_join(F.filter(F.transform(parts, F.trim), lambda w: w != ""), " ")
+    return F.array_join(F.filter(F.transform(parts, lambda w: F.trim(w)), lambda w: w != ""), " ")
 
 
 def has_repeated_run(parts: Column, n: int) -> Column:

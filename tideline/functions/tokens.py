@@ -59,7 +59,9 @@ def scatter_gather(rows: DataFrame, keys: list[str], pieces: str, wanted, model)
     ``model`` takes and gives rows with the columns ``piece`` and ``answer``; other pieces never reach it.
     """
     each = rows.select(*keys, F.posexplode_outer(pieces).alias("place", "piece"))
-    asked = model(each.where(wanted(F.col("piece")))).select(*keys, "place", F.col("answer").alias("piece"))
-    whole = asked.unionByName(each.where(~F.coalesce(wanted(F.col("piece")), F.lit(False))))
+    # a row without pieces has one made-up null, which the model never gets
+    chosen = F.coalesce(wanted(F.col("piece")), F.lit(False)) & F.col("place").isNotNull()
+    asked = model(each.where(chosen)).select(*keys, "place", F.col("answer").alias("piece"))
+    whole = asked.unionByName(each.where(~chosen))
     ordered = F.sort_array(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "piece"))))
     return whole.groupBy(*keys).agg(F.transform(ordered, lambda x: x["piece"]).alias(pieces))

@@ -89,17 +89,6 @@ def windowed(samples: DataFrame, size: int = 512) -> DataFrame:
     )
 
 
-def ema(values: Column, keep: float, floor: float) -> Column:
-    """Exponential average of an array: starts at the first value, holds below ``floor``."""
-    start = F.struct(F.lit(None).cast("double").alias("level"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        level = F.when(x < floor, acc["level"]).when(acc["level"].isNull(), x).otherwise(acc["level"] * keep + x * (1 - keep))
-        return F.struct(level.alias("level"), F.concat(acc["out"], F.array(level)).alias("out"))
-
-    return F.aggregate(values, start, step, lambda acc: acc["out"])
-
-
 def gain(level: Column, target: float = 0.067, most: float = 20.0) -> Column:
     """What a level is multiplied by: amplify only, within bounds."""
     return F.when(level.isNull() | (level <= 0), F.lit(1.0)).otherwise(F.least(F.greatest(target / level, F.lit(1.0)), F.lit(most)))

@@ -6,9 +6,12 @@ worked through by an Arrow batch function each.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from tideline.operators.gate import OPEN_AT, SILENT_BELOW
 from tideline.session import ship_package
@@ -82,40 +85,45 @@ def capped_pieces(series: DataFrame, pause: float, longest: float, look_back: fl
 
 
 def fold_levels(series: DataFrame, keep: float, floor: float) -> DataFrame:
-    """``session_id, seq, level``: exponential average that holds on values below ``floor``."""
+    """``session_id, seq, level``: exponential average that holds on values below ``floor``.
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["at", "seq"])
-        level, out = None, []
-        for x in frame["value"]:
-            if x >= floor:
-                level = x if level is None else level * keep + x * (1 - keep)
-            out.append(level)
-        return pd.DataFrame({"session_id": frame["session_id"], "seq": frame["seq"], "level": pd.Series(out, dtype="float64", index=frame.index)})
+    A session's rows pass in order; what is held of it is its level.
+    """
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = series.select("session_id", "at", "seq", "value").repartition(parts, "session_id").sortWithinPartitions("session_id", "at", "seq")
 
-    return series.select("session_id", "at", "seq", "value").groupBy("session_id").applyInPandas(fold, "session_id long, seq long, level double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, level = None, None
+        for batch in batches:
+            levels = []
+            for key, value in zip(batch["session_id"], batch["value"], strict=True):
+                if key != session:
+                    session, level = key, None
+                if value >= floor:
+                    level = value if level is None else level * keep + value * (1 - keep)
+                levels.append(level)
+            yield pd.DataFrame({"session_id": batch["session_id"], "seq": batch["seq"], "level": pd.Series(levels, dtype="float64", index=batch.index)})
+
+    return ordered.mapInPandas(run, "session_id long, seq long, level double")
 
 
 def place_row(shown: list[int], line_id: int, keep: int) -> list[int]:
-    """The lines on display after one more arrives: known ones stay, older ones are refused."""
-    if line_id in shown:
-        return shown
-    if shown and line_id < shown[-1]:
-        return shown
-    return [*shown, line_id][-keep:]
+    """The lines on display after one more arrives: only what is newer than all of them enters."""
+    newer = all(line_id > other for other in shown)
+    return (shown + [line_id] * newer)[-max(keep, 1) :]
 
 
 def keep_newest(rows: DataFrame, keep: int) -> DataFrame:
-    """``session_id, shown``: the lines that each session shows in the end."""
-    ship_package(rows.sparkSession)
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        shown: list[int] = []
-        for line in frame.sort_values("seq")["line_id"]:
-            shown = place_row(shown, int(line), keep)
-        return pd.DataFrame({"session_id": [frame["session_id"].iloc[0]], "shown": [shown]})
+    """``session_id, shown``: the lines that each session shows in the end, one at least.
 
-    return rows.groupBy("session_id").applyInPandas(fold, "session_id long, shown array<long>")
+    A line enters if it is newer than all before it; of those that entered, the last ``keep`` stay.
+    """
+    order = Window.partitionBy("session_id").orderBy("seq")
+    newest = F.max("line_id").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    entered = rows.select("session_id", "seq", "line_id", newest.alias("newest")).where("newest is null or line_id > newest")
+    from_end = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("seq")))
+    last = entered.withColumn("from_end", from_end).where(F.col("from_end") <= max(keep, 1))
+    return last.groupBy("session_id").agg(F.sort_array(F.collect_list("line_id")).alias("shown"))
 
 
 def admit(offers: DataFrame, capacity: int) -> DataFrame:

@@ -27,22 +27,29 @@ def wire_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "status_sentences",
-    """SELECT state, CASE state WHEN 'model_loading' THEN 'loading ' || detail || '…' WHEN 'running' THEN 'listening' WHEN 'reconnecting' THEN 'reconnecting to ' || detail || '…'
-    WHEN 'error' THEN 'error: ' || detail ELSE state END AS sentence FROM (SELECT unnest(['model_loading', 'running', 'paused', 'reconnecting', 'error', 'stopped']) AS state, 'x' AS detail)""",
+    """SELECT seq, CASE state WHEN 'model_loading' THEN 'loading ' || detail || '…' WHEN 'running' THEN 'listening' WHEN 'reconnecting' THEN 'reconnecting to ' || detail || '…'
+    WHEN 'error' THEN 'error: ' || detail ELSE state END AS sentence
+    FROM (SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'model_loading' WHEN 'view' THEN 'running' WHEN 'click' THEN 'reconnecting' WHEN 'purchase' THEN 'paused' ELSE event_type END AS state, props AS detail FROM events)""",
 )
 def status_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = F.array(*(F.lit(s) for s in ("model_loading", "running", "paused", "reconnecting", "error", "stopped")))
-    return spark.range(1).select(F.explode(states).alias("state")).select("state", wire.describe_status(F.col("state"), F.lit("x")).alias("sentence"))
+    """Events as states of an engine, with their properties as details."""
+    kind = F.col("event_type")
+    state = F.when(kind == "signup", "model_loading").when(kind == "view", "running").when(kind == "click", "reconnecting").when(kind == "purchase", "paused").otherwise(kind)
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), wire.describe_status(state, F.col("props")).alias("sentence"))
 
 
 @register(
     "selectors",
-    """SELECT name, CASE WHEN name IN ('system', 'loopback') THEN 'system' WHEN name IN ('mic', 'microphone') THEN 'mic' ELSE 'device' END AS kind
-    FROM (SELECT unnest(['system', 'loopback', 'mic', 'microphone', 'hw:1']) AS name)""",
+    """SELECT doc_id, CASE WHEN name IN ('system', 'loopback') THEN 'system' WHEN name IN ('mic', 'microphone') THEN 'mic' ELSE 'device' END AS kind,
+    CASE WHEN name NOT IN ('system', 'loopback', 'mic', 'microphone') THEN name END AS device_id
+    FROM (SELECT doc_id, CASE lang WHEN 'de' THEN 'system' WHEN 'en' THEN 'loopback' WHEN 'es' THEN 'mic' ELSE coalesce(source, 'microphone') END AS name FROM documents)""",
 )
 def selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*(F.lit(s) for s in ("system", "loopback", "mic", "microphone", "hw:1")))
-    return spark.range(1).select(F.explode(names).alias("name")).select("name", wire.selector(F.col("name"))["kind"].alias("kind"))
+    """Where each document would be heard: its language stands for a source's name, its source for a device's."""
+    lang = F.col("lang")
+    name = F.when(lang == "de", "system").when(lang == "en", "loopback").when(lang == "es", "mic").otherwise(F.coalesce("source", F.lit("microphone")))
+    found = table(spark, sf_dir, "documents").select("doc_id", wire.selector(name).alias("s"))
+    return found.select("doc_id", F.col("s.kind").alias("kind"), F.col("s.device_id").alias("device_id"))
 
 
 @register(

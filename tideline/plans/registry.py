@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from tideline.plans import conversations, display, machines, more, pieces, series, streams, texts  # noqa: F401  they register their queries
+    from tideline.plans import conversations, display, machines, more, pieces, reports, series, streams, texts  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 

@@ -134,13 +134,11 @@ def interjection_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.unionByName(spoken).select("piece", interjections.render(F.col("piece")).alias("rendered"))
 
 
-_MARKED = ("你好, 世界.", "3.5 GHz 很快!", "他 說 : 好 ...", "a,b", "等等,", "Hello, 世界 ?")
-
-
 @register("full_width")
 def full_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = spark.range(1).select(F.explode(F.array(*(F.lit(x) for x in _MARKED))).alias("text"))
-    return cases.select("text", fullwidth.punctuate(F.col("text")).alias("wide"), fullwidth.close_up(F.col("text")).alias("closed"))
+    """Turns with Han characters for vowels, so that marks stand between both scripts."""
+    text = F.translate("text", "aeiou", "你好世界他")
+    return turns(spark, sf_dir).select("session_id", "line_id", fullwidth.punctuate(text).alias("wide"), fullwidth.close_up(text).alias("closed"))
 
 
 def lanes_to_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,9 +293,11 @@ def subword_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "missing_models",
-    """SELECT path, size FROM (VALUES ('a.onnx', 10), ('b.onnx', 20), ('c.onnx', 30)) AS w(path, size) WHERE (path, size) NOT IN (SELECT * FROM (VALUES ('a.onnx', 10), ('b.onnx', 19)))""",
+    """WITH w AS (SELECT source || '/' || doc_id AS path, n_chars AS size, doc_id FROM documents), p AS (SELECT path, size + (doc_id % 5 = 0)::INT AS size FROM w WHERE doc_id % 7 <> 0)
+    SELECT w.path, w.size FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.path = w.path AND p.size = w.size)""",
 )
 def missing_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = spark.sql("SELECT * FROM VALUES ('a.onnx', 10), ('b.onnx', 20), ('c.onnx', 30) AS w(path, size)")
-    present = spark.sql("SELECT * FROM VALUES ('a.onnx', 10), ('b.onnx', 19) AS p(path, size)")
-    return joins.missing(wanted, present)
+    """Documents as files: those that aren't there, or not in the very size."""
+    wanted = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("size"), "doc_id")
+    there = wanted.where("doc_id % 7 <> 0").select("path", (F.col("size") + (F.col("doc_id") % 5 == 0).cast("int")).alias("size"))
+    return joins.missing(wanted.select("path", "size"), there)
