@@ -1290,3 +1290,130 @@ def test_counters_add_up(spark):
     elements = np.concatenate(list(shingles.text_sets(pa.array(texts), 4)))
     counts = np.bincount((elements >> countjoin.COUNTER_SHIFT).astype(np.int64), minlength=countjoin.COUNTERS)
     assert (rank == np.minimum(np.log2(counts + 1) * countjoin.STEPS, 255).astype(np.uint8)).all() and rank.max() > 0
+
+
+# queries that SQL can't express, against brute force
+
+
+def tables_of(spark, path, **frames):
+    """A folder of tables, as queries read them."""
+    for name, frame in frames.items():
+        frame.write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def plain_language(model, text):
+    """Language and score by sums over words of forward and backward passes, word by word."""
+    words = langid.Words([text])
+    if not len(words.hashes):
+        return "und", 0.0
+    rows = model.emissions(words)
+    local = model.scores[rows].astype(np.float64)
+    n, k = local.shape
+
+    def log_sum(x, axis):
+        top = x.max(axis=axis, keepdims=True)
+        return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+
+    forward, backward = np.zeros((n, k)), np.zeros((n, k))
+    forward[0] = local[0]
+    for t in range(1, n):
+        forward[t] = local[t] + log_sum(forward[t - 1][:, None] + model.transitions, 0)
+    for t in range(n - 2, -1, -1):
+        backward[t] = log_sum(model.transitions + (local[t + 1] + backward[t + 1])[None, :], 1)
+    both = forward + backward
+    shares = np.exp(both - log_sum(both, 1)[:, None]).sum(axis=0) / n
+    return model.languages[int(shares.argmax())], float(shares.max())
+
+
+def test_language_query_matches_brute_force(spark):
+    docs = table(spark, SMALL, "documents")
+    model = langid.fit(langid.sample(docs, langid.learnable()))
+    found = {r["doc_id"]: r for r in queries.op6_language_id(spark, SMALL).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert set(found) == set(texts)
+    for i, text in texts.items():
+        language, score = plain_language(model, text)
+        assert found[i]["lang_pred"] == language and found[i]["score"] == pytest.approx(score, abs=2e-3), i
+        assert found[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
+def plain_toxicity(model, text):
+    """Score and passages by the definition of segments, over all tokens."""
+    tokens = re.findall(r"[^\W\d_]+", (text or "").lower())
+    own = [max((model.marks.get(x, 0.0) for x in (t, *(t[:k] + "-" for k in range(4, min(8, len(t) - 1) + 1)))), default=0.0) for t in tokens]
+    found = [(a, b, sum(s if s > toxicity.LEAST_MARK else -toxicity.COST for s in own[a : b + 1])) for a, b in plain_segments([s if s > toxicity.LEAST_MARK else -toxicity.COST for s in own])]
+    if not found and own and max(own) > 0:
+        at = own.index(max(own))
+        found = [(at, at, own[at])]
+    shift = math.log(max(model.least, len(tokens))) / model.rate
+    best = {}
+    rare = []
+    for a, b, s in found:
+        e = model.law.e_value(s - shift)
+        rare += [(a, b)] if e < toxicity.SIGNIFICANT else []
+        if e < 1:
+            best[tokens[a]] = max(best.get(tokens[a], 0.0), min(30.0, -math.log(max(e, 1e-300))))
+    top = sorted(best.values(), reverse=True) + [0.0, 0.0]
+    w = model.weights
+    return 1 / (1 + math.exp(-(w[0] + w[1] * top[0] / 10 + w[2] * top[1] / 10 + w[3] * math.log1p(sum(best.values()))))), rare
+
+
+def test_toxicity_query_matches_brute_force(spark, tmp_path):
+    rng = random.Random(14)
+    bad = [prose(rng, 1) + "x" for _ in range(12)]
+    docs, labels = [], []
+    for i in range(600):
+        words = prose(rng, rng.randint(0, 60)).split()
+        toxic = rng.random() < 0.2
+        for _ in range(rng.randint(1, 6) if toxic else rng.random() < 0.05):
+            words.insert(rng.randint(0, len(words)), rng.choice(bad) + rng.choice(["", "", "ing"]))
+        docs.append((i, " ".join(words) if i % 50 else None))
+        labels.append((i, int(toxic) if i % 7 else None))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    folder = tables_of(spark, tmp_path, documents=frames[0], labels=frames[1])
+    model = toxicity.fit(toxicity.sample(*frames, toxicity.learnable()))
+    found = {r["doc_id"]: r for r in queries.op10_toxicity(spark, folder).collect()}
+    assert len(found) == 600 and {r["predicted"] for r in found.values()} == {0, 1}
+    for i, text in docs:
+        score, rare = plain_toxicity(model, text)
+        assert found[i]["score"] == pytest.approx(score, abs=1e-9) and found[i]["n_passages"] == len(rare)
+        assert found[i]["predicted"] == (found[i]["score"] >= 0.3) and found[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+    right = [found[i]["predicted"] == y for i, y in labels if y is not None and found[i]["held_out"]]
+    assert np.mean(right) > 0.9
+
+
+@pytest.mark.parametrize("sf", [SMALL, MIDDLE])
+def test_texts_without_marks_are_not_toxic(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.fit(toxicity.sample(docs, labels, toxicity.learnable()))
+    plain = 0
+    for text in ["x", "hello", "hello world", "", None, *(r["text"] for r in docs.select("text").collect())]:
+        if not any(model.scores[t] > 0 for t in re.findall(r"[^\W\d_]+", (text or "").lower())):
+            score, passages = model.judge(text)
+            assert score < 0.3 and not passages
+            plain += 1
+    assert plain >= 5
+
+
+def test_sampling_query_matches_enumeration(spark, tmp_path, vocabulary):
+    texts = ["the", "erh", "a", "", None, "of a", "zz", "the erh", "12"]
+    folder = tables_of(spark, tmp_path, documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = queries.op8_sentencepiece(spark, folder).collect()
+    for i, text in enumerate(texts):
+        found = sorted((r["sample"], r["log_prob"], r["n_pieces"], r["ids_hash"]) for r in rows if r["doc_id"] == i)
+        if text is None:
+            assert not found
+            continue
+        # every way through every unit of the text, with the product of their probabilities
+        lattices = segmentation.Lattices(vocabulary)
+        joined, starts, hashes, counts = vocabulary.units([text])
+        numbers = lattices.numbers(joined, starts, hashes)
+        lattices.freeze()
+        whole = [((), 0.0)]
+        for n in numbers:
+            whole = [(p + tuple(lattices.piece[e] for e in q), a + b) for p, a in whole for q, b in all_paths(lattices, n)]
+        assert len(found) == min(2, len(whole)) and len({x[3] for x in found}) == len(found)
+        for _, log, size, _ in found:
+            assert any(abs(log - b) < 1e-6 and len(p) == size for p, b in whole), text
+    assert all(r["round_trip"] for r in rows)
