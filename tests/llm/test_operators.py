@@ -594,6 +594,22 @@ def _halves(items):
     return rows[::2], rows[1::2]
 
 
+def test_many_blocks_are_one_pass(spark, monkeypatch):
+    rng = random.Random(61)
+    items = [(i, prose(rng, rng.choice([3, 8, 40, 120]))) for i in range(60)]
+    docs = [(i, " ".join([prose(rng, 50), *(items[k][1] for k in rng.sample(range(60), rng.choice([0, 1, 9]))), prose(rng, 50)])) for i in range(80)]
+    docs += [(100 + k, items[k][1]) for k in range(5)] + [(200, None), (201, "")]
+    frame, tests = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontam.contaminated(frame, tests).collect()))
+    sets = {i: word_set(t) for i, t in items}
+    assert {(d, i) for d, i, *_ in whole} == {(d, i) for d, t in docs for i, s in sets.items() if s and 5 * len(s & word_set(t)) >= 4 * len(s)}
+    monkeypatch.setattr(decontam, "MOST_LOADED", 2)
+    monkeypatch.setattr(decontam, "item_blocks", lambda *a: iter([items[k::7] for k in range(7)]))
+    parted = decontam.contaminated(frame, tests)
+    assert sorted(map(tuple, parted.collect())) == whole
+    assert parted._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # one scan
+
+
 def test_matches_of_several_blocks_and_text_ids(spark, monkeypatch):
     frame, items = table(spark, SMALL, "documents"), table(spark, SMALL, "benchmark").withColumn("item_id", F.concat(F.lit("i"), "item_id"))
     once = {r["doc_id"]: sorted(m["item_id"] for m in r["matches"]) for r in decontam.with_matches(frame, items).collect()}

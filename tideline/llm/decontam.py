@@ -10,8 +10,9 @@ item's if it is one of the items' shingles; windows without any need no signatur
 A document and an item whose minima agree are verified by exact containment of the
 item's shingles in the document's.
 
-The items are read in blocks of a fixed size, by as many passes over the documents as
-there are blocks (one, for usual benchmarks); documents are never shuffled.
+The items are read in blocks of a fixed size (one, for usual benchmarks). Documents are read once and never
+shuffled: of several blocks, a filter of bits for each tells which ones a text may have shingles of, and a
+task loads those alone, ``MOST_LOADED`` at a time.
 
 Defined results: null or blank texts match nothing; an item of fewer than five words is
 one shingle and only matches a document that is the same sequence; equal rows each
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +33,12 @@ from pyspark.sql import types as T
 
 from tideline.session import ship_package
 from tideline.llm.shingles import _short, pieces, shingle_hashes, splitmix, text_bytes, text_sets, word_hashes
-from tideline.llm.store import fresh_name, small_batches, written
+from tideline.llm.store import fresh_name, small_batches
 
 THRESHOLD_NUM, THRESHOLD_DEN = 4, 5
 FUNCTIONS = 64
 BLOCK_BYTES = 4 << 20
+MOST_LOADED = 4
 WIDTH = 5
 MATCH = "array<struct<item_id:{},n_item:bigint,n_shared:bigint>>"
 _MULTIPLIERS = splitmix(41, FUNCTIONS) | np.uint64(1)
@@ -141,39 +142,69 @@ def _one_pass(docs: DataFrame, rows: list, place: int, name: str, id_type: str)
     return docs.mapInArrow(run, schema)
 
 
-def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", name: str = "matches") -> DataFrame:
-    """``docs`` with the matches of each row's text, as an array of structs; a column of that name is replaced.
+def filter_of(rows: list[tuple[int | str | None, str | None]]) -> np.ndarray:
+    """Packed bits of the shingles of a block of items."""
+    bits = np.zeros(1 << _TABLE_BITS, bool)
+    for elements in text_sets(pa.array([text for _, text in rows], pa.string())):
+        bits[(elements >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def _by_filters(docs: DataFrame, blocks: list[list], place: int, name: str, id_type: str) -> DataFrame:
+    """``docs`` with the matches of all blocks of items in the column ``name``, in one pass."""
+    context = docs.sparkSession.sparkContext
+    shared, bits = [context.broadcast(rows) for rows in blocks], context.broadcast(np.stack([filter_of(rows) for rows in blocks]))  # a block each; half a megabyte a block
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string(MATCH.format(id_type)))])
+    kind = pa.list_(pa.struct([("item_id", pa.int64() if id_type == "bigint" else pa.string()), ("n_item", pa.int64()), ("n_shared", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        any_block = np.bitwise_or.reduce(bits.value, axis=0)
+        loaded: dict[int, Items] = {}
+
+        def items_of(block: int) -> Items:
+            known = loaded.pop(block, None) or Items(shared[block].value)
+            while len(loaded) >= MOST_LOADED:
+                loaded.pop(next(iter(loaded)))
+            loaded[block] = known
+            return known
+
+        for batch in batches:
+            column = batch.column(place)
+            rows: list[list[int]] = [[] for _ in blocks]
+            for row, elements in enumerate(text_sets(column)):
+                at = (elements >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+                at = at[(any_block[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0]
+                if len(at):
+                    hit = ((bits.value[:, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).any(axis=1)
+                    for block in np.flatnonzero(hit).tolist():
+                        rows[block].append(row)
+            found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for block, chosen in enumerate(rows):
+                if chosen:
+                    for row, more in zip(chosen, items_of(block).matches(column.take(pa.array(chosen))), strict=True):
+                        found[row] += more
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
 
-    Of several blocks each is a pass of its own, with a table written between them, so that
-    a task holds one block at a time.
-    """
+
+def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", name: str = "matches") -> DataFrame:
+    """``docs`` with the matches of each row's text, as an array of structs; a column of that name is replaced."""
     spark = docs.sparkSession
     ship_package(spark)
     small_batches(spark)
     out, id_type = docs.drop(name), _id_type(items, item_id)
     place = out.columns.index(text_col)
-    before: DataFrame | None = None
-    new = fresh_name(out.withColumn(name, F.lit(None)), "more")
-    for rows in item_blocks(items, item_id, item_text):
-        if before is None:
-            before = out = _one_pass(out, rows, place, name, id_type)
-            continue
-        out = _one_pass(written(out, "matches"), rows, place, new, id_type)
-        out = out.withColumn(name, F.concat(name, new)).drop(new)
-    return out
+    blocks = list(item_blocks(items, item_id, item_text))
+    if len(blocks) == 1:
+        return _one_pass(out, blocks[0], place, name, id_type)
+    return _by_filters(out, blocks, place, name, id_type)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, item_id, n_item, n_shared``: one row for each item that a row of ``docs`` contains.
-
-    Each block of items is a scan of its own.
-    """
-    spark = docs.sparkSession
-    ship_package(spark)
-    small_batches(spark)
+    """``doc_id, item_id, n_item, n_shared``: one row for each item that a row of ``docs`` contains."""
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scans = [_one_pass(chosen, rows, 1, "matches", _id_type(items, "item_id")).select("doc_id", F.inline("matches")) for rows in item_blocks(items, "item_id", "text")]
-    return reduce(DataFrame.unionByName, scans)
+    return with_matches(chosen, items).select("doc_id", F.inline("matches"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
