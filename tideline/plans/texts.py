@@ -127,14 +127,50 @@ def prompt_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INTERJECTIONS = ("Mm-hmm.", "Oh, yeah.", "Ummm", "uh-uh", "uh-huh!", "on", "ere", "Right?", "o.k.", "Hmmm...", "wow so", "Yeahhh, okayyy.", "ah", "42", "- oh")
 
 
-@register("interjections")
+_SOUND = " ".join(f"WHEN regexp_matches(single, '{p}') THEN '{t}'" for p, t in interjections.SOUNDS)
+_KNOWN = " ".join(f"WHEN '{w}' THEN '{t}'" for w, t in interjections.WORDS.items())
+_BARE = "'^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$'"
+
+
+@register(
+    "interjections",
+    f"""WITH p AS (SELECT row_number() OVER () AS id, piece FROM (SELECT unnest([{", ".join("'" + x.replace("'", "''") + "'" for x in _INTERJECTIONS)}]) AS piece UNION ALL SELECT text FROM conversations WHERE text IS NOT NULL)),
+    t AS (SELECT id, i, {sq.words("piece")}[i] AS t FROM p, unnest(generate_series(1, len({sq.words("piece")}))) AS g(i)),
+    c AS (SELECT id, i, regexp_replace(t, {_BARE}, '', 'g') AS core, regexp_extract(t, '([^\\p{{L}}\\p{{N}}]*)$', 1) AS tail FROM t),
+    l AS (SELECT *, string_split(regexp_replace(lower(core), '[.''’]', '', 'g'), '') AS chars FROM c WHERE core <> ''),
+    s AS (SELECT *, regexp_replace(array_to_string(list_filter(chars, lambda x, k: k = 1 OR x <> chars[k - 1]), ''), '^-+|-+$', '', 'g') AS single FROM l),
+    r AS (SELECT id, i, CASE WHEN regexp_full_match(core, '[A-Za-z.''’-]*') AND single <> '' THEN coalesce(CASE single {_KNOWN} END, CASE {_SOUND} END) END || tail AS rendered FROM s),
+    w AS (SELECT id, CASE WHEN count(*) = count(rendered) THEN string_agg(rendered, '' ORDER BY i) END AS rendered FROM r GROUP BY id)
+    SELECT piece, rendered FROM p LEFT JOIN w USING (id)""",
+)
 def interjection_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = spark.range(1).select(F.explode(F.array(*(F.lit(x) for x in _INTERJECTIONS))).alias("piece"))
     spoken = turns(spark, sf_dir).select(F.col("text").alias("piece"))
     return cases.unionByName(spoken).select("piece", interjections.render(F.col("piece")).alias("rendered"))
 
 
-@register("full_width")
+def _twice(text: str, pattern: str, by: str) -> str:
+    """A replacement whose matches share their ends."""
+    return f"regexp_replace(regexp_replace({text}, '{pattern}', '{by}', 'g'), '{pattern}', '{by}', 'g')"
+
+
+def _wide(text: str) -> str:
+    text = f"regexp_replace({text}, ' *\\.{{2,}} *', '……', 'g')"
+    for mark, wide in fullwidth.FULL_WIDTH.items():
+        held = _twice(text, f"([A-Za-z0-9])\\{mark}([A-Za-z0-9])", "\\1\ue000\\2")
+        text = f"replace(regexp_replace({held}, ' *\\{mark} *', '{wide}', 'g'), '\ue000', '{mark}')"
+    text = _twice(text, f"([{fullwidth.HAN}])\\s+([{fullwidth.HAN}])", "\\1\\2")
+    return f"regexp_replace(regexp_replace({text}, '^\\s+|\\s+$', '', 'g'), '[，、 ]+$', '')"
+
+
+_CLOSED = _twice("regexp_replace(t, '\\s+', ' ', 'g')", "([A-Za-z0-9]) ([A-Za-z0-9])", "\\1\ue000\\2")
+
+
+@register(
+    "full_width",
+    f"""WITH c AS (SELECT conv_id AS session_id, turn AS line_id, translate(text, 'aeiou', '你好世界他') AS t FROM conversations WHERE text IS NOT NULL)
+    SELECT session_id, line_id, {_wide("t")} AS wide, replace(replace({_CLOSED}, ' ', ''), '\ue000', ' ') AS closed FROM c""",
+)
 def full_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with Han characters for vowels, so that marks stand between both scripts."""
     text = F.translate("text", "aeiou", "你好世界他")
