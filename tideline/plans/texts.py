@@ -191,6 +191,32 @@ def lanes_to_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select("session_id", "line_id", F.col("text").alias("ref"), hyp.alias("hyp"))
 
 
+_SIDE = "regexp_replace(t, '[^\\p{L}\\p{N}_''\\s]', ' ', 'g')"
+
+
+@register(
+    "word_error_rates",
+    f"""WITH p AS (SELECT conv_id AS session_id, turn AS line_id, text AS ref, CASE turn % 4 WHEN 1 THEN array_to_string(list_slice({sq.words('text')}, 1, 4), ' ')
+      WHEN 2 THEN array_to_string(list_concat(list_slice({sq.words('text')}, 1, 4), list_slice({sq.words('text')}, 12, len({sq.words('text')}))), ' ') WHEN 3 THEN regexp_replace(text, '[.,!?]', ' ', 'g') ELSE text END AS hyp
+      FROM conversations WHERE text IS NOT NULL),
+    t AS (SELECT session_id, line_id, true AS r, ref AS t FROM p UNION ALL SELECT session_id, line_id, false, hyp FROM p),
+    raw AS (SELECT session_id, line_id, r, unnest(list_filter(string_split_regex(lower({_SIDE}), '\\s+'), lambda w: w <> '')) AS w FROM t),
+    num AS (SELECT *, CASE WHEN regexp_full_match(w, '[0-9]{{1,6}}') THEN w::BIGINT END AS n FROM raw),
+    tok AS (SELECT session_id, line_id, r, unnest(CASE WHEN n IS NOT NULL THEN {_spelled('n')} ELSE [{_VARIANTS}] END) AS t FROM num),
+    known AS (SELECT *, NOT list_contains({sq.FILLER_LIST}, t) AND t NOT LIKE '%\\_%' ESCAPE '\\' AND (length(t) > 1 OR t IN ('a', 'i')) AS content FROM tok),
+    c AS (SELECT session_id, line_id, count(*) FILTER (WHERE r) AS a, count(*) FILTER (WHERE NOT r) AS b, count(*) FILTER (WHERE r AND content) AS ac, count(*) FILTER (WHERE NOT r AND content) AS bc FROM known GROUP BY ALL)
+    -- what is left of a line is in its order: of words that are only left out, each is one error
+    SELECT p.session_id, p.line_id, coalesce(CASE WHEN a > 0 THEN round(100.0 * (a - b) / a, 6) END, 0)::DOUBLE AS wer, coalesce(CASE WHEN ac > 0 THEN round(100.0 * (ac - bc) / ac, 6) END, 0)::DOUBLE AS content_wer, coalesce(ac, 0)::BIGINT AS ref_words
+    FROM p LEFT JOIN c USING (session_id, line_id)""",
+)
+def word_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word errors, by alignment, of lines that lost words or marks."""
+    lines = lanes_to_score(spark, sf_dir)
+    hyp = F.when(F.col("line_id") % 4 == 3, F.regexp_replace("ref", "[.,!?]", " ")).otherwise(F.col("hyp"))
+    found = scoring.measure(lines.withColumn("hyp", hyp), ["session_id", "line_id"])
+    return found.select("session_id", "line_id", F.round("wer", 6).alias("wer"), F.round("content_wer", 6).alias("content_wer"), "ref_words")
+
+
 @register("word_errors")
 def word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.measure(lanes_to_score(spark, sf_dir), ["session_id", "line_id"])
