@@ -119,3 +119,11 @@ def test_nulls(one):
 def test_parts_are_trimmed_and_joined(spark):
     rows = spark.createDataFrame([(["a", " b ", "  ", "", " c"],), ([],)], "x array<string>")
     assert [r[0] for r in rows.select(tx.join_words(F.col("x"))).collect()] == ["a b c", ""]
+
+
+def test_boundaries_are_on_the_last_token_of_a_word(spark):
+    rows = spark.createDataFrame([("We are twenty-five. -- So it is 1500! ...",), ("no end",), ("",), ("... !",)], "x string")
+    found = [r[0] for r in rows.select(tx.boundaries(F.col("x"))).collect()]
+    assert found[0]["tokens"] == ["we", "are", "twenty", "five", "so", "it", "is", "one", "thousand", "five", "hundred"]
+    assert (found[0]["ends"], found[0]["last_word"]) == ([3, 10], 7) and (found[1]["ends"], found[1]["last_word"]) == ([], 1)
+    assert all(r["tokens"] == [] and r["ends"] == [] and r["last_word"] == 0 for r in found[2:])

@@ -226,6 +226,27 @@ def metric_tokens(text: Column, content_only: bool) -> Column:
     )
 
 
+def boundaries(text: Column) -> Column:
+    """``tokens``, ``ends`` (places of the last tokens of words that end a sentence) and ``last_word`` (where the last word's tokens start).
+
+    Marks are looked at before tokens are made, which drops them.
+    """
+    each = F.transform(words(text), lambda w: F.struct(metric_tokens(w, False).alias("tokens"), ends_sentence(w).alias("ends")))
+
+    def placed(parts: Column) -> Column:
+        start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("ends"), F.lit(0).alias("last"))
+
+        def step(acc: Column, part: Column) -> Column:
+            n = acc["n"] + F.size(part["tokens"])
+            ends = F.when(part["ends"], F.concat(acc["ends"], F.array(n - 1))).otherwise(acc["ends"])
+            return F.struct(n.alias("n"), ends.alias("ends"), acc["n"].alias("last"))
+
+        found = F.aggregate(parts, start, step)
+        return F.struct(F.flatten(F.transform(parts, lambda p: p["tokens"])).alias("tokens"), found["ends"].alias("ends"), found["last"].alias("last_word"))
+
+    return let(F.filter(each, lambda p: F.size(p["tokens"]) > 0), placed)
+
+
 def unify(word: Column) -> Column:
     """The American spelling of a known British one."""
     known = F.create_map(*(F.lit(x) for pair in SPELLINGS.items() for x in pair))

@@ -191,6 +191,21 @@ def lanes_to_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select("session_id", "line_id", F.col("text").alias("ref"), hyp.alias("hyp"))
 
 
+@register(
+    "sentence_boundaries",
+    f"""WITH w AS (SELECT conv_id AS session_id, turn AS line_id, i, {sq.words('text')}[i] AS raw FROM conversations, unnest(generate_series(1, len({sq.words('text')}))) AS g(i) WHERE text IS NOT NULL),
+    t AS (SELECT *, unnest(list_filter(string_split_regex(lower(regexp_replace(raw, '[^\\p{{L}}\\p{{N}}_''\\s]', ' ', 'g')), '\\s+'), lambda w: w <> '')) AS w FROM w),
+    n AS (SELECT *, CASE WHEN regexp_full_match(w, '[0-9]{{1,6}}') THEN w::BIGINT END AS n FROM t),
+    k AS (SELECT session_id, line_id, i, any_value(raw) AS raw, sum(CASE WHEN n IS NOT NULL THEN len({_spelled('n')}) ELSE 1 END) AS size FROM n GROUP BY ALL),
+    c AS (SELECT *, sum(size) OVER (PARTITION BY session_id, line_id ORDER BY i) AS upto FROM k)
+    SELECT session_id, line_id, sum(size)::BIGINT AS n_tokens, coalesce(string_agg((upto - 1)::BIGINT::VARCHAR, ' ' ORDER BY i) FILTER (WHERE regexp_matches(raw, '[.!?]["'')\\]”]*$')), '') AS ends, (max(upto) - arg_max(size, i))::BIGINT AS last_word
+    FROM c GROUP BY ALL""",
+)
+def sentence_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = turns(spark, sf_dir).select("session_id", "line_id", tx.boundaries(F.col("text")).alias("b")).where("size(b.tokens) > 0")
+    return found.select("session_id", "line_id", F.size("b.tokens").cast("long").alias("n_tokens"), F.array_join("b.ends", " ").alias("ends"), F.col("b.last_word").cast("long").alias("last_word"))
+
+
 _SIDE = "regexp_replace(t, '[^\\p{L}\\p{N}_''\\s]', ' ', 'g')"
 
 
