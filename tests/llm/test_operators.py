@@ -1280,6 +1280,26 @@ def test_jaccard_blocks_lose_no_link(spark, monkeypatch):
     assert {r["component_id"] for r in found} == {0}
 
 
+def test_hot_shingles_that_connect_nothing_else(spark, monkeypatch):
+    """A large group of near copies, and texts that share its words without being alike, or alike to one another only."""
+    monkeypatch.setattr(countjoin, "BUCKET_BLOCK", 8)
+    monkeypatch.setattr(neardup, "SET_BLOCK", 16)
+    rng = random.Random(3)
+    base = prose(rng, 80).split()
+    texts = {}
+    for i in range(150):
+        words = list(base)
+        words[rng.randrange(80)] = prose(rng, 1)
+        texts[i] = " ".join(words)
+    for i in range(40):
+        texts[1000 + i] = " ".join([*base[:66], *prose(rng, 14).split()])  # just under or over
+        texts[2000 + i] = " ".join([*base[:40], *prose(rng, 40).split()])
+    for i in range(0, 40, 2):
+        texts[3000 + i] = texts[2000 + i] + " end"
+    found = countjoin.jaccard_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == quad_classes(texts)
+
+
 def test_jaccard_at_other_thresholds(spark):
     texts = variants(random.Random(5), 12, 8, 60)
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
