@@ -96,7 +96,8 @@ class Whitening:
 
     def centred(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exact deviations ``n * x - S`` of rows, and their squares' sums."""
-        if self.n * LARGEST >= 2**62:
+        largest = max([int(np.abs(rows).max(initial=0)), *(abs(s) // max(1, self.n) + 1 for s in self.sums)])
+        if self.n * largest >= 2**62:
             apart = rows.astype(object) * self.n - np.array(self.sums, object)
         else:
             apart = rows * self.n - np.array(self.sums, np.int64)
