@@ -48,9 +48,13 @@ def low_rank(q: float) -> Callable[[Column], Column]:
 CELLS = 4096
 
 
-def _in_cells(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+def _span(value: str) -> list[Column]:
+    return [F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high")]
+
+
+def _in_cells(rows: DataFrame, keys: list[str], value: str, spans: DataFrame | None = None) -> DataFrame:
     """``rows`` with ``cell``: which of ``CELLS`` equal parts of its group's range a value is in. It doesn't fall where the value grows."""
-    spans = rows.groupBy(*keys).agg(F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"))
+    spans = rows.groupBy(*keys).agg(*_span(value)) if spans is None else spans.select(*keys, "_low", "_high")
     share = (F.col(value).cast("double") - F.col("_low")) / (F.col("_high") - F.col("_low"))
     cell = F.when(F.col("_high") > F.col("_low"), F.least(F.floor(F.nanvl(share, F.lit(0.0)) * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0))
     return rows.join(spans, keys).withColumn("cell", cell.cast("int")).drop("_low", "_high")
@@ -78,14 +82,15 @@ def at_ranks(rows: DataFrame, keys: list[str], value: str, picks: dict[str, Call
     by = keys or ["_all"]
     given = rows if keys else rows.withColumn("_all", F.lit(0))
     counted = given.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("times"))
-    totals = counted.groupBy(*by).agg(F.sum("times").alias("n"), F.max(value).alias("longest"))
+    totals = counted.groupBy(*by).agg(F.sum("times").alias("n"), F.max(value).alias("longest"), *_span(value))
     wanted = F.array(*(F.struct(F.lit(name).alias("pick"), place(F.col("n")).alias("rank")) for name, place in picks.items()))
     ranks = totals.select(*by, F.inline(wanted))
-    first = _in_cells(counted, by, value)
+    first = _in_cells(counted, by, value, totals)
     inside = first.join(_cell_of(first, by, ranks, ["pick"]), [*by, "cell"]).drop("cell")
     within = [*by, "pick"]
-    second = _in_cells(inside.drop("rank"), within, value)
-    narrow = second.join(_cell_of(second, within, inside.groupBy(*within).agg(F.first("rank").alias("rank")), []), [*within, "cell"]).drop("cell")
+    asked = inside.groupBy(*within).agg(F.first("rank").alias("rank"), *_span(value))
+    second = _in_cells(inside.drop("rank"), within, value, asked)
+    narrow = second.join(_cell_of(second, within, asked.select(*within, "rank"), []), [*within, "cell"]).drop("cell")
     upto = F.sum("times").over(Window.partitionBy(*within).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = narrow.withColumn("upto", upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("times") <= F.col("rank")))
     found = placed.groupBy(*by).agg(*(F.min(F.when(F.col("pick") == name, F.col(value))).alias(name) for name in picks))
