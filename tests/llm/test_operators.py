@@ -1267,6 +1267,17 @@ def test_jaccard_classes_match_brute_force(spark):
     assert len({r["component_id"] for r in found}) < len(texts) - 30
 
 
+def test_regular_long_words_keep_hashes_of_their_own(spark):
+    """Thue-Morse words, which polynomial hashes modulo a power of two can't tell apart."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    texts = {1: a, 2: b, 3: f"u v w {a}", 4: f"u v w {b}", 5: f"{a} {b} x y {b} {a} x y"}
+    found = countjoin.jaccard_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == quad_classes(texts) == {i: i for i in texts}
+    assert {r["doc_id"]: r["n_shingles"] for r in found} == {i: len(quad_set(t)) for i, t in texts.items()}
+
+
 def test_jaccard_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SET_BLOCK", 4)
     monkeypatch.setattr(countjoin, "BUCKET_BLOCK", 4)
