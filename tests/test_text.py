@@ -127,3 +127,9 @@ def test_boundaries_are_on_the_last_token_of_a_word(spark):
     assert found[0]["tokens"] == ["we", "are", "twenty", "five", "so", "it", "is", "one", "thousand", "five", "hundred"]
     assert (found[0]["ends"], found[0]["last_word"]) == ([3, 10], 7) and (found[1]["ends"], found[1]["last_word"]) == ([], 1)
     assert all(r["tokens"] == [] and r["ends"] == [] and r["last_word"] == 0 for r in found[2:])
+
+
+def test_upper_case_character_by_character(one):
+    assert one("groß ﬁ ᾳ ŉ Éa😀", tx.upper_each) == "GROẞ ﬁ ᾼ ŉ ÉA😀" and one("plain é", tx.upper_each) == "PLAIN É"
+    assert one("groß, ﬁn!", tx.strip_upper) == "GROSS ﬁN"
+    assert one(None, tx.upper_each) is None

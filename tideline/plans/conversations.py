@@ -183,7 +183,7 @@ def fold_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def in_order_overtaken(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = turns(spark, sf_dir)
-    done = lines.where("line_id % 3 = 1").select("session_id", "line_id", F.upper(F.substring("text", 1, 5)).alias("translation"))
+    done = lines.where("line_id % 3 = 1").select("session_id", "line_id", tx.upper_each(F.substring("text", 1, 5)).alias("translation"))
     return waiting.in_order(lines.select("session_id", "line_id"), done)
 
 
