@@ -135,3 +135,13 @@ def test_a_line_that_ends_at_zero_is_covered(spark):
     schema = "session_id long, seq long, kind string, now double, text string, end double, words array<struct<text:string,start:double,end:double>>"
     found = {r["line_id"]: r["reason"] for r in replay(spark.createDataFrame(rows, schema)).collect()}
     assert found == {1: "accurate_truncated", 2: "accurate_timeout"}
+
+
+def test_a_tick_right_at_the_time_that_a_line_is_due(spark):
+    """Eight seconds after a line's end its tick lets it go, whatever tenths add up to as doubles."""
+    schema = "session_id long, line_id long, quick string, accurate string, timed_out boolean, start_s double, end_s double"
+    rows = [(n, 0, " ".join(["W"] * n), None, True, 0.0, 4 * n / 10) for n in range(1, 41)]
+    answered = [(n, 1, "W", "w", False, 0.0, 0.4) for n in range(1, 41)]
+    found = replay(inputs_of(spark.createDataFrame(rows + answered, schema), PACE)).where("line_id = 1").collect()
+    assert len(found) == 40 and {r["reason"] for r in found} == {"accurate_timeout"}
+    assert all(r["end_s"] == 4 * r["session_id"] / 10 for r in found)

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+from decimal import Decimal
 from itertools import takewhile
 
 import pandas as pd
@@ -367,10 +368,16 @@ def inputs_of(lanes: DataFrame, pace: float, cuts: Column | None = None) -> Data
     line, if it isn't told), a line of ``CUT_WORDS`` words or more is cut in its middle while it is spoken.
     """
 
+    step = F.lit(Decimal(str(pace)))
+
+    def at(count: Column) -> Column:
+        """The start of the word after ``count`` of them: the pace is multiplied as a decimal, so that words end where their line does."""
+        return F.col("start_s") + (step * count).cast("double")
+
     def timed(text: str):  # noqa: ANN202
         w = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+", -1), "")
         return F.transform(
-            w, lambda x, i: F.struct(x.alias("text"), (F.col("start_s") + pace * i).alias("start"), (F.col("start_s") + pace * (i + 1)).alias("end"))
+            w, lambda x, i: F.struct(x.alias("text"), at(i).alias("start"), at(i + 1).alias("end"))
         )
 
     none = F.array().cast(WORDS)
@@ -382,7 +389,7 @@ def inputs_of(lanes: DataFrame, pace: float, cuts: Column | None = None) -> Data
 
     nothing, spoken = F.lit(None).cast("string"), timed("quick")
     half = F.floor(F.size(spoken) / 2).cast("int")
-    cut_at = F.col("start_s") + pace * half
+    cut_at = at(half)
     cuts = F.col("line_id") % 3 == 1 if cuts is None else cuts
     cut = F.coalesce(cuts & (F.size(spoken) >= CUT_WORDS), F.lit(False))
     rows = F.array(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import text as tx
@@ -20,6 +22,11 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("line_id"), "text")
 
 
+def spoken_until(line: Column, count: Column) -> Column:
+    """When a line of so many words ends: worked out in decimals, as doubles of tenths add up to one ulp more or less."""
+    return (line * F.lit(10) + F.lit(Decimal(str(PACE))) * count).cast("double")
+
+
 def two_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as lines of both lanes, disturbed by turn so that every branch is taken."""
     kind = F.col("line_id") % 5
@@ -36,7 +43,7 @@ def two_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
         accurate.alias("accurate"),
         (kind == 3).alias("timed_out"),
         (F.col("line_id") * 10.0).alias("start_s"),
-        (F.col("line_id") * 10.0 + PACE * tx.word_count(F.col("text"))).alias("end_s"),
+        spoken_until(F.col("line_id"), tx.word_count(F.col("text"))).alias("end_s"),
     )
 
 
@@ -112,7 +119,7 @@ def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "line_id",
         F.col("text").alias("source"),
         (F.col("line_id") * 10.0).alias("start_s"),
-        (F.col("line_id") * 10.0 + PACE * tx.word_count(F.col("text"))).alias("end_s"),
+        spoken_until(F.col("line_id"), tx.word_count(F.col("text"))).alias("end_s"),
     )
 
 
