@@ -243,3 +243,29 @@ def test_gain_holds_on_silence():
 
 def test_second_translator_fills_holes():
     assert fill_missing(["x", " ", ""], ["a b", "c d", "e f"], EchoTranslator()) == ["x", "d c", "f e"]
+
+
+def test_alignment_in_bounded_memory(spark, monkeypatch):
+    """Long texts: the table's rows are kept as far as a bound goes, with the same steps; steps reach Spark as numbers."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    said = [str(rng.randrange(400)) for _ in range(5000)]
+    heard = [w for w in said if rng.random() < 0.7]
+    whole = scoring.align_words(said, heard)
+    monkeypatch.setattr(scoring, "TABLE_BYTES", 1 << 18)
+    tracemalloc.start()
+    ops, places = scoring._steps(said, heard)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(scoring.STEPS[op], at) for op, at in zip(ops.tolist(), places.tolist(), strict=True)] == whole
+    assert peak < 8 * scoring.TABLE_BYTES
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 40))] for _ in range(2))
+        few = scoring.align_words(a, b)
+        with monkeypatch.context() as patch:
+            patch.setattr(scoring, "TABLE_BYTES", 1)
+            assert scoring.align_words(a, b) == few
+    rows = spark.createDataFrame([(said, heard), (["a"], []), ([], ["b"]), ([], [])], "r array<string>, h array<string>")
+    found = [[(x["op"], x["ref_no"]) for x in r["ops"]] for r in rows.select(scoring.alignment("r", "h").alias("ops")).collect()]
+    assert found == [whole, [("D", 0)], [("I", 0)], []]

@@ -7,15 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions import stats
 from tideline.functions.text import metric_tokens
-from tideline.session import ship_package
+from tideline.session import ship_package, small_batches
 
 OPS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("ref_no", T.IntegerType())]))
+STEPS = ["E", "S", "D", "I"]
+TABLE_BYTES = 16 << 20
 
 
 def _next_row(above: np.ndarray, word: int, others: np.ndarray) -> np.ndarray:
@@ -27,55 +30,70 @@ def _next_row(above: np.ndarray, word: int, others: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(row - ramp) + ramp
 
 
+def _steps(reference: list[str], hypothesis: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``align_words`` as two arrays: which of ``STEPS`` a step is, and its place in the reference.
+
+    Rows of the table are kept as far as ``TABLE_BYTES`` go, at equal distances, and those between two of them
+    are worked out again on the way back, in the same manner: memory is a few times
+    ``TABLE_BYTES``, however long the texts are. What is right of the way back is never needed again.
+    """
+    codes = {w: i for i, w in enumerate({*reference, *hypothesis})}
+    r = np.array([codes[w] for w in reference], np.int32)
+    h = np.array([codes[w] for w in hypothesis], np.int32)
+    least = min(len(r), len(h))
+    other = np.flatnonzero(r[len(r) - least :][::-1] != h[len(h) - least :][::-1])
+    tail = int(other[0]) if len(other) else least  # equal ends are pairs in any case
+    m, n = len(r) - tail, len(h) - tail
+    ops, places = np.zeros(m + n + tail, np.int8), np.zeros(m + n + tail, np.int32)
+    places[:tail] = np.arange(len(r) - 1, m - 1, -1)
+    i, j, at = m, n, tail
+    waiting = [(0, m, np.arange(n + 1, dtype=np.int32))]  # rows from, to, and the first of them
+    while waiting:
+        low, high, row = waiting.pop()
+        row = row[: j + 1]
+        every = -(-(high - low) // max(4, TABLE_BYTES // row.nbytes)) or 1
+        block = [row]
+        for k in range(low + 1, high + 1):
+            row = _next_row(row, r[k - 1], h[:j])
+            if (k - low) % every == 0:
+                block.append(row)
+        if every > 1:
+            waiting += [(x, min(x + every, high), first) for x, first in zip(range(low, high, every), block)]
+            continue
+        while i > low or (low == 0 and j):
+            cost, above = block[i - low], block[i - low - 1] if i else None
+            if i and j and cost[j] == above[j - 1] + (r[i - 1] != h[j - 1]):
+                i, j = i - 1, j - 1
+                ops[at], places[at] = r[i] != h[j], i
+            elif i and cost[j] == above[j] + 1:
+                i -= 1
+                ops[at], places[at] = 2, i
+            else:
+                j -= 1
+                ops[at], places[at] = 3, i
+            at += 1
+    return ops[:at][::-1], places[:at][::-1]
+
+
 def align_words(reference: list[str], hypothesis: list[str]) -> list[tuple[str, int]]:
     """Steps of a cheapest alignment: ``E`` equal, ``S`` other word, ``D`` dropped, ``I`` added.
 
     Of several cheapest ones, the one that, read from the end, prefers a pair of words,
-    then a drop. Each step has its place in the reference. Every ``k``-th row of the table
-    is kept, ``k`` being the root of their number, and the rows between are worked out again
-    on the way back: memory is that of ``2 k`` rows.
+    then a drop. Each step has its place in the reference.
     """
-    codes = {w: i for i, w in enumerate({*reference, *hypothesis})}
-    r = np.array([codes[w] for w in reference], np.int64)
-    h = np.array([codes[w] for w in hypothesis], np.int64)
-    tail = 0  # equal ends are pairs in any case
-    while tail < min(len(r), len(h)) and r[-1 - tail] == h[-1 - tail]:
-        tail += 1
-    m, n = len(r) - tail, len(h) - tail
-    every = max(1, int(np.sqrt(m)))
-    row = np.arange(n + 1, dtype=np.int32)
-    kept = [row]
-    for i in range(1, m + 1):
-        row = _next_row(row, r[i - 1], h[:n])
-        if i % every == 0:
-            kept.append(row)
-    steps = [("E", i) for i in range(len(r) - 1, m - 1, -1)]
-    i, j, low, block = m, n, m + 1, []
-    while i or j:
-        if i and i <= low:
-            low = (i - 1) // every * every
-            block = [kept[low // every]]
-            while len(block) <= i - low:
-                block.append(_next_row(block[-1], r[low + len(block) - 1], h[:n]))
-        cost = block[i - low] if i else None
-        above = block[i - low - 1] if i else None
-        if i and j and cost[j] == above[j - 1] + (r[i - 1] != h[j - 1]):
-            i, j = i - 1, j - 1
-            steps.append(("E" if r[i] == h[j] else "S", i))
-        elif i and cost[j] == above[j] + 1:
-            i -= 1
-            steps.append(("D", i))
-        else:
-            j -= 1
-            steps.append(("I", i))
-    return steps[::-1]
+    ops, places = _steps(reference, hypothesis)
+    return [(STEPS[op], at) for op, at in zip(ops.tolist(), places.tolist(), strict=True)]
 
 
-@F.pandas_udf(OPS)
-def alignment(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    """``align_words`` over two columns of token arrays."""
-    rows = zip(reference, hypothesis, strict=True)
-    return pd.Series([[{"op": op, "ref_no": at} for op, at in align_words(list(a), list(b))] for a, b in rows])
+@F.arrow_udf(OPS)
+def alignment(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+    """``align_words`` over two columns of token arrays. Steps are held as numbers, and one row's words at a time as objects."""
+    found = [_steps(a.as_py() or [], b.as_py() or []) for a, b in zip(reference, hypothesis, strict=True)]
+    offsets = pa.array(np.cumsum([0, *(len(ops) for ops, _ in found)]), pa.int32())
+    ops = np.concatenate([ops for ops, _ in found] or [np.zeros(0, np.int8)])
+    places = np.concatenate([at for _, at in found] or [np.zeros(0, np.int32)])
+    names = pa.DictionaryArray.from_arrays(pa.array(ops), pa.array(STEPS)).cast(pa.string())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([names, pa.array(places)], ["op", "ref_no"]))
 
 
 def _error_rate(ops: Column, tokens: Column, hypothesis: Column) -> Column:
@@ -86,6 +104,7 @@ def _error_rate(ops: Column, tokens: Column, hypothesis: Column) -> Column:
 def measure(pairs: DataFrame, keys: list[str], least_run: int = 5) -> DataFrame:
     """Scores of ``pairs(keys..., ref, hyp)``: word error rates, drop rate, dropped passages."""
     ship_package(pairs.sparkSession)
+    small_batches(pairs.sparkSession)
     tokens = pairs.select(
         *keys,
         metric_tokens(F.col("ref"), False).alias("r"),

@@ -157,9 +157,10 @@ def token_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def reference_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.functions.text import words
-    from tideline.session import ship_package
+    from tideline.session import ship_package, small_batches
 
     ship_package(spark)
+    small_batches(spark)
     numbered = F.transform(words(F.col("text")), lambda x, i: i.cast("string"))
     rows = turns(spark, sf_dir).select("session_id", "line_id", numbered.alias("r"), F.filter(numbered, lambda x: x.cast("int") % 4 != 3).alias("h"))
     return rows.select("session_id", "line_id", F.transform(tokens.reference_places(scoring.alignment("r", "h")), lambda x: x.cast("long")).alias("places"))
