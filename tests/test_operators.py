@@ -269,3 +269,8 @@ def test_alignment_in_bounded_memory(spark, monkeypatch):
     rows = spark.createDataFrame([(said, heard), (["a"], []), ([], ["b"]), ([], [])], "r array<string>, h array<string>")
     found = [[(x["op"], x["ref_no"]) for x in r["ops"]] for r in rows.select(scoring.alignment("r", "h").alias("ops")).collect()]
     assert found == [whole, [("D", 0)], [("I", 0)], []]
+
+
+def test_flags_of_words_are_bytes_in_the_shuffle(spark):
+    hyps = hypotheses_of(spark, ["Well. yes", "Well. yes it is."], [1.0, 2.0])
+    assert dict(confirm.agreed(hyps, 2).dtypes)["spoken"] == "array<tinyint>"

@@ -44,7 +44,7 @@ def agreed(hypotheses: DataFrame, runs: int) -> DataFrame:
         "hyp_no",
         "at",
         F.size("w").alias("n"),
-        F.transform("w", lambda x: (~F.array_contains(silent, normalize(x))).cast("int")).alias("spoken"),
+        F.transform("w", lambda x: (~F.array_contains(silent, normalize(x))).cast("byte")).alias("spoken"),
         places(ends_sentence).alias("firm"),
         places(lambda x: ends_sentence(x) | ends_clause(x)).alias("soft"),
     )
