@@ -1,5 +1,8 @@
 """Wire rows, wrapping, boundary timings."""
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +43,47 @@ def test_flaps_and_stability(spark):
     assert (found["n"], found["never_seen"], found["saved_p50"], found["passed"]) == (1, 0, 5.0, True)
 
 
+HYPS = "session_id long, line_id long, hyp_no int, at double, text string"
+CLOSED = "session_id long, line_id long, text string, close_at double, pace double, start_s double"
+
+
+def below(plan, node):
+    """The lines of a plan's tree that are below the first ``node``."""
+    lines = plan.splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    first = next(i for i, x in enumerate(lines) if x.lstrip(" :+-").startswith(node))
+    return list(itertools.takewhile(lambda i: depth[i] > depth[first], range(first + 1, len(lines)))), lines
+
+
+@pytest.mark.parametrize("runs", [1, 2, 3])
+def test_boundaries_against_plain_counts(spark, runs):
+    rng = random.Random(runs)
+    hyps, closed, want = [], [], []
+    for line in range(12):
+        said = [[rng.choice(["a", "b.", "c!"]) for _ in range(rng.randint(0, 2 * k))] for k in range(1, 9)]
+        hyps += [(1, line, k, float(rng.randint(1, 20)) if line % 2 else float(k), " ".join(w) if w or rng.random() < 0.5 else None) for k, w in enumerate(said, 1)]
+        final = [rng.choice(["a", "b."]) for _ in range(9)]
+        closed.append((1, line, " ".join(final), 30.0, 0.5, 1.0))
+        at = {h[2]: h[3] for h in hyps if h[1] == line}
+        last = max((k for k, w in enumerate(said, 1) if len(w) >= 2), default=None)
+        for place, word in enumerate(final[:-1]):
+            if not word.endswith("."):
+                continue
+            seen = [k for k, w in enumerate(said, 1) if len(w) >= 2 and len(w) > place and w[place] != "a"]
+            firm = [at[k] for k in seen if all(k - i in seen for i in range(runs)) and place + 1 < len(said[k - 1])]
+            flaps = sum(k - 1 not in seen for k in seen) - 1 + (seen[-1] < last) if seen else 0
+            saved_raw = 30.0 - min(at[k] for k in seen) if seen else None
+            want.append((1, line, place, 30.0 - min(firm) if firm else None, saved_raw, min(firm) - (1.0 + 0.5 * (place + 1)) if firm else None, flaps))
+    found = earliness.boundary_timings(spark.createDataFrame(hyps, HYPS), spark.createDataFrame(closed, CLOSED), runs)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_hypotheses_are_sorted_before_they_become_rows_of_places(spark):
+    found = earliness.boundary_timings(spark.createDataFrame([], HYPS), spark.range(1).select(F.lit(1).alias("session_id"), F.lit(1).alias("line_id"), F.lit("a. b").alias("text"), *(F.lit(1.0).alias(x) for x in ("close_at", "pace", "start_s"))).limit(1))
+    inside, lines = below(found._jdf.queryExecution().analyzed().toString(), "Window")
+    assert inside and not any("Generate" in lines[i] for i in inside)
+
+
 def test_queries_are_listed_with_their_columns(spark):
     import duckdb
 

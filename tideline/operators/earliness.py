@@ -2,11 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import stats
-from tideline.functions.text import ends_sentence, words
+from tideline.functions.text import ends_sentence, let, words
+
+SEEN, FIRM, OPENS = range(3)
+
+
+def _ends(text: Column) -> Column:
+    """``n`` words, and the ``places`` of those that end a sentence: the text is cut into words once."""
+
+    def found(w: Column) -> Column:
+        places = F.filter(F.transform(w, lambda x, i: F.when(ends_sentence(x), i)), lambda i: i.isNotNull())
+        return F.struct(F.size(w).alias("n"), places.alias("places"))
+
+    return let(words(text), found)
+
+
+def _sighted(hypotheses: DataFrame, key: list[str], runs: int) -> DataFrame:
+    """``key..., word_no, first, stable, islands, seen_no, last_no`` of each place that a hypothesis of two words or more has an end at.
+
+    What is shuffled and sorted is one row a hypothesis, with its places and without its text; they become rows where they are counted.
+    """
+    none = F.array().cast("array<int>")
+    ended = hypotheses.select(*key, "hyp_no", "at", _ends(F.col("text")).alias("e")).select(*key, "hyp_no", "at", "e.n", "e.places")
+    spoken = F.col("n") >= 2
+    told = ended.select(*key, "hyp_no", "at", "n", F.when(spoken, F.col("places")).otherwise(none).alias("places"))
+    order = Window.partitionBy(*key).orderBy("hyp_no")
+
+    def before(k: int) -> Column:
+        return F.when(F.lag("hyp_no", k).over(order) == F.col("hyp_no") - k, F.lag("places", k).over(order)).otherwise(none)
+
+    earlier = [f"before_{k}" for k in range(1, max(runs, 2))]
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = F.max(F.when(spoken, F.col("hyp_no"))).over(whole).alias("last_no")
+    beside = told.select("*", last, *(before(k).alias(name) for k, name in enumerate(earlier, 1)))
+    firm = F.col("places")
+    for name in earlier[: runs - 1]:
+        firm = F.array_intersect(firm, name)
+
+    def marked(places: Column, kind: int) -> Column:
+        return F.transform(places, lambda p: F.struct(p.alias("word_no"), F.lit(kind).alias("kind")))
+
+    marks = F.concat(marked(F.col("places"), SEEN), marked(firm, FIRM), marked(F.array_except("places", "before_1"), OPENS))
+    each = beside.select(*key, "last_no", "hyp_no", "at", "n", F.inline(marks))
+    kind = F.col("kind")
+    return each.groupBy(*key, "word_no").agg(
+        F.min(F.when(kind == SEEN, F.col("at"))).alias("first"),
+        F.min(F.when((kind == FIRM) & (F.col("word_no") + 1 < F.col("n")), F.col("at"))).alias("stable"),
+        F.count_if(kind == OPENS).alias("islands"),
+        F.max("hyp_no").alias("seen_no"),
+        F.max("last_no").alias("last_no"),
+    )
 
 
 def boundary_timings(hypotheses: DataFrame, closed: DataFrame, runs: int = 2) -> DataFrame:
@@ -18,25 +67,9 @@ def boundary_timings(hypotheses: DataFrame, closed: DataFrame, runs: int = 2) ->
     gone again. Boundaries that no hypothesis had have nulls.
     """
     key = ["session_id", "line_id"]
-    spoken = hypotheses.select(*key, "hyp_no", "at", words(F.col("text")).alias("w")).where(F.size("w") >= 2)
-    last = spoken.groupBy(*key).agg(F.max("hyp_no").alias("last_no"))
-    sighted = spoken.select(*key, "hyp_no", "at", F.size("w").alias("n"), F.posexplode("w").alias("word_no", "word")).where(ends_sentence(F.col("word")))
-    by_word = Window.partitionBy(*key, "word_no").orderBy("hyp_no")
-    island = sighted.withColumn("island", F.col("hyp_no") - F.row_number().over(by_word))
-    in_a_row = island.withColumn("streak", F.row_number().over(Window.partitionBy(*key, "word_no", "island").orderBy("hyp_no")))
-    timed = (
-        in_a_row.join(last, key)
-        .groupBy(*key, "word_no", "last_no")
-        .agg(
-            F.min("at").alias("first"),
-            F.min(F.when((F.col("streak") >= runs) & (F.col("word_no") + 1 < F.col("n")), F.col("at"))).alias("stable"),
-            F.count_distinct("island").alias("islands"),
-            F.max("hyp_no").alias("seen_no"),
-        )
-    )
-    ends = closed.select(*key, "close_at", "start_s", "pace", F.posexplode(words(F.col("text"))).alias("word_no", "word"), F.size(words(F.col("text"))).alias("size"))
-    inner = ends.where(ends_sentence(F.col("word")) & (F.col("word_no") + 1 < F.col("size")))
-    both = inner.join(timed, [*key, "word_no"], "left")
+    ends = closed.select(*key, "close_at", "start_s", "pace", _ends(F.col("text")).alias("e")).select(*key, "close_at", "start_s", "pace", F.col("e.n").alias("size"), F.explode("e.places").alias("word_no"))
+    inner = ends.where(F.col("word_no") + 1 < F.col("size"))
+    both = inner.join(_sighted(hypotheses, key, runs), [*key, "word_no"], "left")
     word_end = F.col("start_s") + F.col("pace") * (F.col("word_no") + 1)
     return both.select(
         *key,
