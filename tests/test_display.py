@@ -84,6 +84,20 @@ def test_hypotheses_are_sorted_before_they_become_rows_of_places(spark):
     assert inside and not any("Generate" in lines[i] for i in inside)
 
 
+def test_timings_are_worked_out_once(spark):
+    times = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            times.add(len(batch))
+            yield batch
+
+    rows = spark.createDataFrame([(float(i), float(i), 1.0, i % 3) for i in range(50)], "saved double, saved_raw double, lag double, flaps long")
+    found = earliness.earliness_table(rows.mapInPandas(counted, rows.schema)).first()
+    assert (found["n"], found["saved_max"], found["flaps_p50"]) == (50, 49.0, 1.0)
+    assert times.value == 50
+
+
 def test_queries_are_listed_with_their_columns(spark):
     import duckdb
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import stats
 from tideline.functions.text import ends_sentence, let, words
+from tideline.session import written
 
 SEEN, FIRM, OPENS = range(3)
 
@@ -84,6 +85,8 @@ def boundary_timings(hypotheses: DataFrame, closed: DataFrame, runs: int = 2) ->
 def earliness_table(timings: DataFrame, gate_s: float = 1.0) -> DataFrame:
     """One row: counts, percentiles of each column, and whether the median saving passes."""
     names = ("saved", "saved_raw", "lag", "flaps")
+    # written once: counts and ranks would each work the timings out again
+    timings = written(timings.select(*names), "timings")
     table = timings.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("saved_raw").isNull()).alias("never_seen"),
