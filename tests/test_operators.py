@@ -3,7 +3,9 @@
 import math
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from tideline.functions import stats
 from tideline.functions.audio import GainControl, Resampler, resample, rms
 from tideline.functions.models import EchoTranslator, fill_missing
 from tideline.operators import confirm, fold, gate, joins, lines, merge, scoring, segment, waiting, words
+from tideline.plans import registry
 from tideline.streaming.queries import GateState
 
 ELEVEN = "one two three four five six seven eight nine ten eleven"
@@ -207,6 +210,63 @@ def test_words_of_pieces(spark):
     assert words.decode_tokens([("é".encode()[:1], 1.0), ("é".encode()[1:] + b"a", 2.0), (b"\xff ok", 3.0)]) == [("éa", 1.0), ("� ok", 3.0)]
 
 
+def merged_plainly(rows):
+    """``(session, number, word, start, end)`` of ``(session, piece, start, t_end)`` in order."""
+    found = []
+    for session in dict.fromkeys(r[0] for r in rows):
+        groups = []
+        for _, piece, start, t_end in (r for r in rows if r[0] == session):
+            if not groups or piece[:1] in ("▁", " "):
+                groups.append(["", start, t_end])
+            groups[-1][0] += piece[1:] if piece[:1] in ("▁", " ") else piece
+            groups[-1][2] = max(groups[-1][2], t_end)
+        full = [g for g in groups if g[0]]
+        ends = [g[1] for g in full[1:]] + [max(g[1:]) for g in full[-1:]]
+        found += [(session, i, g[0], g[1], end) for i, (g, end) in enumerate(zip(full, ends, strict=True))]
+    return found
+
+
+def test_words_of_runs_wherever_batches_end():
+    draw = random.Random(5)
+    for _ in range(300):
+        rows = [
+            (session, "".join(draw.choices(["▁", " ", "", "é", "b▁"], [3, 1, 2, 4, 1], k=draw.randrange(3))), round(i * 0.1, 6), draw.random() * 3)
+            for session in draw.sample([None, 1, 2, 3], draw.randrange(1, 4))
+            for i in range(draw.randrange(9))
+        ]
+        runs, batches = [], []
+        for session, piece, start, t_end in rows:
+            if not runs or runs[-1]["session_id"] != session or draw.random() < 0.5:
+                runs += [{"session_id": session, "pieces": [], "t_end": t_end}] * (draw.random() < 0.2)
+                runs.append({"session_id": session, "pieces": [], "t_end": t_end})
+            runs[-1]["pieces"].append({"piece": piece, "start_s": start})
+        kind = pa.schema([("session_id", pa.int64()), ("pieces", pa.list_(pa.struct([("piece", pa.string()), ("start_s", pa.float64())]))), ("t_end", pa.float64())])
+        flat = [(r["session_id"], p["piece"], p["start_s"], r["t_end"]) for r in runs for p in r["pieces"]]
+        while runs:
+            size = draw.randrange(1, 4)
+            batches.append(pa.RecordBatch.from_pylist(runs[:size], kind))
+            runs = runs[size:]
+        found = [tuple(r.values()) for batch in words.merged_words(iter(batches)) for r in batch.to_pylist()]
+        assert found == merged_plainly(flat)
+
+
+def test_words_are_merged_without_sorting_pieces(spark, tmp_path):
+    rows = [
+        (1, 0, "ab cd▁ef gh▁i"), (1, 1, "one"), (1, 1, "one two▁"), (1, None, "last"), (2, 0, ""), (2, 3, "ab▁▁ ▁ x"),
+        (3, 1, None), (None, 0, "no name"),
+    ]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = registry.queries()["subword_words"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["subword_words"]).fetchall()
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    # lines are sorted, with their texts; pieces and words are never shuffled, sorted or grouped
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 2 and "Aggregate" not in plan
+    assert "Sort" not in plan[: plan.index("MapInArrow")] and plan.index("MapInArrow") < plan.index("transform(") < plan.index("Sort [")
+
+
 def test_restore_marks(spark):
     rows = spark.createDataFrame([(["a", "b"], ["A,", "b."]), (["a", "b"], ["a", "c"])], "w array<string>, m array<string>")
     assert [r[0] for r in rows.select(words.restore_marks(F.col("w"), F.col("m"))).collect()] == [["A,", "b."], ["a", "b"]]

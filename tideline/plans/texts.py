@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import chunks, fullwidth, interjections
@@ -358,14 +358,28 @@ def cut_short_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def subword_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of each conversation, cut into two pieces and put together again."""
-    each = turns(spark, sf_dir).select("session_id", "line_id", F.posexplode(tx.words(F.col("text"))).alias("i", "word"))
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy("line_id", "i")) - 1
-    halves = each.withColumn("place", place).select(
-        "session_id", "place", F.posexplode(F.array(F.concat(F.lit("▁"), F.substring("word", 1, 2)), F.substring("word", 3, 1 << 30))).alias("half", "piece")
-    )
-    at = F.col("place") * 2 + F.col("half")
-    pieces = halves.select("session_id", at.alias("piece_no"), "piece", (at * 0.1).alias("start_s"), F.lit(0.0).alias("t_end"))
-    return words.merge_pieces(pieces).select("session_id", "word_no", "word", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))
+    turn = F.asc_nulls_last("line_id")
+    by_turn = Window.partitionBy("session_id").orderBy(turn)
+    twice = F.lag("line_id").over(by_turn).eqNullSafe(F.col("line_id")) | F.lead("line_id").over(by_turn).eqNullSafe(F.col("line_id"))
+    # a turn is one run, in whose text words have their order; words of turns of one number take turns, so that each is a run
+    singly = F.transform(tx.words(F.col("text")), lambda w, i: F.struct(i.alias("i"), w.alias("said")))
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.col("text").alias("said")))
+    lines = turns(spark, sf_dir).withColumn("twice", twice).select("session_id", "line_id", F.inline(F.when(F.col("twice"), singly).otherwise(whole)))
+    before = Window.partitionBy("session_id").orderBy(turn, "i").rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.withColumn("place", F.coalesce(F.sum(tx.word_count(F.col("said"))).over(before), F.lit(0)))
+
+    def pieces(word: Column, i: Column) -> Column:
+        at = (F.col("place") + i) * 2
+        rest = F.substring(word, 3, 1 << 30)
+        first = F.when(rest.startswith("▁"), word).otherwise(F.substring(word, 1, 2))
+        second = F.when(rest.startswith("▁"), "").otherwise(rest)
+        return F.array(
+            F.struct(F.concat(F.lit("▁"), first).alias("piece"), (at * 0.1).alias("start_s")), F.struct(second.alias("piece"), ((at + 1) * 0.1).alias("start_s"))
+        )
+
+    runs = placed.select("session_id", "line_id", "i", F.flatten(F.transform(tx.words(F.col("said")), pieces)).alias("pieces"), F.lit(0.0).alias("t_end"))
+    merged = words.merge_runs(runs, [turn, "i"])
+    return merged.select("session_id", "word_no", "word", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))
 
 
 @register(
